@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_rules
+from . import decontamination, mixing, quality_classifier, quality_rules, secret_scans
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,22 +16,33 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_quality_ledger": op2_quality_ledger,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secret_scan": op5_secret_scan,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality_rules.ORACLE_SQL,
     "op4_decontaminate": decontamination.ORACLE_SQL,
+    "op5_secret_scan": secret_scans.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
