@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_classifier, quality_rules, secret_scans
+from . import chat_rotation, decontamination, mixing, quality_classifier, quality_rules, secret_scans, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -28,21 +32,31 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.report(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filters.evaluate(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
+    return judged.withColumns({c: judged[c].cast("string") for c in ("fetched", "since")})
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_rotation": op1_chat_rotation,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
+    "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_rotation": chat_rotation.ORACLE_SQL,
     "op2_quality_ledger": quality_rules.ORACLE_SQL,
     "op4_decontaminate": decontamination.ORACLE_SQL,
     "op5_secret_scan": secret_scans.ORACLE_SQL,
+    "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
