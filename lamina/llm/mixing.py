@@ -118,6 +118,13 @@ def cut_at_budgets(
     return joined.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("_range", "_within", "_start")
 
 
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, digits: int = 2) -> DataFrame:
+    """docs with size, source_size, target and taken, without those of which nothing is taken. Texts move once, to
+    their place in the order."""
+    rows = cut_at_budgets(sized(docs.drop("size", "key"), seed), weights, max_epochs, digits)
+    return rows.filter("taken > 0").drop("key")
+
+
 ORACLE_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,

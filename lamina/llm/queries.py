@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, decontamination, mixing, quality_classifier, quality_rules, secret_scans, url_filters
+from . import (
+    chat_rotation,
+    decontamination,
+    html_extraction,
+    mixing,
+    ngram_join,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scans,
+    url_filters,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +43,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.report(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.report(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = url_filters.evaluate(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
@@ -48,6 +71,9 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_personal_data": op7_personal_data,
+    "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -57,6 +83,8 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality_rules.ORACLE_SQL,
     "op4_decontaminate": decontamination.ORACLE_SQL,
     "op5_secret_scan": secret_scans.ORACLE_SQL,
+    "op6_ngram_join": ngram_join.ORACLE_SQL,
+    "op8_html_extraction": html_extraction.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
