@@ -60,6 +60,7 @@ MASKED = "[secret]"
 #: A query: None (any text), a trigram, or ("and" | "or", parts).
 Query = None | str | tuple
 MOST_STRINGS = 32
+MASK_BITS = 63
 
 
 def _grams_of(query: Query) -> frozenset | None:
@@ -150,10 +151,10 @@ def query_grams(query: Query) -> list[str]:
     return [query] if isinstance(query, str) else sorted({g for p in query[1] for g in query_grams(p)})
 
 
-def _holds(query: Query, bit: dict[str, int], held: Column) -> Column:
+def _holds(query: Query, bit: dict[str, int]) -> Column:
     if isinstance(query, str):
-        return held.bitwiseAND(F.lit(1 << bit[query])) != 0
-    parts = [_holds(p, bit, held) for p in query[1]]
+        return F.col(f"held_{bit[query] // MASK_BITS}").bitwiseAND(F.lit(1 << bit[query] % MASK_BITS)) != 0
+    parts = [_holds(p, bit) for p in query[1]]
     out = parts[0]
     for p in parts[1:]:
         out = out & p if query[0] == "and" else out | p
@@ -172,23 +173,17 @@ def candidates(index: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     """Documents whose postings satisfy a rule's query: doc_id and `may`, whose bit k is set for the k-th rule."""
     queries = {kind: trigram_query(r.pattern) for kind, r in rules.items()}
     grams = sorted({g for q in queries.values() for g in query_grams(q)})
-    if len(grams) > 63:
-        # the posting masks have 63 bits: more rules go in groups
-        half = len(rules) // 2
-        kinds = list(rules)
-        none = Rule(r".")
-        first = candidates(index, {k: rules[k] if k in kinds[:half] else none for k in kinds})
-        second = candidates(index, {k: rules[k] if k in kinds[half:] else none for k in kinds})
-        return first.unionByName(second).groupBy("doc_id").agg(F.bit_or("may").alias("may"))
     bit = {g: k for k, g in enumerate(grams)}
-    if not grams:
-        return index.select("doc_id", F.lit(0).cast("long").alias("may")).limit(0)
-    own = F.element_at(F.create_map(*[x for g in grams for x in (F.lit(g), F.lit(1 << bit[g]))]), F.col("gram"))
-    held = index.filter(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.bit_or(own).alias("held"))
+    n_masks = 1 + len(grams) // MASK_BITS
+    own = [
+        F.bit_or(F.coalesce(*[F.when(F.col("gram") == g, F.lit(1 << k % MASK_BITS)) for g, k in bit.items() if k // MASK_BITS == m], F.lit(0)).cast("long")).alias(f"held_{m}")
+        for m in range(n_masks)
+    ]
+    held = index.filter(F.col("gram").isin(grams)).groupBy("doc_id").agg(*own)
     may = F.lit(0).cast("long")
     for k, q in enumerate(queries.values()):
         if q is not None:
-            may = may.bitwiseOR(F.when(_holds(q, bit, F.col("held")), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+            may = may.bitwiseOR(F.when(_holds(q, bit), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
     return held.select("doc_id", may.alias("may")).filter("may <> 0")
 
 
