@@ -119,10 +119,14 @@ def cut_at_budgets(
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, digits: int = 2) -> DataFrame:
-    """docs with size, source_size, target and taken, without those of which nothing is taken. Texts move once, to
-    their place in the order."""
-    rows = cut_at_budgets(sized(docs.drop("size", "key"), seed), weights, max_epochs, digits)
-    return rows.filter("taken > 0").drop("key")
+    """docs with size, source_size, target and taken (columns of these names are replaced), without those of which nothing is
+    taken. Texts move once, to their place in the order."""
+    added = ("size", "source_size", "target", "taken")
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text", *added)]
+    held = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    rows = cut_at_budgets(sized(held, seed), weights, max_epochs, digits).filter("taken > 0")
+    own = [c for c in docs.columns if c not in added]
+    return rows.select(*[F.col(f"rest.`{c}`") if c in rest else F.col(c) for c in own], *added)
 
 
 ORACLE_SQL = """

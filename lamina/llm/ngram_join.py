@@ -275,18 +275,21 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     stays = stays.filter("class_id is not null").select("_id", "_node").unionByName(
         classes.filter("class_id is null").select(F.lit("null").alias("_id"), F.col("node").alias("_node"))
     )
-    schema = docs.schema
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest")
+    held = docs.select("doc_id", "text", packed, F.lit(None).cast("binary").alias("_node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.encode()) if x else () for x in batch.column("text").to_pylist()]
             nodes = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names), nodes], [*schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("rest"), nodes], held.columns)
 
-    keyed = docs.mapInArrow(run, docs.withColumn("_node", F.lit(None).cast("binary")).schema).withColumn("_id", name("doc_id"))
+    keyed = held.drop("_node").mapInArrow(run, held.schema).withColumn("_id", name("doc_id"))
     one = keyed.join(stays, ["_id", "_node"]).dropDuplicates(["_id", "_node"])
     wordless = keyed.filter("_node is null")
-    return one.select(*schema.names).unionByName(wordless.select(*schema.names))
+    every = one.select("doc_id", "text", "rest").unionByName(wordless.select("doc_id", "text", "rest"))
+    return every.select(*[F.col(f"rest.`{c}`") if c in rest else F.col(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

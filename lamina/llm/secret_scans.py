@@ -209,7 +209,7 @@ def _found(text: Column, kind: str, order: int, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """docs with `found` added: an array of (start, order, end, kind), by start, then by the rules' order."""
+    """docs (without a column `may` or `_id`) with `found` added: an array of (start, order, end, kind), by start, then by the rules' order."""
     queries = {kind: trigram_query(r.pattern) for kind, r in rules.items()}
     grams = sorted({g for q in queries.values() for g in query_grams(q)})
     masks = candidates(postings(docs, grams), rules).select(F.col("doc_id").alias("_id"), "may")
@@ -244,7 +244,8 @@ def report(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: dict[str, Rule] = RULES, masked: str = MASKED) -> DataFrame:
     """docs with every stretch that spans cover replaced by `masked`; rows without spans stay as they are."""
-    found = scan(docs, rules)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    found = scan(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")), rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):
@@ -257,7 +258,8 @@ def redact(docs: DataFrame, rules: dict[str, Rule] = RULES, masked: str = MASKED
 
     new = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     text = F.when(F.size("found") > 0, new).otherwise(F.col("text"))
-    return found.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    own = {"text": text.alias("text"), "doc_id": F.col("doc_id")}
+    return found.select(*[own.get(c, F.col(f"rest.`{c}`")) for c in docs.columns])
 
 
 def _oracle() -> str:
