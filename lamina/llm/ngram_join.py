@@ -233,8 +233,8 @@ def join(
     most_sent: int = MOST_SENT,
     block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """Two frames. Per document: doc_id, node (its class of equal shingle sets). Per class: node, class_id (least doc_id of
-    all documents that hang together by links), copies (documents in the class), links (other documents linked
+    """Two frames. Per document: doc_id, node (its class of equal shingle sets). Per class: node, component, class_id (least doc_id
+    of all documents that hang together by links), least_id (of its own), copies (documents in the class), links (other documents linked
     to each of its documents, copies included)."""
     sketched = cut(sketches(docs))
     classes = sketched.filter("node is not null").groupBy("node").agg(
@@ -249,7 +249,7 @@ def join(
     )
     ids = labelled.groupBy("component").agg(F.min("least_id").alias("class_id"))
     per_class = labelled.join(ids, "component").select(
-        "node", "class_id", "least_id", "copies", (F.col("links") + F.col("copies") - 1).alias("links")
+        "node", "component", "class_id", "least_id", "copies", (F.col("links") + F.col("copies") - 1).alias("links")
     )
     return sketched.select("doc_id", "node"), per_class
 
@@ -270,10 +270,11 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of linked ones: the one of least doc_id. Texts without words all stay."""
     _, classes = join(docs, **options)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    stays = classes.filter(F.col("least_id").eqNullSafe(F.col("class_id"))).groupBy(name("class_id").alias("_id"), "class_id").agg(F.min("node").alias("_node"))
-    # classes without any doc_id have no least one: each stays
-    stays = stays.filter("class_id is not null").select("_id", "_node").unionByName(
-        classes.filter("class_id is null").select(F.lit("null").alias("_id"), F.col("node").alias("_node"))
+    stays = (
+        classes.filter(F.col("least_id").eqNullSafe(F.col("class_id")))
+        .groupBy("component")
+        .agg(F.min("node").alias("_node"), F.max(name("class_id")).alias("_id"))
+        .drop("component")
     )
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest")
@@ -283,7 +284,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(x.encode()) if x else () for x in batch.column("text").to_pylist()]
             nodes = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("rest"), nodes], held.columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("rest"), nodes], ["doc_id", "text", "rest", "_node"])
 
     keyed = held.drop("_node").mapInArrow(run, held.schema).withColumn("_id", name("doc_id"))
     one = keyed.join(stays, ["_id", "_node"]).dropDuplicates(["_id", "_node"])
