@@ -59,13 +59,14 @@ def taps(c: Column, kernel: str) -> Column:
     return F.array(*[F.struct((low + (first + k)).alias("i"), w.alias("w")) for k, w in enumerate(weights(c - low, kernel))])
 
 
-def gather(pixels: DataFrame, targets: DataFrame, keys: list[str], shape: Shape, kernel: str = "linear", border: str = "zero", sparse: bool = False) -> DataFrame:
-    """keys, v: for each target its source image interpolated at (cz, cy, cx), summed over targets of equal keys.
+def gather(pixels: DataFrame, targets: DataFrame, keys: list[str], shape: Shape, kernel: str = "linear", border: str = "zero", sparse: bool = False, weight: str | None = None) -> DataFrame:
+    """keys, v: for each target its source image interpolated at (cz, cy, cx), times a column `weight` if one is named, and
+    summed over targets of equal keys.
 
     targets holds image_id, the keys and a coordinate for each axis longer than 1. sparse leaves out keys that
     nothing was read for.
     """
-    each = targets.withColumn("_w", F.lit(1.0))
+    each = targets.withColumn("_w", F.col(weight) if weight else F.lit(1.0))
     for axis, n in zip(AXES, shape, strict=True):
         if n == 1:
             each = each.withColumn(f"_{axis}", F.lit(0).cast("long"))
@@ -288,6 +289,20 @@ def transform_spectrum_2d(spectrum: DataFrame, poses: DataFrame, shape: Shape, c
     return found.select("out_id", "ky", "kx", re.alias("re"), im.alias("im"))
 
 
+def transform_spectrum_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, cutoff: float = 0.5) -> DataFrame:
+    """The same for volumes: matrix is 3 x 3, the shift sz, sy, sx."""
+    f = [F.col(k) / float(n) for k, n in zip(FREQUENCIES, shape, strict=True)]
+    points = spectrum.select("image_id", *FREQUENCIES).join(poses, "image_id")
+    kept = points.filter(F.sqrt(f[0] * f[0] + f[1] * f[1] + f[2] * f[2]) <= cutoff)
+    moved = apply("matrix", 3, f)
+    shift = ["sz", "sy", "sx"]
+    targets = kept.select("out_id", "image_id", *FREQUENCIES, *shift, *[(c * float(n)).alias(f"f{a}") for a, c, n in zip(AXES, moved, shape, strict=True)])
+    found = spectrum_gather(spectrum, targets, ["out_id", *FREQUENCIES, *shift], shape)
+    angle = -2 * math.pi * sum((F.col(s) * c for s, c in zip(shift[1:], f[1:], strict=True)), F.col("sz") * f[0])
+    re, im = times((F.col("re"), F.col("im")), (F.cos(angle), F.sin(angle)))
+    return found.select("out_id", *FREQUENCIES, re.alias("re"), im.alias("im"))
+
+
 def spectrum2polar(spectrum: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], rho: tuple[float, float] = (0.0, 0.5)) -> DataFrame:
     """Half spectra on a grid of angles (rows, [0, pi)) and frequencies (columns, rho in cycles a pixel, ends included)."""
     n_phi, n_rho = polar

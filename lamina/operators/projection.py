@@ -33,15 +33,14 @@ def projection_window_size(volume: Shape) -> int:
     return size + 1 - size % 2
 
 
-def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
-    """image_id, y, x, v: each image pixel sums its volume along the projection axis. volumes: pixels whose image_id is the
-    volume's; poses: image_id, volume_id, matrix (3 x 4, image to volume).
+def _along_axis(poses: DataFrame, shape: Shape, volume: Shape, window: int | None) -> DataFrame:
+    """out_id, volume_id, y, x, cz, cy, cx: the points of the volume that each image pixel sums over.
 
     The window is centered where the axis through the pixel meets the plane through the volume's center that
-    it reaches first."""
+    it reaches first. Points a voxel or more outside the volume are left out."""
     window = window or projection_window_size(volume)
     center = [float(n // 2) for n in volume]
-    pixel = grid(poses.select(F.col("image_id").alias("out_id"), F.col("volume_id").alias("image_id"), "matrix"), shape).drop("z")
+    pixel = grid(poses.select(F.col("image_id").alias("out_id"), "volume_id", "matrix"), shape).drop("z")
     axis = [at("matrix", i, 0, 4) for i in range(3)]
     plane = [at("matrix", i, 1, 4) * F.col("y") + at("matrix", i, 2, 4) * F.col("x") + at("matrix", i, 3, 4) for i in range(3)]
     crosses = [F.abs(a) > 0 for a in axis]
@@ -54,7 +53,31 @@ def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volum
     inside = targets
     for a, n in zip(AXES, volume, strict=True):
         inside = inside.filter((F.col(f"c{a}") > -1) & (F.col(f"c{a}") < n))
-    out = gather(volumes, inside, ["out_id", "y", "x"], volume, kernel, sparse=True)
+    return inside.drop("_d", "_step")
+
+
+def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
+    """image_id, y, x, v: each image pixel sums its volume along the projection axis. volumes: pixels whose image_id is the
+    volume's; poses: image_id, volume_id, matrix (3 x 4, image to volume)."""
+    points = _along_axis(poses, shape, volume, window).withColumnRenamed("volume_id", "image_id")
+    out = gather(volumes, points, ["out_id", "y", "x"], volume, kernel, sparse=True)
+    return out.withColumnRenamed("out_id", "image_id")
+
+
+def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, outputs: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
+    """image_id, y, x, v: images projected into a volume and out again, without the volume: the points that an output pixel
+    sums over are read from every input image of the volume. Beyond the volume's outer voxels a point counts less,
+    linearly to 0 one voxel out. inputs: matrix 2 x 4 (volume to image); outputs: matrix 3 x 4 (image to volume)."""
+    points = _along_axis(outputs, shape, volume, window)
+    weight = F.lit(1.0)
+    for a, n in zip(AXES, volume, strict=True):
+        c = F.col(f"c{a}")
+        weight = weight * F.when(c < 0, 1 + c).when(c > n - 1, n - c).otherwise(1.0)
+    near = points.withColumn("edge", weight).join(inputs.select("image_id", "volume_id", "matrix"), "volume_id")
+    iy, ix = apply("matrix", 2, [F.col("cz"), F.col("cy"), F.col("cx"), F.lit(1.0)])
+    targets = near.select("image_id", "out_id", "y", "x", "edge", iy.alias("cy"), ix.alias("cx"))
+    inside = targets.filter((F.col("cy") > -1) & (F.col("cy") < shape[1]) & (F.col("cx") > -1) & (F.col("cx") < shape[2]))
+    out = gather(pixels, inside, ["out_id", "y", "x"], shape, kernel, sparse=True, weight="edge")
     return out.withColumnRenamed("out_id", "image_id")
 
 

@@ -169,6 +169,12 @@ def sort_axis(pixels: DataFrame, axis: str = "x", ascending: bool = True) -> Dat
     return pixels.withColumn(axis, (F.row_number().over(W.partitionBy(*others).orderBy(order, axis)) - 1).cast("long"))
 
 
+def reduce_axes_ewise(pixels: DataFrame, keys: Iterable[str], function) -> DataFrame:
+    """A user's reduction of each group of pixels: function takes a pandas Series and returns a number. A group is gathered in one
+    task, so keep keys that bound it; reductions that split go through groupBy and built-in aggregates."""
+    return pixels.groupBy(*keys).agg(F.pandas_udf(function, "double")(V).alias("value"))
+
+
 def reduce_ewise(stack: DataFrame, zero: Column, accumulate, finish=None) -> DataFrame:
     """A user's reduction of each image: accumulate(state, value), then finish(state); columns, within the row."""
     return stack.select("image_id", F.aggregate("values", zero, accumulate, finish).alias("value"))
