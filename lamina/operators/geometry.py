@@ -26,16 +26,13 @@ def weights(f, kernel: str, xp=F):
     """The kernel's weights at fraction f, from the lowest tap up; columns (xp = F) or numpy arrays (xp = np)."""
     if kernel == "linear":
         return [1 - f, f]
-    if kernel == "cubic":
-        a = -0.5
-        g, h = f + 1, 1 - f
-        first = ((a * g - 5 * a) * g + 8 * a) * g - 4 * a
-        second = ((a + 2) * f - (a + 3)) * f * f + 1
-        third = ((a + 2) * h - (a + 3)) * h * h + 1
-        return [first, second, third, 1 - first - second - third]
-    if kernel == "cubic_bspline":
-        h = 1 - f
-        return [h * h * h / 6, 2 / 3 - 0.5 * f * f * (2 - f), 2 / 3 - 0.5 * h * h * (2 - h), f * f * f / 6]
+    if kernel in ("cubic", "cubic_bspline"):
+        # piecewise polynomials of the distance t to a tap: one for t <= 1, one for 1 < t < 2
+        if kernel == "cubic":
+            near, far = lambda t: (1.5 * t - 2.5) * t * t + 1, lambda t: ((2.5 - 0.5 * t) * t - 4) * t + 2
+        else:
+            near, far = lambda t: 2 / 3 - t * t + t * t * t / 2, lambda t: (2 - t) * (2 - t) * (2 - t) / 6
+        return [far(1 + f), near(f), near(1 - f), far(2 - f)]
     if kernel.startswith("lanczos"):
         size = SIZES[kernel]
         out = []
