@@ -18,7 +18,6 @@ nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, pieces
 from .fm_index import FMIndex
 
 #: Words of lower-cased UTF-8: anything but ASCII that is no digit or small letter.
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 
+ADDED = ("n_words", "spans", "items")
 SPANS = "array<struct<start:long,end:long>>"
 SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -123,53 +123,44 @@ def merge_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tupl
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a shard has about `limit` words (six bytes each), but one document at least."""
-    for batch in batches:
-        sizes = np.array([len(x) if x else 0 for x in batch.column("text").to_pylist()], np.int64)
-        shard = np.cumsum(sizes) // (6 * limit)
-        at = 0
-        for n in np.unique(shard, return_counts=True)[1].tolist() if len(shard) else []:
-            yield batch.slice(at, n)
-            at += n
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (doc_id, text and any others) with n_words, spans (merged, of word positions, end exclusive) and
-    items (ids as strings, sorted) added."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """docs (text and any others) with n_words, spans (merged, of word positions, end exclusive) and items (ids as
+    strings, sorted) added; columns of these names are replaced. With cut the spans are cut out of the texts too."""
     spark = docs.sparkSession
     items = pick(benchmark, "item_id", "text").select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = 1 + total // block_bytes
-    others = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    n_blocks = int(1 + total // block_bytes)
+    others = [c for c in docs.columns if c not in ADDED]
     out = docs.select(
-        *others, F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items")
+        *[F.col(f"`{c}`") for c in others],
+        F.lit(0).cast("long").alias("n_words"),
+        F.expr(f"cast(array() as {SPANS})").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("items"),
     )
     schema = out.schema
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         sent = spark.sparkContext.broadcast([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in block.collect()])
 
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, last=k == n_blocks - 1):
             phrases = Phrases(sent.value, window)
-            for batch in _shards(batches, SHARD_WORDS):
+            for batch in pieces(batches, "text", SHARD_BYTES):
                 texts = batch.column("text").to_pylist()
                 found = search_shard([t.encode() if t else None for t in texts], phrases)
-                old_spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
-                spans = [merge_spans(a, f[1]) for a, f in zip(old_spans, found, strict=True)]
-                names = [sorted({*a, *f[2]}) for a, f in zip(batch.column("items").to_pylist(), found, strict=True)]
-                kept = [batch.column(c) for c in batch.schema.names if c not in ("n_words", "spans", "items")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *kept,
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS_TYPE),
-                        pa.array(names, pa.list_(pa.string())),
-                    ],
-                    [c for c in batch.schema.names if c not in ("n_words", "spans", "items")] + ["n_words", "spans", "items"],
-                )
+                spans, names = [f[1] for f in found], [f[2] for f in found]
+                if n_blocks > 1:
+                    old = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
+                    spans = [merge_spans(a, b) for a, b in zip(old, spans, strict=True)]
+                    names = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), names, strict=True)]
+                columns = {c: batch.column(c) for c in others}
+                if cut and last:
+                    columns["text"] = pa.array([cut_spans(t, x) if x else t for t, x in zip(texts, spans, strict=True)], pa.string())
+                columns["n_words"] = pa.array([f[0] for f in found], pa.int64())
+                columns["spans"] = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SPANS_TYPE)
+                columns["items"] = pa.array(names, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         out = out.mapInArrow(run, schema)
     return out
@@ -201,25 +192,11 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the removal spans cut out of their texts; rows without spans stay as they are."""
-    found = find(docs, benchmark, window)
-    schema = docs.schema
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            spans = batch.column("spans").to_pylist()
-            new = [cut_spans(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in schema.names], schema.names
-            )
-
-    return found.select(*schema.names, "spans").mapInArrow(run, schema)
-
-
-def sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = find(docs.select("text", F.struct(*rest).alias("rest")), benchmark, window, block_bytes, cut=True)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, pieces
 from .graph import connected
 from .shingles import MinHash, set_key, shingle_set
 
@@ -60,7 +60,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: its class (key of its shingle set, null without words), the set's size, and its bands' keys."""
     hashes = MinHash(BANDS * ROWS)
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         keys, sizes, bands = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text) if text else np.zeros(0, np.uint64)
@@ -281,7 +281,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     held = docs.select("doc_id", "text", packed, F.lit(None).cast("binary").alias("_node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             sets = [shingle_set(x.encode()) if x else () for x in batch.column("text").to_pylist()]
             nodes = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("rest"), nodes], ["doc_id", "text", "rest", "_node"])

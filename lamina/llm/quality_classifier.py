@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, pieces
 
 BUCKETS = 1 << 15
 DIM = 8
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     kept = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             found = sent.value.scores([x.encode() if x else b"" for x in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.float64())], [*kept, into])
 

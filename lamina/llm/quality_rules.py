@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, pieces
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -112,8 +112,8 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [measure(x.as_py() or b"") for x in batch.column(1)]
+    for batch in pieces(batches, "text"):
+        found = [measure(x or b"") for x in batch.column(1).to_pylist()]
         columns = zip(*found, strict=True) if found else [[] for _ in MEASURES]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), *(pa.array(list(x), pa.int64()) for x in columns)], ["doc_id", *MEASURES]
