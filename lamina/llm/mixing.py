@@ -90,32 +90,23 @@ def cut_at_budgets(
     rows: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, digits: int = 2
 ) -> DataFrame:
     """rows (doc_id, source, size, key and any others) with source_size, target and taken added."""
-    rows = rows.withColumn("_range", F.substring("key", 1, digits))
-    per_range = rows.groupBy("source", "_range").agg(F.sum("size").alias("_range_size"))
-    ahead = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # a source without nulls, so that window and join ask for the same partitioning and texts move once
+    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = rows.withColumns({"_source": named, "_range": F.substring("key", 1, digits)})
+    per_range = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_range_size"))
+    ahead = W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     per_range = per_range.select(
-        "source", "_range", F.coalesce(F.sum("_range_size").over(ahead), F.lit(0)).alias("_ahead")
+        "_source", "_range", F.coalesce(F.sum("_range_size").over(ahead), F.lit(0)).alias("_ahead")
     )
     per_source = budgets(rows.select("source", "size"), weights, max_epochs)
-    marks = (
-        per_range.alias("r")
-        .join(per_source.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-        .select("r.source", "r._range", "r._ahead", "s.source_size", "s.target")
-    )
-    within = W.partitionBy("source", "_range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    marks = per_range.join(per_source.withColumn("_source", named).drop("source"), "_source")
+    within = W.partitionBy("_source", "_range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = (
-        placed.alias("d")
-        .join(
-            marks.alias("m"),
-            F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._range") == F.col("m._range")),
-        )
-        .select("d.*", "m.source_size", "m.target", (F.col("m._ahead") + F.col("d._within")).alias("_start"))
-    )
+    joined = placed.join(marks, ["_source", "_range"]).withColumn("_start", F.col("_ahead") + F.col("_within"))
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0)
     rest = F.round("target").cast("long") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
-    return joined.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("_range", "_within", "_start")
+    return joined.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("_source", "_range", "_within", "_ahead", "_start")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, digits: int = 2) -> DataFrame:
