@@ -9,14 +9,16 @@ article, so the markup bounds what it decides: lines in elements that are furnit
 never count; lines inside an article or main element are the article, shared or not; where there is such
 an element nothing outside it is kept; all other lines stand or fall by the differencing.
 
-Scale: parsing is narrow; the lines are shuffled once, by host, and read in order of path as a stream
-that holds three pages. A host of more than `group_pages` pages is dealt by a hash of the path
-into groups of about that size; these hosts are counted first and sent to all tasks only up to
-`most_hosts` of them, joined by a shuffle beyond.
+Scale: parsing is narrow; the lines are shuffled once and read in order of host and path as a stream that
+holds three pages. The pages are dealt by ranges of that order, of at most `group_pages` pages each (more where
+there would be over `most_groups` ranges). The bounds come from a sort of the keys alone, without the html, and
+are sent to all tasks. The page on each side of a bound within a host goes to the range beyond it too, as a
+neighbour only, so the size of the ranges doesn't change any text.
 
 Defined cases: a null or empty html has an empty text; pages without a host are a group of their own; a
 neighbour with the same lines is a copy and deletes nothing; of two equally near pages the earlier in
-order counts; repeated rows are pages each; an empty table gives no rows; other columns are ignored.
+order counts; repeated rows are pages each and stay in one range; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ from __future__ import annotations
 import html as html_lib
 import os.path
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, pieces
+from .common import pick, pieces
 
 GROUP_PAGES = 250
-MOST_HOSTS = 100_000
+MOST_GROUPS = 50_000
+
+#: The order of pages.
+KEY = ("host", "path", "page_id", "url")
 
 #: Elements whose content is never part of the text.
 DROPPED_TAGS = frozenset(
@@ -187,28 +193,86 @@ def main_text(lines: list[str], zones: str, neighbours: list[list[str]]) -> str:
     return "\n\n".join(x for i, x in enumerate(lines) if i not in shared)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "html"):
-        found = [lines_of(x) if x else ([], "") for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in ("page_id", "url", "host", "path", "part")),
-                pa.array([x[0] for x in found], pa.list_(pa.string())),
-                pa.array([x[1] for x in found], pa.string()),
-            ],
-            ["page_id", "url", "host", "path", "part", "lines", "zones"],
-        )
+def _keys(rows: pa.RecordBatch) -> list[tuple]:
+    """Each row's place in the order of pages, nulls first as Spark sorts them."""
+    columns = (rows.column(c).to_pylist() for c in KEY)
+    return [(h, p, i is not None, i or 0, u is not None, u or "") for h, p, i, u in zip(*columns, strict=True)]
+
+
+def _marks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's ordered keys: every size-th, the one before each of these, and the last."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, last = TaskContext.get().partitionId(), 0, None
+
+        def numbered(rows: pa.RecordBatch, places: list[int]) -> pa.RecordBatch:
+            ids = [pa.array([task] * len(places), pa.int64()), pa.array(places, pa.int64())]
+            return pa.RecordBatch.from_arrays([*ids, *(rows.column(c) for c in KEY)], ["task", "place", *KEY])
+
+        for batch in batches:
+            if batch.num_rows:
+                at = [k for k in range(batch.num_rows) if (n + k) % size in (0, size - 1)]
+                yield numbered(batch.take(pa.array(at, pa.int64())), [n + k for k in at])
+                n += batch.num_rows
+                last = batch.slice(batch.num_rows - 1)
+        if last is not None and (n - 1) % size not in (0, size - 1):
+            yield numbered(last, [n - 1])
+
+    return marked
+
+
+def _bounds(keys: DataFrame, size: int) -> tuple[list[tuple], list[tuple]]:
+    """The first key of each range but the first, and the key before each of these."""
+    marks = keys.orderBy(*KEY).mapInArrow(_marks(size), "task long, place long, host string, path string, page_id long, url string")
+    found = marks.toArrow().sort_by([("task", "ascending"), ("place", "ascending")]).combine_chunks()
+    bounds, before = [], []
+    for batch in found.to_batches():
+        held = _keys(batch)
+        for place, key, previous in zip(batch.column("place").to_pylist()[1:], held[1:], held, strict=False):
+            if place % size == 0 and key != previous:
+                bounds.append(key)
+                before.append(previous)
+    return bounds, before
+
+
+def _parse(bounds: list[tuple], before: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pages' lines, each in its range, and beside a bound in the range beyond too (beside: true)."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            found = [lines_of(x) if x else ([], "") for x in batch.column("html").to_pylist()]
+            dealt = []
+            for k, key in enumerate(_keys(batch)):
+                part = bisect_right(bounds, key)
+                dealt.append((k, part, False))
+                if part and key == bounds[part - 1] and key[0] == before[part - 1][0]:
+                    dealt.append((k, part - 1, True))
+                if part < len(bounds) and key == before[part] and key[0] == bounds[part][0]:
+                    dealt.append((k, part + 1, True))
+            at = pa.array([x[0] for x in dealt], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(at) for c in KEY),
+                    pa.array([x[1] for x in dealt], pa.int64()),
+                    pa.array([x[2] for x in dealt], pa.bool_()),
+                    pa.array([found[x[0]][0] for x in dealt], pa.list_(pa.string())),
+                    pa.array([found[x[0]][1] for x in dealt], pa.string()),
+                ],
+                [*KEY, "part", "beside", "lines", "zones"],
+            )
+
+    return parsed
 
 
 def _near(a: dict, b: dict | None) -> int:
-    """Length of the shared start of two pages' paths, -1 without a second page of the same group."""
+    """Length of the shared start of two pages' paths, -1 without a second page of the same host and range."""
     if b is None or (a["host"], a["part"]) != (b["host"], b["part"]):
         return -1
     return len(os.path.commonprefix([a["path"], b["path"]]))
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order of host, part and path: each with its main text."""
+    """Pages in order of part, host and path: each with its main text, but none for those that are only beside."""
     before = page = None
 
     def judged(before: dict | None, page: dict, after: dict | None) -> tuple:
@@ -226,15 +290,15 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for after in batch.to_pylist():
-            if page is not None:
+            if page is not None and not page["beside"]:
                 rows.append(judged(before, page, after))
             before, page = page, after
         yield out(rows)
-    if page is not None:
+    if page is not None and not page["beside"]:
         yield out([judged(before, page, None)])
 
 
-def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, most_hosts: int = MOST_HOSTS) -> DataFrame:
+def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, most_groups: int = MOST_GROUPS) -> DataFrame:
     """page_id, url, text (empty if none) of every page."""
     url = F.coalesce(F.col("url"), F.lit(""))
     located = pick(pages, "page_id", "url", "html").select(
@@ -244,17 +308,13 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, most_hosts: int =
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?(.*)$", 1).alias("path"),
     )
-    large = cut(
-        located.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).alias("n_parts"))
-    )
-    if large.count() <= most_hosts:
-        large = F.broadcast(large)
-    part = F.coalesce(F.pmod(F.xxhash64("path"), F.col("n_parts")), F.lit(0)).cast("long")
-    dealt = located.join(large, "host", "left").withColumn("part", part).drop("n_parts")
-    lines = dealt.mapInArrow(
-        _parse, "page_id long, url string, host string, path string, part long, lines array<string>, zones string"
+    size = max(group_pages, -(-pages.count() // most_groups))
+    lines = located.mapInArrow(
+        _parse(*_bounds(located.select(*KEY), size)),
+        "host string, path string, page_id long, url string, part long, beside boolean, lines array<string>, zones string",
     )
-    ordered = lines.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id", "url")
+    tie = F.xxhash64("lines", "zones")
+    ordered = lines.withColumn("tie", tie).repartition("part").sortWithinPartitions("part", *KEY, "tie").drop("tie")
     return ordered.mapInArrow(_difference, "page_id long, url string, text string")
 
 
