@@ -7,7 +7,9 @@ shared lines, a site's furniture, are deleted.
 Differencing alone can't tell a copied article from furniture, nor an advert of the day from an
 article, so the markup bounds what it decides: lines in elements that are furniture by tag, class, id or role
 never count; lines inside an article or main element are the article, shared or not; where there is such
-an element nothing outside it is kept; all other lines stand or fall by the differencing.
+an element nothing outside it is kept; all other lines stand or fall by the differencing. Outside an article any
+word of a class or id marks furniture (of a heading only its class); inside one, and of an article or main element
+itself, only a whole class name does, and nothing on a heading. No other attribute's value counts.
 
 Scale: parsing is narrow; the lines are shuffled once and read in order of host and path as a stream that
 holds three pages. The pages are dealt by ranges of that order, of at most `group_pages` pages each (more where
@@ -65,8 +67,10 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.DOTALL
 )
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.IGNORECASE)
+#: One attribute: its name, and its value in double quotes, in single quotes or bare.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
+#: Without one of these no attribute is read.
+READ = re.compile("class|id|role", re.IGNORECASE)  # hidden holds id
 WORDS = re.compile(r"[a-z]+")
 
 ARTICLE, OPEN = "a", "o"
@@ -78,17 +82,21 @@ def _zone(tag: str, attributes: str, in_article: bool) -> str | None:
         return "drop"
     if tag == "header":
         return "title" if in_article else "drop"
-    if attributes and not attributes.isspace():
+    if READ.search(attributes):
+        named: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "role":
-                if value in DROPPED_ROLES:
-                    return "drop"
-                if value in ("main", "article"):
-                    return ARTICLE
-            elif tag not in ("html", "body") and not DROPPED_WORDS.isdisjoint(WORDS.findall(value)):
-                return "drop"
-        if HIDDEN.search(attributes):
+            named.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        role = named.get("role", "").strip()
+        if "hidden" in named or role in DROPPED_ROLES:
+            return "drop"
+        if role in ("main", "article"):
+            return ARTICLE
+        marks: list[str] = []
+        if in_article or tag in ARTICLE_TAGS:
+            marks = [] if tag in HEADINGS else named.get("class", "").split()
+        elif tag not in ("html", "body"):
+            marks = WORDS.findall(named.get("class", "")) + ([] if tag in HEADINGS else WORDS.findall(named.get("id", "")))
+        if not DROPPED_WORDS.isdisjoint(marks):
             return "drop"
     return ARTICLE if tag in ARTICLE_TAGS else None
 

@@ -27,3 +27,35 @@ def test_texts_do_not_depend_on_the_size_of_ranges(spark, group_pages):
     assert len(whole) == len(rows) and texts(group_pages) == whole
     assert sum("Section" in x for x in whole) < 20
     assert sorted(map(str, html_extraction.extract(df, group_pages, 5).collect())) == whole
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        '<p><a href="/p?id=42&utm_source=social">kept</a></p>',
+        "<p><a href=/p?id=42&class=ad>kept</a></p>",
+        '<p data-id="comments-3">kept</p>',
+        '<div title="the hidden cost">kept</div>',
+        '<div title="a role=banner, class=ad">kept</div>',
+        '<div data-hidden aria-hidden="false">kept</div>',
+        '<h2 id="related-work">kept</h2>',
+        '<h3 id="alert-levels" title="x">kept</h3>',
+    ],
+)
+def test_markup_that_is_no_furniture(markup):
+    for body in (markup, f"<article>{markup}</article>", f"<main id='menu-costs' class='has-sidebar'>{markup}</main>"):
+        assert html_extraction.lines_of(body)[0] == ["kept"], body
+
+
+@pytest.mark.parametrize("markup", ['<section id="social-impact">kept</section>', '<div class="share-of-votes">kept</div>', '<h2 class="widget">kept</h2>'])
+def test_slugs_in_an_article_are_no_furniture(markup):
+    assert html_extraction.lines_of(f"<article>{markup}</article>") == (["kept"], "a")
+
+
+@pytest.mark.parametrize(
+    "markup",
+    ["<div class='x comments'>no</div>", "<p hidden>no</p>", "<p title='x' hidden=''>no</p>", "<p HIDDEN/>no</p>", "<div role=search>no</div>", '<div title="a > b" CLASS = "ad">no</div>', '<div class="ad>no</div>'],
+)
+def test_furniture_by_markup(markup):
+    for body in (markup, f"<article>{markup}</article>"):
+        assert html_extraction.lines_of(body)[0] == [], body
