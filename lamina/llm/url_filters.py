@@ -3,8 +3,8 @@
 A filter list is a log of dated entries: from its date on an entry adds a key to a list or removes it.
 Per list and key the log becomes disjoint validity intervals, and an as-of join evaluates each capture
 against the entries that were active when it was fetched. A key is a domain (it covers its subdomains)
-or a domain with leading path segments. The longest active key decides; a block beats an allowance of
-equal length.
+or a domain with leading path segments, as many as the deepest entry has. The longest active key decides; a block
+beats an allowance of equal length. A user name in a url is no part of its host.
 
 Scale: both sides carry the key and the month, so the as-of join is an equi-join with a filter on dates:
 an entry meets only the captures of its key and month, and a key that a third of all captures share is
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from .common import pick
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?+([^/?#:@]+)"
 SEGMENTS = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)"
 BLOCK, ALLOW = "block", "allow"
 
@@ -34,7 +34,7 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def url_keys(url: Column, levels: int = 2) -> Column:
+def url_keys(url: Column, levels: int) -> Column:
     """The keys that may list a url: its domains of two labels and more, and its host with up to `levels`
     leading path segments."""
     labels = F.split(host(url), r"\.")
@@ -74,9 +74,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         )
     )
     valid = valid.select("list", "key", "since", "until", months.alias("month"))
+    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1).alias("levels")).first()["levels"] or 0
     asked = captures.select("url", "fetched").distinct()
     keyed = asked.select(
-        "url", "fetched", F.trunc("fetched", "month").alias("month"), F.explode(url_keys(F.col("url"))).alias("key")
+        "url", "fetched", F.trunc("fetched", "month").alias("month"), F.explode(url_keys(F.col("url"), deepest)).alias("key")
     )
     active = keyed.join(valid, ["key", "month"]).filter(
         (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
-from lamina.llm import html_extraction
+
+from lamina.llm import html_extraction, url_filters
 
 PAGES = "page_id long, url string, html string"
 
@@ -59,3 +61,31 @@ def test_slugs_in_an_article_are_no_furniture(markup):
 def test_furniture_by_markup(markup):
     for body in (markup, f"<article>{markup}</article>"):
         assert html_extraction.lines_of(body)[0] == [], body
+
+
+# --- url filters -----------------------------------------------------------------------------------------------------------
+
+
+def test_entries_of_any_depth_and_urls_with_user_names(spark):
+    day = datetime.date(2024, 5, 1)
+    entries = [("block", k, "add", day) for k in ("h.io/a/b/c", "h.io/a/b/c/d/e/f/g", "listed.example", "user.name")] + [("allow", "h.io/a/b/c/d", "add", day)]
+    urls = {
+        "http://h.io/a/b": None,
+        "http://h.io/a/b/c": "block:h.io/a/b/c",
+        "http://h.io/a//b/c/x?q=/d": "block:h.io/a/b/c",
+        "http://h.io/a/b/cc": None,
+        "http://h.io/a/b/c/d/e/f": "allow:h.io/a/b/c/d",
+        "http://me@h.io:80/a/b/c/d/e/f/g/h": "block:h.io/a/b/c/d/e/f/g",
+        "http://user:pw@listed.example/x": "block:listed.example",
+        "http://user.name@other.example/": None,
+        "http://a@user.name@www.listed.example:8080": "block:listed.example",
+        "http://other.example/@listed.example/": None,
+        "http://user.name@/x": None,
+        "http://user.name/me@h.io": "block:user.name",
+    }
+    captures = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched date")
+    log = "list string, key string, action string, since date"
+    got = {r["url"]: r for r in url_filters.evaluate(captures, spark.createDataFrame(entries, log)).collect()}
+    assert {u: r["decided_by"] for u, r in got.items()} == urls
+    assert all(r["blocked"] == (r["decided_by"] or "").startswith("block") for r in got.values())
+    assert got["http://me@h.io:80/a/b/c/d/e/f/g/h"]["n_active"] == 3
