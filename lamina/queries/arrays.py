@@ -39,6 +39,20 @@ def read_stack(spark, sf_dir):
     return flat.select("volume_id", "image_id", F.col("x").cast("long").alias("x"), r6("v").alias("v"))
 
 
+@query(
+    PX
+    + f""", b as (select min(image_id) as low, max(image_id) - min(image_id) + 1 as n from px)
+select image_id, y - 2 as y, x, {s6('v')} as v from px, b where image_id >= low + n // 4 and image_id < low + n // 4 + n // 2 and y between 2 and 4"""
+)
+def read_slices_middle(spark, sf_dir):
+    """The middle half of the table's own range of ids."""
+    volumes = stack(spark, sf_dir).withColumns({"d": F.lit(8), "h": F.lit(1)})
+    low, high = volumes.agg(F.min("image_id"), F.max("image_id")).first()
+    n = high - low + 1
+    part = stacks.read_slices(volumes, low + n // 4, n // 2, 2, 3)
+    return S.stack_to_pixels(part).select("image_id", F.col("z").alias("y"), "x", r6("v").alias("v"))
+
+
 @query(PX + f" select image_id, y - 2 as y, x, {s6('v')} as v from px where image_id between 40 and 139 and y between 2 and 4")
 def read_slices(spark, sf_dir):
     volumes = stack(spark, sf_dir).withColumns({"d": F.lit(8), "h": F.lit(1)})
@@ -109,6 +123,11 @@ def broadcast_stack(spark, sf_dir):
     return S.broadcast_stack(even, SHAPE, (3, 8, 8)).select("image_id", "z", "y", "x", r6("v").alias("v"))
 
 
+@query(PX + f" select image_id, k as z, y, x, {s6('v')} as v from px, range(3) as r(k)")
+def broadcast_stack_all(spark, sf_dir):
+    return S.broadcast_stack(pixels(spark, sf_dir), SHAPE, (3, 8, 8)).select("image_id", "z", "y", "x", r6("v").alias("v"))
+
+
 @query(PX + f" select image_id, (y - 1) // 2 as y, x - 5 as x, {s6('v')} as v from px where y >= 1 and y < 7 and (y - 1) % 2 = 0 and x >= 5")
 def subregion(spark, sf_dir):
     return _v(S.subregion(pixels(spark, sf_dir), SHAPE, Ellipsis, slice(1, -1, 2), slice(-3, None)))

@@ -259,13 +259,22 @@ q as (select *, sqrt(re * re + im * im) as s from p where abs(ky) < 4 and kx < 4
 select image_id, ky, kx, {s6('re / (s + 1e-13)')} as re, {s6('im / (s + 1e-13)')} as im, {s6('re / sqrt(s + 1e-13)')} as mutual_re, {s6('(re * re - im * im) / (s + 1e-13)')} as double_re from q"""
 )
 def cross_correlation_modes(spark, sf_dir):
-    both = _two_spectra(spark, sf_dir).filter((F.abs("ky") < 4) & (F.col("kx") < 4))
+    return _modes(_two_spectra(spark, sf_dir).filter((F.abs("ky") < 4) & (F.col("kx") < 4)))
+
+
+def _modes(both):
     phase = _c(X.correlation_spectrum(both, "phase"))
     mutual = X.correlation_spectrum(both, "mutual").select("image_id", "ky", "kx", r6("re").alias("mutual_re"))
     double = X.correlation_spectrum(both, "double_phase").select("image_id", "ky", "kx", r6("re").alias("double_re"))
     return phase.join(mutual, ["image_id", "ky", "kx"]).join(double, ["image_id", "ky", "kx"])
 
 
+@query()
+def cross_correlation_modes_all(spark, sf_dir):
+    """All frequencies, the Nyquist ones too; the tests compare with brute force."""
+    return _modes(_two_spectra(spark, sf_dir))
+
+
 @query(
     MAP
     + f""", i as (select * from m where ((y - 4) / 3.0) * ((y - 4) / 3.0) + ((x - 4) / 3.0) * ((x - 4) / 3.0) <= 1),
@@ -293,6 +302,13 @@ def cross_correlation_peak_2d(spark, sf_dir):
     return found.join(curved, "image_id").select("image_id", r6("y").alias("y"), r6("x").alias("x"), r6("value").alias("value"))
 
 
+@query()
+def cross_correlation_peak_2d_all(spark, sf_dir):
+    """All images, those with a flat peak too; the tests compare with brute force."""
+    found = X.peak(_map(spark, sf_dir), SHAPE, True, (3.0, 3.0, 3.0))
+    return found.select("image_id", r6("y").alias("y"), r6("x").alias("x"), r6("value").alias("value"))
+
+
 FSC = (
     SP
     + """, p as (select a.image_id, a.fy, a.fx, a.f, a.re, a.im, b.re as rr, b.im as ri from fq a join fq b on b.image_id = a.image_id + 1 and a.ky = b.ky and a.kx = b.kx where a.f <= 0.5),

@@ -187,6 +187,13 @@ def spectrum2polar(spark, sf_dir):
     return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("re").alias("re"), r6("im").alias("im"))
 
 
+@query()
+def spectrum2polar_all(spark, sf_dir):
+    """All angles; the tests compare with brute force."""
+    out = G.spectrum2polar(spectrum(spark, sf_dir), stack(spark, sf_dir), SHAPE, (6, 5), (0.0, 0.4))
+    return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("re").alias("re"), r6("im").alias("im"))
+
+
 def _line_filter(source: str, into: str, line: str, i: str) -> str:
     p = "(sqrt(3.0::double) - 2)"
     return f"""{into}_f as (select *, min_by(v, {i}) over (partition by image_id, {line}) as v0 from {source}),

@@ -67,9 +67,7 @@ f as (select *, (l + r - 2 * v) / 2 as a, (r - l) / 2 as c from n)
 select image_id, {s6('x - c / (2 * a)')} as x, {s6('v - c * c / (4 * a)')} as value from f where a < -1e-5""".replace("from ln", "from (select image_id * 8 + y as image_id, x, v from px)").replace("join ln", "join (select image_id * 8 + y as image_id, x, v from px)")
 )
 def cross_correlation_peak_1d(spark, sf_dir):
-    s = _line_spectra(spark, sf_dir)
-    product = X.correlation_spectrum(X.zip_spectra(s, s.withColumn("image_id", F.col("image_id") - 8)))
-    maps = X.centered(stack_to_pixels(T.fft_c2r(T.from_frequencies(product, LINE))), LINE)
+    maps = _line_maps(spark, sf_dir)
     # peaks so flat that rounding decides are left out of the comparison
     top = maps.groupBy("image_id").agg(F.max_by("x", "v").alias("p"), F.max("v").alias("m"))
     sides = maps.join(top, "image_id").filter((F.col("x") == (F.col("p") + 1) % 8) | (F.col("x") == (F.col("p") + 7) % 8)).groupBy("image_id", "m").agg(F.sum("v").alias("s"))
@@ -77,6 +75,18 @@ def cross_correlation_peak_1d(spark, sf_dir):
     return X.peak(maps, LINE).join(curved, "image_id").select("image_id", r6("x").alias("x"), r6("value").alias("value"))
 
 
+def _line_maps(spark, sf_dir):
+    s = _line_spectra(spark, sf_dir)
+    product = X.correlation_spectrum(X.zip_spectra(s, s.withColumn("image_id", F.col("image_id") - 8)))
+    return X.centered(stack_to_pixels(T.fft_c2r(T.from_frequencies(product, LINE))), LINE)
+
+
+@query()
+def cross_correlation_peak_1d_all(spark, sf_dir):
+    """All lines, those with a flat peak too; the tests compare with brute force."""
+    return X.peak(_line_maps(spark, sf_dir), LINE).select("image_id", r6("x").alias("x"), r6("value").alias("value"))
+
+
 @query(
     FULL
     + f""", m as (
