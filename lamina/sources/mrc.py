@@ -19,8 +19,10 @@ HEADER = 1024
 #: Fixed values of the format: data mode -> numpy type (complex modes are pairs).
 MODES = {0: "i1", 1: "i2", 2: "f4", 3: "i2", 4: "f4", 6: "u2", 12: "f2"}
 COMPLEX = (3, 4)
-MODE_OF = {"int8": 0, "uint8": 0, "int16": 1, "float32": 2, "uint16": 6, "float16": 12}
-RANGE = {"int8": (-128, 127), "uint8": (0, 255), "int16": (-32768, 32767), "uint16": (0, 65535)}
+#: Two values a byte, the first in the low bits; a row of odd width ends in half a byte.
+PACKED = 101
+MODE_OF = {"int8": 0, "uint8": 0, "int16": 1, "float32": 2, "uint16": 6, "float16": 12, "uint4": PACKED}
+RANGE = {"uint4": (0, 15), "int8": (-128, 127), "uint8": (0, 255), "int16": (-32768, 32767), "uint16": (0, 65535)}
 IMOD_STAMP = 1146047817
 STACK_SCHEMA = "file string, image_id long, d int, h int, w int, spacing array<double>, values array<double>"
 
@@ -33,12 +35,15 @@ def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.n
     nx, ny, nz, mode = (int(v) for v in ints[:4])
     grid, cell = ints[7:10].astype(float), floats[10:13].astype(float)
     group, extra = int(ints[22]), int(ints[23])
-    if mode not in MODES:
+    if mode not in MODES and mode != PACKED:
         raise ValueError(f"MRC mode {mode} is not supported")
-    kind = MODES[mode]
+    kind = MODES.get(mode, "u1")
     if mode == 0 and ints[38] == IMOD_STAMP and not ints[39] & 1:
         kind = "u1"
-    data = np.frombuffer(content, order + kind, nx * ny * nz * (1 + (mode in COMPLEX)), HEADER + extra)
+    row = (nx + 1) // 2 if mode == PACKED else nx
+    data = np.frombuffer(content, order + kind, row * ny * nz * (1 + (mode in COMPLEX)), HEADER + extra)
+    if mode == PACKED:
+        data = np.stack([data & 15, data >> 4], axis=-1).reshape(-1, 2 * row)[:, :nx]
     if group == 0:
         shape = (nz, 1, ny, nx)
     elif group == 1:
@@ -55,7 +60,7 @@ def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float
     n, (d, h, w) = len(images), shape
     if dtype in RANGE:
         lo, hi = RANGE[dtype]
-        data = np.trunc(np.clip(np.nan_to_num(images, nan=0.0), lo, hi)).astype(dtype)
+        data = np.trunc(np.clip(np.nan_to_num(images, nan=0.0), lo, hi)).astype("uint8" if dtype == "uint4" else dtype)
     else:
         data = images.astype(dtype)
     ints = np.zeros(HEADER // 4, "<i4")
@@ -72,6 +77,9 @@ def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float
     ints[52] = int.from_bytes(b"MAP ", "little")
     ints[53] = int.from_bytes(b"\x44\x44\x00\x00", "little")
     floats[54] = data.std() if data.size else -1
+    if dtype == "uint4":
+        pairs = np.pad(data.reshape(-1, w), ((0, 0), (0, w % 2))).reshape(-1, 2)
+        data = pairs[:, 0] | pairs[:, 1] << 4
     return ints.tobytes() + np.ascontiguousarray(data).tobytes()
 
 

@@ -10,13 +10,15 @@ import numpy as np
 import pytest
 
 from lamina.queries import QUERIES
+from lamina.sources import mrc
 
 DATA = Path("/root/testdata/sf0.001")
-pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
 
 
 @pytest.fixture(scope="module")
 def images():
+    if not DATA.exists():
+        pytest.skip("no tables")
     found = duckdb.sql(f"select vec_id, embedding from '{DATA}/embeddings.parquet'").fetchall()
     return {k: np.array(v, float).reshape(8, 8) for k, v in found}
 
@@ -88,3 +90,17 @@ def test_polar_spectra_of_all_angles(spark, images):
 
 def test_slices_grow_with_the_table(spark, images):
     assert QUERIES["read_slices_middle"](spark, str(DATA)).select("image_id").distinct().count() == len(images) // 2
+
+
+@pytest.mark.parametrize("shape", [(1, 3, 4), (1, 3, 5), (2, 3, 5)])
+def test_packed_files(spark, shape):
+    n = math.prod(shape)
+    images = np.arange(2 * n, dtype=float).reshape(2, n) % 16
+    content = mrc.encode(images, shape, (1.5, 2.0, 2.5), "uint4")
+    assert len(content) == 1024 + 2 * shape[0] * shape[1] * ((shape[2] + 1) // 2)
+    assert content[1024] == 0 | 1 << 4 and int.from_bytes(content[12:16], "little") == 101
+    found, _, data = mrc.decode(content)
+    assert found == (2, *shape) and (data == images).all()
+    rows = mrc.from_files(spark.createDataFrame([("f", bytearray(content))], "path string, content binary")).orderBy("image_id").collect()
+    assert [r["values"] for r in rows] == images.tolist()
+    assert (mrc.decode(mrc.encode(images * 3 - 8.5, shape, (1.0, 1.0, 1.0), "uint4"))[2] == np.trunc(np.clip(images * 3 - 8.5, 0, 15))).all()
