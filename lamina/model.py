@@ -47,6 +47,13 @@ def grid(images: DataFrame, shape: Shape) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns added that are computed once a row, however often later expressions use them: the optimizer puts
+    a column's expression into all that use it, but never across an explode, here of one struct."""
+    held = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once"))
+    return held.select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def frequency(index: Column, n: int, centered: bool = False) -> Column:
     """Integer frequency of an index along an axis of n."""
     return index - n // 2 if centered else F.when(index < (n + 1) // 2, index).otherwise(index - n)

@@ -17,22 +17,41 @@ from pyspark.sql import functions as F
 from ..functions.borders import border_index
 from ..functions.elementwise import times
 from ..model import AXES, FREQUENCIES, Shape, grid
-from .dense import dense
+from .dense import arrays, dense, listed, pieces, shapes
 
+#: Less of a value than this is what rounding leaves of none.
+LEAST_SHARE = 1e-9
 SIZES = {"nearest": 1, "linear": 2, "cubic": 4, "cubic_bspline": 4, "lanczos4": 4, "lanczos6": 6, "lanczos8": 8}
 
 
+def b_spline(t, xp=F):
+    """The uniform cubic B-spline of the distance t, as the fourth difference of the truncated power:
+    sum over k of (-1)^k C(4, k) (t + 2 - k)^3 / 6 where the base is positive."""
+    out = 0.0
+    for k in range(4):
+        base = t + (2 - k)
+        cube = base * base * base
+        held = np.where(base > 0, cube, 0.0) if xp is np else F.when(base > 0, cube).otherwise(0.0)
+        out = out + ((-1) ** k * math.comb(4, k) / 6) * held
+    return out
+
+
+def hermite(f) -> list:
+    """Weights of the four taps around a fraction f of the unit step, from the cubic Hermite basis: the curve passes
+    through the two inner taps with the central differences as its slopes."""
+    value_0, value_1 = (1 + 2 * f) * (1 - f) * (1 - f), f * f * (3 - 2 * f)
+    slope_0, slope_1 = f * (1 - f) * (1 - f), f * f * (f - 1)
+    return [-slope_0 / 2, value_0 - slope_1 / 2, value_1 + slope_0 / 2, slope_1 / 2]
+
+
 def weights(f, kernel: str, xp=F):
     """The kernel's weights at fraction f, from the lowest tap up; columns (xp = F) or numpy arrays (xp = np)."""
     if kernel == "linear":
         return [1 - f, f]
-    if kernel in ("cubic", "cubic_bspline"):
-        # piecewise polynomials of the distance t to a tap: one for t <= 1, one for 1 < t < 2
-        if kernel == "cubic":
-            near, far = lambda t: (1.5 * t - 2.5) * t * t + 1, lambda t: ((2.5 - 0.5 * t) * t - 4) * t + 2
-        else:
-            near, far = lambda t: 2 / 3 - t * t + t * t * t / 2, lambda t: (2 - t) * (2 - t) * (2 - t) / 6
-        return [far(1 + f), near(f), near(1 - f), far(2 - f)]
+    if kernel == "cubic":
+        return hermite(f)
+    if kernel == "cubic_bspline":
+        return [b_spline(f - k, xp) for k in (-1, 0, 1, 2)]
     if kernel.startswith("lanczos"):
         size = SIZES[kernel]
         out = []
@@ -61,7 +80,10 @@ def gather(pixels: DataFrame, targets: DataFrame, keys: list[str], shape: Shape,
     summed over targets of equal keys.
 
     targets holds image_id, the keys and a coordinate for each axis longer than 1. sparse leaves out keys that
-    nothing was read for.
+    nothing was read for; a share below LEAST_SHARE is rounding and reads nothing then.
+
+    The pixels are the hashed side of the join (each key once, so its partitions are even), the taps stream by: what
+    is made by exploding is never the side that is sent or held.
     """
     each = targets.withColumn("_w", F.col(weight) if weight else F.lit(1.0))
     for axis, n in zip(AXES, shape, strict=True):
@@ -72,7 +94,9 @@ def gather(pixels: DataFrame, targets: DataFrame, keys: list[str], shape: Shape,
         each = each.withColumns({f"_{axis}": border_index(F.col("_t.i"), n, border).cast("long"), "_w": F.col("_w") * F.col("_t.w")})
         if sparse:
             each = each.filter(F.col(f"_{axis}").isNotNull())
-    source = pixels.select(F.col("image_id").alias("_image"), *[F.col(a).alias(f"_p{a}") for a in AXES], F.col("v").alias("_v"))
+    if sparse:
+        each = each.filter(F.abs("_w") >= LEAST_SHARE)
+    source = pixels.select(F.col("image_id").alias("_image"), *[F.col(a).alias(f"_p{a}") for a in AXES], F.col("v").alias("_v")).hint("shuffle_hash")
     on = [each["image_id"] == source["_image"], *[each[f"_{a}"] == source[f"_p{a}"] for a in AXES]]
     got = each.join(source, on, "inner" if sparse else "left")
     return got.groupBy(*[each[k] for k in keys]).agg(F.sum(F.coalesce(F.col("_w") * F.col("_v"), F.lit(0.0))).alias("v"))
@@ -186,14 +210,13 @@ def transform_2d_dense(stack: DataFrame, kernel: str = "linear", border: str = "
     """Each image of a stack with its own column `matrix` (2 x 3, inverse) transformed within its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
-            for r in batch.select(["h", "w", "values", "matrix"]).to_pylist():
-                y, x = np.mgrid[0 : r["h"], 0 : r["w"]].astype(float)
-                m = np.array(r["matrix"]).reshape(2, 3)
-                cy, cx = (m[i, 0] * y + m[i, 1] * x + m[i, 2] for i in range(2))
-                found.append(sample(np.array(r["values"]).reshape(r["h"], r["w"]), cy, cx, kernel, border).ravel())
-            columns = [pa.array(found, pa.list_(pa.float64())) if c == "values" else batch.column(c) for c in batch.schema.names]
+            for (h, w), values, matrix in zip(shapes(batch, "hw"), arrays(batch), arrays(batch, "matrix"), strict=True):
+                y, x = np.mgrid[0:h, 0:w].astype(float)
+                cy, cx = (m[0] * y + m[1] * x + m[2] for m in matrix.reshape(2, 3))
+                found.append(sample(values.reshape(h, w), cy, cx, kernel, border).ravel())
+            columns = [listed(found) if c == "values" else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return stack.mapInArrow(run, stack.schema)
@@ -263,7 +286,9 @@ def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], sh
         each = each.withColumns({f"_{k}": F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")})
         low, top = (0, n // 2) if k == "kx" else (-(n // 2), (n - 1) // 2)
         each = each.filter(F.col(f"_{k}").between(low, top))
-    source = spectrum.select(F.col("image_id").alias("_image"), *[F.col(k).alias(f"_q{k}") for k in FREQUENCIES], F.col("re").alias("_re"), F.col("im").alias("_im"))
+    source = spectrum.select(
+        F.col("image_id").alias("_image"), *[F.col(k).alias(f"_q{k}") for k in FREQUENCIES], F.col("re").alias("_re"), F.col("im").alias("_im")
+    ).hint("shuffle_hash")
     on = [each["image_id"] == source["_image"], *[each[f"_{k}"] == source[f"_q{k}"] for k in FREQUENCIES]]
     got = each.join(source, on)
     return got.groupBy(*[each[k] for k in keys]).agg(
@@ -310,26 +335,23 @@ def spectrum2polar(spectrum: DataFrame, images: DataFrame, shape: Shape, polar:
     return spectrum_gather(spectrum, there, ["out_id", "y", "x"], shape)
 
 
-POLE = math.sqrt(3.0) - 2.0
-
-
 def prefilter_line(lines: np.ndarray) -> np.ndarray:
-    """Cubic B-spline coefficients of each line (the last axis), clamped at both ends."""
+    """Cubic B-spline coefficients of each line (the last axis): the exact solution of the tridiagonal system that makes
+    the spline pass through every sample, by elimination."""
     n = lines.shape[-1]
     if n < 2:
         return lines
-    c = lines * 6.0
-    length = min(n, 12)
-    powers = POLE ** np.arange(1, length + 1)
-    first = c[..., 0] + (c[..., :length] * powers).sum(axis=-1)
-    out = np.empty_like(c)
-    out[..., 0] = first
+    diagonal = np.full(n, 4.0)
+    diagonal[[0, -1]] = 5.0
+    right = 6.0 * lines
     for k in range(1, n):
-        out[..., k] = c[..., k] + POLE * out[..., k - 1]
-    out[..., n - 1] *= POLE / (POLE - 1.0)
+        share = 1.0 / diagonal[k - 1]
+        diagonal[k] -= share
+        right[..., k] -= share * right[..., k - 1]
+    right[..., -1] /= diagonal[-1]
     for k in range(n - 2, -1, -1):
-        out[..., k] = POLE * (out[..., k + 1] - out[..., k])
-    return out
+        right[..., k] = (right[..., k] - right[..., k + 1]) / diagonal[k]
+    return right
 
 
 def cubic_bspline_prefilter(stack: DataFrame) -> DataFrame:

@@ -7,22 +7,29 @@ combined before the shuffle. Every function groups by `volume_id`, so many recon
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import EPSILON
-from ..model import AXES, FREQUENCIES, Shape, grid
-from .geometry import apply, at, gather, spectrum_gather
+from ..model import AXES, FREQUENCIES, Shape, grid, offset, once
+from .geometry import LEAST_SHARE, SIZES, apply, at, gather, spectrum_gather, weights
+
+#: Bytes of volumes that are sent to every task at most.
+MOST_SENT = 64 << 20
 
 
 def backward_project_3d(pixels: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, kernel: str = "linear") -> DataFrame:
     """volume_id, z, y, x, v: each voxel sums its volume's images, interpolated where the voxel projects to. poses:
     image_id, volume_id, matrix (2 x 4, voxel to image). Voxels that fall outside an image are dropped before the join."""
     _, h, w = shape
-    voxels = grid(poses.select("image_id", "volume_id", "matrix"), volume)
-    cy, cx = apply("matrix", 2, [F.col("z"), F.col("y"), F.col("x"), F.lit(1.0)])
-    targets = voxels.withColumns({"cy": cy, "cx": cx}).drop("matrix")
+    held = {f"_m{k}": at("matrix", 0, k, 8) for k in range(8)}
+    voxels = grid(once(poses.select("image_id", "volume_id", "matrix"), held).drop("matrix"), volume)
+    cy, cx = (F.col(f"_m{4 * i}") * F.col("z") + F.col(f"_m{4 * i + 1}") * F.col("y") + F.col(f"_m{4 * i + 2}") * F.col("x") + F.col(f"_m{4 * i + 3}") for i in range(2))
+    targets = voxels.withColumns({"cy": cy, "cx": cx}).drop(*held)
     inside = targets.filter((F.col("cy") > -1) & (F.col("cy") < h) & (F.col("cx") > -1) & (F.col("cx") < w))
     return gather(pixels, inside, ["volume_id", *AXES], shape, kernel, sparse=True)
 
@@ -37,28 +44,116 @@ def _along_axis(poses: DataFrame, shape: Shape, volume: Shape, window: int | Non
     """out_id, volume_id, y, x, cz, cy, cx: the points of the volume that each image pixel sums over.
 
     The window is centered where the axis through the pixel meets the plane through the volume's center that
-    it reaches first. Points a voxel or more outside the volume are left out."""
-    window = window or projection_window_size(volume)
+    it reaches first. Points a voxel or more outside the volume are left out: each pixel's steps are cut to the stretch of
+    its axis that crosses the volume before they are made, and all that depends on the pixel is computed once."""
+    half = (window or projection_window_size(volume)) // 2
     center = [float(n // 2) for n in volume]
-    pixel = grid(poses.select(F.col("image_id").alias("out_id"), "volume_id", "matrix"), shape).drop("z")
-    axis = [at("matrix", i, 0, 4) for i in range(3)]
-    plane = [at("matrix", i, 1, 4) * F.col("y") + at("matrix", i, 2, 4) * F.col("x") + at("matrix", i, 3, 4) for i in range(3)]
-    crosses = [F.abs(a) > 0 for a in axis]
-    far = [F.when(x, F.abs(F.lit(c) / F.when(x, a))).otherwise(F.lit(float("inf"))) for x, a, c in zip(crosses, axis, center, strict=True)]
-    meets = [F.when(x, (F.lit(c) - p) / F.when(x, a)) for x, a, c, p in zip(crosses, axis, center, plane, strict=True)]
-    nearest = F.when((far[0] <= far[1]) & (far[0] <= far[2]), meets[0]).when(far[1] <= far[2], meets[1]).otherwise(meets[2])
-    stepped = pixel.withColumns({"_d": nearest, "_step": F.explode(F.sequence(F.lit(-(window // 2)), F.lit(window // 2)))})
-    along = F.col("_d") + F.col("_step")
-    targets = stepped.withColumns({f"c{a}": p + v * along for a, p, v in zip(AXES, plane, axis, strict=True)}).drop("matrix")
-    inside = targets
+    m = [[at("matrix", i, j, 4) for j in range(4)] for i in range(3)]
+    # everything is linear in y and x: a row (of 1, y, x) for the axis's start (_o), the middle step (_d), and where it
+    # enters and leaves each pair of faces (_e, _f), all of the pose alone
+    far = [F.coalesce(F.abs(F.try_divide(F.lit(c), m[i][0])), F.lit(float("inf"))) for i, c in enumerate(center)]
+    nearest = F.when((far[0] <= far[1]) & (far[0] <= far[2]), 0).when(far[1] <= far[2], 1).otherwise(2)
+    own = {f"_v{a}": m[i][0] for i, a in enumerate(AXES)} | {f"_o{a}{k}": m[i][j] for i, a in enumerate(AXES) for k, j in enumerate((3, 1, 2))}
+    posed = once(poses.select(F.col("image_id").alias("out_id"), "volume_id", "matrix"), {"_n": nearest, **own}).drop("matrix")
+    chosen = lambda name: F.when(F.col("_n") == 0, F.col(name.format("z"))).when(F.col("_n") == 1, F.col(name.format("y"))).otherwise(F.col(name.format("x")))
+    middle = F.when(F.col("_n") == 0, center[0]).when(F.col("_n") == 1, center[1]).otherwise(center[2])
+    along = {f"_d{k}": F.try_divide((middle if k == 0 else F.lit(0.0)) - chosen(f"_o{{}}{k}"), chosen("_v{}")) for k in range(3)}
+    pixel = grid(once(posed, along).drop("_n"), shape).drop("z")
+    row = lambda name: F.col(f"{name}0") + F.col(f"{name}1") * F.col("y") + F.col(f"{name}2") * F.col("x")
+    first, last = F.lit(float(-half)), F.lit(float(half))
+    for a, n in zip(AXES, volume, strict=True):
+        ends = [F.try_divide(F.lit(e) - row(f"_o{a}"), F.col(f"_v{a}")) - row("_d") for e in (-1.0, float(n))]
+        first = F.greatest(first, F.floor(F.least(*ends)).cast("double"))  # nulls, of an axis along the faces, don't count
+        last = F.least(last, F.ceil(F.greatest(*ends)).cast("double"))
+    reach = once(pixel, {"_first": first.cast("int"), "_last": last.cast("int")})
+    steps = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
+    stepped = reach.withColumn("_step", F.explode(steps)).drop("_first", "_last")
+    here = row("_d") + F.col("_step")
+    inside = stepped.select("out_id", "volume_id", "y", "x", *[(row(f"_o{a}") + F.col(f"_v{a}") * here).alias(f"c{a}") for a in AXES])
     for a, n in zip(AXES, volume, strict=True):
         inside = inside.filter((F.col(f"c{a}") > -1) & (F.col(f"c{a}") < n))
-    return inside.drop("_d", "_step")
-
-
-def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
-    """image_id, y, x, v: each image pixel sums its volume along the projection axis. volumes: pixels whose image_id is the
-    volume's; poses: image_id, volume_id, matrix (3 x 4, image to volume)."""
+    return inside
+
+
+def _cast_rays(matrix: np.ndarray, held: np.ndarray, shape: Shape, window: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """One image's sums along its axis through a volume (NaN where it has no voxel), and the pixels that read any."""
+    d, h, w = held.shape
+    sizes, center = np.array(held.shape), np.array([n // 2 for n in held.shape], float)
+    y, x = (g.ravel().astype(float) for g in np.mgrid[0 : shape[1], 0 : shape[2]])
+    v = matrix[:, 0]
+    o = matrix[:, 1, None] * y + matrix[:, 2, None] * x + matrix[:, 3, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(v != 0, np.abs(center / v), np.inf)
+        nearest = int(np.argmin(far))
+        start = (center[nearest] - o[nearest]) / v[nearest]
+    values, some = np.zeros(len(y)), np.zeros(len(y), bool)
+    filled, known = np.nan_to_num(held).ravel(), ~np.isnan(held).ravel()
+    for step in range(-(window // 2), window // 2 + 1):
+        c = o + v[:, None] * (start + step)
+        at = np.flatnonzero(((c > -1) & (c < sizes[:, None])).all(axis=0))
+        if not len(at):
+            continue
+        axes = []
+        for k in range(3):
+            if sizes[k] == 1:
+                axes.append([(np.zeros(len(at), int), np.ones(len(at)))])
+                continue
+            if kernel == "nearest":
+                rounded = np.sign(c[k, at]) * np.floor(np.abs(c[k, at]) + 0.5)
+                axes.append([(rounded.astype(int), np.ones(len(at)))])
+                continue
+            low = np.floor(c[k, at]).astype(int)
+            first = 1 - SIZES[kernel] // 2
+            axes.append([(low + first + j, share) for j, share in enumerate(weights(c[k, at] - low, kernel, np))])
+        for iz, wz in axes[0]:
+            for iy, wy in axes[1]:
+                for ix, wx in axes[2]:
+                    share = wz * wy * wx
+                    good = (np.abs(share) >= LEAST_SHARE) & (iz >= 0) & (iz < d) & (iy >= 0) & (iy < h) & (ix >= 0) & (ix < w)
+                    place = ((iz * h + iy) * w + ix)[good]
+                    there = known[place]
+                    np.add.at(values, at[good], share[good] * filled[place])
+                    some[at[good][there]] = True
+    return values, some
+
+
+def _forward_sent(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int, kernel: str) -> DataFrame:
+    """Every task holds the volumes as arrays and sums whole images: no shuffle, one image's pixels at a time."""
+    size = math.prod(volume)
+    held: dict[int, np.ndarray] = {}
+    place = offset(F.col("z"), F.col("y"), F.col("x"), volume[1], volume[2])
+    for batch in volumes.select("image_id", place.cast("long").alias("place"), F.col("v").cast("double").alias("v")).toArrow().to_batches():
+        ids, at, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("image_id", "place", "v"))
+        for k in np.unique(ids).tolist():
+            own = held.setdefault(k, np.full(size, np.nan))
+            own[at[ids == k]] = v[ids == k]
+    sent = volumes.sparkSession.sparkContext.broadcast(held)
+    y, x = (g.ravel() for g in np.mgrid[0 : shape[1], 0 : shape[2]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrices = batch.column("matrix")
+            for k, (image, of) in enumerate(zip(batch.column("image_id").to_pylist(), batch.column("volume_id").to_pylist(), strict=True)):
+                if of not in sent.value:
+                    continue
+                matrix = matrices[k].values.to_numpy(zero_copy_only=False).reshape(3, 4)
+                values, some = _cast_rays(matrix, sent.value[of].reshape(volume), shape, window, kernel)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(some.sum()), image)), pa.array(y[some]), pa.array(x[some]), pa.array(values[some])], ["image_id", "y", "x", "v"]
+                )
+
+    return poses.select("image_id", "volume_id", "matrix").mapInArrow(run, "image_id long, y long, x long, v double")
+
+
+def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear", most_sent: int = MOST_SENT) -> DataFrame:
+    """image_id, y, x, v: each image pixel sums its volume along the projection axis; pixels that read no voxel have no row.
+    volumes: pixels whose image_id is the volume's; poses: image_id, volume_id, matrix (3 x 4, image to volume).
+
+    Volumes whose arrays take at most `most_sent` bytes together are sent to all tasks; more than that meet the points
+    in a join. Both give the same."""
+    n = volumes.select("image_id").distinct().count()
+    if n * math.prod(volume) * 8 <= most_sent:
+        return _forward_sent(volumes, poses, shape, volume, window or projection_window_size(volume), kernel)
     points = _along_axis(poses, shape, volume, window).withColumnRenamed("volume_id", "image_id")
     out = gather(volumes, points, ["out_id", "y", "x"], volume, kernel, sparse=True)
     return out.withColumnRenamed("out_id", "image_id")
@@ -115,7 +210,7 @@ def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Sh
         if not step["x"]:  # the mirror, only where the base lies on the plane kx = 0
             on = F.when(F.col("bx") == 0, share)
             each.append(F.struct((-k["z"]).alias("kz"), (-k["y"]).alias("ky"), k["x"].alias("kx"), on.alias("share"), F.lit(-1.0).alias("s")))
-    spread = based.select("volume_id", "re", "im", F.explode(F.array(*each)).alias("t")).filter("t.share is not null")
+    spread = based.select("volume_id", "re", "im", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE)
     d, h, w = volume
     inside = spread.filter(F.col("t.kz").between(-(d // 2), (d - 1) // 2) & F.col("t.ky").between(-(h // 2), (h - 1) // 2) & F.col("t.kx").between(0, w // 2))
     return inside.groupBy("volume_id", *[F.col(f"t.{k}").alias(k) for k in FREQUENCIES]).agg(

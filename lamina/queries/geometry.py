@@ -10,7 +10,7 @@ from ..operators import fourier as T
 from ..operators import geometry as G
 from ..operators import projection as J
 from ..operators.reshape import pixels_to_stack, stack_to_pixels
-from .base import PX, SHAPE, pixels, query, r6, s6, stack
+from .base import ORACLE_SQL, PX, SHAPE, pixels, query, r6, s6, stack
 from .fourier import SP, spectrum
 
 VOLUME = (8, 8, 8)
@@ -31,11 +31,13 @@ T2 = (
 )
 
 
-def linear(target: str, source: str, keys: str, axes: str = "yx", extra: str = "") -> str:
+def linear(target: str, source: str, keys: str, axes: str = "yx", extra: str = "", sparse: bool = False) -> str:
     """SELECT of keys and the linear interpolation v of px-like source at (c<axis>), 0 outside."""
     taps = " ".join(f"cross join range(2) as t{a}(d{a})" for a in axes)
     weight = " * ".join(f"(case when d{a} = 0 then 1 - (c{a} - floor(c{a})) else c{a} - floor(c{a}) end)" for a in axes)
     on = " and ".join(f"p.{a} = floor(g.c{a}) + d{a}" for a in axes)
+    if sparse:  # what is read with a share of nothing makes no row
+        return f"select {keys}, sum(p.v * {weight}) as v from {target} g {taps} join {source} p on p.image_id = g.image_id and {on}{extra} where {weight} >= 1e-9 group by {keys}"
     return f"select {keys}, sum(coalesce(p.v * {weight}, 0)) as v from {target} g {taps} left join {source} p on p.image_id = g.image_id and {on}{extra} group by {keys}"
 
 
@@ -197,7 +199,7 @@ def spectrum2polar_all(spark, sf_dir):
 def _line_filter(source: str, into: str, line: str, i: str) -> str:
     p = "(sqrt(3.0::double) - 2)"
     return f"""{into}_f as (select *, min_by(v, {i}) over (partition by image_id, {line}) as v0 from {source}),
-{into}_i as (select image_id, {line}, 6 * (max(v0) + sum(v * power({p}, {i} + 1))) as first from {into}_f group by image_id, {line}),
+{into}_i as (select image_id, {line}, 6 * (max(v0) + sum(v * (power({p}, {i} + 1) + power({p}, 16 - {i}))) / (1 - power({p}, 16))) as first from {into}_f group by image_id, {line}),
 {into}_c as (select a.image_id, a.{line}, a.{i}, max(power({p}, a.{i}) * first) + coalesce(sum(case when b.{i} > 0 then 6 * b.v * power({p}, a.{i} - b.{i}) end), 0) as v
   from {into}_f a join {into}_i using (image_id, {line}) join {into}_f b on b.image_id = a.image_id and b.{line} = a.{line} and b.{i} <= a.{i} group by 1, 2, 3),
 {into}_l as (select image_id, {line}, v * {p} / ({p} - 1) as last from {into}_c where {i} = 7),
@@ -240,13 +242,13 @@ ROT = """, rot as (
   select image_id, volume_id, z, y, x, 4 + m10 * (z - 4) + m11 * (y - 4) + m12 * (x - 4) as cy, 4 + m20 * (z - 4) + m21 * (y - 4) + m22 * (x - 4) as cx
   from rot cross join range(8) as r(z) cross join range(8) as s(y) cross join range(8) as t(x)
 ), o as ("""
-    + linear("g", "px", "g.volume_id, g.z, g.y, g.x")
-    + f") select volume_id, z, y, x, {s6('v')} as v from o where abs(v) >= 1e-5"
+    + linear("g", "px", "g.volume_id, g.z, g.y, g.x", sparse=True)
+    + f") select volume_id, z, y, x, {s6('v')} as v from o"
 )
 def backward_project_3d(spark, sf_dir):
     matrix = G.about(_turn(), [4.0] * 3, [F.lit(0.0)] * 3)[1:]
     out = J.backward_project_3d(pixels(spark, sf_dir), _pose(spark, sf_dir, matrix), SHAPE, VOLUME)
-    return out.filter(F.abs("v") >= 1e-5).select("volume_id", "z", "y", "x", r6("v").alias("v"))
+    return out.select("volume_id", "z", "y", "x", r6("v").alias("v"))
 
 
 @query(
@@ -263,13 +265,21 @@ def backward_project_3d(spark, sf_dir):
 ), g as (
   select out_id, image_id, y, x, w, p0 + a0 * s as cz, p1 + a1 * s as cy, p2 + a2 * s as cx from e
 ), o as ("""
-    + linear("g", "vol", "g.out_id, g.y, g.x", "zyx")
-    + f") select out_id as image_id, y, x, {s6('v')} as v from o where abs(v) >= 1e-5"
+    + linear("g", "vol", "g.out_id, g.y, g.x", "zyx", sparse=True)
+    + f") select out_id as image_id, y, x, {s6('v')} as v from o"
 )
 def forward_project_3d(spark, sf_dir):
     matrix = G.about(_turn(), [4.0] * 3, [F.lit(0.0)] * 3)
     out = J.forward_project_3d(volumes(spark, sf_dir), _pose(spark, sf_dir, matrix), SHAPE, VOLUME, 15)
-    return out.filter(F.abs("v") >= 1e-5).select("image_id", "y", "x", r6("v").alias("v"))
+    return out.select("image_id", "y", "x", r6("v").alias("v"))
+
+
+@query(ORACLE_SQL["forward_project_3d"])
+def forward_project_3d_joined(spark, sf_dir):
+    """The same for volumes too large to send."""
+    matrix = G.about(_turn(), [4.0] * 3, [F.lit(0.0)] * 3)
+    out = J.forward_project_3d(volumes(spark, sf_dir), _pose(spark, sf_dir, matrix), SHAPE, VOLUME, 15, most_sent=0)
+    return out.select("image_id", "y", "x", r6("v").alias("v"))
 
 
 RASTER = (
@@ -291,7 +301,7 @@ RASTER = (
   select volume_id, kz, ky, kx, re, im, share from t3 union all select volume_id, -kz, -ky, kx, re, -im, share from t3 where bx = 0 and dx = 0
 ), raster as (
   select volume_id, kz, ky, kx, sum(re * share) as re, sum(im * share) as im, sum(share) as weight from u3
-  where kz between -4 and 3 and ky between -4 and 3 and kx between 0 and 4 group by 1, 2, 3, 4
+  where share >= 1e-9 and kz between -4 and 3 and ky between -4 and 3 and kx between 0 and 4 group by 1, 2, 3, 4
 )"""
 )
 VX = f"{s6('re')} as re, {s6('im')} as im, {s6('weight')} as weight"
@@ -305,9 +315,9 @@ def _vx(df, *keys):
     return df.select(*keys, r6("re").alias("re"), r6("im").alias("im"), r6("weight").alias("weight"))
 
 
-@query(RASTER + f" select volume_id, kz, ky, kx, {VX} from raster where weight > 1e-5")
+@query(RASTER + f" select volume_id, kz, ky, kx, {VX} from raster")
 def rasterize_central_slices_3d(spark, sf_dir):
-    return _vx(_raster(spark, sf_dir).filter("weight > 1e-5"), "volume_id", "kz", "ky", "kx")
+    return _vx(_raster(spark, sf_dir), "volume_id", "kz", "ky", "kx")
 
 
 WINDOW = "(case when hz = 0 then 1 else sin(pi() * hz / 0.12) / (pi() * hz / 0.12) end) * (0.42 + 0.5 * cos(pi() * hz / 0.2) + 0.08 * cos(2 * pi() * hz / 0.2))"
@@ -381,7 +391,7 @@ def fourier_interpolation_correction(spark, sf_dir):
     return J.fourier_interpolation_correction(pixels(spark, sf_dir), SHAPE).select("image_id", "y", "x", r6("v").alias("v"))
 
 
-@query(RASTER + f" select volume_id, kz, ky, kx, {s6('re / weight')} as re, {s6('im / weight')} as im from raster where weight > 0.01")
+@query(RASTER + f" select volume_id, kz, ky, kx, {s6('re / weight')} as re, {s6('im / weight')} as im from raster")
 def weight_correction(spark, sf_dir):
-    out = J.weight_corrected(_raster(spark, sf_dir)).filter("weight > 0.01")
+    out = J.weight_corrected(_raster(spark, sf_dir))
     return out.select("volume_id", "kz", "ky", "kx", r6("re").alias("re"), r6("im").alias("im"))

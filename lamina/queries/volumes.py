@@ -193,13 +193,13 @@ def transform_spectrum_3d(spark, sf_dir):
 ), g as (
   select rot.image_id, out_id, y, x, edge, 4 + m10 * (vz - 4) + m11 * (vy - 4) + m12 * (vx - 4) as cy, 4 + m20 * (vz - 4) + m21 * (vy - 4) + m22 * (vx - 4) as cx from h join rot using (volume_id)
 ), o as ("""
-    + linear("g", "px", "g.out_id, g.y, g.x").replace("sum(coalesce(p.v *", "sum(coalesce(edge * p.v *")
-    + f") select out_id as image_id, y, x, {s6('v')} as v from o where abs(v) >= 1e-5"
+    + linear("g", "px", "g.out_id, g.y, g.x", sparse=True).replace("sum(p.v *", "sum(edge * p.v *").replace("where (case", "where edge * (case")
+    + f") select out_id as image_id, y, x, {s6('v')} as v from o"
 )
 def backward_and_forward_project_3d(spark, sf_dir):
     whole = M.about(_turn(), [4.0] * 3, [F.lit(0.0)] * 3)
     out = J.backward_and_forward_project_3d(pixels(spark, sf_dir), _pose(spark, sf_dir, whole[1:]), _pose(spark, sf_dir, whole), SHAPE, VOLUME, 7)
-    return out.filter(F.abs("v") >= 1e-5).select("image_id", "y", "x", r6("v").alias("v"))
+    return out.select("image_id", "y", "x", r6("v").alias("v"))
 
 
 def _cubes(v: pd.Series) -> float:
