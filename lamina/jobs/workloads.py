@@ -43,11 +43,11 @@ def reconstruct(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Sha
     return J.weight_corrected(J.rasterize_central_slices_3d(spectrum, poses, shape, volume, cutoff)).drop("weight")
 
 
-def resolution(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape) -> DataFrame:
+def resolution(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, cutoff: float = 0.5) -> DataFrame:
     """volume_id, shell, fsc, power: the correlation of two half reconstructions (images of even and odd id) and the first
     one's power per shell."""
     halves = [
-        reconstruct(spectrum.filter(F.col("image_id") % 2 == k), poses.filter(F.col("image_id") % 2 == k), shape, volume).withColumnRenamed("volume_id", "image_id")
+        reconstruct(spectrum.filter(F.col("image_id") % 2 == k), poses.filter(F.col("image_id") % 2 == k), shape, volume, cutoff).withColumnRenamed("volume_id", "image_id")
         for k in (0, 1)
     ]
     fsc = X.fsc_isotropic(X.zip_spectra(*halves), volume).withColumnRenamed("value", "fsc")

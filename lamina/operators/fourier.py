@@ -15,54 +15,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FREQUENCIES, Shape, frequency, frequency_index
-from .dense import scatter
+from .dense import arrays, listed, pieces, scatter, shapes
 
 NORMS = ("forward", "ortho", "backward")
-SPECTRUM_ROW = "image_id long, d int, h int, w int, re array<double>, im array<double>"
+CORE = ["image_id", "d", "h", "w"]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], out: list[str], function) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [function(r) for r in batch.to_pylist()]
-        columns = [pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.int32() if k < 4 else pa.list_(pa.float64())) for k in range(len(out))]
-        yield pa.RecordBatch.from_arrays(columns, out)
+def _rows(images: DataFrame, held: list[str], made: list[str], function) -> DataFrame:
+    """Each row's arrays `held` through function(shape, *arrays), which returns the arrays `made`; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, held[0]):
+            each = zip(shapes(batch), *(arrays(batch, c) for c in held), strict=True)
+            found = [[a.ravel() for a in function(*row)] for row in each]
+            columns = [listed(list(c)) for c in zip(*found, strict=True)] or [listed([]) for _ in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CORE), *columns], [*CORE, *made])
+
+    schema = "image_id long, d int, h int, w int, " + ", ".join(f"{c} array<double>" for c in made)
+    return images.select(*[F.col(c).cast("long" if c == "image_id" else "int") for c in CORE], *held).mapInArrow(run, schema)
 
 
 def fft_r2c(stack: DataFrame, norm: str = "forward") -> DataFrame:
     """Real images to half spectra, dense: image_id, logical d, h, w, re, im (row-major over d, h, w // 2 + 1)."""
 
-    def one(r):
-        shape = (r["d"], r["h"], r["w"])
-        s = np.fft.rfftn(np.array(r["values"]).reshape(shape), norm=norm)
-        return (r["image_id"], *shape, s.real.ravel(), s.imag.ravel())
+    def one(shape, values):
+        s = np.fft.rfftn(values.reshape(shape), norm=norm)
+        return s.real, s.imag
 
-    names = ["image_id", "d", "h", "w", "re", "im"]
-    return stack.select("image_id", "d", "h", "w", "values").mapInArrow(lambda b: _batches(b, names, one), SPECTRUM_ROW)
+    return _rows(stack, ["values"], ["re", "im"], one)
 
 
 def fft_c2r(spectra: DataFrame, norm: str = "forward") -> DataFrame:
     """Dense half spectra back to real images."""
 
-    def one(r):
-        d, h, w = shape = (r["d"], r["h"], r["w"])
-        s = (np.array(r["re"]) + 1j * np.array(r["im"])).reshape(d, h, w // 2 + 1)
-        return (r["image_id"], *shape, np.fft.irfftn(s, s=shape, axes=(0, 1, 2), norm=norm).ravel())
+    def one(shape, re, im):
+        s = (re + 1j * im).reshape(shape[0], shape[1], shape[2] // 2 + 1)
+        return (np.fft.irfftn(s, s=shape, axes=(0, 1, 2), norm=norm),)
 
-    names = ["image_id", "d", "h", "w", "values"]
-    return spectra.select("image_id", "d", "h", "w", "re", "im").mapInArrow(lambda b: _batches(b, names, one), "image_id long, d int, h int, w int, values array<double>")
+    return _rows(spectra, ["re", "im"], ["values"], one)
 
 
 def fft_c2c(spectra: DataFrame, inverse: bool = False, norm: str = "forward") -> DataFrame:
     """Dense complex images (re, im over d, h, w) to full spectra, or back."""
 
-    def one(r):
-        shape = (r["d"], r["h"], r["w"])
-        a = (np.array(r["re"]) + 1j * np.array(r["im"])).reshape(shape)
-        s = (np.fft.ifftn if inverse else np.fft.fftn)(a, norm=norm)
-        return (r["image_id"], *shape, s.real.ravel(), s.imag.ravel())
+    def one(shape, re, im):
+        s = (np.fft.ifftn if inverse else np.fft.fftn)((re + 1j * im).reshape(shape), norm=norm)
+        return s.real, s.imag
 
-    names = ["image_id", "d", "h", "w", "re", "im"]
-    return spectra.select(*names).mapInArrow(lambda b: _batches(b, names, one), SPECTRUM_ROW)
+    return _rows(spectra, ["re", "im"], ["re", "im"], one)
 
 
 def to_frequencies(spectra: DataFrame, shape: Shape, half: bool = True) -> DataFrame:

@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -59,35 +55,56 @@ def iota_tiled(images: DataFrame, shape: Shape, tile: Shape, tile_batch: int = 1
     )
 
 
-def random_stack(images: DataFrame, shape: Shape, kind: str, a: float, b: float = 0.0, seed: int = 1) -> DataFrame:
-    """Uniform(a, b), normal(mean a, deviation b), lognormal or poisson(mean a) values.
+#: A Poisson value of a larger mean is the sum of values of at most this mean.
+POISSON_MEAN = 8.0
+
+
+def poisson_table(mean: float) -> list[float]:
+    """P(value <= k) for k = 0, 1, .. as far as double tells it from 1."""
+    term = total = math.exp(-mean)
+    out, k = [total], 0
+    while total < 1 - 1e-15 and term > 1e-18:
+        k += 1
+        term *= mean / k
+        total += term
+        out.append(total)
+    return out
+
+
+def uniform_draw(seed: int, image: Column, place: Column, stream: int) -> Column:
+    """A number strictly between 0 and 1: 52 bits of the md5 of seed, image, place and stream."""
+    name = F.concat_ws(":", F.lit(str(seed)), image.cast("string"), place.cast("string"), F.lit(str(stream)))
+    return (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
-    Each image's values follow from its id and the seed alone, so a repeated task makes the same ones.
-    """
-    if kind not in ("uniform", "normal", "lognormal", "poisson"):
+
+def _count_below(table: Column, u: Column) -> Column:
+    return F.size(F.filter(table, lambda v: v < u))
+
+
+def random_stack(images: DataFrame, shape: Shape, kind: str, a: float, b: float = 0.0, seed: int = 1) -> DataFrame:
+    """Uniform(a, b), normal(mean a, deviation b), lognormal (of that normal) or poisson(mean a) values.
+
+    Each value follows from the image's id, its place and the seed alone, so a repeated task makes the same ones, and
+    any engine with md5 can make them too."""
+    draw = lambda p, stream: uniform_draw(seed, F.col("image_id"), p, stream)
+
+    def value(p: Column) -> Column:
+        if kind == "uniform":
+            return F.lit(float(a)) + draw(p, 0) * float(b - a)
+        if kind in ("normal", "lognormal"):
+            x = F.lit(float(a)) + F.sqrt(-2 * F.log(draw(p, 0))) * F.cos(2 * math.pi * draw(p, 1)) * float(b)
+            return F.exp(x) if kind == "lognormal" else x
+        if kind == "poisson":
+            parts = max(1, math.ceil(a / POISSON_MEAN))
+            table = F.array(*[F.lit(v) for v in poisson_table(a / parts)])
+            counts = [_count_below(table, draw(p, k)) for k in range(parts)]
+            return sum(counts[1:], counts[0]).cast("double")
         raise ValueError(f"unknown distribution {kind}")
-    size = math.prod(shape)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k in batch.column("image_id").to_pylist():
-                rng = np.random.default_rng([seed, k])
-                rows.append(
-                    {
-                        "uniform": lambda r: r.uniform(a, b, size),
-                        "normal": lambda r: r.normal(a, b, size),
-                        "lognormal": lambda r: r.lognormal(a, b, size),
-                        "poisson": lambda r: r.poisson(a, size).astype(float),
-                    }[kind](rng)
-                )
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("image_id"), *(pa.array([v] * n, pa.int32()) for v in shape), pa.array(rows, pa.list_(pa.float64()))],
-                ["image_id", "d", "h", "w", "values"],
-            )
-
-    return images.select(F.col("image_id").cast("long")).mapInArrow(draw, "image_id long, d int, h int, w int, values array<double>")
+
+    places = F.sequence(F.lit(0), F.lit(math.prod(shape) - 1))
+    return images.select(F.col("image_id").cast("long")).select(
+        "image_id", *[F.lit(n).cast("int").alias(c) for c, n in zip("dhw", shape, strict=True)], F.transform(places, value).alias("values")
+    )
 
 
 def window_taps(kind: str, n: int, param: float = 0.0) -> Column:

@@ -12,6 +12,7 @@ from ..operators import reductions as R
 from ..operators import reshape as S
 from ..operators import subregions as B
 from ..sources import mrc, stacks
+from ..sources.shared import shared_folder
 from .base import PX, SHAPE, pixels, query, r6, s6, stack
 
 
@@ -33,8 +34,10 @@ def mean_image_per_label(spark, sf_dir):
 
 @query(PX + f" select image_id as volume_id, y as image_id, x, {s6('v')} as v from px")
 def read_stack(spark, sf_dir):
-    volumes = stack(spark, sf_dir).withColumns({"d": F.lit(8), "h": F.lit(1)})
-    planes = stacks.planes(volumes.drop("label")).withColumn("p", F.col("image_id"))
+    """Images of 8 x 8 stored as volumes of 8 planes of one row, read back as planes."""
+    path = shared_folder(spark)
+    stacks.write_stack(stack(spark, sf_dir).withColumns({"d": F.lit(8), "h": F.lit(1)}).drop("label"), path)
+    planes = stacks.read_stack(spark, path, enforce_2d=True)
     flat = planes.select("volume_id", "image_id", F.posexplode("values").alias("x", "v"))
     return flat.select("volume_id", "image_id", F.col("x").cast("long").alias("x"), r6("v").alias("v"))
 
@@ -62,7 +65,10 @@ def read_slices(spark, sf_dir):
 
 @query(PX + f" select image_id, {s6('min(v)')} as min, {s6('max(v)')} as max, {s6('avg(v)')} as mean, {s6('stddev_pop(v)')} as stddev from px group by image_id")
 def write_stack(spark, sf_dir):
-    return stacks.statistics(stack(spark, sf_dir)).select("image_id", *[r6(c).alias(c) for c in ("min", "max", "mean", "stddev")])
+    """The statistics that are stored with the images, partitioned by label."""
+    path = shared_folder(spark)
+    stacks.write_stack(stack(spark, sf_dir), path, ("label",))
+    return stacks.read_stack(spark, path).select("image_id", *[r6(c).alias(c) for c in ("min", "max", "mean", "stddev")])
 
 
 MRC_SQL = (
@@ -77,17 +83,24 @@ def _files(spark, sf_dir):
     return stack(spark, sf_dir).withColumn("file", F.concat_ws("_", "label", F.floor(F.col("image_id") / 100)))
 
 
+def _through_storage(spark, files):
+    """Files written to a fresh shared folder and read back, with the name of each."""
+    folder = shared_folder(spark)
+    mrc.save(files.withColumn("path", F.concat("path", F.lit(".mrc"))), folder).write.format("noop").mode("overwrite").save()
+    read = S.stack_to_pixels(mrc.read_mrc(spark, folder).drop("spacing"))
+    return read.withColumn("file", F.regexp_extract("file", r"([^/]+)\.mrc$", 1))
+
+
 @query(MRC_SQL.format(value=s6("v")))
 def read_mrc(spark, sf_dir):
-    files = mrc.to_files(_files(spark, sf_dir), "file", "float32")
-    read = S.stack_to_pixels(mrc.from_files(files).drop("spacing"))
+    read = _through_storage(spark, mrc.to_files(_files(spark, sf_dir), "file", "float32"))
     return read.select("file", "image_id", "y", "x", r6("v").alias("v"))
 
 
 @query(MRC_SQL.format(value="trunc(greatest(-32768, least(32767, v * 20000.0))) + 0.0"))
 def write_mrc(spark, sf_dir):
     scaled = _files(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v * 20000.0))
-    read = S.stack_to_pixels(mrc.from_files(mrc.to_files(scaled, "file", "int16")).drop("spacing"))
+    read = _through_storage(spark, mrc.to_files(scaled, "file", "int16"))
     return read.select("file", "image_id", "y", "x", (F.col("v") + 0.0).alias("v"))
 
 
@@ -179,7 +192,7 @@ def fill_stack(spark, sf_dir):
 GRID = "select cast(vec_id as bigint) as image_id, cast(i // 4 as bigint) as y, cast(i % 4 as bigint) as x, {v} as v from embeddings, range(12) as r(i)"
 
 
-@query(GRID.format(v="round(1.5 + (vec_id * 12 + i) * 0.25, 6) + 0.0"))
+@query(GRID.format(v="cast(1.5 + (vec_id * 12 + i) * 0.25 as double)"))
 def arange_stack(spark, sf_dir):
     return _v(G.arange_stack(_images(spark, sf_dir), (1, 3, 4), 1.5, 0.25))
 
@@ -187,7 +200,7 @@ def arange_stack(spark, sf_dir):
 @query(
     """with n as (select count(*) * 12 as n from embeddings)
 select cast(vec_id as bigint) as image_id, cast(i // 4 as bigint) as y, cast(i % 4 as bigint) as x,
-  round(case when vec_id * 12 + i = n - 1 then 4.0 else -1.0 + (vec_id * 12 + i) * (5.0 / (n - 1)) end, 6) + 0.0 as v
+  round(cast(case when vec_id * 12 + i = n - 1 then 4.0 else -1.0 + (vec_id * 12 + i) * (5.0 / (n - 1)) end as double), 6) + 0.0 as v
 from embeddings, range(12) as r(i), n"""
 )
 def linspace_stack(spark, sf_dir):
@@ -200,11 +213,43 @@ def iota_tiled(spark, sf_dir):
     return _v(G.iota_tiled(_images(spark, sf_dir), (1, 3, 4), (1, 2, 3), 2))
 
 
-@query()
+def _draw(stream: int) -> str:
+    return f"((('0x' || substr(md5('1:' || vec_id || ':' || i || ':{stream}'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)"
+
+
+NORMAL = f"sqrt(-2 * ln({_draw(0)})) * cos(2 * pi() * {_draw(1)})"
+
+
+@query(
+    f"""select image_id, y, x, {s6('uniform')} as uniform, {s6('normal')} as normal, {s6('lognormal')} as lognormal, poisson from (
+  select cast(vec_id as bigint) as image_id, cast(i // 4 as bigint) as y, cast(i % 4 as bigint) as x, -1.0 + {_draw(0)} * 2.0 as uniform, 1.0 + {NORMAL} * 2.0 as normal,
+    exp({NORMAL} * 0.5) as lognormal,
+    cast({" + ".join(f"len(list_filter({G.poisson_table(5.0)}::double[], lambda v: v < {_draw(k)}))" for k in range(2))} as double) as poisson
+  from embeddings, range(12) as r(i))"""
+)
+def random_values(spark, sf_dir):
+    """The values of random_stack."""
+    images = _images(spark, sf_dir).select("image_id")
+    out = None
+    for kind, p in {"uniform": (-1.0, 1.0), "normal": (1.0, 2.0), "lognormal": (0.0, 0.5), "poisson": (10.0, 0.0)}.items():
+        one = S.stack_to_pixels(G.random_stack(images, (1, 3, 4), kind, *p)).select("image_id", "y", "x", r6("v").alias(kind))
+        out = one if out is None else out.join(one, ["image_id", "y", "x"])
+    return out
+
+
+@query(
+    f"""with d as (
+  select vec_id, -1.0 + {_draw(0)} * 2.0 as uniform, 1.0 + {NORMAL} * 2.0 as normal, exp({NORMAL} * 0.5) as lognormal,
+    cast(len(list_filter({G.poisson_table(3.0)}::double[], lambda v: v < {_draw(0)})) as double) as poisson
+  from embeddings, range(64) as r(i)
+)
+"""
+    + " union all ".join(f"select cast(vec_id as bigint) as image_id, '{k}' as kind, {s6(f'avg({k})')} as mean, {s6(f'stddev_pop({k})')} as stddev from d group by vec_id" for k in ("uniform", "normal", "lognormal", "poisson"))
+)
 def random_stack(spark, sf_dir):
     images = _images(spark, sf_dir).select("image_id")
     kinds = {"uniform": (-1.0, 1.0), "normal": (1.0, 2.0), "lognormal": (0.0, 0.5), "poisson": (3.0, 0.0)}
-    drawn = [stacks.statistics(G.random_stack(images, SHAPE, k, *p)).select("image_id", F.lit(k).alias("kind"), "mean", "stddev") for k, p in kinds.items()]
+    drawn = [stacks.statistics(G.random_stack(images, SHAPE, k, *p)).select("image_id", F.lit(k).alias("kind"), r6("mean").alias("mean"), r6("stddev").alias("stddev")) for k, p in kinds.items()]
     return drawn[0].union(drawn[1]).union(drawn[2]).union(drawn[3])
 
 

@@ -44,10 +44,10 @@ def r6(c: Column | str) -> Column:
 
 
 #: WITH clause: px(image_id, label, z, y, x, v).
-PX = """with recursive px as (
+PX = """with px as (
   select cast(vec_id as bigint) as image_id, label, cast(0 as bigint) as z, cast((i - 1) // 8 as bigint) as y,
-    cast((i - 1) % 8 as bigint) as x, cast(embedding[i] as double) as v
-  from embeddings, range(1, 65) as r(i)
+    cast((i - 1) % 8 as bigint) as x, cast(e as double) as v
+  from (select vec_id, label, unnest(embedding) as e, generate_subscripts(embedding, 1) as i from embeddings)
 )"""
 
 

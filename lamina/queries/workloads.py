@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..jobs import workloads as K
 from ..operators import projection as J
 from ..operators.reshape import stack_to_pixels
 from ..operators.spectra import phase_shift
+from ..sources.shared import shared_folder
 from ..streaming.accumulate import VolumeSink, accumulate_shells
 from .arrays import BOXES, _boxes
 from .base import PX, SHAPE, pixels, query, r6, s6, stack
@@ -18,12 +18,6 @@ from .fourier import SP, spectrum
 from .geometry import RASTER, VOLUME, _pose, _turn
 
 
-def _folder(spark) -> str:
-    """A fresh folder that driver and executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query(
     BOXES
     + """, cut as (
@@ -54,9 +48,31 @@ def alignment(spark, sf_dir):
     return found.select("image_id", (F.round("sy") + 0.0).alias("sy"), (F.round("sx") + 0.0).alias("sx"))
 
 
-@query()
+HALVES = RASTER.replace("image_id // 8 as volume_id", "image_id // 8 * 2 + image_id % 2 as volume_id")
+
+
+@query(
+    HALVES
+    + """, v as (
+  select volume_id // 2 as volume_id, volume_id % 2 as half, kz, ky, kx, case when abs(weight) < 1e-12 then 0 else re / weight end as re, case when abs(weight) < 1e-12 then 0 else im / weight end as im,
+    sqrt(kz * kz / 64.0 + ky * ky / 64.0 + kx * kx / 64.0) as f from raster
+), z as (
+  select a.volume_id, a.f, a.re, a.im, b.re as r_re, b.im as r_im from v a join v b on a.volume_id = b.volume_id and a.kz = b.kz and a.ky = b.ky and a.kx = b.kx and a.half = 0 and b.half = 1 where a.f <= 0.5
+), s as (
+  select *, cast(floor(f * 8) as bigint) as shell, 1 - (f * 8 - floor(f * 8)) as share from z
+  union all select *, least(cast(floor(f * 8) as bigint) + 1, 4), f * 8 - floor(f * 8) from z
+), c as (
+  select volume_id, shell, sum(share * (re * r_re + im * r_im)) / greatest(1e-6, sqrt(sum(share * (re * re + im * im)) * sum(share * (r_re * r_re + r_im * r_im)))) as fsc from s group by 1, 2
+), w as (
+  select volume_id, shell, sum(p * share) / sum(share) as power from (
+    select volume_id, re * re + im * im as p, cast(floor(f * 8) as bigint) as shell, 1 - (f * 8 - floor(f * 8)) as share from v where half = 0 and f <= 0.5
+    union all select volume_id, re * re + im * im, cast(floor(f * 8) as bigint) + 1, f * 8 - floor(f * 8) from v where half = 0 and f <= 0.5 and floor(f * 8) < 4)
+  group by 1, 2
+)"""
+    + f" select volume_id, shell, {s6('fsc')} as fsc, {s6('power')} as power from c left join w using (volume_id, shell)"
+)
 def reconstruction_resolution(spark, sf_dir):
-    out = K.resolution(spectrum(spark, sf_dir), _pose(spark, sf_dir, _turn()), SHAPE, VOLUME)
+    out = K.resolution(spectrum(spark, sf_dir), _pose(spark, sf_dir, _turn()), SHAPE, VOLUME, 0.45)
     return out.select("volume_id", "shell", r6("fsc").alias("fsc"), r6("power").alias("power"))
 
 
@@ -70,7 +86,7 @@ def reconstruction_resolution(spark, sf_dir):
 )
 def stream_accumulate_shells(spark, sf_dir):
     """The spectra as a file stream, a part a micro-batch, into running sums."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     spectra = spectrum(spark, sf_dir)
     spectra.repartition(4, "image_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(spectra.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
@@ -81,15 +97,15 @@ def stream_accumulate_shells(spark, sf_dir):
     return spark.table(name).select("shell", r6("value").alias("value"), r6("weight").alias("weight"))
 
 
-@query(RASTER + f" select volume_id, kz, ky, kx, {s6('re')} as re, {s6('im')} as im, {s6('weight')} as weight from raster where weight > 1e-5")
+@query(RASTER + f" select volume_id, kz, ky, kx, {s6('re')} as re, {s6('im')} as im, {s6('weight')} as weight from raster")
 def stream_accumulate_volume(spark, sf_dir):
     """The spectra as a file stream into rasterized volumes kept by micro-batch."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     spectra, poses = spectrum(spark, sf_dir), _pose(spark, sf_dir, _turn())
     spectra.repartition(4, "image_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(spectra.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     sink = VolumeSink(f"{folder}/volume", lambda batch: J.rasterize_central_slices_3d(batch, poses, SHAPE, VOLUME, 0.45))
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = sink.read(spark).filter("weight > 1e-5")
+    out = sink.read(spark)
     return out.select("volume_id", "kz", "ky", "kx", r6("re").alias("re"), r6("im").alias("im"), r6("weight").alias("weight"))

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER = 1024
+#: Values that are decoded at once, one image at least; bytes of a file that Spark reads in one piece.
+PIECE = 1 << 20
+WHOLE = 256 << 20
 #: Fixed values of the format: data mode -> numpy type (complex modes are pairs).
 MODES = {0: "i1", 1: "i2", 2: "f4", 3: "i2", 4: "f4", 6: "u2", 12: "f2"}
 COMPLEX = (3, 4)
@@ -27,8 +30,9 @@ IMOD_STAMP = 1146047817
 STACK_SCHEMA = "file string, image_id long, d int, h int, w int, spacing array<double>, values array<double>"
 
 
-def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.ndarray]:
-    """Shape (images, depth, height, width), spacing (z, y, x) and the values as double, one image a row."""
+def read_header(content: bytes) -> tuple[tuple[int, int, int, int], list[float], str, bool, int, int]:
+    """Of a file's first 1024 bytes: shape (images, depth, height, width), spacing (z, y, x), numpy type of the stored
+    numbers, whether two values share a byte, stored numbers of one image, and where they begin."""
     order = ">" if content[212:214] == b"\x11\x11" else "<"
     ints = np.frombuffer(content, order + "i4", 56)
     floats = np.frombuffer(content, order + "f4", 56)
@@ -40,10 +44,7 @@ def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.n
     kind = MODES.get(mode, "u1")
     if mode == 0 and ints[38] == IMOD_STAMP and not ints[39] & 1:
         kind = "u1"
-    row = (nx + 1) // 2 if mode == PACKED else nx
-    data = np.frombuffer(content, order + kind, row * ny * nz * (1 + (mode in COMPLEX)), HEADER + extra)
-    if mode == PACKED:
-        data = np.stack([data & 15, data >> 4], axis=-1).reshape(-1, 2 * row)[:, :nx]
+    row = (nx + 1) // 2 if mode == PACKED else nx * (1 + (mode in COMPLEX))
     if group == 0:
         shape = (nz, 1, ny, nx)
     elif group == 1:
@@ -52,7 +53,22 @@ def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.n
         mz = int(ints[9])
         shape = (nz // mz, mz, ny, nx)
     spacing = [float(c / g) if g else 0.0 for c, g in zip(cell, grid, strict=True)][::-1]
-    return shape, spacing, data.astype(np.float64).reshape(shape[0], -1)
+    return shape, spacing, order + kind, mode == PACKED, row * ny * shape[1], HEADER + extra
+
+
+def _values(data: np.ndarray, n: int, width: int, packed: bool) -> np.ndarray:
+    """Stored numbers as double, one image a row."""
+    if packed:
+        row = (width + 1) // 2
+        data = np.stack([data & 15, data >> 4], axis=-1).reshape(-1, 2 * row)[:, :width]
+    return data.astype(np.float64).reshape(n, -1)
+
+
+def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.ndarray]:
+    """Shape (images, depth, height, width), spacing (z, y, x) and the values as double, one image a row."""
+    shape, spacing, kind, packed, each, start = read_header(content[:HEADER])
+    data = np.frombuffer(content, kind, each * shape[0], start)
+    return shape, spacing, _values(data, shape[0], shape[3], packed)
 
 
 def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float, float, float], dtype: str) -> bytes:
@@ -83,31 +99,74 @@ def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float
     return ints.tobytes() + np.ascontiguousarray(data).tobytes()
 
 
+def _stack_rows(path: str, first: int, shape: tuple[int, int, int, int], spacing: list[float], data: np.ndarray) -> pa.RecordBatch:
+    n = len(data)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([path] * n, pa.string()),
+            pa.array(range(first, first + n), pa.int64()),
+            *(pa.array([v] * n, pa.int32()) for v in shape[1:]),
+            pa.array([spacing] * n, pa.list_(pa.float64())),
+            pa.array(list(data), pa.list_(pa.float64())),
+        ],
+        ["file", "image_id", "d", "h", "w", "spacing", "values"],
+    )
+
+
 def from_files(files: DataFrame) -> DataFrame:
-    """Rows of files (path, content) as a stack; image_id numbers the images of each file from 0."""
+    """Rows of files (path, content) as a stack; image_id numbers the images of each file from 0. A piece of a file's
+    images is decoded at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                (n, d, h, w), spacing, data = decode(content.as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path] * n, pa.string()),
-                        pa.array(range(n), pa.int64()),
-                        *(pa.array([v] * n, pa.int32()) for v in (d, h, w)),
-                        pa.array([spacing] * n, pa.list_(pa.float64())),
-                        pa.array(list(data), pa.list_(pa.float64())),
-                    ],
-                    ["file", "image_id", "d", "h", "w", "spacing", "values"],
-                )
+                held = content.as_buffer()
+                shape, spacing, kind, packed, each, start = read_header(held[:HEADER].to_pybytes())
+                step = max(1, PIECE // max(1, each))
+                for first in range(0, shape[0], step):
+                    n = min(step, shape[0] - first)
+                    data = np.frombuffer(held, kind, each * n, start + first * each * np.dtype(kind).itemsize)
+                    yield _stack_rows(path, first, shape, spacing, _values(data, n, shape[3], packed))
 
     return files.select("path", "content").mapInArrow(run, STACK_SCHEMA)
 
 
-def read_mrc(spark: SparkSession, path: str, pattern: str = "*.{mrc,mrcs,st,map}") -> DataFrame:
-    """All MRC files of a folder as one stack."""
+def from_ranges(files: DataFrame) -> DataFrame:
+    """Files (path) of any length as a stack: a task reads a file's header and lists pieces of its images, which are dealt
+    out and read by their byte ranges, through any file system that Arrow knows."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, place = pyarrow.fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as file:
+                    shape, _, _, _, each, _ = read_header(file.read(HEADER))
+                step = max(1, PIECE // max(1, each))
+                firsts = list(range(0, shape[0], step))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(firsts)), pa.array(firsts, pa.int64()), pa.array([min(step, shape[0] - f) for f in firsts], pa.int64())], ["path", "first", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "n")), strict=True):
+                store, place = pyarrow.fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as file:
+                    shape, spacing, kind, packed, each, start = read_header(file.read(HEADER))
+                    size = each * np.dtype(kind).itemsize
+                    data = np.frombuffer(file.read_at(n * size, start + first * size), kind)
+                yield _stack_rows(path, first, shape, spacing, _values(data, n, shape[3], packed))
+
+    ranges = files.select("path").mapInArrow(listed, "path string, first long, n long")
+    return ranges.repartition("path", "first").mapInArrow(read, STACK_SCHEMA)
+
+
+def read_mrc(spark: SparkSession, path: str, pattern: str = "*.{mrc,mrcs,st,map}", whole: int = WHOLE) -> DataFrame:
+    """All MRC files of a folder as one stack. Files of at most `whole` bytes come through Spark in one piece, longer
+    ones by their ranges."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return from_files(files)
+    small = from_files(files.filter(F.col("length") <= whole))
+    if files.filter(F.col("length") > whole).select("path").isEmpty():  # reads names and lengths alone
+        return small
+    return small.unionByName(from_ranges(files.filter(F.col("length") > whole)))
 
 
 def to_files(stack: DataFrame, file: str, dtype: str = "float32", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -118,7 +177,7 @@ def to_files(stack: DataFrame, file: str, dtype: str = "float32", spacing: tuple
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("image_id")
         shape = tuple(table.column(c)[0].as_py() for c in "dhw")
-        images = np.array(table.column("values").to_pylist(), np.float64)
+        images = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         return pa.table([table.column("path").slice(0, 1), pa.array([encode(images, shape, spacing, dtype)], pa.binary())], ["path", "content"])
 
     return keyed.groupBy("path").applyInArrow(run, "path string, content binary")

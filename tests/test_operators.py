@@ -14,6 +14,7 @@ from lamina.operators import fourier as T
 from lamina.operators import generators as G
 from lamina.operators import geometry as M
 from lamina.operators import neighbourhoods as N
+from lamina.operators import projection as J
 from lamina.operators import reductions as R
 from lamina.operators import reshape as S
 from lamina.operators import shells as H
@@ -307,3 +308,76 @@ def test_empty_input(spark):
     assert N.median_filter(pixels, (1, 4, 4), (1, 3, 3)).count() == 0
     assert T.fft_r2c(empty).count() == 0
     assert S.pixels_to_stack(pixels, (1, 4, 4)).count() == 0
+
+
+# --- kernels, projections, random values, large files -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kernel", ["linear", "cubic", "cubic_bspline", "lanczos4", "lanczos6", "lanczos8"])
+def test_kernels_sum_to_one_and_keep_polynomials(kernel):
+    f = np.linspace(0, 1, 11)[:-1]
+    w = np.stack(M.weights(f, kernel, np))
+    at = np.arange(len(w)) - (len(w) // 2 - 1)
+    assert np.allclose(w.sum(axis=0), 1)
+    if kernel in ("linear", "cubic", "cubic_bspline"):
+        assert np.allclose((w * at[:, None]).sum(axis=0), f)
+    if kernel == "cubic":
+        assert np.allclose((w * at[:, None] ** 2).sum(axis=0), f * f)
+
+
+@pytest.mark.parametrize("n", [2, 3, 8, 40])
+def test_prefilter_solves_the_spline(n):
+    line = RNG.normal(size=(3, n))
+    c = M.prefilter_line(line)
+    padded = np.pad(c, ((0, 0), (1, 1)), mode="edge")
+    assert np.allclose((padded[:, :-2] + 4 * padded[:, 1:-1] + padded[:, 2:]) / 6, line)
+    assert np.allclose(M.prefilter_line(np.ones(n)), 1)
+
+
+@pytest.mark.parametrize("kernel", ["nearest", "linear", "cubic"])
+def test_rays_sent_and_joined_agree(spark, kernel):
+    volume, shape = (5, 6, 7), (1, 6, 5)
+    held = make(spark, [RNG.normal(size=volume), RNG.normal(size=volume)])
+    voxels = S.stack_to_pixels(held).filter("not (image_id = 1 and z = 2)")
+    rows = [(k, k % 3, *a) for k, a in enumerate(RNG.uniform(-2, 2, size=(6, 3)).tolist())] + [(9, 0, 0.0, 0.0, 0.0)]
+    i = spark.createDataFrame(rows, "image_id long, volume_id long, a double, b double, c double")
+    turn = M.about(M.euler_matrix((F.col("a"), F.col("b"), F.col("c"))), [2.0, 3.0, 3.0], [F.lit(0.25)] * 3)
+    poses = i.select("image_id", "volume_id", M.flattened(turn).alias("matrix"))
+    both = [J.forward_project_3d(voxels, poses, shape, volume, 11, kernel, most_sent=n) for n in (J.MOST_SENT, 0)]
+    sent, joined = ({(r["image_id"], r["y"], r["x"]): r["v"] for r in df.collect()} for df in both)
+    assert sent and set(sent) == set(joined) and all(abs(v - joined[k]) < 1e-9 for k, v in sent.items())
+
+
+def test_no_plan_sends_what_it_explodes(spark):
+    volume, shape = (4, 4, 4), (1, 4, 4)
+    voxels = S.stack_to_pixels(make(spark, [np.ones(volume)]))
+    pixels = S.stack_to_pixels(make(spark, [np.ones(shape)]))
+    poses = spark.range(1).select(F.col("id").alias("image_id"), F.col("id").alias("volume_id"), M.flattened(M.about(M.rotation("z", F.lit(0.1)), [2.0] * 3, [F.lit(0.0)] * 3)).alias("matrix"))
+    backward = poses.withColumn("matrix", F.slice("matrix", 5, 8))
+    spectra = T.to_frequencies(T.fft_r2c(make(spark, [np.ones(volume)])), volume)
+    turns = poses.withColumn("matrix", M.flattened(M.rotation("z", F.lit(0.1))))
+    for df in (
+        J.forward_project_3d(voxels, poses, shape, volume, most_sent=0),
+        J.backward_project_3d(pixels, backward, shape, volume),
+        J.extract_central_slices_3d(spectra, turns, shape, volume),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan
+        for part in plan.split("BroadcastExchange")[1:]:
+            assert "Generate explode(array(struct(i" not in part
+
+
+def test_random_values_have_their_moments(spark):
+    images = spark.range(40).select(F.col("id").alias("image_id"))
+    for kind, a, b, mean, spread in [("uniform", -1, 1, 0, 1 / math.sqrt(3)), ("normal", 1, 2, 1, 2), ("poisson", 30, 0, 30, math.sqrt(30)), ("poisson", 0.5, 0, 0.5, math.sqrt(0.5))]:
+        v = np.concatenate([r["values"] for r in G.random_stack(images, (1, 20, 20), kind, a, b).collect()])
+        assert abs(v.mean() - mean) < 5 * spread / math.sqrt(len(v)) and abs(v.std() / spread - 1) < 0.03
+    with pytest.raises(ValueError):
+        G.random_stack(images, (1, 2, 2), "odd", 1)
+
+
+def test_files_read_by_ranges(spark, tmp_path):
+    rows = make(spark, [RNG.normal(size=(1, 6, 5)) for _ in range(5)]).withColumn("file", F.lit("one.mrc"))
+    mrc.save(mrc.to_files(rows, "file"), str(tmp_path)).collect()
+    whole, ranges = (sorted(map(str, mrc.read_mrc(spark, f"file://{tmp_path}", whole=n).collect())) for n in (1 << 20, 0))
+    assert len(whole) == 5 and whole == ranges
