@@ -6,12 +6,17 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import html_extraction, url_filters
 
 PAGES = "page_id long, url string, html string"
 
 
+def kept(body, *neighbours):
+    return html_extraction.judge(*html_extraction.lines_of(body), [html_extraction.lines_of(n)[0] for n in neighbours])
+
+
 # --- html ----------------------------------------------------------------------------------------------------------------
 
 
@@ -46,7 +51,7 @@ def test_texts_do_not_depend_on_the_size_of_ranges(spark, group_pages):
 )
 def test_markup_that_is_no_furniture(markup):
     for body in (markup, f"<article>{markup}</article>", f"<main id='menu-costs' class='has-sidebar'>{markup}</main>"):
-        assert html_extraction.lines_of(body)[0] == ["kept"], body
+        assert kept(body)[0] == "kept", body
 
 
 @pytest.mark.parametrize("markup", ['<section id="social-impact">kept</section>', '<div class="share-of-votes">kept</div>', '<h2 class="widget">kept</h2>'])
@@ -60,8 +65,26 @@ def test_slugs_in_an_article_are_no_furniture(markup):
 )
 def test_furniture_by_markup(markup):
     for body in (markup, f"<article>{markup}</article>"):
-        assert html_extraction.lines_of(body)[0] == [], body
-
+        assert kept(body)[0] == "", body
+
+
+def test_what_the_differencing_decides_and_what_the_markup():
+    page = "<nav>menu</nav><div>Site</div><p>{0}</p><div class=ad>buy {0}</div><footer>end</footer>"
+    assert kept(page.format("one"), page.format("two")) == ("one", 5, 3, 0, 1)
+    assert kept(page.format("one")) == ("Site\n\none", 5, 0, 0, 3)
+    copied = "<nav>menu</nav><article><p>same</p></article><footer>{0}</footer>"
+    assert kept(copied.format("x"), copied.format("y")) == ("same", 3, 2, 1, 1)
+    assert kept(copied.format("x"), copied.format("x")) == ("same", 3, 0, 0, 2)
+    assert kept("<article><p>one</p><div class='notice-period share-price'>The share price fell.</div><p class='ad-hoc'>two</p></article>")[0] == "one\n\nThe share price fell.\n\ntwo"
+
+
+def test_pages_of_any_kind(spark):
+    odd = [(1, "http://a.b/1", "<p>x"), (1, "http://a.b/1", "<p>x"), (None, None, None), (2, "", ""), (3, "http://a.b/2", "<p>x<p>" + "long " * 50_000)]
+    df = spark.createDataFrame(odd, PAGES).withColumns({c: F.lit("mine") for c in ("host", "path", "part", "beside", "lines", "zones", "tie", "text", "n_chars")})
+    got = {(r["page_id"], r["text"][:4], r["n_chars"]) for r in html_extraction.report(df).collect()}
+    # the first of the two copies has no neighbour but the other, the second has page 3, whose line it shares
+    assert got == {(1, "", 0), (1, "x", 1), (None, "", 0), (2, "", 0), (3, "long", 249_999)}
+    assert html_extraction.report(spark.createDataFrame([], PAGES)).count() == 0
 
 # --- url filters -----------------------------------------------------------------------------------------------------------
 
