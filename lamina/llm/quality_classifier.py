@@ -1,8 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the average of learned vectors: one for each of its words, for the byte n-grams inside
-each word and its edges, and for each word pair that repeats one word, all hashed into a fixed number
-of buckets. A softmax over that average gives the score. Vectors and softmax are trained together by
+A document is the average of learned vectors: one for each of its words, for each pair of words that follow each
+other, for each pair of the first one, two and three characters of such words, and for the character n-grams inside each
+word and its edges, all hashed into a fixed number of buckets. A softmax over that average gives the score. Vectors and softmax are trained together by
 stochastic gradient descent in numpy.
 
 Scale: training takes a bounded sample of the labelled rows (`max_rows`, `max_chars`), picked by the
@@ -12,7 +12,8 @@ few gathers and sums. The model sent to the tasks has a fixed size (4 bytes a bu
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; labels that
 are null, or name no document, are left out; without labelled rows every score is 0.5; repeated rows
-get equal scores; an empty table gives no rows; other columns are ignored.
+get equal scores; very long texts are scored whole, CHUNK characters or one text at a time; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,38 +28,36 @@ from pyspark.sql import functions as F
 
 from .common import pick, pieces
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4)
+STARTS = (1, 2, 3)
 EPOCHS = 6
 RATE = 4.0
+LEAST_DOCS = 5
 MAX_ROWS = 4000
 MAX_CHARS = 50_000
 FOLDS = 5
 THRESHOLD = 0.3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x100000001B3)
 _BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: The bucket of all pairs that repeat a word.
-REPEAT = 0
-
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return ((hashes * _MIX) >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def features(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The start of each text in their concatenation (each with a space before and after), and pairs
     (place, bucket) of the features, one pair of arrays for each kind, in order of place."""
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    raw = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)
-    space = _SPACE[raw]
-    x = np.where(space, np.uint8(32), raw).astype(np.uint64)
+    raw = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le"), np.uint32)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    x = np.where(space, np.uint32(32), raw).astype(np.uint64)
     n = len(x)
     out = []
     for size in GRAMS:
@@ -82,12 +81,19 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.
         word = (total[end] - total[begin]) * inverse[begin]
         out.append((begin, _bucket(word)))
         text_of = np.searchsorted(starts, begin, side="right")
-        same = np.r_[False, (word[1:] == word[:-1]) & (text_of[1:] == text_of[:-1])]
-        out.append((begin[same], np.full(int(same.sum()), REPEAT, np.int64)))
+        follows = np.flatnonzero(text_of[1:] == text_of[:-1])
+        out.append((begin[follows], _bucket(word[follows] * _BASE + word[follows + 1] * _PAIR)))
+        for size in STARTS:
+            # the first characters of a word, those after its end as spaces
+            front = np.zeros(len(begin), np.uint64)
+            for k in range(size):
+                at = begin + k
+                front = front * _BASE + np.where(at < end, x[np.minimum(at, n - 1)], np.uint64(32)) + np.uint64(1)
+            out.append((begin[follows], _bucket((front[follows] * _BASE + front[follows + 1]) * _PAIR + np.uint64(size))))
     return starts, out
 
 
-def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and the share of its features that fall in each."""
     found = np.concatenate([b for _, b in features([text])[1]] or [np.zeros(0, np.int64)])
     buckets, counts = np.unique(found, return_counts=True)
@@ -101,7 +107,7 @@ class Model:
     bucket_score: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         """The probability of label 1 for each text."""
         out = np.empty(len(texts))
         at = 0
@@ -124,7 +130,7 @@ class Model:
         return out
 
 
-def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+def train(examples: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7, least_docs: int = LEAST_DOCS) -> Model:
     """Vectors and softmax learned from (text, label 0 or 1) by stochastic gradient descent."""
     if not examples:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
@@ -133,6 +139,10 @@ def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float =
     out = np.zeros((DIM, 2), np.float32)
     bias = np.zeros(2, np.float32)
     docs = [(*document_features(t), y) for t, y in examples]
+    # a bucket of few documents would only learn those by heart: it stays 0, and texts of such features are left to the bias
+    seen = np.bincount(np.concatenate([b for b, _, _ in docs]), minlength=BUCKETS) >= least_docs
+    vectors[~seen] = 0
+    docs = [(b[seen[b]], share[seen[b]], y) for b, share, y in docs]
     steps, step = epochs * len(docs), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)).tolist():
@@ -172,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
         .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
         .limit(max_rows)
     )
-    return train([(r["text"].encode(), int(r["quality"])) for r in sample.toLocalIterator()])
+    return train([(r["text"], int(r["quality"])) for r in sample.toLocalIterator()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -182,7 +192,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            found = sent.value.scores([x.encode() if x else b"" for x in batch.column(text).to_pylist()])
+            found = sent.value.scores([x or "" for x in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.float64())], [*kept, into])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).cast("double").alias(into)).schema

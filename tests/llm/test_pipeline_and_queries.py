@@ -67,7 +67,7 @@ def test_pipeline_stages(spark, sql):
             assert docs.columns == columns
     good, single, clean, hidden, mixed = after
     model = quality_classifier.fit(spark.createDataFrame(list(before.values()), docs_schema), table(spark, DATA, "labels"))
-    scores = dict(zip(before, model.scores([(r["text"] or "").encode() for r in before.values()]), strict=True))
+    scores = dict(zip(before, model.scores([r["text"] or "" for r in before.values()]), strict=True))
     assert set(good) == {k for k, s in scores.items() if s >= quality_classifier.THRESHOLD}
     assert set(single) == {g for _, g, _, _ in linked_plainly([(k, r["text"]) for k, r in good.items()])}
     items = sql.sql("select item_id, text from benchmark").fetchall()

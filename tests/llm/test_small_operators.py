@@ -106,16 +106,27 @@ def test_ablation(spark):
 
 
 def test_features_of_words_do_not_depend_on_place():
-    one = quality_classifier.document_features(b"abc de")[0]
-    two = quality_classifier.document_features(b"  abc\n\nde ")[0]
+    one = quality_classifier.document_features("abc dé")[0]
+    two = quality_classifier.document_features("  abc\n\ndé ")[0]
     assert set(one) == set(two)
-    assert len(quality_classifier.document_features(b"")[0]) == 0
-    assert quality_classifier.REPEAT in quality_classifier.document_features(b"to to")[0]
+    assert len(quality_classifier.document_features("")[0]) == 0
+    starts, kinds = quality_classifier.features(["dé abc", "abc dé x"])
+    per_text = [sum(int(((p >= lo) & (p < hi)).sum()) for p, _ in kinds) for lo, hi in zip(starts, [*starts[1:], 1 << 30], strict=True)]
+    # 3-grams " dé", "dé ", " ab", "abc", "bc "; 4-grams " dé ", " abc", "abc "; 2 words, 1 pair, 3 pairs of starts
+    assert per_text[0] == 5 + 3 + 2 + 1 + 3
+
+
+def test_no_feature_is_made_by_hand():
+    """Repeats are learned as pairs of words and of word starts: nothing is counted that holds no characters."""
+    model = quality_classifier.train([("ab ab ab cd cd", 0), ("ab cd ef ab", 1)] * 10)
+    assert np.count_nonzero(model.bucket_score) > 10
+    buckets = {b for t in ("qq qq", "zz zz") for b in [frozenset(quality_classifier.document_features(t)[0].tolist())]}
+    assert not frozenset.intersection(*buckets)
 
 
 def test_training_separates_held_out_texts():
     rng = random.Random(3)
-    text = lambda good: " ".join(("".join(rng.choices("aeiou" if good else "xzqjk", k=4))) for _ in range(30)).encode()
+    text = lambda good: " ".join(("".join(rng.choices("aeiou" if good else "xzqjk", k=4))) for _ in range(30))
     model = quality_classifier.train([(text(k % 2), k % 2) for k in range(200)])
     fresh = [(text(k % 2), k % 2) for k in range(60)]
     scores = model.scores([t for t, _ in fresh])
