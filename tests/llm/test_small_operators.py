@@ -189,7 +189,7 @@ def test_decontamination_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = contaminated_plainly(docs, items)
-    for block_bytes in (1 << 20, 60):  # one block, and several
+    for block_bytes in (1 << 20, 400, 60):  # one block, several, and items in pieces
         assert sorted(map(tuple, decontamination.report(d, b, block_bytes=block_bytes).collect()), key=repr) == want
     cut = {r["doc_id"]: r["text"] for r in decontamination.remove(d, b).collect()}
     assert cut[102] == " " or not words(cut[102])
