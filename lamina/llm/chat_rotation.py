@@ -9,9 +9,10 @@ Scale: texts are shuffled once, by conversation and block of turns, so a convers
 third of all turns is many groups. Participants come from a light aggregate (names only) that is
 brought to the same keys, so the join that spreads them moves no text.
 
-Defined cases: a null text is empty; a null role is a user named "unknown" and no participant; system
-turns are no participant; a null turn comes first; a null conv_id is a conversation of its own; turns
-of equal number are ordered by role, then text; repeated rows are repeated turns; a conversation without
+Defined cases: a null text is empty; a null role is a user named "unknown" and no participant, whoever else has that
+name; system turns are no participant; null turns come first, in up to 256 blocks by their role and text, so that they
+spread as well; a null conv_id is a conversation of its own; turns of equal number are ordered by role, then text;
+repeated rows are repeated turns; very long texts are rendered whole, a turn never being cut; a conversation without
 participants and an empty table give no rows; other columns are ignored.
 """
 
@@ -29,22 +30,28 @@ END = "<|end|>\n"
 TURNS_PER_PART = 64
 
 
-def _header(role: Column, speaker: Column) -> Column:
-    named = F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
+def _header(m: Column, speaker: Column) -> Column:
+    named = F.concat(F.lit("<|user name="), m["role"], F.lit("|>\n"))
     return (
-        F.when(role == speaker, F.lit("<|assistant|>\n"))
-        .when(role == SYSTEM, F.lit("<|system|>\n"))
+        F.when(_mine(m, speaker), F.lit("<|assistant|>\n"))
+        .when(m["role"] == SYSTEM, F.lit("<|system|>\n"))
         .otherwise(named)
     )
 
 
+def _mine(m: Column, speaker: Column) -> Column:
+    return m["named"] & (m["role"] == speaker)
+
+
 def rotate(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
     """conv_id, speaker, block, slice, n_turns, text, mask_spans (start:end in code points of text, comma-joined)
     and n_masked: a row for each part of each participant's rendering."""
+    said = F.concat(F.coalesce("role", F.lit(UNKNOWN)), F.lit(" "), F.coalesce("text", F.lit("")))
+    unnumbered = F.conv(F.substring(F.md5(said), 1, 2), 16, 10).cast("long") - 256
     null_key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
     turns = pick(conversations, "conv_id", "turn", "role", "text").select(
         null_key.alias("conv"),
-        F.coalesce(F.floor(F.col("turn") / turns_per_part), F.lit(-1)).cast("long").alias("block"),
+        F.coalesce(F.floor(F.col("turn") / turns_per_part).cast("long"), unnumbered).alias("block"),
         "conv_id",
         "turn",
         F.coalesce("role", F.lit(UNKNOWN)).alias("role"),
@@ -55,25 +62,25 @@ def rotate(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> Da
     blocks = turns.groupBy("conv", "block").agg(F.collect_set(takes_part).alias("own"))
     of_conv = blocks.groupBy("conv").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("speakers"))
     spread = blocks.select("conv", "block").join(of_conv, "conv")
-    in_block = W.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    in_block = W.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text", "named")
     placed = turns.withColumn("at", F.row_number().over(in_block))
     parts = placed.groupBy(
         "conv", "block", F.expr(f"cast((at - 1) div {turns_per_part} as bigint)").alias("slice")
     ).agg(
         F.max("conv_id").alias("conv_id"),
-        F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("messages"),
+        F.array_sort(F.collect_list(F.struct("at", "role", "text", "named"))).alias("messages"),
     )
     each = parts.join(spread, ["conv", "block"]).select(
         "conv_id", "block", "slice", "messages", F.explode("speakers").alias("speaker")
     )
     speaker = F.col("speaker")
-    shown = F.transform("messages", lambda m: F.concat(_header(m["role"], speaker), m["text"], F.lit(END)))
+    shown = F.transform("messages", lambda m: F.concat(_header(m, speaker), m["text"], F.lit(END)))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(state, m):
-        begin = state["at"] + F.length(_header(m["role"], speaker))
+        begin = state["at"] + F.length(_header(m, speaker))
         end = begin + F.length(m["text"]) + len(END)
-        mine = m["role"] == speaker
+        mine = _mine(m, speaker)
         span = F.array(F.concat_ws(":", begin.cast("string"), end.cast("string")))
         return F.struct(
             end.alias("at"),
@@ -98,15 +105,15 @@ ORACLE_SQL = """
 with t as (
   select conv_id, coalesce(cast(conv_id as varchar), 'null') as conv, coalesce(role, 'unknown') as role,
     coalesce(text, '') as text, role is not null and role <> 'system' as named,
-    coalesce(cast(floor(turn / 64) as bigint), -1) as block, turn
+    coalesce(cast(floor(turn / 64) as bigint), ('0x' || substr(md5(coalesce(role, 'unknown') || ' ' || coalesce(text, '')), 1, 2))::bigint - 256) as block, turn
   from conversations
 ), p as (
-  select *, row_number() over (partition by conv, block order by turn nulls first, role, text) as pos from t
+  select *, row_number() over (partition by conv, block order by turn nulls first, role, text, named) as pos from t
 ), s as (
   select distinct conv, role as speaker from t where named
 ), r as (
-  select p.conv_id, p.conv, s.speaker, p.block, (p.pos - 1) // 64 as slice, p.pos, p.role = s.speaker as mine,
-    case when p.role = s.speaker then '<|assistant|>' when p.role = 'system' then '<|system|>'
+  select p.conv_id, p.conv, s.speaker, p.block, (p.pos - 1) // 64 as slice, p.pos, p.named and p.role = s.speaker as mine,
+    case when p.named and p.role = s.speaker then '<|assistant|>' when p.role = 'system' then '<|system|>'
       else '<|user name=' || p.role || '|>' end || chr(10) as head, p.text || '<|end|>' || chr(10) as body
   from p join s using (conv)
 ), q as (

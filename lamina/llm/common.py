@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,27 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share: of spark.checkpoint.dir, or of the checkpoint directory that was set. A local
+    session without either (tests) gets a temporary one; a cluster's executors would not see that, so there it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def forget() -> None:
+    """Remove what `cut` wrote in this session, when no frame that reads it is used any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+
+
+atexit.register(forget)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and never the work before it, and stops a
-    frame that several branches use from being computed once for each.
+    frame that several branches use from being computed once for each. The files go when the driver ends, or at `forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

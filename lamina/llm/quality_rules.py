@@ -9,8 +9,8 @@ Scale: measuring is one narrow pass over the texts, a document at a time; the le
 The only shuffle is the ablation's, of one pre-aggregated row per task and bit pattern.
 
 Defined cases: a null text is measured as an empty one, an empty text has no words and fails the rule
-on few words alone; repeated rows are measured each by itself; an empty table gives an empty ledger;
-other columns are ignored.
+on few words alone; repeated rows are measured each by itself; very long texts are measured whole; an empty table gives
+an empty ledger and no ablation rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces
+from .common import cut, pick, pieces
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -157,7 +157,7 @@ def report(docs: DataFrame, policy: str = "v1") -> DataFrame:
     return judged.withColumn("kept", F.col("kept") & ~F.col("base_failed"))
 
 
-ORACLE_SQL = r"""
+LEDGER_SQL = r"""
 with d as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
@@ -187,10 +187,36 @@ with d as (
     + 64 * cast(word_chars < 2 * n_words or word_chars > 20 * n_words as bigint) as fail_bits
   from m
 )
-select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+"""
+
+ORACLE_SQL = (
+    LEDGER_SQL
+    + """select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
   cast(n_symbols as bigint) as n_symbols, cast(n_lines as bigint) as n_lines,
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
   cast(n_stutters as bigint) as n_stutters, cast(n_upper as bigint) as n_upper, cast(n_lower as bigint) as n_lower,
   cast(fail_bits as bigint) as fail_bits, fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept
 from b
 """
+)
+
+
+def ablation_report(docs: DataFrame) -> DataFrame:
+    """policy, rule, n_fail, n_alone, n_kept of every rule of every policy, from one stored ledger."""
+    stored = cut(ledger(docs).select("doc_id", "fail_bits"))
+    out = None
+    for policy in POLICIES:
+        one = ablation(stored, policy).select(F.lit(policy).alias("policy"), "rule", "n_fail", "n_alone", "n_kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_RULE_ROWS = ", ".join(f"('{policy}', '{rule}', {BIT[rule]}, {mask(policy)})" for policy, rules in POLICIES.items() for rule in rules)
+
+ABLATION_SQL = (
+    LEDGER_SQL
+    + f""", r(policy, rule, bit, mask) as (values {_RULE_ROWS})
+select policy, rule, count(*) filter (fail_bits & bit <> 0) as n_fail, count(*) filter (fail_bits & mask = bit) as n_alone, count(*) filter (fail_bits & mask = 0) as n_kept
+from b, r group by policy, rule
+"""
+)

@@ -31,6 +31,11 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone, from the ledger of operator 2."""
+    return quality_rules.ablation_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +73,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_quality_ledger": op2_quality_ledger,
+    "quality_ablation": quality_ablation,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_rotation": chat_rotation.ORACLE_SQL,
     "op2_quality_ledger": quality_rules.ORACLE_SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
     "op4_decontaminate": decontamination.ORACLE_SQL,
     "op5_secret_scan": secret_scans.ORACLE_SQL,
     "op6_ngram_join": ngram_join.ORACLE_SQL,

@@ -551,7 +551,7 @@ def test_every_speaker_gets_its_view(spark):
     rows += [(4, k, "ann" if k % 2 else "bob", f"t{k}") for k in range(150)]
     got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("mine"))).collect()
     view = {(r["conv_id"], r["speaker"], r["block"]): r for r in got}
-    ann = "".join(view[1, "ann", b]["text"] for b in (-1, 0))
+    ann = "".join(r["text"] for k, r in sorted(view.items(), key=lambda x: x[0][2]) if k[:2] == (1, "ann"))
     assert ann == "<|user name=unknown|>\nfirst<|end|>\n<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n" + "<|user name=bob|>\né?<|end|>\n" * 2 + "<|assistant|>\n<|end|>\n"
     for r in got:
         spans = [tuple(map(int, s.split(":"))) for s in r["mask_spans"].split(",") if s]
@@ -559,4 +559,8 @@ def test_every_speaker_gets_its_view(spark):
         assert all(r["text"][:s].endswith("<|assistant|>\n") and r["text"][:e].endswith("<|end|>\n") for s, e in spans)
     assert (None, "eve", 0) in view and not any(k[0] == 3 for k in view)
     assert [view[4, "bob", b]["n_turns"] for b in range(3)] == [64, 64, 22]
+    unknown = [(5, 0, "unknown", "hi"), (5, 1, None, "anon")] + [(5, None, None, f"n{k}") for k in range(300)]
+    parts = chat_rotation.rotate(spark.createDataFrame(unknown, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["speaker"] for r in parts} == {"unknown"} and sum(r["n_masked"] for r in parts) == len("hi<|end|>\n")
+    assert sum(r["n_turns"] for r in parts) == 302 and len({r["block"] for r in parts}) > 50
     assert chat_rotation.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
