@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,15 @@ def _remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def forget() -> None:
-    """Remove what `cut` wrote in this session, when no frame that reads it is used any more."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        if spark.sparkContext._jsc is not None:
+def forget(*frames: DataFrame) -> None:
+    """Remove the files of frames that `cut` returned (without any: of all of them), which nothing may read any more."""
+    for path in [_PATH_OF[f] for f in frames] if frames else list(_WRITTEN):
+        spark = _WRITTEN.pop(path, None)
+        if spark is not None and spark.sparkContext._jsc is not None:
             _remove(spark, path)
 
 
@@ -67,8 +69,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    _PATH_OF[out] = path
+    return out
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -20,20 +20,21 @@ def connected(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
+        points = cut(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")))
         if labels is None:
             labels = cut(points.select("node", F.col("to").alias("component")))
-            points = labels.select("node", F.col("component").alias("to"))
         else:
-            points = cut(points)
             at = points.select(F.col("node").alias("component"), "to")
-            labels = cut(
-                labels.join(at, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            )
+            before = labels
+            labels = cut(before.join(at, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            forget(before)
         left = points.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = points.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = cut(
+        left_over = cut(
             edges.join(left, "a").join(right, "b").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         )
+        forget(edges, points)
+        edges = left_over
         if edges.isEmpty():
+            forget(edges)
             return labels

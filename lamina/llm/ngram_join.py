@@ -8,18 +8,22 @@ are compared MinHash value by MinHash value; a pair is dropped as soon as the po
 that it reaches the threshold, given the matches so far, falls below `tolerance`, and the rest are verified on the
 shingle sets themselves.
 
-Scale: a large group is cut into blocks of bounded size by hash, and every pair of blocks is a task of its own;
-small groups share tasks. Pairs never leave a task: it returns a count of links per class and a
-spanning forest of them. Texts move only for classes in candidate groups. Tables that are used
-twice are written to the shared folder. The members of candidate groups are sent to all tasks while they
-are at most `most_sent` rows, and joined by a shuffle beyond.
+Scale: a group that is larger than a block is first split on MinHash values alone: its classes, of half a kilobyte each,
+are compared in pairs of blocks of `sketch_block` rows, and what hangs together by pairs that the pruning leaves is a
+group of its own. So groups that only hang together by chains of unlike texts come apart before texts move. What is still
+larger than a block are near copies of each other, whose links have to be counted one by one: it is cut into blocks of
+bounded size by hash, and every pair of blocks is a task of its own, to which a text is sent once for each block of its group.
+Small groups share tasks. Pairs never leave a task: it returns a count of links per class and a spanning forest of them.
+Texts move only for classes in candidate groups. Tables that are used twice are written to the shared folder. The
+members of candidate groups are sent to all tasks while they are at most `most_sent` rows, and joined by a shuffle beyond.
 
 Recall: bands of `ROWS` values, `BANDS` of them, miss a pair at the threshold with a probability of
 about 5e-6, the pruning with less than 1e-6.
 
 Defined cases: a text without words (null, empty, blank) links to nothing and is its own class; a text
 of fewer than five words is one shingle; repeated rows are copies of each other; a class's id is its
-least doc_id (null if it has none); an empty table gives no rows; other columns are ignored.
+least doc_id (null if it has none); very long texts are read whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-7
 BANDS, ROWS = 40, 6
 COMPARED, STEP = 128, 16
-BLOCK = 600_000
+BLOCK = 1_200_000
+SKETCH_BLOCK = 4096
 ROW_COST = 500
 MOST_SENT = 500_000
 
@@ -94,6 +99,27 @@ def candidate_groups(sketched: DataFrame) -> DataFrame:
     return connected(stars.distinct())
 
 
+class _Forest:
+    """Which places hang together so far."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return k
+
+    def joined(self, a: int, others: np.ndarray) -> Iterator[int]:
+        """Those of others that did not hang together with a, which now do."""
+        for b in others.tolist():
+            x, y = self.find(a), self.find(b)
+            if x != y:
+                self.root[x] = y
+                yield b
+
+
 class _Compare:
     """The task of one pair of blocks, or of several small groups."""
 
@@ -101,16 +127,9 @@ class _Compare:
         self.per_mille = round(threshold * 1000)
         self.steps = [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, COMPARED + 1, STEP)]
 
-    def pairs(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each of left: the places in right it is linked to. Where left and right are equal, only later ones."""
-        hashes = MinHash(COMPARED)
-        signatures = np.stack([hashes.of(s) for s in sets])
-        sizes = np.array([len(s) for s in sets])
-        columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        inside = np.concatenate([columns[bounds[k] : bounds[k + 1]] for k in right])
-        starts = np.concatenate(([0], np.cumsum(sizes[right])[:-1]))
-        mark = np.zeros(int(columns.max()) + 1, np.int32)
+    def survivors(self, signatures: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each of left: the places in `right` that neither sizes nor MinHash values rule out. Where left and right are
+        equal, only later ones."""
         same = left is right
         for i, a in enumerate(left.tolist()):
             live = np.arange(i + 1 if same else 0, len(right))
@@ -123,8 +142,20 @@ class _Compare:
                 matches += (signatures[right[live], done:n] == signatures[a, done:n]).sum(axis=1)
                 keep = matches >= least
                 live, matches, done = live[keep], matches[keep], n
-            if not len(live):
-                continue
+            if len(live):
+                yield a, live
+
+    def pairs(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each of left: the places in right it is linked to. Where left and right are equal, only later ones."""
+        sizes = np.array([len(s) for s in sets])
+        hashes = MinHash(COMPARED)
+        signatures = np.stack([hashes.of(s) for s in sets])
+        columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        inside = np.concatenate([columns[bounds[k] : bounds[k + 1]] for k in right])
+        starts = np.concatenate(([0], np.cumsum(sizes[right])[:-1]))
+        mark = np.zeros(int(columns.max()) + 1, np.int32)
+        for a, live in self.survivors(signatures, sizes, left, right):
             own = columns[bounds[a] : bounds[a + 1]]
             mark[own] = 1
             if len(live) * 4 > len(right):
@@ -160,24 +191,14 @@ class _Compare:
                 continue
             copies = np.array([r["copies"] for r in own])
             count = np.zeros(len(own), np.int64)
-            root = list(range(len(own)))
-
-            def find(k, root=root):
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
+            forest = _Forest(len(own))
             for a, hit in self.pairs([s for _, s in held.values()], left, right):
                 count[a] += copies[hit].sum()
                 count[hit] += copies[a]
-                for b in hit.tolist():
-                    x, y = find(a), find(b)
-                    if x != y:
-                        root[x] = y
-                        nodes.append(own[a]["node"])
-                        others.append(own[b]["node"])
-                        links.append(0)
+                for b in forest.joined(a, hit):
+                    nodes.append(own[a]["node"])
+                    others.append(own[b]["node"])
+                    links.append(0)
             for k in np.flatnonzero(count).tolist():
                 nodes.append(own[k]["node"])
                 others.append(None)
@@ -188,12 +209,64 @@ class _Compare:
         )
 
 
+def _texts_of(docs: DataFrame, placed: DataFrame, most_sent: int) -> DataFrame:
+    """placed (least_id and others) with the text of each, those that share a doc_id with each other's."""
+    if placed.count() <= most_sent:
+        placed = F.broadcast(placed)
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    return texts.join(placed, texts["doc_id"].eqNullSafe(placed["least_id"])).drop("doc_id", "least_id")
+
+
+def _block_pairs(n_blocks, block):
+    """For each block of a group: the pair it makes with `block`, the lesser first."""
+    return F.transform(
+        F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda j: F.struct(F.least(block, j).alias("first"), F.greatest(block, j).alias("second"))
+    )
+
+
+def _split(docs: DataFrame, members: DataFrame, threshold: float, tolerance: float, most_sent: int, sketch_block: int) -> DataFrame:
+    """members of large groups, regrouped by what hangs together by pairs that their MinHash values leave."""
+    n = members.groupBy("component").agg(F.ceil(F.count("*") / sketch_block).alias("n_blocks"))
+    placed = members.join(n, "component").select("node", "component", "least_id", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block"))
+    compare = _Compare(threshold, tolerance)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = MinHash(COMPARED)
+        for batch in pieces(batches, "text"):
+            sets = [shingle_set(x or b"") for x in batch.column("text").to_pylist()]
+            at = [k for k, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if len(s) and set_key(s) == node]
+            kept = batch.select(["node", "component", "n_blocks", "block"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array([len(sets[k]) for k in at], pa.int64()), pa.array([hashes.of(sets[k]).tobytes() for k in at], pa.binary())],
+                [*kept.schema.names, "size", "signature"],
+            )
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list({r["node"]: r for r in table.to_pylist()}.values())
+        signatures = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows])
+        sizes, block = (np.array([r[c] for r in rows]) for c in ("size", "block"))
+        left = np.flatnonzero(block == rows[0]["first"])
+        right = left if rows[0]["first"] == rows[0]["second"] else np.flatnonzero(block == rows[0]["second"])
+        forest, a_of, b_of = _Forest(len(rows)), [], []
+        for a, live in compare.survivors(signatures, sizes, left, right):
+            for b in forest.joined(a, right[live]):
+                a_of.append(rows[a]["node"])
+                b_of.append(rows[b]["node"])
+        return pa.table([pa.array(a_of, pa.binary()), pa.array(b_of, pa.binary())], names=["a", "b"])
+
+    signed = _texts_of(docs, placed, most_sent).mapInArrow(sign, "node binary, component binary, n_blocks long, block long, size long, signature binary")
+    dealt = signed.withColumn("pair", F.explode(_block_pairs(F.col("n_blocks"), F.col("block")))).select(
+        "node", "component", "block", "size", "signature", "pair.first", "pair.second"
+    )
+    pairs = dealt.groupBy("component", "first", "second").applyInArrow(run, "a binary, b binary")
+    return connected(pairs).join(members.drop("component"), "node")
+
+
 def _verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance: float, most_sent: int, block: int) -> DataFrame:
     """node, other (an edge of the spanning forest, or null), links (documents linked to the node in one task)."""
     cost = members.groupBy("component").agg(F.sum(F.col("n_shingles") + ROW_COST).alias("cost"))
     totals = cost.agg(F.sum(F.when(F.col("cost") <= block, F.col("cost"))).alias("small")).first()
     n_small = 1 + int((totals["small"] or 0) // block)
-    n_members = members.count()
     n_blocks = F.ceil(F.col("cost") / block)
     placed = members.join(cost, "component").select(
         "node",
@@ -204,14 +277,8 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance:
         n_blocks.alias("n_blocks"),
         F.pmod(F.xxhash64("node"), n_blocks).alias("block"),
     )
-    if n_members <= most_sent:
-        placed = F.broadcast(placed)
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    held = texts.join(placed, texts["doc_id"].eqNullSafe(placed["least_id"])).drop("doc_id", "least_id")
-    tasks = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1),
-        lambda j: F.struct(F.least("block", j).alias("first"), F.greatest("block", j).alias("second")),
-    )
+    held = _texts_of(docs, placed, most_sent)
+    tasks = _block_pairs(F.col("n_blocks"), F.col("block"))
     dealt = held.withColumn("pair", F.explode(tasks)).select(
         "node", "component", "copies", "text", "block", "pair.first", "pair.second",
         F.when(F.col("n_blocks") == 1, F.concat_ws(":", F.lit("small"), F.pmod(F.xxhash64("component"), F.lit(n_small)).cast("string")))
@@ -232,6 +299,7 @@ def join(
     tolerance: float = TOLERANCE,
     most_sent: int = MOST_SENT,
     block: int = BLOCK,
+    sketch_block: int = SKETCH_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """Two frames. Per document: doc_id, node (its class of equal shingle sets). Per class: node, component, class_id (least doc_id
     of all documents that hang together by links), least_id (of its own), copies (documents in the class), links (other documents linked
@@ -241,6 +309,11 @@ def join(
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")
     )
     members = cut(candidate_groups(sketched).join(classes, "node"))
+    cost = members.groupBy("component").agg(F.sum(F.col("n_shingles") + ROW_COST).alias("cost"))
+    large = cost.filter(F.col("cost") > block).select("component")
+    if not large.isEmpty():
+        parts = _split(docs, members.join(large, "component", "left_semi"), threshold, tolerance, most_sent, sketch_block)
+        members = cut(members.join(large, "component", "left_anti").unionByName(parts.select(*members.columns)))
     found = cut(_verified(docs, members, threshold, tolerance, most_sent, block))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -267,30 +340,38 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group of linked ones: the one of least doc_id. Texts without words all stay."""
-    _, classes = join(docs, **options)
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    """docs with one document of each group of linked ones: the one of least doc_id, and of several such rows with equal words
+    the one whose columns as JSON come first. Texts without words all stay.
+
+    Texts move once, to the decision on their doc_id; only rows that share a doc_id are hashed again."""
+    documents, classes = join(docs, **options)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     stays = (
         classes.filter(F.col("least_id").eqNullSafe(F.col("class_id")))
         .groupBy("component")
-        .agg(F.min("node").alias("_node"), F.max(name("class_id")).alias("_id"))
-        .drop("component")
+        .agg(F.min("node").alias("node"), F.max(name("class_id")).alias("_id"))
+        .select("_id", "node", F.lit(True).alias("_first"))
     )
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest")
-    held = docs.select("doc_id", "text", packed, F.lit(None).cast("binary").alias("_node"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            sets = [shingle_set(x.encode()) if x else () for x in batch.column("text").to_pylist()]
-            nodes = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("rest"), nodes], ["doc_id", "text", "rest", "_node"])
-
-    keyed = held.drop("_node").mapInArrow(run, held.schema).withColumn("_id", name("doc_id"))
-    one = keyed.join(stays, ["_id", "_node"]).dropDuplicates(["_id", "_node"])
-    wordless = keyed.filter("_node is null")
-    every = one.select("doc_id", "text", "rest").unionByName(wordless.select("doc_id", "text", "rest"))
-    return every.select(*[F.col(f"rest.`{c}`") if c in rest else F.col(c) for c in docs.columns])
+    each = documents.select(name("doc_id").alias("_id"), "node").join(stays, ["_id", "node"], "left")
+    stay = F.col("node").isNull() | F.coalesce("_first", F.lit(False))
+    decided = cut(each.groupBy("_id").agg(F.count("*").alias("_n"), F.max(stay).alias("_stay")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(name("doc_id").alias("_id"), "text", F.struct(*columns).alias("row"))
+    out = packed.join(decided.filter("_n = 1 and _stay").select("_id"), "_id", "left_semi")
+    repeated = decided.filter("_n > 1").select("_id")
+    if not repeated.isEmpty():
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text"):
+                sets = [shingle_set(x.encode()) if x else () for x in batch.column("text").to_pylist()]
+                nodes = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "node"])
+
+        rows = packed.join(repeated, "_id", "left_semi")
+        keyed = rows.mapInArrow(run, rows.withColumn("node", F.lit(None).cast("binary")).schema)
+        one = keyed.join(stays, ["_id", "node"], "left_semi").groupBy("_id", "node").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.select("row").unionByName(keyed.filter("node is null").select("row")).unionByName(one.select("row"))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -313,6 +313,28 @@ def test_join_against_brute_force(spark, block):
     assert kept == want
 
 
+def test_chained_groups_come_apart(spark, monkeypatch):
+    """A chain of texts, each a half like the next: one candidate group, split before texts move."""
+    rng = random.Random(9)
+    ws = [f"c{rng.randint(0, 10**6)}" for _ in range(2000)]
+    rows = [(k, " ".join(ws[k * 20 : k * 20 + 120])) for k in range(60)] + [(k + 100, rows_k) for k, rows_k in enumerate([" ".join(ws[k * 20 : k * 20 + 120]) + " more" for k in range(0, 60, 7)])]
+    seen = []
+    split = ngram_join._split
+    monkeypatch.setattr(ngram_join, "_split", lambda docs, members, *a: (seen.append((members.select("component").distinct().count(), members.count())), split(docs, members, *a))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.report(docs, block=9000, sketch_block=16)
+    assert sorted(map(tuple, got.collect()), key=repr) == linked_plainly(rows)
+    assert seen and seen[0][1] > 20
+
+
+def test_a_defined_row_of_several_stays(spark):
+    rows = [(1, "a b c d e f", s, n) for s, n in [("y", 1), ("x", 2), ("x", 1)]] + [(1, "other words of the same id here", "z", 1), (2, "a b c d e f", "a", 1), (None, "no id at all", "b", 2), (None, "no id at all", "b", 1)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        kept = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, "a b c d e f", "x", 1), (1, "other words of the same id here", "z", 1), (None, "no id at all", "b", 1)]))
+
+
 def test_join_on_odd_rows(clashing, empty):
     got = ngram_join.report(clashing)
     assert got.count() == len(ODD) and got.filter("doc_id = 5 and n_links = 1 and n_copies = 2 and class_id = 5").count() == 2
