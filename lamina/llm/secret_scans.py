@@ -1,22 +1,25 @@
 """Secret scans through a trigram inverted index (DataFrame functions only).
 
-From each rule's regex a Boolean query over mandatory trigrams is derived. The trigrams that the rules
-ask for are looked up in every text, which gives the postings (trigram, document); the postings are
-intersected to the documents that satisfy a rule's query, and only those are verified with the regex. A
-rule without mandatory trigrams is run over every text.
+An index holds, for every trigram of every text, a posting (trigram, doc_id): lower-cased trigrams of letters, digits,
+underscores and hyphens. From each rule's regex a Boolean query over mandatory trigrams is derived, the postings are
+intersected to the documents that satisfy it, and only those are verified with the regex. A rule without mandatory
+trigrams is run over every text. An index that is kept (`index`) serves any rules that come later: they read the postings
+of their own trigrams and no text but their candidates'.
 
-Scale: a posting is a number and a bit, combined to one row a document before its shuffle. The texts
-are shuffled once, to meet their candidate masks (Spark sends the masks instead where they are small);
-AQE splits a hot key of that join. With a stored index (`postings`), new rules read no text but their
-candidates'.
+Scale: the index is made without a shuffle, each task sorting the postings of its own texts by trigram, so each file is a
+small inverted index and a lookup skips all row groups but its trigram's. Of the postings that rules ask for one row a
+document goes through a shuffle. The resulting masks are sent to the tasks while they are at most `most_sent` rows, so
+texts don't move; beyond that texts and masks meet in a join (AQE splits a hot key of it).
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are scanned each by itself;
 rows that share a doc_id (or have none) share their candidate mask, which can only add candidates;
-spans are in code points, end exclusive; an empty table gives no rows; other columns are ignored.
+spans are in code points, end exclusive; very long texts are indexed and scanned whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_or_empty
+from .common import cut, pick, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,9 @@ MASKED = "[secret]"
 Query = None | str | tuple
 MOST_STRINGS = 32
 MASK_BITS = 63
+#: The trigrams that an index holds.
+INDEXED = "[a-z0-9_-]{3}"
+MOST_SENT = 500_000
 
 
 def _grams_of(query: Query) -> frozenset | None:
@@ -88,7 +94,8 @@ def _or(*parts: Query) -> Query:
 
 def _grams(strings: set[str]) -> Query:
     """That one of these strings occurs."""
-    return _or(*(_and(*(s[i : i + 3] for i in range(len(s) - 2))) for s in sorted(strings)))
+    indexed = re.compile(INDEXED)
+    return _or(*(_and(*(s[i : i + 3] for i in range(len(s) - 2) if indexed.fullmatch(s, i, i + 3))) for s in sorted(strings)))
 
 
 def _strings(items) -> set[str] | None:
@@ -161,12 +168,12 @@ def _holds(query: Query, bit: dict[str, int]) -> Column:
     return out
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index for these trigrams: gram, doc_id (a row for each document that has it)."""
-    lower = F.lower(text_or_empty())
-    texts = pick(docs, "doc_id", "text").select("doc_id", lower.alias("text"))
-    there = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(F.col("text"), g))
-    return texts.select("doc_id", F.explode(there).alias("gram"))
+def postings(docs: DataFrame) -> DataFrame:
+    """The inverted index of all texts: gram, doc_id, a row for each document that has the trigram, in order of trigrams
+    within each partition. Keep it as Parquet to use it for more rules."""
+    found = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(f"(?=({INDEXED}))"), F.lit(1))
+    each = pick(docs, "doc_id", "text").select(F.explode(F.array_distinct(found)).alias("gram"), "doc_id")
+    return each.sortWithinPartitions("gram")
 
 
 def candidates(index: DataFrame, rules: dict[str, Rule]) -> DataFrame:
@@ -208,11 +215,13 @@ def _found(text: Column, kind: str, order: int, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """docs (without a column `may` or `_id`) with `found` added: an array of (start, order, end, kind), by start, then by the rules' order."""
+def scan(docs: DataFrame, rules: dict[str, Rule] = RULES, index: DataFrame | None = None, most_sent: int = MOST_SENT) -> DataFrame:
+    """docs (without a column `may` or `_id`) with `found` added: an array of (start, order, end, kind), by start, then by the rules'
+    order. index: the postings of docs, if they are kept."""
     queries = {kind: trigram_query(r.pattern) for kind, r in rules.items()}
-    grams = sorted({g for q in queries.values() for g in query_grams(q)})
-    masks = candidates(postings(docs, grams), rules).select(F.col("doc_id").alias("_id"), "may")
+    masks = cut(candidates(cut(postings(docs)) if index is None else index, rules).select(F.col("doc_id").alias("_id"), "may"))
+    if masks.count() <= most_sent:
+        masks = F.broadcast(masks)
     joined = docs.join(masks, docs["doc_id"].eqNullSafe(masks["_id"]), "left").drop("_id")
     text = text_or_empty()
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string>>)")
@@ -229,9 +238,9 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def report(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
+def report(docs: DataFrame, rules: dict[str, Rule] = RULES, index: DataFrame | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    found = scan(pick(docs, "doc_id", "text"), rules)
+    found = scan(pick(docs, "doc_id", "text"), rules, index, most_sent)
     base = F.filter("found", lambda s: s["order"] < len(BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["order"] == k)).cast("long")
     return found.select(
@@ -242,10 +251,10 @@ def report(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rules: dict[str, Rule] = RULES, masked: str = MASKED) -> DataFrame:
+def redact(docs: DataFrame, rules: dict[str, Rule] = RULES, masked: str = MASKED, most_sent: int = MOST_SENT) -> DataFrame:
     """docs with every stretch that spans cover replaced by `masked`; rows without spans stay as they are."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    found = scan(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")), rules)
+    found = scan(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")), rules, None, most_sent)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):

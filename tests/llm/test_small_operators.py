@@ -252,6 +252,8 @@ def test_queries_hold_for_what_the_rule_matches(kind):
         "slack": ["xoxp-1234567890"], "google": ["AIza" + "b" * 35], "stripe": ["sk_live_" + "1" * 16], "jwt": ["eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 10], "private_key": ["-----BEGIN EC PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"],
     }
 
+    assert (secret_scans.trigram_query(secret_scans.RULES[kind].pattern) is None) == (kind == "hex")
+
     def holds(q, t):
         return q is None or (q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, t) for p in q[1]))
 
@@ -260,6 +262,19 @@ def test_queries_hold_for_what_the_rule_matches(kind):
         assert holds(secret_scans.trigram_query(secret_scans.RULES[kind].pattern), s.lower())
 
 
+def test_a_kept_index_serves_later_rules(spark, tmp_path):
+    rows = [(k, f"text {k} of words") for k in range(40)] + [(100, "see npm_" + "a1" * 18), (101, "NPM_" + "b" * 36), (102, None), (103, "Account Key here: zzzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    secret_scans.postings(docs).write.parquet(str(tmp_path / "index"))
+    kept = spark.read.parquet(str(tmp_path / "index"))
+    assert {r["doc_id"] for r in kept.filter("gram = 'npm'").collect()} == {100, 101} and kept.filter("gram like '% %'").count() == 0
+    rules = {"npm": secret_scans.Rule(r"npm_[A-Za-z0-9]{36}"), "any": secret_scans.Rule(r"zz+"), "key": secret_scans.Rule(r"Account Key")}
+    assert {r["doc_id"]: r["may"] for r in secret_scans.candidates(kept, rules).collect()} == {100: 1, 101: 1, 103: 4}
+    for most_sent in (10, 0):
+        got = {r["doc_id"]: r["spans"] for r in secret_scans.report(docs, rules, kept, most_sent).collect()}
+        assert {k: v for k, v in got.items() if v} == {100: "npm:4:44", 103: "key:0:11,any:18:22"}
+
+
 def test_secrets_on_odd_rows(clashing, empty):
     got = secret_scans.report(clashing)
     assert got.count() == len(ODD) and got.filter("doc_id = 6 and n_assign = 1").count() == 1
