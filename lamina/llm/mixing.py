@@ -5,18 +5,20 @@ distributed prefix sum of their sizes gives each its place on the source's word
 source's budget cuts the axis: whole rounds (epochs) first, then the prefix that fills the rest. The
 document on the cut is taken in part, so a source's total is its rounded target exactly.
 
-Scale: the key space is cut into equal ranges, so the sort of one source runs as many independent
-tasks however large the source is; only one row per (source, range) goes through the second level
+Scale: the key space is cut into equal ranges, more of them for more rows, so the sort of one source runs as many
+independent tasks however large the source is; only one row per (source, range) goes through the second level
 of the prefix sum, and one row per source through the budget. Texts are never shuffled.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of
 its own, last in order; a repeated row is a document of its own; ties of the key are broken by
-doc_id, then size, and equal rows beyond that are interchangeable; an empty table gives no rows;
-other columns are ignored.
+doc_id, then size, and equal rows beyond that are interchangeable; very long texts are counted whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,6 +28,8 @@ from .common import WORD, cut, pick, text_or_empty
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
 SEED = 20240101
+#: Rows in one range of keys, about, if all were of one source.
+RANGE_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,15 +73,20 @@ def mix(
     weights: tuple = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
-    digits: int = 2,
+    digits: int | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the document that the mix takes).
 
     digits: leading hexadecimal digits of the random key that name a range, so each source is cut into
-    16**digits ranges; a matter of layout alone, the result is the same for any.
+    16**digits ranges (by default as the number of rows asks); a matter of layout alone, the result is the same for any.
     """
     rows = cut(sized(pick(docs, "doc_id", "source", "text"), seed).drop("text"))
-    return cut_at_budgets(rows, weights, max_epochs, digits).select("doc_id", "size", "source_size", "target", "taken")
+    return cut_at_budgets(rows, weights, max_epochs, digits or digits_for(rows.count())).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def digits_for(n_rows: int) -> int:
+    """Hexadecimal digits that give ranges of RANGE_ROWS rows or fewer, two at least."""
+    return max(2, math.ceil(math.log(max(1, n_rows / RANGE_ROWS), 16)))
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -109,13 +118,13 @@ def cut_at_budgets(
     return joined.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("_source", "_range", "_within", "_ahead", "_start")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, digits: int = 2) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, digits: int | None = None) -> DataFrame:
     """docs with size, source_size, target and taken (columns of these names are replaced), without those of which nothing is
     taken. Texts move once, to their place in the order."""
     added = ("size", "source_size", "target", "taken")
     rest = [c for c in docs.columns if c not in ("doc_id", "source", "text", *added)]
     held = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
-    rows = cut_at_budgets(sized(held, seed), weights, max_epochs, digits).filter("taken > 0")
+    rows = cut_at_budgets(sized(held, seed), weights, max_epochs, digits or digits_for(docs.count())).filter("taken > 0")
     own = [c for c in docs.columns if c not in added]
     return rows.select(*[F.col(f"rest.`{c}`") if c in rest else F.col(c) for c in own], *added)
 

@@ -13,7 +13,7 @@ read.
 
 Defined cases: a null or unparsable url and a null date match nothing and are not blocked; entries with a
 null list, key, date or an action other than add or remove are ignored; of the entries of one list, key and date a
-removal wins; repeated captures are judged alike and all returned; without entries nothing is blocked;
+removal wins; very long urls are read whole; repeated captures are judged alike and all returned; without entries nothing is blocked;
 other columns are ignored.
 """
 

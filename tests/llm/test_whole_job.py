@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lamina.llm import html_extraction, url_filters
+from lamina.llm.common import cut
 
 PAGES = "page_id long, url string, html string"
 
@@ -112,3 +114,32 @@ def test_entries_of_any_depth_and_urls_with_user_names(spark):
     assert {u: r["decided_by"] for u, r in got.items()} == urls
     assert all(r["blocked"] == (r["decided_by"] or "").startswith("block") for r in got.values())
     assert got["http://me@h.io:80/a/b/c/d/e/f/g/h"]["n_active"] == 3
+
+
+def test_url_filters_with_clashing_columns_and_empty_tables(spark):
+    day = datetime.date(2024, 5, 1)
+    names = ("key", "month", "since", "until", "n_active", "best", "blocked", "decided_by", "levels", "first", "last")
+    captures = spark.createDataFrame([(1, "http://a.b/" + "x/" * 2000, day), (1, "http://a.b/" + "x/" * 2000, day)], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("block", "a.b/x/x", "add", day), ("block", "a.b/x/x", "add", day)], "list string, key string, action string, since date")
+    odd = captures.withColumns({c: F.lit("mine") for c in names})
+    got = url_filters.evaluate(odd, entries.withColumns({c: F.lit("mine") for c in ("url", "fetched", "until", "month", "_before", "levels")})).collect()
+    assert [(r["n_active"], r["blocked"], r["decided_by"]) for r in got] == [(1, True, "block:a.b/x/x")] * 2
+    assert url_filters.evaluate(odd.limit(0), entries).count() == 0
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------------
+
+
+def test_stages_on_odd_clashing_and_empty_rows(spark, clashing, empty, tmp_path):
+    folder = str(tmp_path / "tables")
+    clashing.filter("false").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "the same row"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for docs in (clashing, empty):
+        columns, n = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES:
+            docs = cut(stage(spark, docs, folder))
+            if stage is not corpus_pipeline.STAGES[-1][1]:
+                assert docs.columns == columns
+        assert docs.filter("taken <= 0").count() == 0 and (docs.count() > 0) == (n > 0)
+        if n:
+            assert docs.filter("_score = 'mine' and may = 'mine' and key = 'mine'").count() == docs.count()
