@@ -21,8 +21,10 @@ def _resized(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, into="_score")
-    return scored.filter(F.col("_score") >= quality_classifier.THRESHOLD).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality_classifier.score(docs, model, into=name).filter(F.col(name) >= quality_classifier.THRESHOLD).drop(name)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
