@@ -357,7 +357,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     decided = cut(each.groupBy("_id").agg(F.count("*").alias("_n"), F.max(stay).alias("_stay")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(name("doc_id").alias("_id"), "text", F.struct(*columns).alias("row"))
-    out = packed.join(decided.filter("_n = 1 and _stay").select("_id"), "_id", "left_semi")
+    out = packed.join(decided.filter("_n = 1 and _stay").select("_id").hint("merge"), "_id", "left_semi")
     repeated = decided.filter("_n > 1").select("_id")
     if not repeated.isEmpty():
 
