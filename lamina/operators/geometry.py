@@ -143,6 +143,30 @@ def about(matrix: list[list[Column]], center: list[float], shift: list[Column])
     return out
 
 
+def scaling(factors: list[Column]) -> list[list[Column]]:
+    """n x n, a factor for each axis."""
+    return [[f if i == j else F.lit(0.0) for j in range(len(factors))] for i, f in enumerate(factors)]
+
+
+def affine(matrix: list[list[Column]], shift: list[Column] | None = None) -> list[list[Column]]:
+    """n x (n + 1): p -> matrix p + shift."""
+    return [[*row, shift[i] if shift else F.lit(0.0)] for i, row in enumerate(matrix)]
+
+
+def translation(shift: list[Column]) -> list[list[Column]]:
+    """n x (n + 1): p -> p + shift."""
+    return affine(scaling([F.lit(1.0)] * len(shift)), shift)
+
+
+def composed(*steps: list[list[Column]]) -> list[list[Column]]:
+    """The affine n x (n + 1) matrix that does the last of the given ones first."""
+    out = steps[0]
+    for step in steps[1:]:
+        last = [F.lit(0.0)] * len(step) + [F.lit(1.0)]
+        out = product(out, [*step, last])
+    return out
+
+
 def flattened(matrix: list[list[Column]]) -> Column:
     """A matrix as an array column, row by row."""
     return F.array(*[e.cast("double") for row in matrix for e in row])
@@ -225,28 +249,35 @@ def transform_2d_dense(stack: DataFrame, kernel: str = "linear", border: str = "
 # --- polar grids, symmetry ---------------------------------------------------------------------------------------
 
 
-def _angle(i: Column, n: int, span: float) -> Column:
-    return i * (span / n)
+def _along(i: Column, n: int, ends: tuple[float, float], endpoint: bool = False) -> Column:
+    """The i-th of n even places from ends[0] to ends[1], that one included with endpoint."""
+    return ends[0] + i * ((ends[1] - ends[0]) / max(1, n - 1 if endpoint else n))
+
+
+TURN = (0.0, 2 * math.pi)
 
 
-def cartesian2polar(pixels: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], center: tuple[float, float], rho: tuple[float, float], kernel: str = "linear") -> DataFrame:
-    """Images on a grid of angles (rows, [0, 2 pi)) and radii (columns, [rho) without its end)."""
+def cartesian2polar(pixels: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], center: tuple[float, float], rho: tuple[float, float], kernel: str = "linear", phi: tuple[float, float] = TURN, phi_endpoint: bool = False, rho_endpoint: bool = False) -> DataFrame:
+    """Images on a grid of angles (rows) and radii (columns), each from the first to the second of its ends, which is left out
+    unless asked for."""
     n_phi, n_rho = polar
     targets = grid(images.select("image_id"), (1, n_phi, n_rho)).withColumn("out_id", F.col("image_id"))
-    phi = _angle(F.col("y"), n_phi, 2 * math.pi)
-    r = rho[0] + F.col("x") * ((rho[1] - rho[0]) / n_rho)
-    there = targets.withColumns({"cy": center[0] + r * F.sin(phi), "cx": center[1] + r * F.cos(phi)})
+    angle, r = _along(F.col("y"), n_phi, phi, phi_endpoint), _along(F.col("x"), n_rho, rho, rho_endpoint)
+    there = targets.withColumns({"cy": center[0] + r * F.sin(angle), "cx": center[1] + r * F.cos(angle)})
     return gather(pixels, there, ["out_id", "y", "x"], shape, kernel)
 
 
-def polar2cartesian(polar_pixels: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], center: tuple[float, float], rho: tuple[float, float], kernel: str = "linear") -> DataFrame:
-    """Back to an image of the given shape; what the polar grid doesn't cover is 0."""
+def polar2cartesian(polar_pixels: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], center: tuple[float, float], rho: tuple[float, float], kernel: str = "linear", phi: tuple[float, float] = TURN, phi_endpoint: bool = False, rho_endpoint: bool = False) -> DataFrame:
+    """Back to an image of the given shape; what the polar grid doesn't cover is 0. The grid's angles begin within a turn
+    of 0."""
     n_phi, n_rho = polar
     targets = grid(images.select("image_id"), shape).withColumn("out_id", F.col("image_id"))
     dy, dx = F.col("y") - center[0], F.col("x") - center[1]
-    phi = F.atan2(dy, dx)
-    phi = F.when(phi < 0, phi + 2 * math.pi).otherwise(phi)
-    there = targets.withColumns({"cy": phi * (n_phi / (2 * math.pi)), "cx": (F.sqrt(dy * dy + dx * dx) - rho[0]) * (n_rho / (rho[1] - rho[0]))})
+    angle = F.atan2(dy, dx)
+    angle = F.when(angle < 0, angle + 2 * math.pi).otherwise(angle)
+    rows = max(1, n_phi - phi_endpoint) / (phi[1] - phi[0])
+    columns = max(1, n_rho - rho_endpoint) / (rho[1] - rho[0])
+    there = targets.withColumns({"cy": (angle - phi[0]) * rows, "cx": (F.sqrt(dy * dy + dx * dx) - rho[0]) * columns})
     return gather(polar_pixels, there, ["out_id", "y", "x"], (1, n_phi, n_rho), kernel)
 
 
@@ -325,13 +356,13 @@ def transform_spectrum_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, c
     return found.select("out_id", *FREQUENCIES, re.alias("re"), im.alias("im"))
 
 
-def spectrum2polar(spectrum: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], rho: tuple[float, float] = (0.0, 0.5)) -> DataFrame:
-    """Half spectra on a grid of angles (rows, [0, pi)) and frequencies (columns, rho in cycles a pixel, ends included)."""
+def spectrum2polar(spectrum: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], rho: tuple[float, float] = (0.0, 0.5), phi: tuple[float, float] = (0.0, math.pi), phi_endpoint: bool = False, rho_endpoint: bool = True) -> DataFrame:
+    """Half spectra on a grid of angles (rows) and frequencies (columns, rho in cycles a pixel), each from the first to the
+    second of its ends."""
     n_phi, n_rho = polar
     targets = grid(images.select("image_id"), (1, n_phi, n_rho))
-    phi = _angle(F.col("y"), n_phi, math.pi)
-    r = rho[0] + F.col("x") * ((rho[1] - rho[0]) / (n_rho - 1))
-    there = targets.select("image_id", F.col("image_id").alias("out_id"), "y", "x", F.lit(0.0).alias("fz"), (r * F.sin(phi) * float(shape[1])).alias("fy"), (r * F.cos(phi) * float(shape[2])).alias("fx"))
+    angle, r = _along(F.col("y"), n_phi, phi, phi_endpoint), _along(F.col("x"), n_rho, rho, rho_endpoint)
+    there = targets.select("image_id", F.col("image_id").alias("out_id"), "y", "x", F.lit(0.0).alias("fz"), (r * F.sin(angle) * float(shape[1])).alias("fy"), (r * F.cos(angle) * float(shape[2])).alias("fx"))
     return spectrum_gather(spectrum, there, ["out_id", "y", "x"], shape)
 
 

@@ -61,18 +61,24 @@ def convolve(pixels: DataFrame, shape: Shape, kernel: np.ndarray, border: str =
     return got.groupBy("image_id", *[F.col(f"o{a}").alias(a) for a in AXES]).agg(F.sum(F.col("v") * F.col("k")).alias("v"))
 
 
-def convolve_separable(pixels: DataFrame, kernels: dict[str, list[float]]) -> DataFrame:
-    """One 1-d kernel per axis, z, then y, then x; zero border. Each pass is a window along its lines."""
+def convolve_separable(pixels: DataFrame, kernels: dict[str, list[float]], border: str = "zero", shape: Shape | None = None) -> DataFrame:
+    """One 1-d kernel (of odd size) per axis, z, then y, then x. With a zero border each pass is a window along its lines; other
+    borders need the shape, and each pass a join of what its pixels read."""
     out = pixels
-    for axis in AXES:
+    for k, axis in enumerate(AXES):
         kernel = kernels.get(axis)
         if not kernel:
             continue
         half = len(kernel) // 2
+        if border != "zero":
+            along = [1, 1, 1]
+            along[k] = len(kernel)
+            out = convolve(out, shape, np.asarray(kernel, float).reshape(along), border)
+            continue
         line = W.partitionBy("image_id", *[a for a in AXES if a != axis]).orderBy(axis)
         total = F.lit(0.0)
-        for k, weight in enumerate(kernel):
-            step = k - half
+        for at, weight in enumerate(kernel):
+            step = at - half
             near = F.lead("v", step, 0.0).over(line) if step >= 0 else F.lag("v", -step, 0.0).over(line)
             total = total + near * F.lit(float(weight))
         out = out.withColumn("v", total)

@@ -184,18 +184,20 @@ def _slice_to_grid(fy: Column, fx: Column, ews_diameter_inverse: float) -> list[
 
 def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, cutoff: float = 0.5, ews_radius: float = 0.0) -> DataFrame:
     """volume_id, kz, ky, kx, re, im, weight: slices spread over the 8 nearest voxels of their volume's half spectrum. poses:
-    image_id, volume_id, matrix (3 x 3, forward rotation).
+    image_id, volume_id, matrix (3 x 3, forward rotation) and, if slices count unequally, a column `weight`, which scales what
+    a slice adds to values and weights alike.
 
     Eight rows for each slice element, summed before the shuffle, so the crowded low frequencies cost one row a task.
     The plane kx = 0 also gets the conjugates at its mirrored places, which keeps it Hermitian."""
     inverse = 1 / (2 * ews_radius) if ews_radius else 0.0
-    points = spectrum.select("image_id", "ky", "kx", "re", "im").join(poses.select("image_id", "volume_id", "matrix"), "image_id")
+    own = F.col("weight").cast("double") if "weight" in poses.columns else F.lit(1.0)
+    points = spectrum.select("image_id", "ky", "kx", "re", "im").join(poses.select("image_id", "volume_id", "matrix", own.alias("_own")), "image_id")
     f = _slice_to_grid(F.col("ky") / float(shape[1]), F.col("kx") / float(shape[2]), inverse)
     moved = points.withColumns({f"f{a}": c for a, c in zip(AXES, f, strict=True)})
     fz, fy, fx = (F.col(f"f{a}") for a in AXES)
     kept = moved.filter(fz * fz + fy * fy + fx * fx <= cutoff * cutoff)
     sign = F.when(fx < 0, -1.0).otherwise(1.0)
-    placed = kept.select("volume_id", "re", (F.col("im") * sign).alias("im"), *[(F.col(f"f{a}") * sign * float(n)).alias(f"f{a}") for a, n in zip(AXES, volume, strict=True)])
+    placed = kept.select("volume_id", "_own", "re", (F.col("im") * sign).alias("im"), *[(F.col(f"f{a}") * sign * float(n)).alias(f"f{a}") for a, n in zip(AXES, volume, strict=True)])
     low = {a: F.floor(f"f{a}").cast("long") for a in AXES}
     part = {a: F.col(f"f{a}") - F.col(f"b{a}") for a in AXES}
     based = placed.withColumns({f"b{a}": low[a] for a in AXES})
@@ -210,11 +212,11 @@ def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Sh
         if not step["x"]:  # the mirror, only where the base lies on the plane kx = 0
             on = F.when(F.col("bx") == 0, share)
             each.append(F.struct((-k["z"]).alias("kz"), (-k["y"]).alias("ky"), k["x"].alias("kx"), on.alias("share"), F.lit(-1.0).alias("s")))
-    spread = based.select("volume_id", "re", "im", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE)
+    spread = based.select("volume_id", (F.col("re") * F.col("_own")).alias("re"), (F.col("im") * F.col("_own")).alias("im"), "_own", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE)
     d, h, w = volume
     inside = spread.filter(F.col("t.kz").between(-(d // 2), (d - 1) // 2) & F.col("t.ky").between(-(h // 2), (h - 1) // 2) & F.col("t.kx").between(0, w // 2))
     return inside.groupBy("volume_id", *[F.col(f"t.{k}").alias(k) for k in FREQUENCIES]).agg(
-        F.sum(F.col("re") * F.col("t.share")).alias("re"), F.sum(F.col("im") * F.col("t.s") * F.col("t.share")).alias("im"), F.sum("t.share").alias("weight")
+        F.sum(F.col("re") * F.col("t.share")).alias("re"), F.sum(F.col("im") * F.col("t.s") * F.col("t.share")).alias("im"), F.sum(F.col("_own") * F.col("t.share")).alias("weight")
     )
 
 

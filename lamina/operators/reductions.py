@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..model import Shape
 from .dense import dense
+from .generators import iwise
 
 V = "v"
 
@@ -178,3 +180,10 @@ def reduce_axes_ewise(pixels: DataFrame, keys: Iterable[str], function) -> DataF
 def reduce_ewise(stack: DataFrame, zero: Column, accumulate, finish=None) -> DataFrame:
     """A user's reduction of each image: accumulate(state, value), then finish(state); columns, within the row."""
     return stack.select("image_id", F.aggregate("values", zero, accumulate, finish).alias("value"))
+
+
+def reduce_iwise(images: DataFrame, shape: Shape, keys: Iterable[str], value, **aggregates) -> DataFrame:
+    """Reductions of a function of the index alone, value(batch, z, y, x), over all axes but `keys`: for each name its
+    aggregate of a column. No pixels are read; images has `batch`."""
+    made = iwise(images, shape, value)
+    return made.groupBy(*keys).agg(*[f(F.col(V)).alias(name) for name, f in aggregates.items()])

@@ -501,6 +501,16 @@ def convolve_separable(spark, sf_dir):
     return _v(N.convolve_separable(pixels(spark, sf_dir), {"y": LINE, "x": LINE}))
 
 
+@query(
+    PX
+    + f""", k(d, w) as (values (-1, 0.25), (0, 0.5), (1, 0.2)),
+c as (select p.image_id, p.y, p.x, sum(q.v * w) as v from px p cross join k join px q on q.image_id = p.image_id and q.x = p.x and q.y = {_reflected('y', 'd')} group by 1, 2, 3)
+select p.image_id, p.y, p.x, {s6('sum(q.v * w)')} as v from c p cross join k join c q on q.image_id = p.image_id and q.y = p.y and q.x = {_reflected('x', 'd')} group by 1, 2, 3"""
+)
+def convolve_separable_reflect(spark, sf_dir):
+    return _v(N.convolve_separable(pixels(spark, sf_dir), {"y": LINE, "x": LINE}, "reflect", SHAPE))
+
+
 MEDIAN_SQL = (
     PX
     + f""" select p.image_id, p.y, p.x, {s6('median(q.v)')} as v from px p cross join range(-1, 2) as r(dy) cross join range(-1, 2) as t(dx)
@@ -607,6 +617,15 @@ def iwise(spark, sf_dir):
     return _v(G.iwise(_images(spark, sf_dir), (1, 3, 4), lambda b, z, y, x: F.sin(b * 0.1) * y + x))
 
 
+@query(
+    """with g as (select cast(vec_id as bigint) as image_id, cast(i // 4 as bigint) as y, (vec_id % 7) * 0.5 + (i // 4) * (i % 4) - i % 4 as v from embeddings, range(12) as r(i))
+select image_id, y, round(cast(max(v) as double), 6) + 0.0 as largest, round(cast(sum(v) as double), 6) + 0.0 as total from g group by image_id, y"""
+)
+def reduce_iwise(spark, sf_dir):
+    found = R.reduce_iwise(_images(spark, sf_dir), (1, 3, 4), ["image_id", "y"], lambda b, z, y, x: b % 7 * 0.5 + y * x - x, largest=F.max, total=F.sum)
+    return found.select("image_id", "y", r6("largest").alias("largest"), r6("total").alias("total"))
+
+
 @query(TWO + f" select image_id, y, x, {s6('v * 2 + r')} as v from two")
 def ewise(spark, sf_dir):
     return two(spark, sf_dir).select("image_id", "y", "x", r6(F.col("v") * 2 + F.col("r")).alias("v"))

@@ -103,6 +103,20 @@ def pose_matrices(spark, sf_dir):
     return stack(spark, sf_dir).select("image_id", *[r6(m[r][c]).alias(f"m{r}{c}") for r in (0, 1) for c in range(3)])
 
 
+@query(
+    """with a as (select cast(vec_id as bigint) as image_id, vec_id % 12 * 0.5 as a, 1 + vec_id % 3 * 0.25 as s, 0.5 * (vec_id % 5) as t from embeddings),
+m as (select *, s * cos(a) as m00, s * sin(a) as m01, -2 * sin(a) as m10, 2 * cos(a) as m11 from a)
+select image_id, round(m00, 6) + 0.0 as m00, round(m01, 6) + 0.0 as m01, round(m00 * t - m01 * 1.5 + 3, 6) + 0.0 as m02, round(m10, 6) + 0.0 as m10, round(m11, 6) + 0.0 as m11,
+  round(m10 * t - m11 * 1.5 - 1, 6) + 0.0 as m12 from m"""
+)
+def pose_composition(spark, sf_dir):
+    """Translate, rotate, scale, translate again."""
+    i = F.col("image_id")
+    first = G.translation([0.5 * (i % 5), F.lit(-1.5)])
+    m = G.composed(G.translation([F.lit(3.0), F.lit(-1.0)]), G.affine(G.scaling([1 + i % 3 * 0.25, F.lit(2.0)])), G.affine(G.rotation_2d(i % 12 * 0.5)), first)
+    return stack(spark, sf_dir).select("image_id", *[r6(m[r][c]).alias(f"m{r}{c}") for r in (0, 1) for c in range(3)])
+
+
 POLAR = (
     PX
     + """, g as (
@@ -120,6 +134,21 @@ def cartesian2polar(spark, sf_dir):
     return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("v").alias("v"))
 
 
+@query(
+    PX
+    + """, g as (
+  select image_id, y, x, 3.5 + (0.5 + x * 0.5) * sin(0.3 + y * 0.2) as cy, 3.5 + (0.5 + x * 0.5) * cos(0.3 + y * 0.2) as cx
+  from (select distinct image_id from px) cross join range(7) as r(y) cross join range(5) as t(x)
+), pol as ("""
+    + linear("g", "px", "g.image_id, g.y, g.x")
+    + f") select image_id, y, x, {s6('v')} as v from pol"
+)
+def polar_range(spark, sf_dir):
+    """A part of a turn, both ends included."""
+    out = G.cartesian2polar(pixels(spark, sf_dir), stack(spark, sf_dir), SHAPE, (7, 5), (3.5, 3.5), (0.5, 2.5), phi=(0.3, 1.5), phi_endpoint=True, rho_endpoint=True)
+    return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("v").alias("v"))
+
+
 @query(
     POLAR
     + """, b as (
@@ -320,6 +349,19 @@ def rasterize_central_slices_3d(spark, sf_dir):
     return _vx(_raster(spark, sf_dir), "volume_id", "kz", "ky", "kx")
 
 
+WEIGHTED = RASTER.replace("select volume_id, re, im, m01", "select volume_id, 1.0 + image_id % 3 * 0.5 as own, re, im, m01").replace(
+    "select volume_id, re, im * sg", "select volume_id, own, re, im * sg").replace("select volume_id, re, im, bz", "select volume_id, own, re, im, bz").replace(
+    "select volume_id, kz, ky, kx, re, im, share from t3", "select volume_id, kz, ky, kx, re * own as re, im * own as im, share * own as weight, share from t3").replace(
+    "select volume_id, -kz, -ky, kx, re, -im, share from t3", "select volume_id, -kz, -ky, kx, re * own, -im * own, share * own, share from t3").replace(
+    "sum(share) as weight from u3", "sum(weight) as weight from u3")
+
+
+@query(WEIGHTED + f" select volume_id, kz, ky, kx, {VX} from raster")
+def rasterize_weighted_slices(spark, sf_dir):
+    poses = _pose(spark, sf_dir, _turn()).withColumn("weight", 1.0 + F.col("image_id") % 3 * 0.5)
+    return _vx(J.rasterize_central_slices_3d(spectrum(spark, sf_dir), poses, SHAPE, VOLUME, 0.45), "volume_id", "kz", "ky", "kx")
+
+
 WINDOW = "(case when hz = 0 then 1 else sin(pi() * hz / 0.12) / (pi() * hz / 0.12) end) * (0.42 + 0.5 * cos(pi() * hz / 0.2) + 0.08 * cos(2 * pi() * hz / 0.2))"
 
 
