@@ -57,18 +57,21 @@ def centered(pixels: DataFrame, shape: Shape) -> DataFrame:
     return pixels.withColumns({a: (F.col(a) + n // 2) % n for a, n in zip(("z", "y", "x"), shape, strict=True)})
 
 
-def _vertex(left: Column, middle: Column, right: Column) -> tuple[Column, Column]:
-    """Offset and height of the parabola through three points at -1, 0, 1; a flat one keeps the middle."""
-    a = (left + right - 2 * middle) / 2
-    b = (right - left) / 2
+def _vertex(middle: Column, sums: dict[int, Column], radius: int) -> tuple[Column, Column]:
+    """Offset and height of the least-squares parabola through the values at -radius .. radius; a flat one keeps the middle.
+    sums: of the values but the middle one, times their offset to the power 0, 1, 2."""
+    n, s2, s4 = 2 * radius + 1, sum(2 * k**2 for k in range(1, radius + 1)), sum(2 * k**4 for k in range(1, radius + 1))
+    total = sums[0] + middle
+    a = (n * sums[2] - s2 * total) / (n * s4 - s2 * s2)
+    b = sums[1] / s2
     curved = F.abs(a) >= 1e-6
     x = F.when(curved, -b / F.when(curved, 2 * a)).otherwise(0.0)
-    return x, middle + F.when(curved, a * x * x + b * x).otherwise(0.0)
+    return x, F.when(curved, (total - a * s2) / n + b * x + a * x * x).otherwise(middle)
 
 
-def peak(maps: DataFrame, shape: Shape, subpixel: bool = True, max_lag: tuple[float, float, float] | None = None) -> DataFrame:
-    """The largest value of each centered map within an elliptical lag, refined per axis by a 3-point parabola
-    whose neighbours wrap around: image_id, z, y, x (double, centered), value (mean of the axes' heights)."""
+def peak(maps: DataFrame, shape: Shape, subpixel: bool = True, max_lag: tuple[float, float, float] | None = None, radius: int = 1) -> DataFrame:
+    """The largest value of each centered map within an elliptical lag, refined per axis by the least-squares parabola
+    of the values up to `radius` away, which wrap around (no axis longer than 1 may be shorter than they are): image_id, z, y, x (double, centered), value (mean of the axes' heights)."""
     center = [n // 2 for n in shape]
     inside = maps
     if max_lag is not None:
@@ -84,15 +87,16 @@ def peak(maps: DataFrame, shape: Shape, subpixel: bool = True, max_lag: tuple[fl
     axes = [(a, n) for a, n in zip("zyx", shape, strict=True) if n > 1]
     if not subpixel:
         return best.select("image_id", *[F.col(a).cast("double").alias(a) for a in "zyx"], F.col("v").alias("value"))
-    steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("step")) for a, _ in axes for s in (-1, 1)])
+    offsets = [k for k in range(-radius, radius + 1) if k]
+    steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("step")) for a, _ in axes for s in offsets])
     near = best.withColumn("s", F.explode(steps)).select(
         "image_id", "s.axis", "s.step", *[F.pmod(F.col(a) + F.when(F.col("s.axis") == a, F.col("s.step")).otherwise(0), F.lit(n)).alias(a) for a, n in zip("zyx", shape, strict=True)]
     )
     got = near.join(maps.select("image_id", "z", "y", "x", "v"), ["image_id", "z", "y", "x"])
     sides = got.groupBy("image_id").agg(
-        *[F.max(F.when((F.col("axis") == a) & (F.col("step") == s), F.col("v"))).alias(f"{a}{'m' if s < 0 else 'p'}") for a, _ in axes for s in (-1, 1)]
+        *[F.sum(F.when(F.col("axis") == a, F.col("v") * F.pow(F.col("step").cast("double"), F.lit(k)))).alias(f"{a}{k}") for a, _ in axes for k in range(3)]
     )
-    fitted = {a: _vertex(F.col(f"{a}m"), F.col("v"), F.col(f"{a}p")) for a, _ in axes}
+    fitted = {a: _vertex(F.col("v"), {k: F.col(f"{a}{k}") for k in range(3)}, radius) for a, _ in axes}
     height = sum((h for _, h in list(fitted.values())[1:]), list(fitted.values())[0][1]) / len(fitted)
     return best.join(sides, "image_id").select(
         "image_id", *[(F.col(a) + fitted[a][0] if a in fitted else F.col(a).cast("double")).alias(a) for a in "zyx"], height.alias("value")

@@ -163,6 +163,22 @@ def mask_value(shape: str, has_z: bool = False) -> Column:
     return F.when(F.col("invert"), 1 - mask).otherwise(mask) * F.col("cvalue")
 
 
-def draw_mask(pixels: DataFrame, masks: DataFrame, shape: str, has_z: bool = False) -> DataFrame:
-    """pixels times the mask of their image; masks: image_id, center, radii, smoothness, cvalue, invert."""
-    return pixels.join(masks, "image_id").withColumn("v", F.col("v") * mask_value(shape, has_z)).select(*pixels.columns)
+def draw_mask(pixels: DataFrame, masks: DataFrame, shape: str, has_z: bool = False, operator=None) -> DataFrame:
+    """operator(v, mask) of each pixel, their product by default; masks: image_id, center, radii, smoothness, cvalue,
+    invert, and matrix if shapes are moved (3 x 4 in z, y, x order, inverse: from a pixel to the shape's own frame)."""
+    joined = pixels.join(masks, "image_id")
+    if "matrix" in masks.columns:
+        own = {a: sum((F.get("matrix", F.lit(4 * i + j)) * F.col(b) for j, b in enumerate("zyx")), F.get("matrix", F.lit(4 * i + 3))) for i, a in enumerate("zyx")}
+        joined = joined.withColumns({f"_{a}": F.col(a) for a in "zyx"}).withColumns(own)
+        value = mask_value(shape, has_z)
+        held = joined.withColumn("_mask", value).withColumns({a: F.col(f"_{a}") for a in "zyx"})
+    else:
+        held = joined.withColumn("_mask", mask_value(shape, has_z))
+    v, mask = F.col("v"), F.col("_mask")
+    return held.withColumn("v", operator(v, mask) if operator else v * mask).select(*pixels.columns)
+
+
+def mask_stack(images: DataFrame, masks: DataFrame, extent: Shape, shape: str, has_z: bool = False) -> DataFrame:
+    """Pixels of the masks alone, for a table of images."""
+    ones = grid(images.select("image_id"), extent).withColumn("v", F.lit(1.0))
+    return draw_mask(ones, masks, shape, has_z)

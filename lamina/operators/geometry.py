@@ -287,15 +287,20 @@ def symmetry_order(code: str) -> int:
     return int(code[1:])
 
 
-def symmetrize(pixels: DataFrame, images: DataFrame, shape: Shape, code: str, center: tuple[float, ...], normalize: bool = True, kernel: str = "linear") -> DataFrame:
-    """Images (or volumes, about z) summed with their rotated copies of a C symmetry, divided by the order if normalize."""
+def symmetrize(pixels: DataFrame, images: DataFrame, shape: Shape, code: str, center: tuple[float, ...], normalize: bool = True, kernel: str = "linear", pre: list[list[float]] | None = None, post: list[list[float]] | None = None) -> DataFrame:
+    """Images (or volumes, about z) summed with their rotated copies of a C symmetry, divided by the order if normalize.
+    post carries an output point to where it is symmetrized, pre the rotated point to where the input is read (3 x 4 in
+    z, y, x order, as inverse transforms)."""
     n = symmetry_order(code)
     copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     targets = grid(images.select("image_id", copies.alias("_k")), shape).withColumn("out_id", F.col("image_id"))
     turn = F.col("_k") * (2 * math.pi / n)
     c, s = F.cos(turn), F.sin(turn)
-    dy, dx = F.col("y") - center[-2], F.col("x") - center[-1]
-    there = targets.withColumns({"cz": F.col("z").cast("double"), "cy": center[-2] + c * dy + s * dx, "cx": center[-1] - s * dy + c * dx})
+    moved = lambda m, p: p if m is None else [m[i][0] * p[0] + m[i][1] * p[1] + m[i][2] * p[2] + m[i][3] for i in range(3)]
+    z, y, x = moved(post, [F.col(a).cast("double") for a in AXES])
+    dy, dx = y - center[-2], x - center[-1]
+    at_input = moved(pre, [z, center[-2] + c * dy + s * dx, center[-1] - s * dy + c * dx])
+    there = targets.withColumns({f"c{a}": v for a, v in zip(AXES, at_input, strict=True)})
     out = gather(pixels, there, ["out_id", *AXES], shape, kernel)
     return out.withColumn("v", F.col("v") / n) if normalize else out
 

@@ -130,10 +130,9 @@ def permute(spark, sf_dir):
     return S.permute(pixels(spark, sf_dir), ("x", "z", "y")).select("image_id", "z", "y", "x", r6("v").alias("v"))
 
 
-@query(PX + f" select image_id, k as z, y, x, {s6('v')} as v from px, range(3) as r(k) where image_id % 2 = 0")
+@query(PX + f" select image_id, k as z, y, x, {s6('v')} as v from px, range(3) as r(k)")
 def broadcast_stack(spark, sf_dir):
-    even = pixels(spark, sf_dir).filter("image_id % 2 = 0")
-    return S.broadcast_stack(even, SHAPE, (3, 8, 8)).select("image_id", "z", "y", "x", r6("v").alias("v"))
+    return S.broadcast_stack(pixels(spark, sf_dir), SHAPE, (3, 8, 8)).select("image_id", "z", "y", "x", r6("v").alias("v"))
 
 
 @query(PX + f" select image_id, k as z, y, x, {s6('v')} as v from px, range(3) as r(k)")
@@ -300,6 +299,29 @@ def draw_mask(spark, sf_dir):
     return drawn[0].join(drawn[1], ["image_id", "y", "x"])
 
 
+@query(
+    PX
+    + """, m as (
+  select *, 0.8 * (y - 3.5) + 0.6 * (x - 3.5) + 4.0 + image_id % 2 as py, -0.6 * (y - 3.5) + 0.8 * (x - 3.5) + 3.5 as px from px
+), d as (
+  select *, abs(py - 4.0) - 2.0 as dy, abs(px - 3.5) - 1.5 as dx from m
+), e as (
+  select *, 0.8 * (case when dy <= 0 then 1.0 when dy >= 1.5 then 0.0 else 0.5 + 0.5 * cos(pi() * dy / 1.5) end)
+    * (case when dx <= 0 then 1.0 when dx >= 1.5 then 0.0 else 0.5 + 0.5 * cos(pi() * dx / 1.5) end) as mask from d
+)
+select image_id, y, x, round(v + mask, 6) + 0.0 as added, round(mask, 6) + 0.0 as alone from e"""
+)
+def draw_mask_moved(spark, sf_dir):
+    """A turned rectangle, added to the images, and alone."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    turn = [one, zero, zero, zero, zero, F.lit(0.8), F.lit(0.6), 4.0 + F.col("image_id") % 2 - 0.8 * 3.5 - 0.6 * 3.5, zero, F.lit(-0.6), F.lit(0.8), F.lit(3.5 + 0.6 * 3.5 - 0.8 * 3.5)]
+    value = {"cy": 4.0, "cx": 3.5, "ry": 2.0, "rx": 1.5, "smoothness": 1.5, "cvalue": 0.8}
+    images = stack(spark, sf_dir)
+    masks = images.select("image_id", *[F.lit(v).alias(k) for k, v in value.items()], F.lit(False).alias("invert"), F.array(*turn).alias("matrix"))
+    added = G.draw_mask(pixels(spark, sf_dir), masks, "rectangle", operator=lambda v, m: v + m).select("image_id", "y", "x", r6("v").alias("added"))
+    return added.join(G.mask_stack(images, masks, SHAPE, "rectangle").select("image_id", "y", "x", r6("v").alias("alone")), ["image_id", "y", "x"])
+
+
 UNARY_SQL = {
     "negate": "-v", "square": "v * v", "rint": "round_even(v * 3, 0)", "ceil": "ceil(v)", "floor": "floor(v)", "trunc": "trunc(v * 5)",
     "sqrt": "sqrt(abs(v))", "exp": "exp(v)", "log1p": "ln(1 + v)", "abs": "abs(v)", "cos": "cos(v)", "sin": "sin(v)", "tan": "tan(v)",

@@ -102,6 +102,46 @@ def cross_correlation_peak_3d(spark, sf_dir):
     return found.select("image_id", "z", "y", "x", r6("value").alias("value"))
 
 
+PEAK_AXIS = """select b.image_id, b.v, sum(p.v) as t, sum({s} * p.v) as t1, sum({s} * {s} * p.v) as t2 from b cross join range(-2, 3) as r(k)
+  join px p on p.image_id = b.image_id and {on} group by all"""
+
+
+@query(
+    PX
+    + """, b as (select image_id, max(v) as v, arg_max(y, (v, -(y * 8 + x))) as y, arg_max(x, (v, -(y * 8 + x))) as x from px group by image_id),
+fy as ("""
+    + PEAK_AXIS.format(s="k", on="p.x = b.x and p.y = (b.y + k + 8) % 8")
+    + "), fx as ("
+    + PEAK_AXIS.format(s="k", on="p.y = b.y and p.x = (b.x + k + 8) % 8")
+    + """), f as (
+  select 'y' as axis, *, (5 * t2 - 10 * t) / 70 as a, t1 / 10 as c from fy union all select 'x', *, (5 * t2 - 10 * t) / 70, t1 / 10 from fx
+), g as (
+  select image_id, axis, case when abs(a) >= 1e-6 then -c / (2 * a) else 0 end as o, case when abs(a) >= 1e-6 then (t - 10 * a) / 5 - c * c / (4 * a) else v end as h from f
+)"""
+    + f" select b.image_id, {s6('b.y + p.o')} as y, {s6('b.x + q.o')} as x, {s6('(p.h + q.h) / 2')} as value from b join g p on p.image_id = b.image_id and p.axis = 'y' join g q on q.image_id = b.image_id and q.axis = 'x'"
+)
+def peak_radius(spark, sf_dir):
+    """The parabola through five values an axis."""
+    found = X.peak(pixels(spark, sf_dir).drop("label"), SHAPE, radius=2)
+    return found.select("image_id", r6("y").alias("y"), r6("x").alias("x"), r6("value").alias("value"))
+
+
+@query(
+    PX
+    + """, g as (
+  select image_id, z, y, x, 4 - (y + 1.0 - 3.5) + 3.5 - 4 + 0.5 as py, 4 - (x - 3.5) + 3.5 - 4 as px, y + 1.0 + 0.5 as qy, x + 0.0 as qx from px
+), h as (
+  select image_id, y, x, qy as cy, qx as cx from g union all select image_id, y, x, py, px from g
+)"""
+    + f" select image_id, y, x, {s6('v / 2')} as v from ({linear('h', 'px', 'g.image_id, g.y, g.x')})"
+)
+def symmetrize_moved(spark, sf_dir):
+    """C2 between a shift of the output and one of the input."""
+    one = lambda y: [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, y], [0.0, 0.0, 1.0, 0.0]]
+    out = M.symmetrize(pixels(spark, sf_dir), stack(spark, sf_dir), SHAPE, "C2", (3.5, 3.5), pre=one(0.5), post=one(1.0))
+    return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("v").alias("v"))
+
+
 CUBE = "cross join range(-1, 2) as r(dz) cross join range(-1, 2) as s(dy) cross join range(-1, 2) as t(dx)"
 
 
