@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.borders import border_index
 from ..functions.elementwise import times
-from ..model import AXES, FREQUENCIES, Shape, grid
+from ..model import AXES, FREQUENCIES, Shape, grid, once
 from .dense import arrays, dense, listed, pieces, shapes
 
 #: Less of a value than this is what rounding leaves of none.
@@ -308,11 +308,13 @@ def symmetrize(pixels: DataFrame, images: DataFrame, shape: Shape, code: str, ce
 # --- spectra -----------------------------------------------------------------------------------------------------
 
 
-def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], shape: Shape, weight: str | None = None) -> DataFrame:
+def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], shape: Shape, weight: str | None = None, weighted: bool = False) -> DataFrame:
     """keys, re, im: half spectra interpolated linearly at frequencies (fz, fy, fx, in samples), summed per keys and
-    weighted by a column. A frequency with fx < 0 is read at its mirror and conjugated."""
-    flip = F.col("fx") < 0
-    sign = F.when(flip, -1.0).otherwise(1.0)
+    weighted by a column. A frequency with fx < 0 is read at its mirror and conjugated; fx closer to 0 than LEAST_SHARE is 0, so
+    rounding doesn't choose the side (the two differ at the edge of even sizes, whose last frequency is kept once). weighted
+    reads the spectrum's own column `weight` likewise."""
+    targets = once(targets, {"_fx": F.when(F.abs("fx") < LEAST_SHARE, 0.0).otherwise(F.col("fx"))}).withColumn("fx", F.col("_fx")).drop("_fx")
+    sign = F.when(F.col("fx") < 0, -1.0).otherwise(1.0)
     each = targets.withColumns({"_s": sign, **{f: F.col(f) * sign for f in ("fz", "fy", "fx")}, "_w": F.col(weight) if weight else F.lit(1.0)})
     for f, k, n in zip(("fz", "fy", "fx"), FREQUENCIES, shape, strict=True):
         if n == 1:
@@ -323,12 +325,13 @@ def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], sh
         low, top = (0, n // 2) if k == "kx" else (-(n // 2), (n - 1) // 2)
         each = each.filter(F.col(f"_{k}").between(low, top))
     source = spectrum.select(
-        F.col("image_id").alias("_image"), *[F.col(k).alias(f"_q{k}") for k in FREQUENCIES], F.col("re").alias("_re"), F.col("im").alias("_im")
+        F.col("image_id").alias("_image"), *[F.col(k).alias(f"_q{k}") for k in FREQUENCIES], F.col("re").alias("_re"), F.col("im").alias("_im"), *([F.col("weight").alias("_own")] if weighted else [])
     ).hint("shuffle_hash")
     on = [each["image_id"] == source["_image"], *[each[f"_{k}"] == source[f"_q{k}"] for k in FREQUENCIES]]
     got = each.join(source, on)
     return got.groupBy(*[each[k] for k in keys]).agg(
-        F.sum(F.col("_w") * F.col("_re")).alias("re"), F.sum(F.col("_w") * F.col("_im") * F.col("_s")).alias("im")
+        F.sum(F.col("_w") * F.col("_re")).alias("re"), F.sum(F.col("_w") * F.col("_im") * F.col("_s")).alias("im"),
+        *([F.sum(F.col("_w") * F.col("_own")).alias("weight")] if weighted else []),
     )
 
 

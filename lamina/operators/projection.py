@@ -176,28 +176,57 @@ def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, output
     return out.withColumnRenamed("out_id", "image_id")
 
 
-def _slice_to_grid(fy: Column, fx: Column, ews_diameter_inverse: float) -> list[Column]:
-    """Frequencies of a slice carried by its rotation (`matrix`, 3 x 3), on the Ewald sphere if it has a diameter."""
-    fz = F.lit(0.0) if ews_diameter_inverse == 0 else ews_diameter_inverse * (fy * fy + fx * fx)
-    return apply("matrix", 3, [fz, fy, fx])
+Radius = float | tuple[float, float]
 
 
-def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, cutoff: float = 0.5, ews_radius: float = 0.0) -> DataFrame:
+def _sphere(fy: Column, fx: Column, ews_radius: Radius) -> Column:
+    """Height of the Ewald sphere over a slice's frequency, for small angles: f^2 / (2 radius). The radius (pixel size by wave
+    length) may differ for y and x; 0 is a flat slice."""
+    ry, rx = ews_radius if isinstance(ews_radius, tuple) else (ews_radius, ews_radius)
+    return (fy * fy / (2 * ry) if ry else F.lit(0.0)) + (fx * fx / (2 * rx) if rx else F.lit(0.0))
+
+
+def _scaled(points: DataFrame, fy: Column, fx: Column) -> list[Column]:
+    """Frequencies of a slice through the 2 x 2 matrix of a column `scaling`, if there is one."""
+    return apply("scaling", 2, [fy, fx]) if "scaling" in points.columns else [fy, fx]
+
+
+def _posed(poses: DataFrame, *more: Column) -> DataFrame:
+    return poses.select("image_id", "volume_id", "matrix", *[c for c in ("scaling",) if c in poses.columns], *more)
+
+
+def _slice_to_grid(points: DataFrame, fy: Column, fx: Column, ews_radius: Radius) -> DataFrame:
+    """points with gz, gy, gx: a slice's frequencies scaled, bent and turned (`matrix`, 3 x 3) to where they lie in the volume.
+    The magnification comes first, so the sphere stays one whatever it is."""
+    sy, sx = _scaled(points, fy, fx)
+    scaled = once(points, {"_sy": sy, "_sx": sx})
+    flat = F.col("_sy"), F.col("_sx")
+    turned = apply("matrix", 3, [_sphere(*flat, ews_radius), *flat])
+    return once(scaled, {f"g{a}": c for a, c in zip(AXES, turned, strict=True)}).drop("_sy", "_sx", "matrix", "scaling")
+
+
+def _within(points: DataFrame, cutoff: float) -> DataFrame:
+    return points.filter(F.col("gz") * F.col("gz") + F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx") <= cutoff * cutoff)
+
+
+def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, cutoff: float = 0.5, ews_radius: Radius = 0.0, target: Shape | None = None) -> DataFrame:
     """volume_id, kz, ky, kx, re, im, weight: slices spread over the 8 nearest voxels of their volume's half spectrum. poses:
-    image_id, volume_id, matrix (3 x 3, forward rotation) and, if slices count unequally, a column `weight`, which scales what
-    a slice adds to values and weights alike.
+    image_id, volume_id, matrix (3 x 3, forward rotation), where magnified `scaling` (2 x 2, the inverse magnification), and, if
+    slices count unequally, `weight`, which scales what a slice adds to values and weights alike. A column `weight` of the
+    spectrum is what its elements add to the weights (1 without it). target is the shape that frequencies of the grid refer to,
+    where it isn't the grid's own: a larger one spreads the slices out, for instance to keep only low frequencies.
 
     Eight rows for each slice element, summed before the shuffle, so the crowded low frequencies cost one row a task.
     The plane kx = 0 also gets the conjugates at its mirrored places, which keeps it Hermitian."""
-    inverse = 1 / (2 * ews_radius) if ews_radius else 0.0
     own = F.col("weight").cast("double") if "weight" in poses.columns else F.lit(1.0)
-    points = spectrum.select("image_id", "ky", "kx", "re", "im").join(poses.select("image_id", "volume_id", "matrix", own.alias("_own")), "image_id")
-    f = _slice_to_grid(F.col("ky") / float(shape[1]), F.col("kx") / float(shape[2]), inverse)
-    moved = points.withColumns({f"f{a}": c for a, c in zip(AXES, f, strict=True)})
-    fz, fy, fx = (F.col(f"f{a}") for a in AXES)
-    kept = moved.filter(fz * fz + fy * fy + fx * fx <= cutoff * cutoff)
-    sign = F.when(fx < 0, -1.0).otherwise(1.0)
-    placed = kept.select("volume_id", "_own", "re", (F.col("im") * sign).alias("im"), *[(F.col(f"f{a}") * sign * float(n)).alias(f"f{a}") for a, n in zip(AXES, volume, strict=True)])
+    adds = F.col("weight").cast("double") if "weight" in spectrum.columns else F.lit(1.0)
+    points = spectrum.select("image_id", "ky", "kx", "re", "im", adds.alias("_adds")).join(_posed(poses, own.alias("_own")), "image_id")
+    kept = _within(_slice_to_grid(points, F.col("ky") / float(shape[1]), F.col("kx") / float(shape[2]), ews_radius), cutoff)
+    sign = F.when(F.col("gx") < 0, -1.0).otherwise(1.0)
+    placed = kept.select(
+        "volume_id", (F.col("re") * F.col("_own")).alias("re"), (F.col("im") * sign * F.col("_own")).alias("im"), (F.col("_adds") * F.col("_own")).alias("_adds"),
+        *[(F.col(f"g{a}") * sign * float(n)).alias(f"f{a}") for a, n in zip(AXES, target or volume, strict=True)],
+    )
     low = {a: F.floor(f"f{a}").cast("long") for a in AXES}
     part = {a: F.col(f"f{a}") - F.col(f"b{a}") for a in AXES}
     based = placed.withColumns({f"b{a}": low[a] for a in AXES})
@@ -212,11 +241,11 @@ def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Sh
         if not step["x"]:  # the mirror, only where the base lies on the plane kx = 0
             on = F.when(F.col("bx") == 0, share)
             each.append(F.struct((-k["z"]).alias("kz"), (-k["y"]).alias("ky"), k["x"].alias("kx"), on.alias("share"), F.lit(-1.0).alias("s")))
-    spread = based.select("volume_id", (F.col("re") * F.col("_own")).alias("re"), (F.col("im") * F.col("_own")).alias("im"), "_own", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE)
+    spread = based.select("volume_id", "re", "im", "_adds", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE)
     d, h, w = volume
     inside = spread.filter(F.col("t.kz").between(-(d // 2), (d - 1) // 2) & F.col("t.ky").between(-(h // 2), (h - 1) // 2) & F.col("t.kx").between(0, w // 2))
     return inside.groupBy("volume_id", *[F.col(f"t.{k}").alias(k) for k in FREQUENCIES]).agg(
-        F.sum(F.col("re") * F.col("t.share")).alias("re"), F.sum(F.col("im") * F.col("t.s") * F.col("t.share")).alias("im"), F.sum(F.col("_own") * F.col("t.share")).alias("weight")
+        F.sum(F.col("re") * F.col("t.share")).alias("re"), F.sum(F.col("im") * F.col("t.s") * F.col("t.share")).alias("im"), F.sum(F.col("_adds") * F.col("t.share")).alias("weight")
     )
 
 
@@ -233,61 +262,101 @@ def windowed_sinc(f: Column, sinc: float, blackman: float) -> Column:
     return F.when(s == 0, 1.0).otherwise(F.sin(s) / F.when(s != 0, s)) * (0.42 + 0.5 * F.cos(b) + 0.08 * F.cos(2 * b))
 
 
-def slices_at(points: DataFrame, spectrum: DataFrame, poses: DataFrame, keys: list[str], shape: Shape, sinc: float, blackman: float) -> DataFrame:
+def _least(window: tuple[float, float], n: int) -> tuple[float, float]:
+    """A windowed sinc (sinc, blackman) is at least one sample of n wide."""
+    return max(window[0], 1 / n), max(window[1], 1 / n)
+
+
+def _summed(values: DataFrame, near: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
+    """keys, re, im, weight for every key of near: 0 where nothing was read; the weight is what the windows sum to unless the
+    spectrum has weights of its own."""
+    windows = near.groupBy(*keys).agg(F.sum("window").alias("_windows"))
+    weight = F.coalesce("weight", F.lit(0.0)) if weighted else F.col("_windows")
+    found = windows.join(values, keys, "left")
+    return found.select(*keys, F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"), weight.alias("weight"))
+
+
+def slices_at(points: DataFrame, spectrum: DataFrame, poses: DataFrame, keys: list[str], shape: Shape, sinc: float, blackman: float, ews_radius: Radius = 0.0) -> DataFrame:
     """keys, re, im, weight: at 3-d frequencies (gz, gy, gx; cycles a pixel) the sum of a volume's slices that pass
-    within `blackman` of the point, each read by interpolation and weighted by a windowed sinc of its distance.
-    points: volume_id, keys, gz, gy, gx; poses: image_id, volume_id, matrix (3 x 3, inverse rotation)."""
-    near = points.join(poses.select("image_id", "volume_id", "matrix"), "volume_id")
-    hz, hy, hx = apply("matrix", 3, [F.col("gz"), F.col("gy"), F.col("gx")])
-    moved = near.withColumns({"hz": hz, "hy": hy, "hx": hx}).drop("matrix")
-    close = moved.filter(F.abs("hz") <= blackman).withColumn("window", windowed_sinc(F.col("hz"), sinc, blackman))
-    targets = close.select("image_id", *keys, "window", F.lit(0.0).alias("fz"), (F.col("hy") * float(shape[1])).alias("fy"), (F.col("hx") * float(shape[2])).alias("fx"))
-    values = spectrum_gather(spectrum, targets, keys, shape, "window")
-    weights = close.groupBy(*keys).agg(F.sum("window").alias("weight"))
-    return weights.join(values, keys, "left").select(*keys, F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"), "weight")
-
-
-def _volume_points(poses: DataFrame, volume: Shape, cutoff: float) -> DataFrame:
+    within `blackman` of the point, each read by interpolation and weighted by a windowed sinc of its distance and by the
+    point's own column `window`. points: volume_id, keys, gz, gy, gx, window; poses: image_id, volume_id, matrix (3 x 3, inverse
+    rotation) and, where magnified, scaling (2 x 2, the magnification). A column `weight` of the spectrum is read and summed
+    like the values."""
+    near = points.join(_posed(poses), "volume_id")
+    turned = apply("matrix", 3, [F.col("gz"), F.col("gy"), F.col("gx")])
+    moved = once(near, {f"h{a}": c for a, c in zip(AXES, turned, strict=True)})
+    high = F.col("hz") - _sphere(F.col("hy"), F.col("hx"), ews_radius)
+    close = once(moved, {"_off": high}).filter(F.abs("_off") <= blackman)
+    fy, fx = _scaled(close, F.col("hy"), F.col("hx"))
+    targets = close.select(
+        "image_id", *keys, (windowed_sinc(F.col("_off"), sinc, blackman) * F.col("window")).alias("window"),
+        F.lit(0.0).alias("fz"), (fy * float(shape[1])).alias("fy"), (fx * float(shape[2])).alias("fx"),
+    )
+    weighted = "weight" in spectrum.columns
+    return _summed(spectrum_gather(spectrum, targets, keys, shape, "window", weighted), targets, keys, weighted)
+
+
+def _volume_points(poses: DataFrame, volume: Shape, cutoff: float, target: Shape) -> DataFrame:
     d, h, w = volume
-    points = poses.select("volume_id").distinct()
+    points = poses.select("volume_id").distinct().withColumn("window", F.lit(1.0))
     for k, lo, hi in (("kz", -(d // 2), (d - 1) // 2), ("ky", -(h // 2), (h - 1) // 2), ("kx", 0, w // 2)):
         points = points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
-    g = {f"g{a}": F.col(k) / float(n) for a, k, n in zip(AXES, FREQUENCIES, volume, strict=True)}
-    placed = points.withColumns(g)
-    return placed.filter(F.col("gz") * F.col("gz") + F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx") <= cutoff * cutoff)
+    g = {f"g{a}": F.col(k) / float(n) for a, k, n in zip(AXES, FREQUENCIES, target, strict=True)}
+    return _within(points.withColumns(g), cutoff)
 
 
-def insert_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, sinc: float, blackman: float, cutoff: float = 0.5) -> DataFrame:
-    """volume_id, kz, ky, kx, re, im, weight: every voxel gathers the slices near it."""
-    return slices_at(_volume_points(poses, volume, cutoff), spectrum, poses, ["volume_id", *FREQUENCIES], shape, sinc, blackman)
+def insert_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, sinc: float, blackman: float, cutoff: float = 0.5, ews_radius: Radius = 0.0, target: Shape | None = None) -> DataFrame:
+    """volume_id, kz, ky, kx, re, im, weight: every voxel gathers the slices near it (see slices_at). The window is at least one
+    sample of the target's shortest side wide; target is the shape that the grid's frequencies refer to."""
+    target = target or volume
+    window = _least((sinc, blackman), min(target))
+    return slices_at(_volume_points(poses, volume, cutoff, target), spectrum, poses, ["volume_id", *FREQUENCIES], shape, *window, ews_radius)
 
 
-def _slice_points(poses: DataFrame, shape: Shape) -> DataFrame:
-    """The frequencies of every output slice on the grid: out_id, volume_id, ky, kx, gz, gy, gx (poses: matrix forward)."""
+def _slice_points(poses: DataFrame, shape: Shape, ews_radius: Radius, window: tuple[float, float], depth: int, cutoff: float) -> DataFrame:
+    """The frequencies of every output slice on the grid: out_id, volume_id, ky, kx, gz, gy, gx (poses: matrix forward), each
+    once for every sample of a volume of that depth along z in which the window isn't 0, with the window there."""
     _, h, w = shape
-    points = poses.select(F.col("image_id").alias("out_id"), "volume_id", "matrix")
+    points = _posed(poses).withColumnRenamed("image_id", "out_id")
     for k, lo, hi in (("ky", -(h // 2), (h - 1) // 2), ("kx", 0, w // 2)):
         points = points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
-    g = _slice_to_grid(F.col("ky") / float(h), F.col("kx") / float(w), 0.0)
-    return points.withColumns({f"g{a}": c for a, c in zip(AXES, g, strict=True)}).drop("matrix")
-
-
-def _within(points: DataFrame, cutoff: float) -> DataFrame:
-    return points.filter(F.col("gz") * F.col("gz") + F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx") <= cutoff * cutoff)
-
-
-def extract_central_slices_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, cutoff: float = 0.5) -> DataFrame:
-    """out_id, ky, kx, re, im: slices read from half spectra of volumes (image_id is the volume's) by interpolation."""
-    points = _within(_slice_points(poses, shape), cutoff)
-    targets = points.select(F.col("volume_id").alias("image_id"), "out_id", "ky", "kx", *[(F.col(f"g{a}") * float(n)).alias(f"f{a}") for a, n in zip(AXES, volume, strict=True)])
-    return spectrum_gather(volumes, targets, ["out_id", "ky", "kx"], volume)
-
-
-def insert_and_extract_central_slices_3d(spectrum: DataFrame, inserted: DataFrame, extracted: DataFrame, shape: Shape, sinc: float, blackman: float, cutoff: float = 0.5, correct_weights: bool = False) -> DataFrame:
+    placed = _slice_to_grid(points, F.col("ky") / float(h), F.col("kx") / float(w), ews_radius)
+    sinc, blackman = _least(window, depth)
+    n = max(1, math.ceil(blackman * depth - 1e-6)) - 1
+    if n == 0:
+        return _within(placed.withColumn("window", F.lit(1.0)), cutoff)
+    stepped = placed.withColumn("_step", F.explode(F.sequence(F.lit(-n), F.lit(n))))
+    step = F.col("_step") / float(depth)
+    return _within(stepped.withColumns({"gz": F.col("gz") + step, "window": windowed_sinc(step, sinc, blackman)}).drop("_step"), cutoff)
+
+
+def extract_central_slices_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, cutoff: float = 0.5, ews_radius: Radius = 0.0, target: Shape | None = None, sinc: float = 0.0, blackman: float = 0.0) -> DataFrame:
+    """out_id, ky, kx, re, im, weight: slices read from half spectra of volumes (image_id is the volume's) by interpolation.
+    poses: image_id, volume_id, matrix (forward) and, where magnified, scaling (the inverse). Where blackman exceeds a sample of
+    the volume, each value is summed along the volume's z under a windowed sinc, which masks the volume's depth in real space;
+    the weight has what the windows sum to, or the sum of the volume's own column `weight` read the same way."""
+    target = target or volume
+    points = _slice_points(poses, shape, ews_radius, (sinc, blackman), target[0], cutoff)
+    targets = points.select(F.col("volume_id").alias("image_id"), "out_id", "ky", "kx", "window", *[(F.col(f"g{a}") * float(n)).alias(f"f{a}") for a, n in zip(AXES, target, strict=True)])
+    weighted = "weight" in volumes.columns
+    keys = ["out_id", "ky", "kx"]
+    return _summed(spectrum_gather(volumes, targets, keys, volume, "window", weighted), targets, keys, weighted)
+
+
+def insert_and_extract_central_slices_3d(spectrum: DataFrame, inserted: DataFrame, extracted: DataFrame, shape: Shape, sinc: float, blackman: float, cutoff: float = 0.5, correct_weights: bool = False, ews_radius: Radius = 0.0, depth_window: tuple[float, float] = (0.0, 0.0), add_to: DataFrame | None = None) -> DataFrame:
     """out_id, ky, kx, re, im, weight: output slices (extracted: forward matrices) gathered straight from the input slices
-    (inserted: inverse matrices), without a volume between. correct_weights divides by max(1, abs(weight))."""
-    points = _within(_slice_points(extracted, shape), cutoff)
-    found = slices_at(points, spectrum, inserted, ["out_id", "ky", "kx"], shape, sinc, blackman)
+    (inserted: inverse matrices), without a volume between. depth_window (sinc, blackman) sums along the depth of that volume, as
+    deep as a slice's shorter side. correct_weights divides by max(1, abs(weight)), which needs all slices in one call; add_to
+    holds what earlier calls gave, and is added."""
+    if correct_weights and add_to is not None:
+        raise ValueError("weights are corrected once all slices are in, not while adding")
+    depth = min(shape[1:])
+    keys = ["out_id", "ky", "kx"]
+    points = _slice_points(extracted, shape, ews_radius, depth_window, depth, cutoff)
+    found = slices_at(points, spectrum, inserted, keys, shape, *_least((sinc, blackman), depth), ews_radius)
+    if add_to is not None:
+        both = found.unionByName(add_to.select(*keys, "re", "im", "weight"))
+        return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("re", "im", "weight")])
     if not correct_weights:
         return found
     by = F.greatest(F.lit(1.0), F.abs("weight"))

@@ -178,8 +178,9 @@ def symmetrize_2d(spark, sf_dir):
 
 
 def spectral(target: str, source: str, keys: str, axes: str = "yx", weight: str = "1.0") -> str:
-    """SELECT of keys and re, im: half spectra of width 8 read linearly at frequencies (f<axis>), mirrored where fx < 0."""
-    sign = "(case when g.fx < 0 then -1 else 1 end)"
+    """SELECT of keys and re, im: half spectra of width 8 read linearly at frequencies (f<axis>), mirrored where fx < 0 by more
+    than rounding."""
+    sign = "(case when g.fx <= -1e-9 then -1 else 1 end)"
     taps = " ".join(f"cross join range(2) as t{a}(d{a})" for a in axes)
     c = {a: f"(g.f{a} * {sign})" for a in axes}
     w = " * ".join([weight, *[f"(case when d{a} = 0 then 1 - ({c[a]} - floor({c[a]})) else {c[a]} - floor({c[a]}) end)" for a in axes]])
@@ -208,13 +209,13 @@ def transform_spectrum_2d(spark, sf_dir):
     SP
     + """, g as (
   select image_id, y, x, x * 0.1 * sin((y + 0.0) * (pi() / 6)) * 8 as fy, x * 0.1 * cos((y + 0.0) * (pi() / 6)) * 8 as fx
-  from (select distinct image_id from sp) cross join range(6) as r(y) cross join range(5) as t(x) where y <> 3
+  from (select distinct image_id from sp) cross join range(6) as r(y) cross join range(5) as t(x)
 ), r as ("""
     + spectral("g", "sp", "g.image_id, g.y, g.x")
     + f") select image_id, y, x, {s6('re')} as re, {s6('im')} as im from r"
 )
 def spectrum2polar(spark, sf_dir):
-    out = G.spectrum2polar(spectrum(spark, sf_dir), stack(spark, sf_dir), SHAPE, (6, 5), (0.0, 0.4)).filter("y <> 3")
+    out = G.spectrum2polar(spectrum(spark, sf_dir), stack(spark, sf_dir), SHAPE, (6, 5), (0.0, 0.4))
     return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("re").alias("re"), r6("im").alias("im"))
 
 
@@ -311,28 +312,37 @@ def forward_project_3d_joined(spark, sf_dir):
     return out.select("image_id", "y", "x", r6("v").alias("v"))
 
 
-RASTER = (
-    SP
-    + ROT
-    + """, f3 as (
-  select volume_id, re, im, m01 * fy + m02 * fx as fz, m11 * fy + m12 * fx as gy, m21 * fy + m22 * fx as gx from fq join rot using (image_id)
+#: A magnification by image, an Ewald sphere of unequal radii: sy, sx and the height of a slice at (fy, fx), in SQL.
+SY, SX = "((1.0 + image_id % 3 * 0.02) * fy + 0.02 * fx)", "(0.97 * fx)"
+RADIUS = (2.5, 2.0)
+
+
+def _bent(y: str, x: str) -> str:
+    return f"({y} * {y} / 5.0 + {x} * {x} / 4.0)"
+
+
+def _raster_sql(sy: str = "fy", sx: str = "fx", height: str = "0.0", size: int = 8, own: str = "1.0") -> str:
+    return f"""{SP}{ROT}, f3 as (
+  select volume_id, {own} as own, re, im, m00 * {height} + m01 * {sy} + m02 * {sx} as fz, m10 * {height} + m11 * {sy} + m12 * {sx} as gy, m20 * {height} + m21 * {sy} + m22 * {sx} as gx from fq join rot using (image_id)
 ), k3 as (
   select *, case when gx < 0 then -1 else 1 end as sg from f3 where fz * fz + gy * gy + gx * gx <= 0.45 * 0.45
 ), b3 as (
-  select volume_id, re, im * sg as im, fz * sg * 8 as z, gy * sg * 8 as y, gx * sg * 8 as x from k3
+  select volume_id, own, re, im * sg as im, fz * sg * {size} as z, gy * sg * {size} as y, gx * sg * {size} as x from k3
 ), c3 as (
   select *, cast(floor(z) as bigint) as bz, cast(floor(y) as bigint) as byy, cast(floor(x) as bigint) as bx from b3
 ), t3 as (
-  select volume_id, re, im, bz + dz as kz, byy + dy as ky, bx + dx as kx, bx, dx,
+  select volume_id, own, re, im, bz + dz as kz, byy + dy as ky, bx + dx as kx, bx, dx,
     (case when dz = 0 then 1 - (z - bz) else z - bz end) * (case when dy = 0 then 1 - (y - byy) else y - byy end) * (case when dx = 0 then 1 - (x - bx) else x - bx end) as share
   from c3 cross join range(2) as r(dz) cross join range(2) as s(dy) cross join range(2) as t(dx)
 ), u3 as (
-  select volume_id, kz, ky, kx, re, im, share from t3 union all select volume_id, -kz, -ky, kx, re, -im, share from t3 where bx = 0 and dx = 0
+  select volume_id, own, kz, ky, kx, re, im, share from t3 union all select volume_id, own, -kz, -ky, kx, re, -im, share from t3 where bx = 0 and dx = 0
 ), raster as (
-  select volume_id, kz, ky, kx, sum(re * share) as re, sum(im * share) as im, sum(share) as weight from u3
+  select volume_id, kz, ky, kx, sum(re * own * share) as re, sum(im * own * share) as im, sum(own * share) as weight from u3
   where share >= 1e-9 and kz between -4 and 3 and ky between -4 and 3 and kx between 0 and 4 group by 1, 2, 3, 4
 )"""
-)
+
+
+RASTER = _raster_sql()
 VX = f"{s6('re')} as re, {s6('im')} as im, {s6('weight')} as weight"
 
 
@@ -349,26 +359,36 @@ def rasterize_central_slices_3d(spark, sf_dir):
     return _vx(_raster(spark, sf_dir), "volume_id", "kz", "ky", "kx")
 
 
-WEIGHTED = RASTER.replace("select volume_id, re, im, m01", "select volume_id, 1.0 + image_id % 3 * 0.5 as own, re, im, m01").replace(
-    "select volume_id, re, im * sg", "select volume_id, own, re, im * sg").replace("select volume_id, re, im, bz", "select volume_id, own, re, im, bz").replace(
-    "select volume_id, kz, ky, kx, re, im, share from t3", "select volume_id, kz, ky, kx, re * own as re, im * own as im, share * own as weight, share from t3").replace(
-    "select volume_id, -kz, -ky, kx, re, -im, share from t3", "select volume_id, -kz, -ky, kx, re * own, -im * own, share * own, share from t3").replace(
-    "sum(share) as weight from u3", "sum(weight) as weight from u3")
-
-
-@query(WEIGHTED + f" select volume_id, kz, ky, kx, {VX} from raster")
+@query(_raster_sql(own="(1.0 + image_id % 3 * 0.5)") + f" select volume_id, kz, ky, kx, {VX} from raster")
 def rasterize_weighted_slices(spark, sf_dir):
     poses = _pose(spark, sf_dir, _turn()).withColumn("weight", 1.0 + F.col("image_id") % 3 * 0.5)
     return _vx(J.rasterize_central_slices_3d(spectrum(spark, sf_dir), poses, SHAPE, VOLUME, 0.45), "volume_id", "kz", "ky", "kx")
 
 
-WINDOW = "(case when hz = 0 then 1 else sin(pi() * hz / 0.12) / (pi() * hz / 0.12) end) * (0.42 + 0.5 * cos(pi() * hz / 0.2) + 0.08 * cos(2 * pi() * hz / 0.2))"
+def _magnified(spark, sf_dir, matrix):
+    i = F.col("image_id")
+    return _pose(spark, sf_dir, matrix).withColumn("scaling", F.array(1.0 + i % 3 * 0.02, F.lit(0.02), F.lit(0.0), F.lit(0.97)))
+
+
+@query(_raster_sql(SY, SX, _bent(SY, SX), 10) + f" select volume_id, kz, ky, kx, {VX} from raster")
+def rasterize_magnified_slices(spark, sf_dir):
+    """Magnified slices on the Ewald sphere, spread as for a grid of 10."""
+    out = J.rasterize_central_slices_3d(spectrum(spark, sf_dir), _magnified(spark, sf_dir, _turn()), SHAPE, VOLUME, 0.45, RADIUS, (10, 10, 10))
+    return _vx(out, "volume_id", "kz", "ky", "kx")
+
 
+def _windowed(h: str, sinc: float, blackman: float, size: int = 8) -> str:
+    """A windowed sinc of h, at least one sample of size wide."""
+    a, b = f"greatest({sinc}, 1.0 / {size})", f"greatest({blackman}, 1.0 / {size})"
+    return f"((case when {h} = 0 then 1 else sin(pi() * {h} / {a}) / (pi() * {h} / {a}) end) * (0.42 + 0.5 * cos(pi() * {h} / {b}) + 0.08 * cos(2 * pi() * {h} / {b})))"
 
-def _near(points: str, keys: str) -> str:
-    return f""", n as (
-  select p.*, rot.image_id, m00 * gz + m10 * gy + m20 * gx as hz, (m01 * gz + m11 * gy + m21 * gx) * 8 as fy, (m02 * gz + m12 * gy + m22 * gx) * 8 as fx from {points} p join rot using (volume_id)
-), g as (select *, {WINDOW} as w from n where abs(hz) <= 0.2), s as ({spectral('g', 'sp', keys, weight='g.w')}), q as (select {keys}, sum(w) as weight from g group by {keys})"""
+
+def _near(points: str, keys: str, sy: str = "fy", sx: str = "fx", height: str = "0.0", window: str = "1.0", size: int = 8) -> str:
+    return f""", h as (
+  select p.*, rot.image_id, m00 * gz + m10 * gy + m20 * gx as fz, m01 * gz + m11 * gy + m21 * gx as fy, m02 * gz + m12 * gy + m22 * gx as fx from {points} p join rot using (volume_id)
+), n as (
+  select * exclude (fz, fy, fx), fz - {height} as hz, {sy} * 8 as fy, {sx} * 8 as fx from h
+), g as (select *, {_windowed('hz', 0.12, 0.2, size)} * {window} as w from n where abs(hz) <= 0.2), s as ({spectral('g', 'sp', keys, weight='g.w')}), q as (select {keys}, sum(w) as weight from g group by {keys})"""
 
 
 @query(
@@ -386,6 +406,22 @@ def insert_central_slices_3d(spark, sf_dir):
     return _vx(out, "volume_id", "kz", "ky", "kx")
 
 
+@query(
+    SP
+    + ROT
+    + """, pts as (
+  select volume_id, kz, ky, kx, kz / 10.0 as gz, ky / 10.0 as gy, kx / 10.0 as gx from (select distinct volume_id from rot) cross join range(-4, 4) as r(kz) cross join range(-4, 4) as s(ky) cross join range(5) as t(kx)
+  where (kz * kz + ky * ky + kx * kx) / 100.0 <= 0.41 * 0.41
+)"""
+    + _near("pts", "g.volume_id, g.kz, g.ky, g.kx", SY, SX, _bent("fy", "fx"), size=10)
+    + f" select volume_id, kz, ky, kx, {s6('coalesce(re, 0)')} as re, {s6('coalesce(im, 0)')} as im, {s6('weight')} as weight from q left join s using (volume_id, kz, ky, kx)"
+)
+def insert_magnified_slices(spark, sf_dir):
+    poses = _magnified(spark, sf_dir, _transposed(_turn()))
+    out = J.insert_central_slices_3d(spectrum(spark, sf_dir), poses, SHAPE, VOLUME, 0.12, 0.2, 0.41, RADIUS, (10, 10, 10))
+    return _vx(out, "volume_id", "kz", "ky", "kx")
+
+
 OUT = """, pts as (
   select o.image_id as out_id, volume_id, ky, kx, m01 * ky / 8.0 + m02 * kx / 8.0 as gz, m11 * ky / 8.0 + m12 * kx / 8.0 as gy, m21 * ky / 8.0 + m22 * kx / 8.0 as gx
   from rot o cross join range(-4, 4) as s(ky) cross join range(5) as t(kx) where (ky * ky + kx * kx) / 64.0 <= 0.41 * 0.41
@@ -425,6 +461,51 @@ def insert_and_extract_central_slices_3d(spark, sf_dir):
     return _vx(out, "out_id", "ky", "kx")
 
 
+BENT_OUT = f""", o as (
+  select out_id, volume_id, ky, kx, m00 * hz + m01 * sy + m02 * sx as oz, m10 * hz + m11 * sy + m12 * sx as gy, m20 * hz + m21 * sy + m22 * sx as gx
+  from (select *, {_bent('sy', 'sx')} as hz from (
+    select *, image_id as out_id, {SY} as sy, {SX} as sx from (select *, ky / 8.0 as fy, kx / 8.0 as fx from rot cross join range(-4, 4) as s(ky) cross join range(5) as t(kx))))
+), pts as (
+  select out_id, volume_id, ky, kx, oz + st / 8.0 as gz, gy, gx, {_windowed('(st / 8.0)', 0.15, 0.3)} as along from o cross join range(-2, 3) as w(st)
+  where (oz + st / 8.0) * (oz + st / 8.0) + gy * gy + gx * gx <= 0.41 * 0.41
+)"""
+
+
+@query(
+    SP
+    + ROT
+    + """, v3 as (
+  select image_id, kz, ky, kx, sum(v * cos(a)) / 512 as re, sum(v * sin(a)) / 512 as im
+  from (select image_id // 8 as image_id, kz, ky, kx, v, -2 * pi() * (kz * (image_id % 8) + ky * y + kx * x) / 8 as a from px, range(-4, 4) as d(kz), range(-4, 4) as f(ky), range(0, 5) as g(kx))
+  group by image_id, kz, ky, kx
+)"""
+    + BENT_OUT
+    + ", g as (select volume_id as image_id, out_id, ky, kx, along as w, gz * 8 as fz, gy * 8 as fy, gx * 8 as fx from pts), s as ("
+    + spectral("g", "v3", "g.out_id, g.ky, g.kx", "zyx", "g.w")
+    + "), q as (select out_id, ky, kx, sum(w) as weight from g group by out_id, ky, kx)"
+    + f" select out_id, ky, kx, {s6('coalesce(re, 0)')} as re, {s6('coalesce(im, 0)')} as im, {s6('weight')} as weight from q left join s using (out_id, ky, kx)"
+)
+def extract_windowed_slices(spark, sf_dir):
+    """Magnified slices on the Ewald sphere, summed along the depth under a windowed sinc."""
+    whole = pixels_to_stack(volumes(spark, sf_dir), VOLUME)
+    spectra = T.to_frequencies(T.fft_r2c(whole), VOLUME)
+    out = J.extract_central_slices_3d(spectra, _magnified(spark, sf_dir, _turn()), SHAPE, VOLUME, 0.41, RADIUS, sinc=0.15, blackman=0.3)
+    return _vx(out, "out_id", "ky", "kx")
+
+
+@query(
+    SP
+    + ROT
+    + BENT_OUT
+    + _near("pts", "g.out_id, g.ky, g.kx", SY, SX, _bent("fy", "fx"), "along")
+    + f" select out_id, ky, kx, {s6('2 * coalesce(re, 0)')} as re, {s6('2 * coalesce(im, 0)')} as im, {s6('2 * weight')} as weight from q left join s using (out_id, ky, kx)"
+)
+def insert_and_extract_added_slices(spark, sf_dir):
+    """The same straight from other slices, added to what an earlier call gave."""
+    once = lambda **more: J.insert_and_extract_central_slices_3d(spectrum(spark, sf_dir), _magnified(spark, sf_dir, _transposed(_turn())), _magnified(spark, sf_dir, _turn()), SHAPE, 0.12, 0.2, 0.41, ews_radius=RADIUS, depth_window=(0.15, 0.3), **more)
+    return _vx(once(add_to=once()), "out_id", "ky", "kx")
+
+
 SINC2 = "power(case when r = 0 then 1 else sin(pi() * r) / (pi() * r) end, 2)"
 
 
