@@ -10,6 +10,7 @@ from . import (
     chat_rotation,
     decontamination,
     html_extraction,
+    merkle_manifest,
     mixing,
     ngram_join,
     pii,
@@ -70,6 +71,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_quality_ledger": op2_quality_ledger,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_html_extraction": html_extraction.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
+    "op11_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
