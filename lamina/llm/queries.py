@@ -17,6 +17,7 @@ from . import (
     quality_classifier,
     quality_rules,
     secret_scans,
+    trie_dedup,
     url_filters,
 )
 from .common import table
@@ -75,6 +76,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_quality_ledger": op2_quality_ledger,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_trie_dedup": op12_trie_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +107,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
     "op11_merkle_manifest": merkle_manifest.ORACLE_SQL,
+    "op12_trie_dedup": trie_dedup.ORACLE_SQL,
 }
