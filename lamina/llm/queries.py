@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chat_rotation,
+    collocations,
     decontamination,
     html_extraction,
     merkle_manifest,
@@ -80,6 +81,10 @@ def op12_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_quality_ledger": op2_quality_ledger,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op10_mix_sources": op10_mix_sources,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_trie_dedup": op12_trie_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_mix_sources": mixing.ORACLE_SQL,
     "op11_merkle_manifest": merkle_manifest.ORACLE_SQL,
     "op12_trie_dedup": trie_dedup.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }

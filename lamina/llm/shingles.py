@@ -15,7 +15,8 @@ _INVERSES = np.cumprod(np.full(1 << 16, pow(int(_BASE), -1, 1 << 64), np.uint64)
 WIDTH = 5
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The bits of each number spread."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_1
     x = (x ^ (x >> np.uint64(27))) * _MIX_2
     return x ^ (x >> np.uint64(31))
@@ -30,6 +31,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[:n], _INVERSES[:n]
 
 
+def run_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each run."""
+    power, inverse = _powers(len(raw))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)))
+    return mixed((total[end] - total[begin]) * inverse[begin])
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each white-space separated word."""
     raw = np.frombuffer(text, np.uint8)
@@ -38,9 +46,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(begin):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(raw))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)))
-    return _mix((total[end] - total[begin]) * inverse[begin])
+    return run_hashes(raw, begin, end)
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -54,7 +60,7 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     h = np.full(n, width, np.uint64)
     for k in range(width):
         h = h * _BASE + words[k : k + n]
-    return np.unique(_mix(h))
+    return np.unique(mixed(h))
 
 
 def set_key(shingles: np.ndarray) -> bytes:
