@@ -9,11 +9,11 @@ nodes that begin with it do, plus its ends; and a word likewise.
 Paths of nodes with one edge in and one out are compacted: their edges become one row of words and weights.
 
 Only phrases with `least` occurrences or more can be candidates, and so can their parts. Before the graph is made, the hashes of words, of pairs
-of such words, and of triples of such pairs are counted, and a piece also ends where the next word, pair or triple
-occurs less often. Each level's hashes are sent as a bitmap of fixed size, so it may let rare ones through, never hold frequent ones
+of such words, of triples of such pairs and of edges of such triples are counted, and a place's longest phrase also ends where it
+would occur less often. Each level's hashes are sent as a bitmap of fixed size, so it may let rare ones through, never hold frequent ones
 back: the counts of frequent phrases are exact, and words are compared as words, hashes only choose.
 
-Scale: each pass reads the texts where they are, and moves sums per task (of hashes and numbers; of phrases only in the last). The
+Scale: each pass reads the texts where they are, and moves sums per task: of hashes, and in the last of phrases, many in a row. The
 bitmaps have 2**BITS bits whatever the data. Sums are partial before each shuffle, so a frequent phrase costs as much as a
 rare one. Pointers along paths are doubled, so a path of any length takes few rounds, and a path's row has PART edges at
 most. The best `top` of a language are chosen in every task before they meet.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,10 @@ BITS = 26
 #: Edges in one row of a path.
 PART = 1024
 PIECE_BYTES = 1 << 20
-HELD_PHRASES = 200_000
+#: Phrases that a task sums up before it passes them on.
+HELD_PHRASES = 400_000
+#: Phrases of one language that travel together, about.
+BUCKET_PHRASES = 5_000
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -127,38 +131,44 @@ def _counter(k: int, bitmaps: list):
     return run
 
 
-def frequent(texts: DataFrame, least: int, bits: int) -> list:
-    """Broadcast bitmaps of the hashes of words, pairs and triples that occur `least` times or more, 2**bits bits each."""
-    sc, found = texts.sparkSession.sparkContext, []
-    for k in range(1, LONGEST):
+def frequent(texts: DataFrame, least: int, bits: int) -> tuple[list, int]:
+    """Broadcast bitmaps of the hashes of phrases of one to four words that occur `least` times or more, 2**bits bits each, and how many
+    bits are set in them."""
+    sc, found, n_set = texts.sparkSession.sparkContext, [], 0
+    for k in range(1, LONGEST + 1):
         counts = texts.mapInArrow(_counter(k, found), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         slot = F.shiftrightunsigned("gram", 64 - bits)
         parts = counts.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
         whole = bytearray(1 << (bits - 3))
         for part, held in parts.collect():  # 2**(bits - 15) rows of 4 KB at most
             whole[part * 4096 : part * 4096 + len(held)] = held
+        n_set += int(np.bitwise_count(np.frombuffer(whole, np.uint8)).sum(dtype=np.int64))
         found.append(sc.broadcast(bytes(whole)))
-    return found
+    return found, n_set
+
+
+PACKED = "lang string, bucket long, grams binary, counts binary"
 
 
-def _longest(bitmaps: list):
+def _longest(bitmaps: list, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
         sums: dict[str, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counter in sums.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counter)), pa.array(list(counter), pa.binary()).cast(pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "gram", "n"]
-                )
+                dealt: dict[int, list[bytes]] = {}
+                for gram in counter:
+                    dealt.setdefault(crc32(gram) % n_buckets, []).append(gram)
+                rows = [(lang, k, b"\n".join(g), np.array([counter[x] for x in g], np.int64).tobytes()) for k, g in dealt.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "bucket", "grams", "counts"])
             sums.clear()
 
         for lang, walk in _walks(batches):
             length = np.zeros(walk.n, np.int64)
             for k in range(1, LONGEST + 1):
                 at = walk.candidates(k, held)
-                if k < LONGEST:
-                    at = at & _among(walk.hashes(k), held[k - 1]) if len(at) else at
+                at = at & _among(walk.hashes(k), held[k - 1]) if len(at) else at
                 length[: len(at)] += at
             start = np.flatnonzero(length)
             last = walk.end[start + length[start] - 1]
@@ -172,6 +182,27 @@ def _longest(bitmaps: list):
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sums as rows, those of equal phrases added up as far as they are held together."""
+    sums: dict[str, Counter] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, counter in sums.items():
+            grams = pa.array(list(counter), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), grams, pa.array(list(counter.values()), pa.int64())], ["lang", "gram", "n"])
+        sums.clear()
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lang, _, grams, counts = (c[row].as_py() for c in batch.columns)
+            counter = sums.setdefault(lang, Counter())
+            for gram, n in zip(grams.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                counter[gram] += n
+            if sum(map(len, sums.values())) > HELD_PHRASES:
+                yield from out()
+    yield from out()
+
+
 def _first(gram: Column, k: int) -> Column:
     return F.substring_index(gram, " ", k)
 
@@ -180,8 +211,10 @@ def longest_grams(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> Data
     """lang, gram, n: how often each phrase is the longest that starts at a place, of four words at most; an empty gram has the number of the
     language's words."""
     texts = pick(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    bitmaps = frequent(texts, least, bits)
-    found = cut(texts.mapInArrow(_longest(bitmaps), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    bitmaps, n_frequent = frequent(texts, least, bits)
+    n_buckets = 1 + n_frequent // BUCKET_PHRASES
+    packed = texts.mapInArrow(_longest(bitmaps, n_buckets), PACKED).repartition("lang", "bucket")
+    found = cut(packed.mapInArrow(_merged, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     for b in bitmaps:
         b.unpersist()
     return found
