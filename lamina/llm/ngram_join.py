@@ -62,12 +62,12 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: its class (key of its shingle set, null without words), the set's size, and its bands' keys."""
+    """Per document: its class (key of its shingle set, null without words), the set's size, its bands' keys and its text's hash."""
     hashes = MinHash(BANDS * ROWS)
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in pieces(batches, "text"):
         keys, sizes, bands = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column("text").to_pylist():
             s = shingle_set(text) if text else np.zeros(0, np.uint64)
             sizes.append(len(s))
             if not len(s):
@@ -81,14 +81,28 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h ^= h >> np.uint64(29)
             bands.append(h.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "node", "n_shingles", "bands"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "node", "n_shingles", "bands"],
         )
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, a hash of the text: rows that share an id, or have none, are told apart by it."""
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return texts.mapInArrow(_sketch, "doc_id long, node binary, n_shingles long, bands array<long>")
+    return texts.withColumn("text_key", F.xxhash64("text"))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).mapInArrow(_sketch, "doc_id long, text_key long, node binary, n_shingles long, bands array<long>")
+
+
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """Per class: node, copies, n_shingles, least_id (doc_id), and of the row that stands for it text_key and n_same, the number of
+    rows that have its doc_id and text."""
+    rows = sketched.filter("node is not null").groupBy("node", "doc_id", "text_key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key", "n")).alias("least")
+    found = rows.groupBy("node").agg(least, F.sum("n").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    return found.select("node", "copies", "n_shingles", F.col("least.doc_id").alias("least_id"), "least.text_key", F.col("least.n").alias("n_same"))
 
 
 def candidate_groups(sketched: DataFrame) -> DataFrame:
@@ -120,6 +134,36 @@ class _Forest:
                 yield b
 
 
+class _Dense:
+    """Shared shingles of many texts that hold mostly the same ones, as products of 0/1 matrices, a slab of rows at a time."""
+
+    SLAB, MOST, LEAST_FILLED = 256, 1 << 24, 0.02
+
+    def __init__(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray):
+        self.rows, self.left, self.right = rows, left, rows[right]
+        self.place = {int(a): k for k, a in enumerate(left)}
+        self.slab, self.product = -1, None
+
+    @classmethod
+    def of(cls, columns: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, n_columns: int) -> _Dense | None:
+        """None where the matrix would be too large, or holds mostly zeros."""
+        n = len(bounds) - 1
+        common = np.bincount(columns, minlength=n_columns) > 1  # what only one text has is never shared
+        kept = common[columns]
+        size = n * int(common.sum())
+        if len(left) < cls.SLAB or not 0 < size <= cls.MOST or kept.sum() < cls.LEAST_FILLED * size:
+            return None
+        rows = np.zeros((n, size // n), np.float32)  # sums below 2**24 are exact
+        rows[np.repeat(np.arange(n), np.diff(bounds))[kept], (np.cumsum(common) - 1)[columns[kept]]] = 1
+        return cls(rows, left, right)
+
+    def shared(self, a: int) -> np.ndarray:
+        slab, at = divmod(self.place[a], self.SLAB)
+        if slab != self.slab:
+            self.slab, self.product = slab, self.rows[self.left[slab * self.SLAB : (slab + 1) * self.SLAB]] @ self.right.T
+        return self.product[at].astype(np.int64)
+
+
 class _Compare:
     """The task of one pair of blocks, or of several small groups."""
 
@@ -154,11 +198,15 @@ class _Compare:
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         inside = np.concatenate([columns[bounds[k] : bounds[k + 1]] for k in right])
         starts = np.concatenate(([0], np.cumsum(sizes[right])[:-1]))
-        mark = np.zeros(int(columns.max()) + 1, np.int32)
+        n_columns = int(columns.max()) + 1
+        mark = np.zeros(n_columns, np.int32)
+        dense = _Dense.of(columns, bounds, left, right, n_columns)
         for a, live in self.survivors(signatures, sizes, left, right):
             own = columns[bounds[a] : bounds[a + 1]]
             mark[own] = 1
-            if len(live) * 4 > len(right):
+            if dense is not None:
+                shared = dense.shared(a)[live]
+            elif len(live) * 4 > len(right):
                 shared = np.add.reduceat(mark[inside], starts)[live]
             else:
                 shared = np.array([mark[columns[bounds[k] : bounds[k + 1]]].sum() for k in right[live]])
@@ -170,19 +218,12 @@ class _Compare:
 
     def __call__(self, table: pa.Table) -> pa.Table:
         rows = table.select(["node", "component", "block", "first", "second", "copies", "text"]).to_pylist()
-        groups: dict[bytes, dict[bytes, dict]] = {}
+        groups: dict[bytes, list[dict]] = {}
         for r in rows:
-            groups.setdefault(r["component"], {})[r["node"], r["text"]] = r
+            groups.setdefault(r["component"], []).append(r)
         nodes, others, links = [], [], []
-        for group in groups.values():
-            held: dict[bytes, tuple[dict, np.ndarray]] = {}
-            for r in group.values():
-                s = shingle_set(r["text"] or b"")
-                if len(s) and set_key(s) == r["node"]:  # rows that share a doc_id come with each other's text
-                    held[r["node"]] = r, s
-            if not held:
-                continue
-            own = [r for r, _ in held.values()]
+        for own in groups.values():
+            sets = [shingle_set(r.pop("text")) for r in own]
             block = np.array([r["block"] for r in own])
             first, second = own[0]["first"], own[0]["second"]
             left = np.flatnonzero(block == first)
@@ -192,7 +233,7 @@ class _Compare:
             copies = np.array([r["copies"] for r in own])
             count = np.zeros(len(own), np.int64)
             forest = _Forest(len(own))
-            for a, hit in self.pairs([s for _, s in held.values()], left, right):
+            for a, hit in self.pairs(sets, left, right):
                 count[a] += copies[hit].sum()
                 count[hit] += copies[a]
                 for b in forest.joined(a, hit):
@@ -210,11 +251,18 @@ class _Compare:
 
 
 def _texts_of(docs: DataFrame, placed: DataFrame, most_sent: int) -> DataFrame:
-    """placed (least_id and others) with the text of each, those that share a doc_id with each other's."""
+    """placed (least_id, text_key, n_same and others, one row a class) with the text of each: one row a class, however many
+    rows of docs share its id or its text. Rows of placed are numbers and keys of 16 bytes, so most_sent bounds what is sent."""
     if placed.count() <= most_sent:
         placed = F.broadcast(placed)
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return texts.join(placed, texts["doc_id"].eqNullSafe(placed["least_id"])).drop("doc_id", "least_id")
+    texts = _keyed(docs).withColumnRenamed("text_key", "_key")
+    same = texts["doc_id"].eqNullSafe(placed["least_id"]) & (texts["_key"] == placed["text_key"])
+    columns = [c for c in placed.columns if c not in ("least_id", "text_key", "n_same")]
+    found = texts.join(placed, same).select(*columns, "n_same", "text")
+    if placed.filter("n_same > 1").isEmpty():
+        return found.drop("n_same")
+    once = found.filter("n_same > 1").groupBy(*columns).agg(F.min("text").alias("text"))
+    return found.filter("n_same = 1").drop("n_same").unionByName(once)
 
 
 def _block_pairs(n_blocks, block):
@@ -227,22 +275,21 @@ def _block_pairs(n_blocks, block):
 def _split(docs: DataFrame, members: DataFrame, threshold: float, tolerance: float, most_sent: int, sketch_block: int) -> DataFrame:
     """members of large groups, regrouped by what hangs together by pairs that their MinHash values leave."""
     n = members.groupBy("component").agg(F.ceil(F.count("*") / sketch_block).alias("n_blocks"))
-    placed = members.join(n, "component").select("node", "component", "least_id", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block"))
+    placed = members.join(n, "component").select("node", "component", "least_id", "text_key", "n_same", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block"))
     compare = _Compare(threshold, tolerance)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(COMPARED)
         for batch in pieces(batches, "text"):
-            sets = [shingle_set(x or b"") for x in batch.column("text").to_pylist()]
-            at = [k for k, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if len(s) and set_key(s) == node]
-            kept = batch.select(["node", "component", "n_blocks", "block"]).take(pa.array(at, pa.int64()))
+            sets = [shingle_set(x) for x in batch.column("text").to_pylist()]
+            kept = batch.select(["node", "component", "n_blocks", "block"])
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array([len(sets[k]) for k in at], pa.int64()), pa.array([hashes.of(sets[k]).tobytes() for k in at], pa.binary())],
+                [*kept.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([hashes.of(s).tobytes() for s in sets], pa.binary())],
                 [*kept.schema.names, "size", "signature"],
             )
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list({r["node"]: r for r in table.to_pylist()}.values())
+        rows = table.to_pylist()
         signatures = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows])
         sizes, block = (np.array([r[c] for r in rows]) for c in ("size", "block"))
         left = np.flatnonzero(block == rows[0]["first"])
@@ -273,7 +320,8 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance:
         "component",
         "copies",
         "least_id",
-        F.col("cost").alias("cost"),
+        "text_key",
+        "n_same",
         n_blocks.alias("n_blocks"),
         F.pmod(F.xxhash64("node"), n_blocks).alias("block"),
     )
@@ -305,9 +353,7 @@ def join(
     of all documents that hang together by links), least_id (of its own), copies (documents in the class), links (other documents linked
     to each of its documents, copies included)."""
     sketched = cut(sketches(docs))
-    classes = sketched.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")
-    )
+    classes = cut(classes_of(sketched))
     members = cut(candidate_groups(sketched).join(classes, "node"))
     cost = members.groupBy("component").agg(F.sum(F.col("n_shingles") + ROW_COST).alias("cost"))
     large = cost.filter(F.col("cost") > block).select("component")
