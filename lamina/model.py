@@ -39,12 +39,18 @@ def metadata(df: DataFrame, *core: str) -> list[str]:
     return [c for c in df.columns if c not in core]
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    """df, whose rows an explode has just made. The estimate of its size doesn't count them, so a join would send it to all tasks
+    at any size: it is to be sorted and merged, where the other side isn't sent by its own hint."""
+    return df.hint("merge")
+
+
 def grid(images: DataFrame, shape: Shape) -> DataFrame:
     """Every index of `shape` for each row of images."""
     out = images
     for axis, n in zip(AXES, shape, strict=True):
         out = out.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return out
+    return exploded(out)
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import times_conjugate
-from ..model import FREQUENCIES, Shape, fftfreq, norm_fftfreq
+from ..model import FREQUENCIES, Shape, exploded, fftfreq, norm_fftfreq
 
 TINY = 1e-13
 
@@ -114,7 +114,7 @@ def shells_of(shape: Shape, last: Column | None = None):
 
 
 def _fsc(zipped: DataFrame, shape: Shape, keys: list[str]) -> DataFrame:
-    within = zipped.filter(norm_fftfreq(shape) <= 0.5).withColumn("s", F.explode(shells_of(shape)))
+    within = exploded(zipped.filter(norm_fftfreq(shape) <= 0.5).withColumn("s", F.explode(shells_of(shape))))
     share = F.col("s.share")
     re, im, rr, ri = (F.col(c) for c in ("re", "im", "r_re", "r_im"))
     sums = within.groupBy(*keys, F.col("s.shell").alias("shell")).agg(
@@ -134,7 +134,7 @@ def fsc_anisotropic(zipped: DataFrame, shape: Shape, cones: list[tuple[float, fl
     f = fftfreq(shape)
     norm = norm_fftfreq(shape)
     table = F.array(*[F.struct(F.lit(k).cast("long").alias("cone"), *[F.lit(float(v)).alias(c) for c, v in zip("zyx", cone, strict=True)]) for k, cone in enumerate(cones)])
-    each = zipped.withColumn("_c", F.explode(table))
+    each = exploded(zipped.withColumn("_c", F.explode(table)))
     along = F.abs(f["kz"] * F.col("_c.z") + f["ky"] * F.col("_c.y") + f["kx"] * F.col("_c.x"))
     inside = each.filter((norm == 0) | (along >= norm * math.cos(aperture))).withColumn("cone", F.col("_c.cone"))
     return _fsc(inside, shape, ["image_id", "cone"])

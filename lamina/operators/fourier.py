@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import FREQUENCIES, Shape, frequency, frequency_index
+from ..model import FREQUENCIES, Shape, exploded, frequency, frequency_index
 from .dense import arrays, listed, pieces, scatter, shapes
 
 NORMS = ("forward", "ortho", "backward")
@@ -69,7 +69,7 @@ def to_frequencies(spectra: DataFrame, shape: Shape, half: bool = True) -> DataF
     """Dense spectra as rows image_id, kz, ky, kx, re, im."""
     d, h, w = shape
     n = w // 2 + 1 if half else w
-    flat = spectra.select("image_id", F.posexplode(F.arrays_zip("re", "im")).alias("p", "c"))
+    flat = exploded(spectra.select("image_id", F.posexplode(F.arrays_zip("re", "im")).alias("p", "c")))
     p = F.col("p").cast("long")
     z, y, x = F.floor(p / (h * n)).cast("long"), F.floor(p / n).cast("long") % h, p % n
     return flat.select(
@@ -98,7 +98,7 @@ def dft_join(pixels: DataFrame, shape: Shape, norm: str = "forward") -> DataFram
     out = pixels.select("image_id", "z", "y", "x", F.col("v").alias("re"), F.lit(0.0).alias("im"))
     for axis, k, n in (("x", "kx", shape[2]), ("y", "ky", shape[1]), ("z", "kz", shape[0])):
         last = n // 2 if k == "kx" else n - 1
-        spread = out.withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+        spread = exploded(out.withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))))
         angle = F.lit(-2 * math.pi / n) * ((F.col(axis) * F.col(k)) % n)
         c, s = F.cos(angle), F.sin(angle)
         keys = [x for x in spread.columns if x not in (axis, "re", "im")]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..model import Shape, grid, offset
+from ..model import Shape, exploded, grid, offset
 
 
 def fill_stack(images: DataFrame, shape: Shape, value: float) -> DataFrame:
@@ -125,7 +125,7 @@ def window_taps(kind: str, n: int, param: float = 0.0) -> Column:
 def window(lines: DataFrame, kind: str, n: int, param: float = 0.0, half: bool = False, normalize: bool = False) -> DataFrame:
     """For each row of lines: i, v of the window's taps; half starts at n // 2. Normalizing divides by the sum of
     the full window, so a half window is the full one's second half."""
-    taps = lines.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    taps = exploded(lines.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))))
     taps = taps.withColumn("v", window_taps(kind, n, param))
     if normalize:
         taps = taps.withColumn("v", F.col("v") / F.sum("v").over(W.partitionBy(*lines.columns)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.borders import border_index
 from ..functions.elementwise import times
-from ..model import AXES, FREQUENCIES, Shape, grid, once
+from ..model import AXES, FREQUENCIES, Shape, exploded, grid, once
 from .dense import arrays, dense, listed, pieces, shapes
 
 #: Less of a value than this is what rounding leaves of none.
@@ -90,7 +90,7 @@ def gather(pixels: DataFrame, targets: DataFrame, keys: list[str], shape: Shape,
         if n == 1:
             each = each.withColumn(f"_{axis}", F.lit(0).cast("long"))
             continue
-        each = each.withColumn("_t", F.explode(taps(F.col(f"c{axis}"), kernel)))
+        each = exploded(each.withColumn("_t", F.explode(taps(F.col(f"c{axis}"), kernel))))
         each = each.withColumns({f"_{axis}": border_index(F.col("_t.i"), n, border).cast("long"), "_w": F.col("_w") * F.col("_t.w")})
         if sparse:
             each = each.filter(F.col(f"_{axis}").isNotNull())
@@ -320,7 +320,7 @@ def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], sh
         if n == 1:
             each = each.withColumn(f"_{k}", F.lit(0).cast("long"))
             continue
-        each = each.withColumn("_t", F.explode(taps(F.col(f), "linear")))
+        each = exploded(each.withColumn("_t", F.explode(taps(F.col(f), "linear"))))
         each = each.withColumns({f"_{k}": F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")})
         low, top = (0, n // 2) if k == "kx" else (-(n // 2), (n - 1) // 2)
         each = each.filter(F.col(f"_{k}").between(low, top))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.borders import border_index
-from ..model import AXES, Shape
+from ..model import AXES, Shape, exploded
 from .dense import dense
 
 PAD = {"zero": "constant", "reflect": "reflect"}
@@ -47,7 +47,7 @@ def convolve(pixels: DataFrame, shape: Shape, kernel: np.ndarray, border: str =
             for at in np.ndindex(kernel.shape)
         ]
     )
-    each = pixels.withColumn("_t", F.explode(taps))
+    each = exploded(pixels.withColumn("_t", F.explode(taps)))
     if border == "zero":
         moved = each.select("image_id", *[(F.col(a) - F.col(f"_t.d{a}")).alias(a) for a in AXES], (F.col("v") * F.col("_t.k")).alias("v"))
         inside = moved
@@ -87,7 +87,7 @@ def convolve_separable(pixels: DataFrame, kernels: dict[str, list[float]], borde
 
 def median_filter(pixels: DataFrame, shape: Shape, window: Shape, border: str = "reflect") -> DataFrame:
     """The exact median of each odd window."""
-    each = pixels.select("image_id", *[F.col(a).alias(f"o{a}") for a in AXES]).withColumn("_t", F.explode(_taps(window)))
+    each = exploded(pixels.select("image_id", *[F.col(a).alias(f"o{a}") for a in AXES]).withColumn("_t", F.explode(_taps(window))))
     sources = each.select(
         "image_id",
         *[f"o{a}" for a in AXES],

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import EPSILON
-from ..model import AXES, FREQUENCIES, Shape, grid, offset, once
+from ..model import AXES, FREQUENCIES, Shape, exploded, grid, offset, once
 from .geometry import LEAST_SHARE, SIZES, apply, at, gather, spectrum_gather, weights
 
 #: Bytes of volumes that are sent to every task at most.
@@ -67,7 +67,7 @@ def _along_axis(poses: DataFrame, shape: Shape, volume: Shape, window: int | Non
         last = F.least(last, F.ceil(F.greatest(*ends)).cast("double"))
     reach = once(pixel, {"_first": first.cast("int"), "_last": last.cast("int")})
     steps = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
-    stepped = reach.withColumn("_step", F.explode(steps)).drop("_first", "_last")
+    stepped = exploded(reach.withColumn("_step", F.explode(steps)).drop("_first", "_last"))
     here = row("_d") + F.col("_step")
     inside = stepped.select("out_id", "volume_id", "y", "x", *[(row(f"_o{a}") + F.col(f"_v{a}") * here).alias(f"c{a}") for a in AXES])
     for a, n in zip(AXES, volume, strict=True):
@@ -241,7 +241,7 @@ def rasterize_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Sh
         if not step["x"]:  # the mirror, only where the base lies on the plane kx = 0
             on = F.when(F.col("bx") == 0, share)
             each.append(F.struct((-k["z"]).alias("kz"), (-k["y"]).alias("ky"), k["x"].alias("kx"), on.alias("share"), F.lit(-1.0).alias("s")))
-    spread = based.select("volume_id", "re", "im", "_adds", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE)
+    spread = exploded(based.select("volume_id", "re", "im", "_adds", F.explode(F.array(*each)).alias("t")).filter(F.col("t.share") >= LEAST_SHARE))
     d, h, w = volume
     inside = spread.filter(F.col("t.kz").between(-(d // 2), (d - 1) // 2) & F.col("t.ky").between(-(h // 2), (h - 1) // 2) & F.col("t.kx").between(0, w // 2))
     return inside.groupBy("volume_id", *[F.col(f"t.{k}").alias(k) for k in FREQUENCIES]).agg(
@@ -300,7 +300,7 @@ def _volume_points(poses: DataFrame, volume: Shape, cutoff: float, target: Shape
     d, h, w = volume
     points = poses.select("volume_id").distinct().withColumn("window", F.lit(1.0))
     for k, lo, hi in (("kz", -(d // 2), (d - 1) // 2), ("ky", -(h // 2), (h - 1) // 2), ("kx", 0, w // 2)):
-        points = points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
+        points = exploded(points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))))
     g = {f"g{a}": F.col(k) / float(n) for a, k, n in zip(AXES, FREQUENCIES, target, strict=True)}
     return _within(points.withColumns(g), cutoff)
 
@@ -319,13 +319,13 @@ def _slice_points(poses: DataFrame, shape: Shape, ews_radius: Radius, window: tu
     _, h, w = shape
     points = _posed(poses).withColumnRenamed("image_id", "out_id")
     for k, lo, hi in (("ky", -(h // 2), (h - 1) // 2), ("kx", 0, w // 2)):
-        points = points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
+        points = exploded(points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))))
     placed = _slice_to_grid(points, F.col("ky") / float(h), F.col("kx") / float(w), ews_radius)
     sinc, blackman = _least(window, depth)
     n = max(1, math.ceil(blackman * depth - 1e-6)) - 1
     if n == 0:
         return _within(placed.withColumn("window", F.lit(1.0)), cutoff)
-    stepped = placed.withColumn("_step", F.explode(F.sequence(F.lit(-n), F.lit(n))))
+    stepped = exploded(placed.withColumn("_step", F.explode(F.sequence(F.lit(-n), F.lit(n)))))
     step = F.col("_step") / float(depth)
     return _within(stepped.withColumns({"gz": F.col("gz") + step, "window": windowed_sinc(step, sinc, blackman)}).drop("_step"), cutoff)
 

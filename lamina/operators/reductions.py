@@ -7,15 +7,18 @@ All are partial aggregations, so a shuffle moves one row per task and group.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..model import Shape
+from ..model import Shape, exploded
 from .dense import dense
 from .generators import iwise
 
@@ -30,10 +33,6 @@ def _variance(ddof: int) -> Column:
     return F.var_pop(V) if ddof == 0 else F.var_samp(V)
 
 
-def exact_sum(v: pd.Series) -> float:
-    return math.fsum(v)
-
-
 AGGREGATES = {
     "min": lambda: F.min(V),
     "max": lambda: F.max(V),
@@ -54,16 +53,57 @@ def reduce(pixels: DataFrame, keys: Iterable[str], *names: str) -> DataFrame:
     return pixels.groupBy(*keys).agg(*[AGGREGATES[n]().alias(n) for n in names])
 
 
-def reduce_accurate(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum and mean without rounding on the way. Two steps: exact sums within each image's row of `keys` and
-    image, then over images, so no group holds more than one image's pixels and one number per image."""
-    total = F.pandas_udf(exact_sum, "double")
-    inner = list(dict.fromkeys([*keys, "image_id"]))
-    per = pixels.groupBy(*inner).agg(total(V).alias("s"), total(F.lit(1.0)).alias("n"))
-    if inner == keys:
-        return per.select(*keys, F.col("s").alias("sum"), (F.col("s") / F.col("n")).alias("mean"))
-    whole = per.groupBy(*keys).agg(total("s").alias("sum"), total(F.col("n").cast("double")).alias("n"))
-    return whole.select(*keys, "sum", (F.col("sum") / F.col("n")).alias("mean"))
+#: Exponents that share a bin of exact sums, and bits of a value's lower half there.
+BIN, HALF = 8, 30
+
+
+def _scaled(v: Column, n: Column) -> Column:
+    """v * 2**n, in two steps that are exact where v and the result are ordinary numbers."""
+    half = F.floor(n / 2)
+    return v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), n - half)
+
+
+def _rounded(entries: list, n: int) -> tuple[float, float]:
+    """Sum and mean of sums per bin (bin, high, low), each rounded once."""
+    least = min((e["bin"] for e in entries), default=0)
+    whole = sum(((int(e["high"]) << HALF) + int(e["low"])) << (e["bin"] - least) * BIN for e in entries)
+    above, below = 1 << max(0, least * BIN), 1 << max(0, -least * BIN)
+
+    def quotient(by: int) -> float:
+        try:
+            return whole * above / (below * by)  # of integers: rounded once
+        except OverflowError:
+            return math.copysign(math.inf, whole)
+
+    return quotient(1), quotient(n)
+
+
+def reduce_accurate(pixels: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Sum and mean of each group, rounded once, at the end: the result is the same for any order and partitioning.
+
+    A value is a whole number of units of its bin, a power of two near its last bit; the units are added up in two halves, as longs in
+    each task and as decimals over tasks, so partial sums are exact and a group of any size is a few hundred rows a task at most.
+    NaN and infinities make what they make in a plain sum."""
+    keys = list(keys)
+    v, task = F.col(V).cast("double"), F.spark_partition_id()
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    unit = F.when(odd | (v == 0), None).otherwise(F.floor((F.floor(F.log2(F.abs(v))) - 54) / BIN))
+    units = _scaled(v, -BIN * F.col("_bin"))
+    high = F.floor(units / float(1 << HALF))
+    rows = pixels.filter(F.col(V).isNotNull()).select(*keys, V, unit.alias("_bin"), F.when(odd, v).alias("_odd"), task.alias("_task"))
+    halves = rows.withColumn("_high", high).withColumn("_low", (units - F.col("_high") * float(1 << HALF)).cast("long"))
+    own = halves.groupBy(*keys, "_bin", "_task").agg(F.sum("_high").alias("_high"), F.sum("_low").alias("_low"), F.sum("_odd").alias("_odd"), F.count("*").alias("_n"))
+    wide = lambda c: F.sum(F.col(c).cast("decimal(28, 0)")).alias(c)
+    bins = own.groupBy(*keys, "_bin").agg(wide("_high"), wide("_low"), F.sum("_odd").alias("_odd"), F.sum("_n").alias("_n"))
+    entry = F.when(F.col("_bin").isNotNull(), F.struct(F.col("_bin").alias("bin"), F.col("_high").alias("high"), F.col("_low").alias("low")))
+    held = bins.groupBy(*keys).agg(F.collect_list(entry).alias("_entries"), F.sum("_odd").alias("_odd"), F.sum("_n").alias("_n"))
+
+    @F.pandas_udf("sum double, mean double")
+    def finish(entries: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_rounded(e, int(k)) for e, k in zip(entries, n, strict=True)], columns=["sum", "mean"])
+
+    done = held.withColumn("_s", finish("_entries", "_n"))
+    return done.select(*keys, *[F.coalesce("_odd", f"_s.{c}").alias(c) for c in ("sum", "mean")])
 
 
 def argument(pixels: DataFrame, keys: Iterable[str], place: Column, largest: bool = True) -> DataFrame:
@@ -123,7 +163,7 @@ def histogram(pixels: DataFrame, n_bins: int, keys: Iterable[str] = ("image_id",
     keys = list(keys)
     bin_of = F.least(F.greatest(F.round(F.col(V) * n_bins), F.lit(0.0)), F.lit(float(n_bins - 1))).cast("long")
     counts = pixels.groupBy(*keys, bin_of.alias("bin")).agg(F.count("*").alias("n"))
-    every = pixels.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
+    every = exploded(pixels.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long")))))
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -171,10 +211,85 @@ def sort_axis(pixels: DataFrame, axis: str = "x", ascending: bool = True) -> Dat
     return pixels.withColumn(axis, (F.row_number().over(W.partitionBy(*others).orderBy(order, axis)) - 1).cast("long"))
 
 
-def reduce_axes_ewise(pixels: DataFrame, keys: Iterable[str], function) -> DataFrame:
-    """A user's reduction of each group of pixels: function takes a pandas Series and returns a number. A group is gathered in one
-    task, so keep keys that bound it; reductions that split go through groupBy and built-in aggregates."""
-    return pixels.groupBy(*keys).agg(F.pandas_udf(function, "double")(V).alias("value"))
+State = tuple[float, ...]
+
+
+@dataclass(frozen=True)
+class Reduction:
+    """A user's reduction: accumulate adds an array of values to a state (numbers, as many as in init), join makes one state of two,
+    post a number of the last one. join(init, s) must be s."""
+
+    init: State
+    accumulate: Callable[[State, np.ndarray], State]
+    join: Callable[[State, State], State]
+    post: Callable[[State], float]
+
+
+#: Groups whose states a task holds, and tasks whose states are joined together in one step.
+HELD_GROUPS, JOINED_TASKS = 50_000, 256
+
+
+def reduce_axes_ewise(pixels: DataFrame, keys: Iterable[str], reduction: Reduction) -> DataFrame:
+    """keys, value: a user's reduction of each group of pixels.
+
+    Every task accumulates states of its own rows; the states of JOINED_TASKS tasks are joined, then those of the whole
+    table, in the order of tasks. A group of any size is a state a task, and no task holds its values."""
+    keys = list(keys)
+    typed = pixels.select(*keys, F.col(V).cast("double").alias(V)).filter(F.col(V).isNotNull())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.select(*keys).schema)
+    schema = f"{fields}{', ' if keys else ''}_task long, _state array<double>"
+
+    def out(states: dict[tuple, State], task: int, types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in states], t) for i, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(states), pa.int64()), pa.array([list(s) for s in states.values()], pa.list_(pa.float64()))], [*keys, "_task", "_state"])
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, types = TaskContext.get().partitionId(), []
+        states: dict[tuple, State] = {}
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            values = batch.column(V).to_numpy(zero_copy_only=False)
+            if keys:
+                at = pa.table({**{k: batch.column(k) for k in keys}, "_at": np.arange(len(values))}).group_by(keys).aggregate([("_at", "list")])
+                groups = zip(zip(*(at.column(k).to_pylist() for k in keys), strict=True), (values[np.asarray(x.values)] for x in at.column("_at_list")), strict=True)
+            else:
+                groups = [((), values)] if len(values) else []
+            for key, own in groups:
+                states[key] = reduction.accumulate(states.get(key, reduction.init), own)
+            if len(states) > HELD_GROUPS:
+                yield out(states, task, types)
+                states = {}
+        if states:
+            yield out(states, task, types)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by keys and task, so the states to join follow each other."""
+        at, state, done, types = None, reduction.init, {}, []
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            named = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * batch.num_rows
+            for key, to, held in zip(named, batch.column("_to").to_pylist(), batch.column("_state").to_pylist(), strict=True):
+                if at != (to, key):
+                    if at is not None:
+                        done.setdefault(at[0], {})[at[1]] = state
+                    if sum(map(len, done.values())) >= HELD_GROUPS:
+                        yield from (out(states, task, types) for task, states in done.items())
+                        done = {}
+                    at, state = (to, key), reduction.init
+                state = reduction.join(state, tuple(held))
+        if at is not None:
+            done.setdefault(at[0], {})[at[1]] = state
+        yield from (out(states, task, types) for task, states in done.items())
+
+    @F.pandas_udf("double")
+    def post(states: pd.Series) -> pd.Series:
+        return pd.Series([float(reduction.post(tuple(s))) for s in states], dtype="float64")
+
+    states = typed.mapInArrow(accumulate, schema)
+    for to in (F.floor(F.col("_task") / JOINED_TASKS), F.lit(0)):
+        dealt = states.withColumn("_to", to.cast("long")).repartition(*keys, "_to").sortWithinPartitions(*keys, "_to", "_task")
+        states = dealt.mapInArrow(join, schema)
+    return states.select(*keys, post("_state").alias("value"))
 
 
 def reduce_ewise(stack: DataFrame, zero: Column, accumulate, finish=None) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import AXES, Shape, grid, index_of, metadata, offset
+from ..model import AXES, Shape, exploded, grid, index_of, metadata, offset
 from .dense import scatter
 
 CORE = ("image_id", "d", "h", "w", "values")
@@ -18,7 +18,7 @@ def stack_to_pixels(stack: DataFrame) -> DataFrame:
     others = metadata(stack, *CORE)
     flat = stack.select("image_id", "h", "w", *others, F.posexplode("values").alias("_place", "v"))
     at = index_of(F.col("_place"), F.col("h"), F.col("w"))
-    return flat.select("image_id", *others, *[at[a].alias(a) for a in AXES], "v")
+    return exploded(flat.select("image_id", *others, *[at[a].alias(a) for a in AXES], "v"))
 
 
 def pixels_to_stack(pixels: DataFrame, shape: Shape, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -60,7 +60,7 @@ def broadcast_stack(pixels: DataFrame, shape: Shape, target: Shape) -> DataFrame
             raise ValueError(f"axis {axis} of size {n} does not fit {m}")
         if n != m:
             out = out.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    return out
+    return exploded(out)
 
 
 def _slice(spec, n: int) -> tuple[int, int, int]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ctf as C
 from ..functions.elementwise import EPSILON
-from ..model import Shape, fftfreq, norm_fftfreq
+from ..model import Shape, exploded, fftfreq, norm_fftfreq
 
 
 def _spread(f: Column, n_shells: int, first: float, last: float) -> Column:
@@ -25,7 +25,7 @@ def divide_safe(a: Column, b: Column) -> Column:
 
 
 def _sum_shells(rows: DataFrame, keys: list[str], value: Column, f: Column, n_shells: int, first: float, last: float, average: bool) -> DataFrame:
-    each = rows.select(*keys, value.alias("_v"), F.explode(_spread(f, n_shells, first, last)).alias("_s"))
+    each = exploded(rows.select(*keys, value.alias("_v"), F.explode(_spread(f, n_shells, first, last)).alias("_s")))
     sums = each.groupBy(*keys, F.col("_s.shell").alias("shell")).agg(
         F.sum(F.col("_v") * F.col("_s.share")).alias("value"), F.sum(F.col("_s.share")).alias("weight")
     )
@@ -66,7 +66,7 @@ def fuse_spectra(shells: DataFrame, ctfs: DataFrame, target: DataFrame, n_shells
     with_phase = source.select("chunk", "value", C.phase(r * r).alias("_phase"), F.col("scale").alias("_scale"))
     aimed = with_phase.join(C.params(target), "chunk")
     f = C.phase_inverse(F.col("_phase")) * F.col("pixel_size")
-    each = aimed.select("chunk", (F.col("value") * F.col("_scale")).alias("_v"), F.col("_scale"), F.explode(_spread(f, n_shells, first, last)).alias("_s"))
+    each = exploded(aimed.select("chunk", (F.col("value") * F.col("_scale")).alias("_v"), F.col("_scale"), F.explode(_spread(f, n_shells, first, last)).alias("_s")))
     sums = each.groupBy("chunk", F.col("_s.shell").alias("shell")).agg(
         F.sum(F.col("_v") * F.col("_s.share")).alias("value"), F.sum(F.col("_scale") * F.col("_s.share")).alias("weight")
     )
@@ -77,12 +77,12 @@ def phase_spectra(shells: DataFrame, ctfs: DataFrame, target: DataFrame, n_shell
     """Each image's 1-d spectrum resampled on the target's shells: for a target shell, the input frequency of equal
     phase, interpolated linearly; 0 outside. target: one CTF per image_id."""
     images = shells.select("image_id").distinct()
-    grid = images.withColumn("shell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shells - 1).cast("long"))))
+    grid = exploded(images.withColumn("shell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shells - 1).cast("long")))))
     aimed = grid.join(C.params(target), "image_id")
     r = _shell_fftfreq(F.col("shell"), n_shells, first, last) / F.col("pixel_size")
     asked = aimed.select("image_id", "shell", C.phase(r * r).alias("_phase")).join(C.params(ctfs), "image_id")
     f = C.phase_inverse(F.col("_phase")) * F.col("pixel_size")
-    taps = asked.select("image_id", "shell", F.explode(_spread(f, n_shells, first, last)).alias("_s"))
+    taps = exploded(asked.select("image_id", "shell", F.explode(_spread(f, n_shells, first, last)).alias("_s")))
     source = shells.select("image_id", F.col("shell").alias("_source"), "value")
     got = taps.withColumn("_source", F.col("_s.shell")).join(source, ["image_id", "_source"])
     sums = got.groupBy("image_id", "shell").agg(F.sum(F.col("value") * F.col("_s.share")).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as E
-from ..model import grid
+from ..model import exploded, grid
 from ..operators import generators as G
 from ..operators import neighbourhoods as N
 from ..operators import reductions as R
@@ -148,7 +148,7 @@ def subregion(spark, sf_dir):
 @query(PX + f" select image_id * 2 + k as image_id, image_id as source_id, y, x, {s6('v')} as v from px, range(2) as r(k)")
 def copy_batches(spark, sf_dir):
     images = stack(spark, sf_dir)
-    picks = images.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select((F.col("image_id") * 2 + F.col("k")).alias("out_pos"), "image_id")
+    picks = exploded(images.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))).select((F.col("image_id") * 2 + F.col("k")).alias("out_pos"), "image_id")
     copied = S.copy_batches(images.drop("label"), picks)
     return S.stack_to_pixels(copied).select("image_id", "source_id", "y", "x", r6("v").alias("v"))
 
@@ -411,6 +411,24 @@ def reduce_accurate(spark, sf_dir):
     return R.reduce_accurate(pixels(spark, sf_dir), ["label"]).select("label", r6("sum").alias("sum"), r6("mean").alias("mean"))
 
 
+CANCELLING = """with px as (
+  select l_returnflag as flag, cast(cast(l_orderkey as bigint) * 1099511627776 as hugeint) as large, l_quantity as small, l_linenumber % 2 as side from lineitem
+)"""
+
+
+@query(
+    CANCELLING
+    + """ select flag, cast(sum(large * 1048576) - sum(large * 1048576) + sum(cast(small as bigint)) as double) as sum,
+  cast(sum(cast(small as bigint)) as double) / cast(3 * count(*) as double) as mean from px group by flag"""
+)
+def reduce_accurate_cancelling(spark, sf_dir):
+    """Values of 2**60 and more and their negatives around the quantities: a sum that rounds on the way is far off."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    large = F.col("l_orderkey").cast("double") * float(1 << 60)
+    values = F.explode(F.array(large, F.col("l_quantity").cast("double"), -large))
+    return R.reduce_accurate(lines.select(F.col("l_returnflag").alias("flag"), values.alias("v")), ["flag"]).select("flag", "sum", "mean")
+
+
 @query(TWO + f" select image_id, {s6('sqrt(avg((v - r) * (v - r)))')} as rmsd, {s6('sum(v * r)')} as dot, bool_and(v = r) as all_equal from two group by image_id")
 def rmsd_dot_equal(spark, sf_dir):
     return R.compare(two(spark, sf_dir), ["image_id"]).select("image_id", r6("rmsd").alias("rmsd"), r6("dot").alias("dot"), "all_equal")

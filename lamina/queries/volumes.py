@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import correlation as X
@@ -180,9 +180,9 @@ def median_filter_3d(spark, sf_dir):
 def draw_mask_3d(spark, sf_dir):
     v = volumes(spark, sf_dir)
     value = {"cz": 3.5, "cy": 3.5, "cx": 4.0, "rz": 2.0, "ry": 3.0, "rx": 1.5, "smoothness": 1.2, "cvalue": 1.0}
-    masks = v.select("image_id").distinct().withColumns({**{k: F.lit(x) for k, x in value.items()}, "invert": F.lit(False)})
+    masks = v.select("image_id").distinct().hint("merge").withColumns({**{k: F.lit(x) for k, x in value.items()}, "invert": F.lit(False)})
     drawn = [G.draw_mask(v, masks, s, has_z=True).select("image_id", "z", "y", "x", r6("v").alias(s)) for s in ("ellipse", "cylinder")]
-    return drawn[0].join(drawn[1], ["image_id", "z", "y", "x"])
+    return drawn[0].join(drawn[1].hint("merge"), ["image_id", "z", "y", "x"])
 
 
 @query(VOL + f" select p.image_id, p.z, p.y, p.x, {s6('(p.v + q.v) / 2')} as v from vol p join vol q on q.image_id = p.image_id and q.z = p.z and q.y = 7 - p.y and q.x = 7 - p.x")
@@ -242,13 +242,33 @@ def backward_and_forward_project_3d(spark, sf_dir):
     return out.select("image_id", "y", "x", r6("v").alias("v"))
 
 
-def _cubes(v: pd.Series) -> float:
-    return float((v**3).sum())
-
-
 @query(PX + f" select image_id, x, {s6('sum(v * v * v)')} as value from px group by image_id, x")
 def reduce_axes_ewise(spark, sf_dir):
-    return R.reduce_axes_ewise(pixels(spark, sf_dir), ["image_id", "x"], _cubes).select("image_id", "x", r6("value").alias("value"))
+    return R.reduce_axes_ewise(pixels(spark, sf_dir), ["image_id", "x"], CUBES).select("image_id", "x", r6("value").alias("value"))
+
+
+#: Count, mean and sum of squares about the mean, which don't add up: parts are joined by the parallel formula.
+def _moments(state: tuple[float, ...], v: np.ndarray) -> tuple[float, ...]:
+    return _moments_joined(state, (float(len(v)), float(v.mean()), float(((v - v.mean()) ** 2).sum())))
+
+
+def _moments_joined(a: tuple[float, ...], b: tuple[float, ...]) -> tuple[float, ...]:
+    n = a[0] + b[0]
+    if n == 0:
+        return a
+    d = b[1] - a[1]
+    return n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n
+
+
+CUBES = R.Reduction((0.0,), lambda state, v: (state[0] + float((v**3).sum()),), lambda a, b: (a[0] + b[0],), lambda state: state[0])
+SPREAD = R.Reduction((0.0, 0.0, 0.0), _moments, _moments_joined, lambda state: (state[2] / state[0]) ** 0.5)
+
+
+@query(f"select l_returnflag as flag, {s6('stddev_pop(cast(l_extendedprice as double))')} as value from lineitem group by l_returnflag")
+def reduce_axes_whole_table(spark, sf_dir):
+    """A user's reduction over groups that hold a large part of the table, none of which any task gathers."""
+    prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"))
+    return R.reduce_axes_ewise(prices, ["flag"], SPREAD).select("flag", r6("value").alias("value"))
 
 
 @query(PX + f" select label, y, x, {s6('max(v)')} as max, {s6('min(v)')} as min from px group by label, y, x")
@@ -259,5 +279,5 @@ def reduce_min_max(spark, sf_dir):
 @query("select cast(vec_id as bigint) as image_id, i as place, 0.0::double as zeros, 1.0::double as ones from embeddings, range(6) as r(i)")
 def zeros_ones(spark, sf_dir):
     images = stack(spark, sf_dir).select("image_id")
-    flat = lambda value, name: G.fill_stack(images, (1, 2, 3), value).select("image_id", F.posexplode("values").alias("p", name)).select("image_id", F.col("p").cast("long").alias("place"), name)
+    flat = lambda value, name: G.fill_stack(images, (1, 2, 3), value).select("image_id", F.posexplode("values").alias("p", name)).select("image_id", F.col("p").cast("long").alias("place"), name).hint("merge")
     return flat(0.0, "zeros").join(flat(1.0, "ones"), ["image_id", "place"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -20,6 +21,7 @@ from lamina.operators import reshape as S
 from lamina.operators import shells as H
 from lamina.operators import spectra as P
 from lamina.operators import subregions as B
+from lamina.queries import volumes
 from lamina.sources import mrc, stacks
 
 STACK = "image_id long, d int, h int, w int, values array<double>"
@@ -156,6 +158,47 @@ def test_accurate_sum(spark):
     assert row["sum"] == 2.0 and row["mean"] == 0.5
 
 
+CANCELLING = [1e16, 1.0, -1e16, 1.0, 1e-300, 2.0**900, -(2.0**900), 5e-324, -0.0, 0.1, 3e-200, -7.25]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_accurate_sum_over_images(spark, parts):
+    rows = [(k % 2, k, v * (1 + k % 3)) for k in range(60) for v in (CANCELLING if k % 2 else [1e16, 1.0, -1e16, 1.0])]
+    pixels = spark.createDataFrame(rows, "label long, image_id long, v double").repartition(parts)
+    for keys in ([], ["label"], ["label", "image_id"]):
+        groups = {}
+        for label, image, v in rows:
+            groups.setdefault((label, image)[: len(keys)], []).append(v)
+        got = {tuple(r[k] for k in keys): (r["sum"], r["mean"]) for r in R.reduce_accurate(pixels, keys).collect()}
+        exact = {k: sum(map(Fraction, v)) for k, v in groups.items()}
+        assert got == {k: (float(x), float(x / len(groups[k]))) for k, x in exact.items()}
+        assert all(got[k][0] == math.fsum(v) for k, v in groups.items())
+
+
+def test_accurate_sum_of_odd_values(spark):
+    inf, nan = math.inf, math.nan
+    groups = {0: [inf, 1.0], 1: [inf, -inf], 2: [nan, 1.0], 3: [-inf], 4: [0.0, -0.0], 5: [None, 2.0], 6: [1.7e308, 1.7e308]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    got = {r["k"]: r["sum"] for r in R.reduce_accurate(spark.createDataFrame(rows, "k long, v double"), ["k"]).collect()}
+    assert got[0] == inf and math.isnan(got[1]) and math.isnan(got[2]) and got[3] == -inf and got[4] == 0.0 and got[5] == 2.0 and got[6] == inf
+    assert R.reduce_accurate(spark.createDataFrame([], "k long, v double"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["label"], ["label", "image_id"]])
+def test_user_reductions(spark, monkeypatch, keys):
+    monkeypatch.setattr(R, "JOINED_TASKS", 2)
+    monkeypatch.setattr(R, "HELD_GROUPS", 5)
+    rows = [(["a", None, "b"][k % 3], k % 11, float(v)) for k, v in enumerate(RNG.normal(size=400))]
+    pixels = spark.createDataFrame(rows, "label string, image_id long, v double").repartition(9)
+    largest = R.Reduction((0.0, -math.inf), lambda s, v: (s[0] + len(v), max(s[1], float(v.max()))), lambda a, b: (a[0] + b[0], max(a[1], b[1])), lambda s: s[0] * 1000 + s[1])
+    groups = {}
+    for label, image, v in rows:
+        groups.setdefault((label, image)[: len(keys)], []).append(v)
+    for reduction, want in ((largest, lambda v: len(v) * 1000 + max(v)), (volumes.SPREAD, np.std)):
+        got = {tuple(r[k] for k in keys): r["value"] for r in R.reduce_axes_ewise(pixels, keys, reduction).collect()}
+        assert got.keys() == groups.keys() and all(math.isclose(got[k], want(v), abs_tol=1e-12) for k, v in groups.items())
+
+
 def test_filters_agree(spark):
     a = RNG.normal(size=(1, 6, 5))
     stack = make(spark, [a])
