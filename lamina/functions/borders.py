@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +26,20 @@ def border_index(i: Column, n: int, mode: str) -> Column:
         j = F.abs(i) % (2 * n - 2)
         return F.when(j >= n, 2 * n - 2 - j).otherwise(j)
     raise ValueError(f"unknown border {mode}")
+
+
+def border_places(i: np.ndarray, n: int, mode: str) -> np.ndarray:
+    """border_index of an array, with -1 where the border's value is."""
+    if mode in ("zero", "value"):
+        return np.where((i >= 0) & (i < n), i, -1)
+    if mode == "clamp":
+        return np.clip(i, 0, n - 1)
+    if mode == "periodic":
+        return i % n
+    if mode == "mirror":
+        j = np.where(i < 0, -i - 1, i) % (2 * n)
+        return np.where(j >= n, 2 * n - 1 - j, j)
+    if mode == "reflect":
+        j = np.abs(i) % max(1, 2 * n - 2)
+        return np.where(j >= n, 2 * n - 2 - j, j)
+    raise ValueError(f"unknown border {mode}")

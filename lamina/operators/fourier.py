@@ -113,6 +113,65 @@ def dft_join(pixels: DataFrame, shape: Shape, norm: str = "forward") -> DataFram
     )
 
 
+def _factors(n: int) -> tuple[int, int]:
+    """n as a product of two numbers that are as near as can be, the lesser first."""
+    low = next(k for k in range(math.isqrt(n), 0, -1) if n % k == 0)
+    return low, n // low
+
+
+def _short(lines: DataFrame, core: list[str], size: int, twiddle: tuple[str, int] | None = None) -> DataFrame:
+    """core, k, re, im: transforms of lines of `size` values, each gathered from rows (core, at, re, im). twiddle (column, n)
+    multiplies what has frequency k by exp(-2 pi i k column / n)."""
+    held = lines.groupBy(*core).agg(F.collect_list(F.struct("at", "re", "im")).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "entries"):
+            out = []
+            for row in range(batch.num_rows):
+                entries = batch.column("entries")[row].values
+                line = np.zeros(size, complex)
+                re, im = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("re", "im"))
+                line[entries.field("at").to_numpy()] = re + 1j * im
+                found = np.fft.fft(line)
+                if twiddle:
+                    step = batch.column(twiddle[0])[row].as_py() * np.arange(size) % twiddle[1]
+                    found = found * np.exp(-2j * np.pi * step / twiddle[1])
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in core), listed([x.real for x in out]), listed([x.imag for x in out])], [*core, "re", "im"])
+
+    schema = held.select(*core, *[F.expr("cast(array() as array<double>)").alias(c) for c in ("re", "im")]).schema
+    flat = held.mapInArrow(run, schema).select(*core, F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
+    return exploded(flat.select(*core, F.col("k").cast("long").alias("k"), "c.re", "c.im"))
+
+
+def _long(rows: DataFrame, others: list[str], axis: str, into: str, n: int) -> DataFrame:
+    """One axis of complex rows transformed. With n = a * b, value j = b * j1 + j2 and frequency k = k1 + a * k2: lines of a values
+    (over j1) for each j2, twiddles, a shuffle that turns rows into columns, and lines of b values (over j2) for each k1."""
+    a, b = _factors(n)
+    first = rows.select(*others, (F.col(axis) % b).alias("_j"), F.floor(F.col(axis) / b).cast("long").alias("at"), "re", "im")
+    if a > 1:
+        first = _short(first, [*others, "_j"], a, ("_j", n)).withColumnRenamed("k", "_k")
+    else:
+        first = first.withColumn("_k", F.lit(0).cast("long"))
+    second = first.select(*others, "_k", F.col("_j").alias("at"), "re", "im")
+    return _short(second, [*others, "_k"], b).select(*others, (F.col("_k") + a * F.col("k")).alias(into), "re", "im")
+
+
+def dft_factored(pixels: DataFrame, shape: Shape, norm: str = "forward") -> DataFrame:
+    """The half spectrum of images whose lines don't fit a row, as dft_join gives it, with n log n work and two shuffles of n values an
+    axis. A task holds one line of the longer factor: about the root of n, all of it only where n is prime."""
+    out = pixels.select("image_id", "z", "y", "x", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    for axis, k, n in (("x", "kx", shape[2]), ("y", "ky", shape[1]), ("z", "kz", shape[0])):
+        others = [c for c in out.columns if c not in (axis, "re", "im")]
+        out = _long(out, others, axis, k, n) if n > 1 else out.withColumnRenamed(axis, k)
+        if k == "kx":
+            out = out.filter(F.col("kx") <= n // 2)
+    size = math.prod(shape)
+    scale = {"forward": 1 / size, "ortho": 1 / math.sqrt(size), "backward": 1.0}[norm]
+    kz, ky = (frequency(F.col(k), n).alias(k) for k, n in (("kz", shape[0]), ("ky", shape[1])))
+    return out.select("image_id", kz, ky, "kx", (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
+
+
 def mirrored(k: Column, n: int) -> Column:
     """-k as a frequency of an axis of n: an even axis's Nyquist is its own mirror."""
     return F.when((-k) * 2 == n, k).otherwise(-k)

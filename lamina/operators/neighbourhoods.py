@@ -1,64 +1,48 @@
 """Convolution and median filters, relational and dense.
 
-The relational forms keep to columns and joins and take images of any size: each pixel is sent to the
-windows it falls in. The dense forms take one image a row through numpy, without a shuffle.
+The forms over pixels take images of any size, as tiles with halos. The dense forms take one image a row through numpy, without
+a shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.borders import border_index
-from ..model import AXES, Shape, exploded
+from ..model import AXES, Shape
 from .dense import dense
+from .tiles import tiled
 
 PAD = {"zero": "constant", "reflect": "reflect"}
 
 
-def _taps(window: Shape) -> Column:
-    """All offsets of a window (odd sizes) as an array."""
-    halves = [n // 2 for n in window]
+def _halo(window: Shape) -> Shape:
     if any(n % 2 == 0 for n in window):
         raise ValueError("windows must have odd sizes")
-    return F.array(
-        *[
-            F.struct(*[F.lit(v).cast("long").alias(f"d{a}") for a, v in zip(AXES, (i, j, k), strict=True)])
-            for i in range(-halves[0], halves[0] + 1)
-            for j in range(-halves[1], halves[1] + 1)
-            for k in range(-halves[2], halves[2] + 1)
-        ]
-    )
+    return tuple(n // 2 for n in window)
 
 
-def convolve(pixels: DataFrame, shape: Shape, kernel: np.ndarray, border: str = "zero") -> DataFrame:
-    """Sum of in(i + d) * kernel(d) over a small odd kernel, not flipped. Zero border: each pixel is scattered to the
-    pixels whose window holds it, and pre-aggregated. Reflect border: each pixel gathers from mapped indices."""
+def _cube(kernel: np.ndarray) -> np.ndarray:
     kernel = np.asarray(kernel, float)
-    kernel = kernel.reshape((1,) * (3 - kernel.ndim) + kernel.shape)
-    halves = [n // 2 for n in kernel.shape]
-    if any(n % 2 == 0 for n in kernel.shape):
-        raise ValueError("kernels must have odd sizes")
-    taps = F.array(
-        *[
-            F.struct(*[F.lit(int(p - c)).cast("long").alias(f"d{a}") for a, p, c in zip(AXES, at, halves, strict=True)], F.lit(float(kernel[at])).alias("k"))
-            for at in np.ndindex(kernel.shape)
-        ]
-    )
-    each = exploded(pixels.withColumn("_t", F.explode(taps)))
-    if border == "zero":
-        moved = each.select("image_id", *[(F.col(a) - F.col(f"_t.d{a}")).alias(a) for a in AXES], (F.col("v") * F.col("_t.k")).alias("v"))
-        inside = moved
-        for a, n in zip(AXES, shape, strict=True):
-            inside = inside.filter(F.col(a).between(0, n - 1))
-        return inside.groupBy("image_id", *AXES).agg(F.sum("v").alias("v"))
-    sources = each.select(
-        "image_id", *[F.col(a).alias(f"o{a}") for a in AXES], *[border_index(F.col(a) + F.col(f"_t.d{a}"), n, border).cast("long").alias(a) for a, n in zip(AXES, shape, strict=True)], F.col("_t.k").alias("k")
-    )
-    got = sources.join(pixels.select("image_id", *AXES, "v"), ["image_id", *AXES])
-    return got.groupBy("image_id", *[F.col(f"o{a}").alias(a) for a in AXES]).agg(F.sum(F.col("v") * F.col("k")).alias("v"))
+    return kernel.reshape((1,) * (3 - kernel.ndim) + kernel.shape)
+
+
+def _weighted(padded: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sum of padded(i + d) * kernel(d), a term at a time."""
+    out = np.zeros([p - k + 1 for p, k in zip(padded.shape, kernel.shape, strict=True)])
+    for at in np.ndindex(kernel.shape):
+        if kernel[at]:
+            out += kernel[at] * padded[tuple(slice(i, i + n) for i, n in zip(at, out.shape, strict=True))]
+    return out
+
+
+def convolve(pixels: DataFrame, shape: Shape, kernel: np.ndarray, border: str = "zero") -> DataFrame:
+    """Sum of in(i + d) * kernel(d) over an odd kernel, not flipped, for every pixel whose window holds one that is present."""
+    kernel = _cube(kernel)
+    taps = (kernel != 0).astype(float)
+    return tiled(pixels, shape, _halo(kernel.shape), border, lambda a: _weighted(a, kernel), lambda there: _weighted(there, taps) > 0)
 
 
 def convolve_separable(pixels: DataFrame, kernels: dict[str, list[float]], border: str = "zero", shape: Shape | None = None) -> DataFrame:
@@ -87,14 +71,8 @@ def convolve_separable(pixels: DataFrame, kernels: dict[str, list[float]], borde
 
 def median_filter(pixels: DataFrame, shape: Shape, window: Shape, border: str = "reflect") -> DataFrame:
     """The exact median of each odd window."""
-    each = exploded(pixels.select("image_id", *[F.col(a).alias(f"o{a}") for a in AXES]).withColumn("_t", F.explode(_taps(window))))
-    sources = each.select(
-        "image_id",
-        *[f"o{a}" for a in AXES],
-        *[border_index(F.col(f"o{a}") + F.col(f"_t.d{a}"), n, border).cast("long").alias(a) for a, n in zip(AXES, shape, strict=True)],
-    )
-    got = sources.join(pixels.select("image_id", *AXES, "v"), ["image_id", *AXES], "left")
-    return got.groupBy("image_id", *[F.col(f"o{a}").alias(a) for a in AXES]).agg(F.median(F.coalesce("v", F.lit(0.0))).alias("v"))
+    view = np.lib.stride_tricks.sliding_window_view
+    return tiled(pixels, shape, _halo(window), border, lambda a: np.median(view(a, window), axis=(3, 4, 5)))
 
 
 def _windows(image: np.ndarray, window: Shape, border: str) -> np.ndarray:
@@ -107,6 +85,5 @@ def median_filter_dense(stack: DataFrame, window: Shape, border: str = "reflect"
 
 
 def convolve_dense(stack: DataFrame, kernel: np.ndarray, border: str = "zero") -> DataFrame:
-    kernel = np.asarray(kernel, float)
-    kernel = kernel.reshape((1,) * (3 - kernel.ndim) + kernel.shape)
+    kernel = _cube(kernel)
     return dense(stack, lambda image: np.einsum("abcijk,ijk->abc", _windows(image, kernel.shape, border), kernel))

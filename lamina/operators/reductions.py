@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..model import Shape, exploded
+from ..sources.shared import written
 from .dense import dense
 from .generators import iwise
 
@@ -106,6 +107,59 @@ def reduce_accurate(pixels: DataFrame, keys: Iterable[str]) -> DataFrame:
     return done.select(*keys, *[F.coalesce("_odd", f"_s.{c}").alias(c) for c in ("sum", "mean")])
 
 
+#: Splitters of a round, rows of a group that are sorted in one task, and groups whose bounds are sent to all tasks.
+SPLITTERS, SORTED_ROWS, SENT_GROUPS = 256, 10_000, 100_000
+
+
+def median_selected(pixels: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """keys, median: as F.median, for groups of any size.
+
+    Each round takes approximate quantiles of every group (a bounded sketch) and keeps what lies between the two around the
+    middle; exact counts say how many values lie below. What is left of a group shrinks about 50 times a round, until few enough
+    values are left to sort or all are equal. Rounds are written to the shared folder."""
+    keys = list(keys)
+    v = F.col(V)
+    typed = pixels.select(*keys, v.cast("double").alias(V)).filter(v.isNotNull())
+    sizes = typed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    left = written(sizes.select(*keys, "_n", F.floor((F.col("_n") - 1) / 2).alias("_low"), F.floor(F.col("_n") / 2).alias("_high")).filter("_n > 0"))
+    rows, found = typed, []
+    while True:
+        small = left.filter(F.col("_n") <= SORTED_ROWS)
+        large = left.filter(F.col("_n") > SORTED_ROWS)
+        values = F.sort_array(F.collect_list(V))
+        sorted_ = _beside(rows, small, keys).groupBy(*keys, "_low", "_high").agg(values.alias("_v"))
+        at = lambda c: F.element_at("_v", (F.col(c) + 1).cast("int"))
+        found.append(sorted_.select(*keys, ((at("_low") + at("_high")) / 2).alias("median")))
+        if large.isEmpty():
+            break
+        shares = [k / SPLITTERS for k in range(SPLITTERS + 1)]
+        cuts = _beside(rows, large, keys).groupBy(*keys, "_n", "_low", "_high").agg(F.percentile_approx(V, shares, 20 * SPLITTERS).alias("_cuts"))
+        near = lambda c, by: F.greatest(F.lit(1), F.least(F.lit(SPLITTERS + 1), F.floor(F.col(c) * SPLITTERS / F.col("_n")) + by)).cast("int")
+        bounds = written(cuts.select(*keys, "_n", "_low", "_high", F.element_at("_cuts", near("_low", -1)).alias("_from"), F.element_at("_cuts", near("_high", 4)).alias("_to")))
+        held = _beside(rows, bounds, keys)
+        inside = F.col(V).between(F.col("_from"), F.col("_to"))
+        counts = written(held.groupBy(*keys, "_n", "_low", "_high", "_from", "_to").agg(F.sum((v < F.col("_from")).cast("long")).alias("_below"), F.sum(inside.cast("long")).alias("_in")))
+        ranked = counts.select(*keys, "_from", "_to", F.col("_in").alias("_n"), *[(F.col(c) - F.col("_below")).alias(c) for c in ("_low", "_high")])
+        equal = ranked.filter(F.col("_from") == F.col("_to"))
+        found.append(equal.select(*keys, F.col("_from").alias("median")))
+        rows = written(held.filter(inside & (F.col("_from") < F.col("_to"))).select(*keys, V))
+        left = ranked.filter(F.col("_from") < F.col("_to")).select(*keys, "_n", "_low", "_high")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what is known of their group, without those of no group. groups are numbers a group; few of them are sent."""
+    few = F.broadcast(groups) if groups.count() <= SENT_GROUPS else groups
+    if not keys:
+        return rows.crossJoin(few)  # one row at most
+    right = few.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    same = [rows[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(right, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def argument(pixels: DataFrame, keys: Iterable[str], place: Column, largest: bool = True) -> DataFrame:
     """value and place of the extreme; of equal ones the least place."""
     best = F.max(F.struct(F.col(V), (-place).alias("p"))) if largest else F.min(F.struct(F.col(V), place.alias("p")))

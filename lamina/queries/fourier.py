@@ -45,6 +45,11 @@ def dft_join(spark, sf_dir):
     return _c(T.dft_join(pixels(spark, sf_dir), SHAPE))
 
 
+@query(SP + C6 + "sp")
+def dft_factored(spark, sf_dir):
+    return _c(T.dft_factored(pixels(spark, sf_dir), SHAPE))
+
+
 @query(PX + f" select image_id, y, x, {s6('v')} as v from px")
 def fft_c2r(spark, sf_dir):
     back = T.fft_c2r(T.from_frequencies(spectrum(spark, sf_dir), SHAPE))

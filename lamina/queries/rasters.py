@@ -15,7 +15,7 @@ from ..operators import fourier as T
 from ..operators import neighbourhoods as N
 from ..operators import reductions as R
 from ..operators.reshape import pixels_to_stack, stack_to_pixels
-from .base import query, r6, s6
+from .base import ORACLE_SQL, query, r6, s6
 
 RASTER: Shape = (1, 366, 50)
 
@@ -77,11 +77,17 @@ def raster_convolve(spark, sf_dir):
   select t.image_id, t.y, t.x, list_sort(list(b.v))[5] as v from t join ax b on b.image_id = t.image_id and b.y = t.by and b.x = t.bx group by 1, 2, 3
 ) select image_id, y, x, {s6('v')} as v from m""")
 def raster_median(spark, sf_dir):
-    """Within the rows of the images: a window's median over joined pixels costs a group each pixel."""
+    """Within the rows of the images."""
     out = N.median_filter_dense(pixels_to_stack(rasters(spark, sf_dir), RASTER), (1, 3, 3))
     return stack_to_pixels(out).select("image_id", "y", "x", r6("v").alias("v"))
 
 
+@query(ORACLE_SQL["raster_median"])
+def raster_median_tiled(spark, sf_dir):
+    """The same by tiles with halos, which take images of any size."""
+    return N.median_filter(filled(rasters(spark, sf_dir), RASTER), RASTER, (1, 3, 3)).select("image_id", "y", "x", r6("v").alias("v"))
+
+
 def signals(spark, sf_dir) -> tuple[DataFrame, Shape]:
     """events as one line an user: the sum of values in each hour from the table's first day to its last hour (sparse), with
     the length of the lines."""
@@ -121,3 +127,17 @@ def signal_power(spark, sf_dir):
     lines, shape = signals(spark, sf_dir)
     spectra = T.to_frequencies(T.fft_r2c(pixels_to_stack(lines, shape)), shape)
     return spectra.select("image_id", "kx", r6(power(F.col("re"), F.col("im"))).alias("v"))
+
+
+@query(ORACLE_SQL["signal_power"])
+def signal_power_factored(spark, sf_dir):
+    """The same for lines of any length: two short transforms and a shuffle between."""
+    lines, shape = signals(spark, sf_dir)
+    return T.dft_factored(lines, shape).select("image_id", "kx", r6(power(F.col("re"), F.col("im"))).alias("v"))
+
+
+@query("select l_returnflag as flag, median(l_extendedprice) as middle from lineitem group by l_returnflag")
+def median_selected(spark, sf_dir):
+    """Medians of groups that hold a large part of the table, by rounds of bounded sketches and counts."""
+    prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"))
+    return R.median_selected(prices, ["flag"]).select("flag", F.col("median").alias("middle"))
