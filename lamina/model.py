@@ -50,7 +50,7 @@ def grid(images: DataFrame, shape: Shape) -> DataFrame:
     out = images
     for axis, n in zip(AXES, shape, strict=True):
         out = out.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return exploded(out)
+    return out
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

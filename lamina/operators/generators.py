@@ -180,5 +180,5 @@ def draw_mask(pixels: DataFrame, masks: DataFrame, shape: str, has_z: bool = Fal
 
 def mask_stack(images: DataFrame, masks: DataFrame, extent: Shape, shape: str, has_z: bool = False) -> DataFrame:
     """Pixels of the masks alone, for a table of images."""
-    ones = grid(images.select("image_id"), extent).withColumn("v", F.lit(1.0))
+    ones = exploded(grid(images.select("image_id"), extent).withColumn("v", F.lit(1.0)))
     return draw_mask(ones, masks, shape, has_z)

@@ -67,7 +67,7 @@ def _along_axis(poses: DataFrame, shape: Shape, volume: Shape, window: int | Non
         last = F.least(last, F.ceil(F.greatest(*ends)).cast("double"))
     reach = once(pixel, {"_first": first.cast("int"), "_last": last.cast("int")})
     steps = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
-    stepped = exploded(reach.withColumn("_step", F.explode(steps)).drop("_first", "_last"))
+    stepped = reach.withColumn("_step", F.explode(steps)).drop("_first", "_last")
     here = row("_d") + F.col("_step")
     inside = stepped.select("out_id", "volume_id", "y", "x", *[(row(f"_o{a}") + F.col(f"_v{a}") * here).alias(f"c{a}") for a in AXES])
     for a, n in zip(AXES, volume, strict=True):
@@ -168,7 +168,7 @@ def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, output
     for a, n in zip(AXES, volume, strict=True):
         c = F.col(f"c{a}")
         weight = weight * F.when(c < 0, 1 + c).when(c > n - 1, n - c).otherwise(1.0)
-    near = points.withColumn("edge", weight).join(inputs.select("image_id", "volume_id", "matrix"), "volume_id")
+    near = exploded(points.withColumn("edge", weight)).join(inputs.select("image_id", "volume_id", "matrix"), "volume_id")
     iy, ix = apply("matrix", 2, [F.col("cz"), F.col("cy"), F.col("cx"), F.lit(1.0)])
     targets = near.select("image_id", "out_id", "y", "x", "edge", iy.alias("cy"), ix.alias("cx"))
     inside = targets.filter((F.col("cy") > -1) & (F.col("cy") < shape[1]) & (F.col("cx") > -1) & (F.col("cx") < shape[2]))
@@ -270,7 +270,7 @@ def _least(window: tuple[float, float], n: int) -> tuple[float, float]:
 def _summed(values: DataFrame, near: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
     """keys, re, im, weight for every key of near: 0 where nothing was read; the weight is what the windows sum to unless the
     spectrum has weights of its own."""
-    windows = near.groupBy(*keys).agg(F.sum("window").alias("_windows"))
+    windows = exploded(near.groupBy(*keys).agg(F.sum("window").alias("_windows")))
     weight = F.coalesce("weight", F.lit(0.0)) if weighted else F.col("_windows")
     found = windows.join(values, keys, "left")
     return found.select(*keys, F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"), weight.alias("weight"))
@@ -282,7 +282,7 @@ def slices_at(points: DataFrame, spectrum: DataFrame, poses: DataFrame, keys: li
     point's own column `window`. points: volume_id, keys, gz, gy, gx, window; poses: image_id, volume_id, matrix (3 x 3, inverse
     rotation) and, where magnified, scaling (2 x 2, the magnification). A column `weight` of the spectrum is read and summed
     like the values."""
-    near = points.join(_posed(poses), "volume_id")
+    near = exploded(points).join(_posed(poses), "volume_id")
     turned = apply("matrix", 3, [F.col("gz"), F.col("gy"), F.col("gx")])
     moved = once(near, {f"h{a}": c for a, c in zip(AXES, turned, strict=True)})
     high = F.col("hz") - _sphere(F.col("hy"), F.col("hx"), ews_radius)
@@ -300,7 +300,7 @@ def _volume_points(poses: DataFrame, volume: Shape, cutoff: float, target: Shape
     d, h, w = volume
     points = poses.select("volume_id").distinct().withColumn("window", F.lit(1.0))
     for k, lo, hi in (("kz", -(d // 2), (d - 1) // 2), ("ky", -(h // 2), (h - 1) // 2), ("kx", 0, w // 2)):
-        points = exploded(points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))))
+        points = points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
     g = {f"g{a}": F.col(k) / float(n) for a, k, n in zip(AXES, FREQUENCIES, target, strict=True)}
     return _within(points.withColumns(g), cutoff)
 
@@ -319,13 +319,13 @@ def _slice_points(poses: DataFrame, shape: Shape, ews_radius: Radius, window: tu
     _, h, w = shape
     points = _posed(poses).withColumnRenamed("image_id", "out_id")
     for k, lo, hi in (("ky", -(h // 2), (h - 1) // 2), ("kx", 0, w // 2)):
-        points = exploded(points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))))
+        points = points.withColumn(k, F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
     placed = _slice_to_grid(points, F.col("ky") / float(h), F.col("kx") / float(w), ews_radius)
     sinc, blackman = _least(window, depth)
     n = max(1, math.ceil(blackman * depth - 1e-6)) - 1
     if n == 0:
         return _within(placed.withColumn("window", F.lit(1.0)), cutoff)
-    stepped = exploded(placed.withColumn("_step", F.explode(F.sequence(F.lit(-n), F.lit(n)))))
+    stepped = placed.withColumn("_step", F.explode(F.sequence(F.lit(-n), F.lit(n))))
     step = F.col("_step") / float(depth)
     return _within(stepped.withColumns({"gz": F.col("gz") + step, "window": windowed_sinc(step, sinc, blackman)}).drop("_step"), cutoff)
 

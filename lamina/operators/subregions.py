@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.borders import border_index
-from ..model import AXES, Shape, grid
+from ..model import AXES, Shape, exploded, grid
 
 
 def centered_border(shape: Shape, target: Shape) -> list[tuple[int, int]]:
@@ -48,10 +48,10 @@ def extract_subregions(pixels: DataFrame, boxes: DataFrame, shape: Shape, box: S
 
 def insert_subregions(pixels: DataFrame, boxed: DataFrame, boxes: DataFrame) -> DataFrame:
     """pixels with boxes written over them; where boxes overlap the last box_id wins, what lies outside is cut."""
-    moved = boxed.select("box_id", *AXES, "v").join(boxes.select("box_id", "image_id", "oz", "oy", "ox"), "box_id")
+    moved = exploded(boxed.select("box_id", *AXES, "v")).join(boxes.select("box_id", "image_id", "oz", "oy", "ox"), "box_id")
     placed = moved.select("image_id", "box_id", *[(F.col(a) + F.col(f"o{a}")).alias(a) for a in AXES], "v")
     last = placed.groupBy("image_id", *AXES).agg(F.max_by("v", "box_id").alias("_new"))
-    return pixels.join(last, ["image_id", *AXES], "left").withColumn("v", F.coalesce("_new", "v")).drop("_new")
+    return pixels.join(exploded(last), ["image_id", *AXES], "left").withColumn("v", F.coalesce("_new", "v")).drop("_new")
 
 
 def atlas_layout(index: Column, n: int, h: int, w: int) -> dict[str, Column]:
