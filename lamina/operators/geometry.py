@@ -18,6 +18,7 @@ from ..functions.borders import border_index
 from ..functions.elementwise import times
 from ..model import AXES, FREQUENCIES, Shape, grid, once
 from .dense import arrays, dense, listed, pieces, shapes
+from .tiles import TILE_PIXELS, tiled
 
 #: Less of a value than this is what rounding leaves of none.
 LEAST_SHARE = 1e-9
@@ -405,3 +406,23 @@ def cubic_bspline_prefilter(stack: DataFrame) -> DataFrame:
     return dense(stack, one)
 
 
+#: Elements after which a prefilter's answer to a value is below a double's rounding: it fades by sqrt(3) - 2 each element.
+FADED = 32
+
+
+def cubic_bspline_prefilter_pixels(pixels: DataFrame, shape: Shape, chunk: int = 1 << 10) -> DataFrame:
+    """The same for whole images that fit no row, over pixels: each axis's lines in chunks of `chunk` elements with FADED more on
+    each side, mirrored at the ends, so chunks need nothing of each other and all agree with the whole line to rounding."""
+    for axis, n in enumerate(shape):
+        if n > 1:
+            one = [k == axis for k in range(3)]
+            across = max(1, round((TILE_PIXELS / min(n, chunk)) ** (1 / max(1, sum(m > 1 for m in shape) - 1))))
+            tile = tuple(min(m, max(chunk, FADED) if own else across) for m, own in zip(shape, one, strict=True))
+            inner = tuple(slice(FADED, -FADED) if own else slice(None) for own in one)
+
+            def lines(a: np.ndarray, axis: int = axis, inner: tuple = inner) -> np.ndarray:
+                return np.moveaxis(prefilter_line(np.moveaxis(a, axis, -1)), -1, axis)[inner]
+
+            halo = tuple(FADED if own else 0 for own in one)
+            pixels = tiled(pixels, shape, halo, "mirror", lines, lambda there, inner=inner: np.ones(there[inner].shape, bool), tile=tile)
+    return pixels

@@ -13,18 +13,134 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.elementwise import EPSILON
 from ..model import AXES, FREQUENCIES, Shape, exploded, grid, offset, once
+from .dense import arrays
 from .geometry import LEAST_SHARE, SIZES, apply, at, gather, spectrum_gather, weights
+from .tiles import TILE_PIXELS, in_batches, tile_entries, tile_shape
+
+#: Voxels of a brick's edge, and tasks that a brick's images are dealt to.
+BRICK = 32
+PARTS = 8
 
 #: Bytes of volumes that are sent to every task at most.
 MOST_SENT = 64 << 20
 
 
-def backward_project_3d(pixels: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, kernel: str = "linear") -> DataFrame:
-    """volume_id, z, y, x, v: each voxel sums its volume's images, interpolated where the voxel projects to. poses:
-    image_id, volume_id, matrix (2 x 4, voxel to image). Voxels that fall outside an image are dropped before the join."""
+def _low(c: np.ndarray, kernel: str) -> np.ndarray:
+    """The index that a coordinate's taps are counted from."""
+    if kernel == "nearest":
+        return (np.floor(np.abs(c) + 0.5) * np.sign(c)).astype(np.int64)
+    return np.floor(c).astype(np.int64)
+
+
+def backward_project_3d(pixels: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, kernel: str = "linear", brick: int = BRICK, tile_pixels: int = TILE_PIXELS) -> DataFrame:
+    """volume_id, z, y, x, v: each voxel sums its volume's images, interpolated where the voxel projects to; voxels that
+    no pixel reaches have no row. poses: image_id, volume_id, matrix (2 x 4, voxel to image).
+
+    The volume is cut into bricks of `brick` voxels an edge and the images into tiles. A task finds the tiles that each brick
+    projects to from the poses alone, and each such tile moves once for the brick; a task holds one brick's sums while its tiles
+    stream by. A brick's images are dealt to PARTS tasks, whose sums are added."""
+    _, h, w = shape
+    edges = tuple(min(n, brick) for n in volume)
+    reach = SIZES[kernel] // 2 + (kernel == "nearest")
+    halo = (0, reach, reach)
+    tile = tile_shape(shape, halo, tile_pixels)
+    region = (tile[1] + 2 * reach, tile[2] + 2 * reach)
+    last = [(n - 1) // t for n, t in zip((h, w), tile[1:], strict=True)]
+    grids = [np.arange(0, n, e) for n, e in zip(volume, edges, strict=True)]
+    kinds = poses.select("image_id", "volume_id").schema
+    image_kind, volume_kind = (kinds[c].dataType.simpleString() for c in ("image_id", "volume_id"))
+    brick_key = ["volume_id", "bz", "by", "bx", "part"]
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each pose the pairs of a brick and a tile that some voxel of it may read from."""
+        for batch in batches:
+            for k, m in enumerate(arrays(batch, "matrix")):
+                low, high = (np.stack(np.broadcast_arrays(*(np.zeros(1) + m[4 * i + 3] for i in range(2)))).reshape(2, 1, 1, 1) + np.zeros([len(g) for g in grids]) for _ in range(2))
+                for axis, (g, e, n) in enumerate(zip(grids, edges, volume, strict=True)):
+                    ends = np.stack([g, np.minimum(g + e, n) - 1]).astype(float)
+                    form = [len(g) if j == axis else 1 for j in range(3)]
+                    for i in range(2):
+                        both = m[4 * i + axis] * ends
+                        low[i] += both.min(0).reshape(form)
+                        high[i] += both.max(0).reshape(form)
+                for b in np.ndindex(low.shape[1:]):
+                    y0, x0, y1, x1 = *low[(slice(None), *b)], *high[(slice(None), *b)]
+                    if not (y1 > -1 and y0 < h and x1 > -1 and x0 < w):
+                        continue
+                    # one pixel more on each side than the corners say, as they are rounded
+                    (ya, yb), (xa, xb) = (tuple(min(max(math.floor(min(max(c, -2.0), n + 2.0)) + s, 0) // t, end) for c, s in ((c0, -1), (c1, 1))) for c0, c1, n, t, end in ((y0, y1, h, tile[1], last[0]), (x0, x1, w, tile[2], last[1])))
+                    tiles = [(ty, tx) for ty in range(ya, yb + 1) for tx in range(xa, xb + 1)]
+                    n = len(tiles)
+                    same = [batch.column(c).take(pa.array([k] * n)) for c in ("image_id", "volume_id", "matrix", "part")]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array([v] * n, pa.int64()) for v in b), pa.array([t[0] for t in tiles], pa.int64()), pa.array([t[1] for t in tiles], pa.int64())], ["image_id", "volume_id", "matrix", "part", "bz", "by", "bx", "ty", "tx"])
+
+    def add(sums: np.ndarray, seen: np.ndarray, at: tuple[int, ...], m: np.ndarray, ty: int, tx: int, entries) -> None:
+        starts = [k * e for k, e in zip(at, edges, strict=True)]
+        z, y, x = np.ogrid[tuple(slice(s, min(s + e, n)) for s, e, n in zip(starts, edges, volume, strict=True))]
+        cy, cx = (m[4 * i] * z + m[4 * i + 1] * y + m[4 * i + 2] * x + m[4 * i + 3] for i in range(2))
+        low_y, low_x = _low(cy, kernel), _low(cx, kernel)
+        own = (cy > -1) & (cy < h) & (cx > -1) & (cx < w)
+        own &= (np.clip(low_y // tile[1], 0, last[0]) == ty) & (np.clip(low_x // tile[2], 0, last[1]) == tx)
+        where = np.nonzero(own)
+        if not len(where[0]):
+            return
+        held, there = np.zeros(region), np.zeros(region, bool)
+        place = entries.values.field("place").to_numpy()
+        held.ravel()[place], there.ravel()[place] = entries.values.field("v").to_numpy(zero_copy_only=False), True
+        taps = []
+        for c, low, n, t, j in ((cy, low_y, h, tile[1], ty), (cx, low_x, w, tile[2], tx)):
+            c, low = c[where], low[where]
+            shares, first = ([np.ones_like(c)], 0) if kernel == "nearest" else (weights(c - low, kernel, np), 1 - SIZES[kernel] // 2)
+            taps.append([(low + first + k, low + first + k - (j * t - reach), (low + first + k >= 0) & (low + first + k < n), s) for k, s in enumerate(shares)])
+        got, read = np.zeros(len(where[0])), np.zeros(len(where[0]), bool)
+        for _, place_y, in_y, share_y in taps[0]:
+            for _, place_x, in_x, share_x in taps[1]:
+                share = share_y * share_x
+                ok = in_y & in_x & (np.abs(share) >= LEAST_SHARE)
+                py, px = np.where(ok, place_y, 0), np.where(ok, place_x, 0)
+                ok &= there[py, px]
+                got += np.where(ok, share * held[py, px], 0.0)
+                read |= ok
+        sums[where] += got
+        seen[where] |= read
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bricks() -> Iterator[tuple[list, list[np.ndarray]]]:
+            now, sums, seen = None, np.zeros(edges), np.zeros(edges, bool)
+
+            def done() -> tuple[list, list[np.ndarray]]:
+                found = np.nonzero(seen)
+                return [now[0]], [*(k + j * e for k, j, e in zip(found, now[1:4], edges, strict=True)), sums[found]]
+
+            for batch in batches:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in brick_key), strict=True))
+                for k, m in enumerate(arrays(batch, "matrix")):
+                    if keys[k] != now:
+                        if now is not None:
+                            yield done()
+                        now = keys[k]
+                        sums[:], seen[:] = 0, False
+                    add(sums[tuple(slice(0, n - j * e) for n, j, e in zip(volume, now[1:4], edges, strict=True))], seen[tuple(slice(0, n - j * e) for n, j, e in zip(volume, now[1:4], edges, strict=True))], now[1:4], m, batch.column("ty")[k].as_py(), batch.column("tx")[k].as_py(), batch.column("entries")[k])
+            if now is not None:
+                yield done()
+
+        yield from in_batches(bricks(), arrow)
+
+    dealt = poses.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix"), F.pmod(F.xxhash64("image_id"), F.lit(PARTS)).alias("part"))
+    pairs = dealt.mapInArrow(crossed, f"image_id {image_kind}, volume_id {volume_kind}, matrix array<double>, part long, bz long, by long, bx long, ty long, tx long")
+    tiles = tile_entries(pixels, shape, halo, "zero", tile).drop("tz")
+    met = exploded(pairs).join(tiles, ["image_id", "ty", "tx"]).select(*brick_key, "matrix", "ty", "tx", "entries")
+    arrow = to_arrow_schema(poses.select("volume_id", *[F.lit(0).cast("long").alias(a) for a in AXES], F.lit(0.0).alias("v")).schema)
+    sums = met.repartition(*brick_key).sortWithinPartitions(*brick_key).mapInArrow(summed, f"volume_id {volume_kind}, z long, y long, x long, v double")
+    return sums.groupBy("volume_id", *AXES).agg(F.sum("v").alias("v"))
+
+
+def backward_project_3d_joined(pixels: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, kernel: str = "linear") -> DataFrame:
+    """backward_project_3d as a join of elements: a row for each voxel, image and tap."""
     _, h, w = shape
     held = {f"_m{k}": at("matrix", 0, k, 8) for k in range(8)}
     voxels = grid(once(poses.select("image_id", "volume_id", "matrix"), held).drop("matrix"), volume)

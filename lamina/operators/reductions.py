@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from ..model import Shape, exploded
 from ..sources.shared import written
-from .dense import dense
+from .dense import arrays, dense
 from .generators import iwise
+from .tiles import in_batches
 
 V = "v"
 
@@ -221,16 +223,84 @@ def histogram(pixels: DataFrame, n_bins: int, keys: Iterable[str] = ("image_id",
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def matmul(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None, transpose_a: bool = False, transpose_b: bool = False) -> DataFrame:
-    """alpha * op(A) op(B) + beta * C per image; matrices are pixels with rows y and columns x."""
+#: Rows and columns of a block of a matrix.
+BLOCK = 64
+
+
+def _blocks(matrix: DataFrame, row: str, column: str, names: tuple[str, str], block: int) -> DataFrame:
+    """image_id, the block's place as `names`, entries: elements by their place in it."""
+    place = F.col(row) % block * block + F.col(column) % block
+    at = [F.floor(F.col(c) / block).cast("long").alias(n) for c, n in zip((row, column), names, strict=True)]
+    placed = matrix.select("image_id", *at, F.struct(place.cast("long").alias("place"), F.col(V).cast("double").alias("v")).alias("e"))
+    return placed.groupBy("image_id", *names).agg(F.collect_list("e").alias("entries"))
+
+
+def matmul(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None, transpose_a: bool = False, transpose_b: bool = False, block: int = BLOCK) -> DataFrame:
+    """alpha * op(A) op(B) + beta * C per image; matrices are pixels with rows y and columns x. An element has a row where
+    both matrices have elements of one inner index for it.
+
+    Blocks of `block` rows and columns meet by their inner place and are multiplied in numpy; the products of equal place come to
+    one task as a stream, which holds their sum."""
     row, inner = ("x", "y") if transpose_a else ("y", "x")
     inner_b, column = ("x", "y") if transpose_b else ("y", "x")
-    left = a.select("image_id", F.col(row).alias("m"), F.col(inner).alias("k"), F.col(V).alias("l"))
-    right = b.select("image_id", F.col(inner_b).alias("k"), F.col(column).alias("n"), F.col(V).alias("r"))
-    out = left.join(right, ["image_id", "k"]).groupBy("image_id", F.col("m").alias("y"), F.col("n").alias("x")).agg((alpha * F.sum(F.col("l") * F.col("r"))).alias(V))
+    left = exploded(_blocks(a, row, inner, ("m", "k"), block).withColumnRenamed("entries", "l"))
+    right = exploded(_blocks(b, inner_b, column, ("k", "n"), block).withColumnRenamed("entries", "r"))
+    key = ["image_id", "m", "n"]
+
+    def dense_block(entries) -> tuple[np.ndarray, np.ndarray]:
+        held, there = np.zeros((block, block)), np.zeros((block, block), bool)
+        place = entries.values.field("place").to_numpy()
+        held.ravel()[place], there.ravel()[place] = entries.values.field("v").to_numpy(zero_copy_only=False), True
+        return held, there
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(batch.num_rows):
+                (x, in_x), (y, in_y) = (dense_block(batch.column(c)[j]) for c in "lr")
+                met = in_x.astype(np.float32) @ in_y.astype(np.float32) > 0
+                if np.isfinite(x).all() and np.isfinite(y).all():
+                    product = x @ y
+                else:  # what is absent is no zero to an infinite value
+                    product = np.zeros((block, block))
+                    for k in range(block):
+                        both = np.outer(in_x[:, k], in_y[k])
+                        with np.errstate(invalid="ignore"):
+                            product[both] += np.outer(x[:, k], y[k])[both]
+                place = np.flatnonzero(met)
+                parts = [pa.array([place], pa.list_(pa.int32())), pa.array([product.ravel()[place]], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(j, 1) for c in key), *parts], [*key, "place", "part"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, met = None, np.zeros(block * block), np.zeros(block * block, bool)
+
+        def done() -> tuple[list, list[np.ndarray]]:
+            place = np.flatnonzero(met)
+            return [now[0]], [now[1] * block + place // block, now[2] * block + place % block, alpha * held[place]]
+
+        def sums() -> Iterator[tuple[list, list[np.ndarray]]]:
+            nonlocal now
+            for batch in batches:
+                ids = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+                for at, place, part in zip(ids, arrays(batch, "place"), arrays(batch, "part"), strict=True):
+                    if at != now:
+                        if now is not None:
+                            yield done()
+                        now = at
+                        held[:], met[:] = 0, False
+                    held[place] += part
+                    met[place] = True
+            if now is not None:
+                yield done()
+
+        yield from in_batches(sums(), arrow)
+
+    kind = a.schema["image_id"].dataType.simpleString()
+    arrow = to_arrow_schema(a.select("image_id", F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"), F.lit(0.0).alias(V)).schema)
+    products = left.join(right, ["image_id", "k"]).mapInArrow(multiply, f"image_id {kind}, m long, n long, place array<int>, part array<double>")
+    out = products.repartition(*key).sortWithinPartitions(*key).mapInArrow(total, f"image_id {kind}, y long, x long, v double")
     if c is None or beta == 0:
         return out
-    added = out.join(c.select("image_id", "y", "x", F.col(V).alias("c")), ["image_id", "y", "x"], "left")
+    added = exploded(out).join(c.select("image_id", "y", "x", F.col(V).alias("c")), ["image_id", "y", "x"], "left")
     return added.select("image_id", "y", "x", (F.col(V) + beta * F.coalesce("c", F.lit(0.0))).alias(V))
 
 

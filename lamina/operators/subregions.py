@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.borders import border_index
+from ..functions.borders import border_index, border_places
 from ..model import AXES, Shape, exploded, grid
+from .tiles import TILE_PIXELS, in_batches, tile_entries, tile_shape
+
+#: Copies of a tile that many boxes read from, at most.
+COPIES = 16
 
 
 def centered_border(shape: Shape, target: Shape) -> list[tuple[int, int]]:
@@ -29,21 +38,49 @@ def resize_stack(pixels: DataFrame, images: DataFrame, shape: Shape, border: lis
     return got.select("image_id", *[F.col(f"o{a}").alias(a) for a in AXES], F.coalesce("v", outside).alias("v"))
 
 
-def extract_subregions(pixels: DataFrame, boxes: DataFrame, shape: Shape, box: Shape, mode: str = "zero", value: float = 0.0) -> DataFrame:
+def extract_subregions(pixels: DataFrame, boxes: DataFrame, shape: Shape, box: Shape, mode: str = "zero", value: float = 0.0, tile_pixels: int = TILE_PIXELS) -> DataFrame:
     """The pixels of boxes (box_id, image_id, oz, oy, ox), numbered from each box's origin.
 
-    mode "nothing" leaves out what lies outside the image. An equi-join on image and index: boxes crowded on one
-    image spread over its pixels.
+    mode "nothing" leaves out what lies outside the image. A range join in tiles: a box is a row for each tile that it reads
+    from (and one for what it reads from none), and cuts its part out of the tile in numpy. The boxes of a crowded tile are dealt to at
+    most COPIES copies of it.
     """
-    wanted = grid(boxes, box).select(
-        "box_id",
-        "image_id",
-        *[F.col(a).alias(f"b{a}") for a in AXES],
-        *[border_index(F.col(a) + F.col(f"o{a}"), n, "zero" if mode == "nothing" else mode).cast("long").alias(a) for a, n in zip(AXES, shape, strict=True)],
-    )
-    got = wanted.join(pixels.select("image_id", *AXES, "v"), ["image_id", *AXES], "inner" if mode == "nothing" else "left")
-    outside = F.lit(value if mode == "value" else 0.0)
-    return got.select("box_id", "image_id", *[F.col(f"b{a}").alias(a) for a in AXES], F.coalesce("v", outside).alias("v"))
+    border, tile = ("zero" if mode == "nothing" else mode), tile_shape(shape, (0, 0, 0), tile_pixels)
+    asked = boxes.select("box_id", "image_id", *[F.col(f"o{a}").cast("long").alias(f"o{a}") for a in AXES], F.pmod(F.xxhash64("box_id"), F.lit(COPIES)).alias("copy"))
+    for a, n, m, t in zip(AXES, shape, box, tile, strict=True):
+
+        def read(k: Column) -> Column:
+            return F.coalesce(F.floor(border_index(F.col(f"o{a}") + k, n, border) / t), F.lit(-1)).cast("long")  # noqa: B023
+
+        asked = asked.withColumn(f"t{a}", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), read))))
+    key = ["image_id", *[f"t{a}" for a in AXES]]
+    wanted = exploded(asked.select(*key, "copy").filter(" and ".join(f"t{a} >= 0" for a in AXES)).distinct())
+    tiles = tile_entries(pixels, shape, (0, 0, 0), "zero", tile).join(wanted, key)
+    pairs = exploded(asked).join(tiles, [*key, "copy"], "inner" if mode == "nothing" else "left")
+    outside = value if mode == "value" else 0.0
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        for batch in rows:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "entries"}
+            for k, entries in enumerate(batch.column("entries")):
+                at = [columns[f"t{a}"][k] for a in AXES]
+                index = [border_places(columns[f"o{a}"][k] + np.arange(m), n, border) for a, n, m in zip(AXES, shape, box, strict=True)]
+                own = [np.flatnonzero(np.where(i >= 0, i // t, -1) == j) for i, t, j in zip(index, tile, at, strict=True)]
+                found, there = np.full([len(o) for o in own], float(outside)), np.zeros([len(o) for o in own], bool)
+                if entries.is_valid:
+                    held, present = np.zeros(tile), np.zeros(tile, bool)
+                    place = entries.values.field("place").to_numpy()
+                    held.ravel()[place], present.ravel()[place] = entries.values.field("v").to_numpy(zero_copy_only=False), True
+                    picked = np.ix_(*[i[o] - j * t for i, o, j, t in zip(index, own, at, tile, strict=True)])
+                    there = present[picked]
+                    found = np.where(there, held[picked], outside)
+                kept = np.nonzero(there if mode == "nothing" else np.ones_like(there))
+                yield [columns["box_id"][k], columns["image_id"][k]], [*(o[w] for o, w in zip(own, kept, strict=True)), found[kept]]
+
+    kinds = boxes.select("box_id", "image_id").schema
+    schema = f"box_id {kinds['box_id'].dataType.simpleString()}, image_id {kinds['image_id'].dataType.simpleString()}, z long, y long, x long, v double"
+    arrow = to_arrow_schema(boxes.select("box_id", "image_id", *[F.lit(0).cast("long").alias(a) for a in AXES], F.lit(0.0).alias("v")).schema)
+    return pairs.mapInArrow(lambda batches: in_batches(cut(batches), arrow), schema)
 
 
 def insert_subregions(pixels: DataFrame, boxed: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def tile_shape(shape: Shape, halo: Shape, tile_pixels: int = TILE_PIXELS) -> Sha
     return tuple(min(n, max(edge, h)) for n, h in zip(shape, halo, strict=True))
 
 
-def _tile_entries(pixels: DataFrame, shape: Shape, halo: Shape, border: str, tile: Shape) -> DataFrame:
+def tile_entries(pixels: DataFrame, shape: Shape, halo: Shape, border: str, tile: Shape) -> DataFrame:
     """image_id, tz, ty, tx, entries: the pixels of each tile and its halo, by their place in it."""
     placed = pixels.select("image_id", *[F.col(a).cast("long").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
     place = F.lit(0).cast("long")
@@ -46,13 +46,13 @@ def _tile_entries(pixels: DataFrame, shape: Shape, halo: Shape, border: str, til
     return placed.groupBy("image_id", *[f"t{a}" for a in AXES]).agg(F.collect_list(F.struct(place.alias("place"), "v")).alias("entries"))
 
 
-def tiled(pixels: DataFrame, shape: Shape, halo: Shape, border: str, function: Callable[[np.ndarray], np.ndarray], reached: Callable[[np.ndarray], np.ndarray] | None = None, tile_pixels: int = TILE_PIXELS) -> DataFrame:
+def tiled(pixels: DataFrame, shape: Shape, halo: Shape, border: str, function: Callable[[np.ndarray], np.ndarray], reached: Callable[[np.ndarray], np.ndarray] | None = None, tile_pixels: int = TILE_PIXELS, tile: Shape | None = None) -> DataFrame:
     """image_id, z, y, x, v: function of each pixel's surroundings. function takes an array with `halo` elements more on each side
     and returns one without them. Absent pixels are 0; they have rows only where reached, which takes such an array of which pixels are
-    present, says so. halo may not exceed a periodic axis."""
+    present, says so. halo may not exceed a periodic axis. A `tile` of one's own may be no shorter than its halo or the axis."""
     if border == "periodic" and any(h > n for h, n in zip(halo, shape, strict=True)):
         raise ValueError("a window reaches around a periodic axis more than once")
-    tile = tile_shape(shape, halo, tile_pixels)
+    tile = tile or tile_shape(shape, halo, tile_pixels)
     region = tuple(t + 2 * h for t, h in zip(tile, halo, strict=True))
 
     def one(at: tuple[int, ...], places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -81,4 +81,29 @@ def tiled(pixels: DataFrame, shape: Shape, halo: Shape, border: str, function: C
                 yield pa.RecordBatch.from_arrays([image, *[pa.array(i.astype(np.int64)) for i in index], pa.array(found.astype(np.float64))], ["image_id", *AXES, "v"])
 
     kind = pixels.schema["image_id"].dataType.simpleString()
-    return _tile_entries(pixels, shape, halo, border, tile).mapInArrow(run, f"image_id {kind}, z long, y long, x long, v double")
+    return tile_entries(pixels, shape, halo, border, tile).mapInArrow(run, f"image_id {kind}, z long, y long, x long, v double")
+
+
+def in_batches(rows: Iterator[tuple[list, list[np.ndarray]]], schema: pa.Schema, limit: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Record batches of about `limit` rows from small parts: of each the values that all its rows share, then their arrays."""
+    shared, arrays, counts = [], [], []
+
+    def batch() -> pa.RecordBatch:
+        index = pa.array(np.repeat(np.arange(len(counts)), counts))
+        n = len(shared[0])
+        same = [pa.array([s[k] for s in shared], schema.field(k).type).take(index) for k in range(n)]
+        own = [pa.array(np.concatenate([a[k] for a in arrays]), schema.field(n + k).type) for k in range(len(arrays[0]))]
+        return pa.RecordBatch.from_arrays([*same, *own], schema=schema)
+
+    held = 0
+    for values, parts in rows:
+        if len(parts[0]):
+            shared.append(values)
+            arrays.append(parts)
+            counts.append(len(parts[0]))
+            held += counts[-1]
+        if held >= limit:
+            yield batch()
+            shared, arrays, counts, held = [], [], [], 0
+    if held:
+        yield batch()

@@ -401,7 +401,7 @@ def test_no_plan_sends_what_it_explodes(spark):
     turns = poses.withColumn("matrix", M.flattened(M.rotation("z", F.lit(0.1))))
     for df in (
         J.forward_project_3d(voxels, poses, shape, volume, most_sent=0),
-        J.backward_project_3d(pixels, backward, shape, volume),
+        J.backward_project_3d_joined(pixels, backward, shape, volume),
         J.extract_central_slices_3d(spectra, turns, shape, volume),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
