@@ -21,9 +21,9 @@ from .dense import arrays
 from .geometry import LEAST_SHARE, SIZES, apply, at, gather, spectrum_gather, weights
 from .tiles import TILE_PIXELS, in_batches, tile_entries, tile_shape
 
-#: Voxels of a brick's edge, and tasks that a brick's images are dealt to.
+#: Voxels of a brick's edge, and images that a task adds to a brick, about.
 BRICK = 32
-PARTS = 8
+PART_IMAGES = 1 << 12
 
 #: Bytes of volumes that are sent to every task at most.
 MOST_SENT = 64 << 20
@@ -42,7 +42,7 @@ def backward_project_3d(pixels: DataFrame, poses: DataFrame, shape: Shape, volum
 
     The volume is cut into bricks of `brick` voxels an edge and the images into tiles. A task finds the tiles that each brick
     projects to from the poses alone, and each such tile moves once for the brick; a task holds one brick's sums while its tiles
-    stream by. A brick's images are dealt to PARTS tasks, whose sums are added."""
+    stream by. The images of a volume are dealt to parts of about PART_IMAGES, whose sums are added."""
     _, h, w = shape
     edges = tuple(min(n, brick) for n in volume)
     reach = SIZES[kernel] // 2 + (kernel == "nearest")
@@ -130,7 +130,9 @@ def backward_project_3d(pixels: DataFrame, poses: DataFrame, shape: Shape, volum
 
         yield from in_batches(bricks(), arrow)
 
-    dealt = poses.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix"), F.pmod(F.xxhash64("image_id"), F.lit(PARTS)).alias("part"))
+    counts = poses.groupBy(F.col("volume_id").alias("_volume")).agg(F.ceil(F.count("*") / PART_IMAGES).alias("_parts"))
+    counted = exploded(poses.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix"))).join(counts, F.col("volume_id").eqNullSafe(F.col("_volume")))
+    dealt = counted.select("image_id", "volume_id", "matrix", F.pmod(F.xxhash64("image_id", "matrix"), F.col("_parts")).alias("part"))
     pairs = dealt.mapInArrow(crossed, f"image_id {image_kind}, volume_id {volume_kind}, matrix array<double>, part long, bz long, by long, bx long, ty long, tx long")
     tiles = tile_entries(pixels, shape, halo, "zero", tile).drop("tz")
     met = exploded(pairs).join(tiles, ["image_id", "ty", "tx"]).select(*brick_key, "matrix", "ty", "tx", "entries")

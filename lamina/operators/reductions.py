@@ -223,8 +223,9 @@ def histogram(pixels: DataFrame, n_bins: int, keys: Iterable[str] = ("image_id",
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-#: Rows and columns of a block of a matrix.
+#: Rows and columns of a block of a matrix, and elements of products that a task makes at once.
 BLOCK = 64
+PRODUCTS = 1 << 19
 
 
 def _blocks(matrix: DataFrame, row: str, column: str, names: tuple[str, str], block: int) -> DataFrame:
@@ -253,22 +254,27 @@ def matmul(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c:
         held.ravel()[place], there.ravel()[place] = entries.values.field("v").to_numpy(zero_copy_only=False), True
         return held, there
 
+    def product(x: np.ndarray, in_x: np.ndarray, y: np.ndarray, in_y: np.ndarray) -> np.ndarray:
+        if np.isfinite(x).all() and np.isfinite(y).all():
+            return x @ y
+        out = np.zeros((block, block))  # what is absent is no zero to an infinite value
+        for k in range(block):
+            both = np.outer(in_x[:, k], in_y[k])
+            with np.errstate(invalid="ignore"):
+                out[both] += np.outer(x[:, k], y[k])[both]
+        return out
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for j in range(batch.num_rows):
-                (x, in_x), (y, in_y) = (dense_block(batch.column(c)[j]) for c in "lr")
-                met = in_x.astype(np.float32) @ in_y.astype(np.float32) > 0
-                if np.isfinite(x).all() and np.isfinite(y).all():
-                    product = x @ y
-                else:  # what is absent is no zero to an infinite value
-                    product = np.zeros((block, block))
-                    for k in range(block):
-                        both = np.outer(in_x[:, k], in_y[k])
-                        with np.errstate(invalid="ignore"):
-                            product[both] += np.outer(x[:, k], y[k])[both]
-                place = np.flatnonzero(met)
-                parts = [pa.array([place], pa.list_(pa.int32())), pa.array([product.ravel()[place]], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(j, 1) for c in key), *parts], [*key, "place", "part"])
+        step = max(1, PRODUCTS // (block * block))
+        for whole in batches:
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                places, parts = [], []
+                for l, r in zip(batch.column("l"), batch.column("r"), strict=True):
+                    (x, in_x), (y, in_y) = dense_block(l), dense_block(r)
+                    places.append(np.flatnonzero(in_x.astype(np.float32) @ in_y.astype(np.float32) > 0).astype(np.int32))
+                    parts.append(product(x, in_x, y, in_y).ravel()[places[-1]])
+                found = [pa.array(places, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), *found], [*key, "place", "part"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, met = None, np.zeros(block * block), np.zeros(block * block, bool)

@@ -45,11 +45,14 @@ def flat(stack: DataFrame) -> DataFrame:
     return stack.withColumns({"w": F.size("values"), "d": F.lit(1), "h": F.lit(1)})
 
 
-def permute(pixels: DataFrame, order: tuple[str, str, str]) -> DataFrame:
-    """Axes in another order: the new z, y, x are the axes that `order` names."""
-    if sorted(order) != sorted(AXES):
+def permute(pixels: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Axes in another order: the new z, y, x are the axes that `order` names. Four names, image_id among them, are the new
+    image_id, z, y, x; columns that describe the old images go then."""
+    axes = AXES if len(order) == 3 else ("image_id", *AXES)
+    if sorted(order) != sorted(axes):
         raise ValueError("order must name each axis once")
-    return pixels.withColumns({new: F.col(old) for new, old in zip(AXES, order, strict=True)})
+    moved = {new: F.col(old) for new, old in zip(axes, order, strict=True)}
+    return pixels.withColumns(moved) if axes == AXES else pixels.select(*[c.alias(n) for n, c in moved.items()], "v")
 
 
 def broadcast_stack(pixels: DataFrame, shape: Shape, target: Shape) -> DataFrame:

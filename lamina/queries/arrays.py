@@ -104,6 +104,18 @@ def write_mrc(spark, sf_dir):
     return read.select("file", "image_id", "y", "x", (F.col("v") + 0.0).alias("v"))
 
 
+@query(MRC_SQL.format(value=s6("v")))
+def write_mrc_complex(spark, sf_dir):
+    """Each image as 8 x 4 complex values, neighbours in a line together."""
+    files = _files(spark, sf_dir).withColumn("w", F.lit(4))
+    read = mrc.to_files(files, "file", "complex64")
+    folder = shared_folder(spark)
+    mrc.save(read.withColumn("path", F.concat("path", F.lit(".mrc"))), folder).write.format("noop").mode("overwrite").save()
+    back = mrc.read_mrc(spark, folder).withColumn("w", F.size("values") / F.col("h")).drop("spacing")
+    out = S.stack_to_pixels(back.withColumn("w", F.col("w").cast("int")))
+    return out.select(F.regexp_extract("file", r"([^/]+)\.mrc$", 1).alias("file"), "image_id", "y", "x", r6("v").alias("v"))
+
+
 @query(PX + f" select image_id, z, y, x, {s6('v')} as v from px")
 def stack_to_pixels(spark, sf_dir):
     return pixels(spark, sf_dir).select("image_id", "z", "y", "x", r6("v").alias("v"))
@@ -130,6 +142,12 @@ def permute(spark, sf_dir):
     return S.permute(pixels(spark, sf_dir), ("x", "z", "y")).select("image_id", "z", "y", "x", r6("v").alias("v"))
 
 
+@query(PX + f" select y as image_id, image_id as z, z as y, x, {s6('v')} as v from px")
+def permute_batch(spark, sf_dir):
+    """Images become the depth of one volume for each of their rows."""
+    return S.permute(pixels(spark, sf_dir), ("y", "image_id", "z", "x")).select("image_id", "z", "y", "x", r6("v").alias("v"))
+
+
 @query(PX + f" select image_id, k as z, y, x, {s6('v')} as v from px, range(3) as r(k)")
 def broadcast_stack(spark, sf_dir):
     return S.broadcast_stack(pixels(spark, sf_dir), SHAPE, (3, 8, 8)).select("image_id", "z", "y", "x", r6("v").alias("v"))

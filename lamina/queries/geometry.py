@@ -237,11 +237,20 @@ def _line_filter(source: str, into: str, line: str, i: str) -> str:
   from {into}_c a join {into}_l using (image_id, {line}) join {into}_c b on b.image_id = a.image_id and b.{line} = a.{line} and b.{i} >= a.{i} group by 1, 2, 3)"""
 
 
-@query(PX + ", " + _line_filter("px", "fy", "x", "y") + ", " + _line_filter("fy", "fx", "y", "x") + f" select image_id, y, x, {s6('v')} as v from fx")
+PREFILTER_SQL = PX + ", " + _line_filter("px", "fy", "x", "y") + ", " + _line_filter("fy", "fx", "y", "x") + f" select image_id, y, x, {s6('v')} as v from fx"
+
+
+@query(PREFILTER_SQL)
 def cubic_bspline_prefilter(spark, sf_dir):
     return stack_to_pixels(G.cubic_bspline_prefilter(stack(spark, sf_dir))).select("image_id", "y", "x", r6("v").alias("v"))
 
 
+@query(PREFILTER_SQL)
+def cubic_bspline_prefilter_pixels(spark, sf_dir):
+    """The form for images that fit no row."""
+    return G.cubic_bspline_prefilter_pixels(pixels(spark, sf_dir), SHAPE).select("image_id", "y", "x", r6("v").alias("v"))
+
+
 # --- projection ------------------------------------------------------------------------------------------------------
 
 

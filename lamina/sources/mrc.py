@@ -24,7 +24,7 @@ MODES = {0: "i1", 1: "i2", 2: "f4", 3: "i2", 4: "f4", 6: "u2", 12: "f2"}
 COMPLEX = (3, 4)
 #: Two values a byte, the first in the low bits; a row of odd width ends in half a byte.
 PACKED = 101
-MODE_OF = {"int8": 0, "uint8": 0, "int16": 1, "float32": 2, "uint16": 6, "float16": 12, "uint4": PACKED}
+MODE_OF = {"int8": 0, "uint8": 0, "int16": 1, "float32": 2, "uint16": 6, "float16": 12, "uint4": PACKED, "complex_int16": 3, "complex64": 4}
 RANGE = {"uint4": (0, 15), "int8": (-128, 127), "uint8": (0, 255), "int16": (-32768, 32767), "uint16": (0, 65535)}
 IMOD_STAMP = 1146047817
 STACK_SCHEMA = "file string, image_id long, d int, h int, w int, spacing array<double>, values array<double>"
@@ -72,13 +72,17 @@ def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.n
 
 
 def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float, float, float], dtype: str) -> bytes:
-    """images (n, d * h * w) as one file. Values are clamped to the type's range and truncated; NaN becomes 0."""
+    """images (n, d * h * w, twice as many for complex types: real and imaginary parts in turn) as one file. Values are
+    clamped to the type's range and truncated; NaN becomes 0. Complex files store no statistics."""
     n, (d, h, w) = len(images), shape
-    if dtype in RANGE:
-        lo, hi = RANGE[dtype]
-        data = np.trunc(np.clip(np.nan_to_num(images, nan=0.0), lo, hi)).astype("uint8" if dtype == "uint4" else dtype)
+    part = {"complex_int16": "int16", "complex64": "float32"}.get(dtype, dtype)
+    if images.shape[1] != d * h * w * (1 + (part != dtype)):
+        raise ValueError(f"an image of {images.shape[1]} values does not fit {shape} of {dtype}")
+    if part in RANGE:
+        lo, hi = RANGE[part]
+        data = np.trunc(np.clip(np.nan_to_num(images, nan=0.0), lo, hi)).astype("uint8" if part == "uint4" else part)
     else:
-        data = images.astype(dtype)
+        data = images.astype(part)
     ints = np.zeros(HEADER // 4, "<i4")
     floats = ints.view("<f4")
     ints[0:4] = w, h, n * d, MODE_OF[dtype]
@@ -86,13 +90,14 @@ def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float
     floats[10:13] = [spacing[2] * w, spacing[1] * h, spacing[0] * (d if d > 1 else n)]
     floats[13:16] = 90
     ints[16:19] = 1, 2, 3
-    floats[19:22] = [data.min(), data.max(), data.mean()] if data.size else [0, -1, -2]
+    known = data.size > 0 and part == dtype
+    floats[19:22] = [data.min(), data.max(), data.mean()] if known else [0, -1, -2]
     ints[22] = 0 if d == 1 else (1 if n == 1 else 401)
     if dtype in ("int8", "uint8"):
         ints[38], ints[39] = IMOD_STAMP, int(dtype == "int8")
     ints[52] = int.from_bytes(b"MAP ", "little")
     ints[53] = int.from_bytes(b"\x44\x44\x00\x00", "little")
-    floats[54] = data.std() if data.size else -1
+    floats[54] = data.std() if known else -1
     if dtype == "uint4":
         pairs = np.pad(data.reshape(-1, w), ((0, 0), (0, w % 2))).reshape(-1, 2)
         data = pairs[:, 0] | pairs[:, 1] << 4

@@ -14,8 +14,10 @@ from lamina.operators import geometry as M
 from lamina.operators import neighbourhoods as N
 from lamina.operators import projection as J
 from lamina.operators import reductions as R
+from lamina.operators import reshape as S
 from lamina.operators import subregions as B
 from lamina.operators import tiles
+from lamina.sources import mrc
 
 from .test_operators import dense, make
 
@@ -195,3 +197,25 @@ def test_bricks_sum_what_the_join_sums(spark, kernel):
 def test_brick_rows_follow_the_pairs_of_bricks_and_tiles(spark):
     plan = J.backward_project_3d(pixels_of(spark, np.ones((1, 8, 8))), spark.createDataFrame([(0, 0, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "image_id long, volume_id long, matrix array<double>"), (1, 8, 8), (8, 8, 8))
     assert plan.count() == 512 and "BroadcastExchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_an_axis_too(spark):
+    a = RNG.normal(size=(2, 1, 3, 4))
+    pixels = pixels_of(spark, a[0]).unionByName(pixels_of(spark, a[1], 1)).withColumn("label", F.lit("x"))
+    got = S.permute(pixels, ("y", "image_id", "z", "x"))
+    assert got.columns == ["image_id", "z", "y", "x", "v"]
+    assert {tuple(r) for r in got.collect()} == {(y, k, z, x, a[k, z, y, x]) for k, z, y, x in np.ndindex(a.shape)}
+    with pytest.raises(ValueError):
+        S.permute(pixels, ("z", "y", "x", "x"))
+
+
+@pytest.mark.parametrize("dtype,mode", [("complex64", 4), ("complex_int16", 3)])
+def test_complex_files(dtype, mode):
+    images = RNG.normal(size=(3, 2 * 4 * 5)) * 1e5
+    content = mrc.encode(images, (1, 4, 5), (1.0, 1.0, 1.0), dtype)
+    assert int.from_bytes(content[12:16], "little") == mode and len(content) == mrc.HEADER + images.size * (4 if mode == 4 else 2)
+    shape, _, data = mrc.decode(content)
+    want = images.astype("f4") if mode == 4 else np.trunc(np.clip(images, -32768, 32767))
+    assert shape == (3, 1, 4, 5) and np.array_equal(data, want)
+    with pytest.raises(ValueError):
+        mrc.encode(images, (1, 4, 10), (1.0, 1.0, 1.0), dtype)
