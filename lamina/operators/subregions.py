@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.borders import border_index, border_places
 from ..model import AXES, Shape, exploded, grid
-from .tiles import TILE_PIXELS, in_batches, tile_entries, tile_shape
+from .dense import PIECE
+from .tiles import TILE_PIXELS, tile_entries, tile_shape
 
 #: Copies of a tile that many boxes read from, at most.
 COPIES = 16
@@ -59,28 +60,37 @@ def extract_subregions(pixels: DataFrame, boxes: DataFrame, shape: Shape, box: S
     pairs = exploded(asked).join(tiles, [*key, "copy"], "inner" if mode == "nothing" else "left")
     outside = value if mode == "value" else 0.0
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-        for batch in rows:
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "entries"}
-            for k, entries in enumerate(batch.column("entries")):
-                at = [columns[f"t{a}"][k] for a in AXES]
-                index = [border_places(columns[f"o{a}"][k] + np.arange(m), n, border) for a, n, m in zip(AXES, shape, box, strict=True)]
-                own = [np.flatnonzero(np.where(i >= 0, i // t, -1) == j) for i, t, j in zip(index, tile, at, strict=True)]
-                found, there = np.full([len(o) for o in own], float(outside)), np.zeros([len(o) for o in own], bool)
-                if entries.is_valid:
-                    held, present = np.zeros(tile), np.zeros(tile, bool)
-                    place = entries.values.field("place").to_numpy()
-                    held.ravel()[place], present.ravel()[place] = entries.values.field("v").to_numpy(zero_copy_only=False), True
-                    picked = np.ix_(*[i[o] - j * t for i, o, j, t in zip(index, own, at, tile, strict=True)])
-                    there = present[picked]
-                    found = np.where(there, held[picked], outside)
-                kept = np.nonzero(there if mode == "nothing" else np.ones_like(there))
-                yield [columns["box_id"][k], columns["image_id"][k]], [*(o[w] for o, w in zip(own, kept, strict=True)), found[kept]]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = math.prod(tile)
+        step = max(1, PIECE // max(size, math.prod(box)))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            n = batch.num_rows
+            numbers = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c[0] in "ot" and len(c) == 2}
+            entries = batch.column("entries")
+            ends = entries.offsets.to_numpy()
+            cells = entries.values.slice(ends[0], ends[-1] - ends[0])
+            held, there = np.full(n * size, float(outside)), np.zeros(n * size, bool)
+            place = np.repeat(np.arange(n) * size, np.diff(ends)) + cells.field("place").to_numpy(zero_copy_only=False)
+            held[place], there[place] = cells.field("v").to_numpy(zero_copy_only=False), True
+            own, source = np.ones((n, 1, 1, 1), bool), np.arange(n).reshape(n, 1, 1, 1)
+            for k, (a, m, whole, t) in enumerate(zip(AXES, box, shape, tile, strict=True)):
+                form = [n if j == 0 else m if j == k + 1 else 1 for j in range(4)]
+                index = border_places(numbers[f"o{a}"][:, None] + np.arange(m), whole, border)
+                at = numbers[f"t{a}"][:, None]
+                own = own & (np.where(index >= 0, index // t, -1) == at).reshape(form)
+                source = source * t + np.where(index >= 0, index - at * t, 0).reshape(form)
+            beyond = np.logical_or.reduce([numbers[f"t{a}"] < 0 for a in AXES])  # reads no tile
+            source = np.where(own & ~beyond.reshape(n, 1, 1, 1), source, 0)
+            if mode == "nothing":
+                own = own & there[source]
+            pair, *at = np.nonzero(own)
+            found = np.where(beyond[pair], outside, held[source[own]])
+            ids = [batch.column(c).take(pa.array(pair)) for c in ("box_id", "image_id")]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(i) for i in at), pa.array(found)], ["box_id", "image_id", *AXES, "v"])
 
     kinds = boxes.select("box_id", "image_id").schema
     schema = f"box_id {kinds['box_id'].dataType.simpleString()}, image_id {kinds['image_id'].dataType.simpleString()}, z long, y long, x long, v double"
-    arrow = to_arrow_schema(boxes.select("box_id", "image_id", *[F.lit(0).cast("long").alias(a) for a in AXES], F.lit(0.0).alias("v")).schema)
-    return pairs.mapInArrow(lambda batches: in_batches(cut(batches), arrow), schema)
+    return pairs.mapInArrow(cut, schema)
 
 
 def insert_subregions(pixels: DataFrame, boxed: DataFrame, boxes: DataFrame) -> DataFrame:
