@@ -48,7 +48,7 @@ def rotate(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> Da
     and n_masked: a row for each part of each participant's rendering."""
     said = F.concat(F.coalesce("role", F.lit(UNKNOWN)), F.lit(" "), F.coalesce("text", F.lit("")))
     unnumbered = F.conv(F.substring(F.md5(said), 1, 2), 16, 10).cast("long") - 256
-    null_key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    null_key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     turns = pick(conversations, "conv_id", "turn", "role", "text").select(
         null_key.alias("conv"),
         F.coalesce(F.floor(F.col("turn") / turns_per_part).cast("long"), unnumbered).alias("block"),
@@ -103,7 +103,7 @@ def rotate(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> Da
 
 ORACLE_SQL = """
 with t as (
-  select conv_id, coalesce(cast(conv_id as varchar), 'null') as conv, coalesce(role, 'unknown') as role,
+  select conv_id, coalesce('=' || cast(conv_id as varchar), '') as conv, coalesce(role, 'unknown') as role,
     coalesce(text, '') as text, role is not null and role <> 'system' as named,
     coalesce(cast(floor(turn / 64) as bigint), ('0x' || substr(md5(coalesce(role, 'unknown') || ' ' || coalesce(text, '')), 1, 2))::bigint - 256) as block, turn
   from conversations

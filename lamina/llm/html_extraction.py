@@ -8,9 +8,11 @@ Differencing alone can't give right results: a copied article is shared, and an
 comment is not. So the markup corrects it both ways. A shared line inside an article or main element is the article
 and comes back; a line that is not shared goes after all where its element is furniture by tag, class, id or role, or
 where it stands outside the page's article. Where a page has no such element and no such marks, the differencing alone
-decides. Outside an article any word of a class or id marks furniture (of a heading only its class); inside one, and of
-an article or main element itself, only a whole class name does, and nothing on a heading. No other attribute's value
-counts.
+decides. A whole class name or id marks furniture (of a heading only its class); inside an article, and of
+an article or main element itself, only a whole class name does, and nothing on a heading. Any other word of a class or id outside
+an article is a hint, which differencing overrules: what is not shared stays. Only a page without a neighbour follows
+its hints, unless they leave nothing. An article under a hint is the page's article where there is no other, else furniture. No
+other attribute's value counts. An element of furniture that closes itself (<svg/>) holds nothing.
 
 Scale: parsing is narrow and linear in a page; the lines are shuffled once and read in order of host and path as a
 stream that holds three pages. The pages are dealt by ranges of that order, of at most `group_pages` pages each (more where
@@ -85,13 +87,14 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?
 READ = re.compile("class|id|role", re.IGNORECASE)  # hidden holds id
 WORDS = re.compile(r"[a-z]+")
 
-#: Where a line stands: in an article, in furniture by markup, or in neither.
-ARTICLE, MARKED, OPEN = "a", "m", "o"
+#: Where a line stands: in an article, in furniture by markup, in what a word hints to be furniture, in an article under such
+#: a hint, or in none of these.
+ARTICLE, MARKED, HINTED, UNDER, OPEN = "a", "m", "h", "u", "o"
 CELLS = 1 << 28
 
 
 def _zone(tag: str, attributes: str, in_article: bool) -> str | None:
-    """What an element's start says about what is in it: "drop", ARTICLE, "title" (only headings count) or None."""
+    """What an element's start says about what is in it: "drop", "hint", ARTICLE, "title" (only headings count) or None."""
     if tag in DROPPED_TAGS:
         return "drop"
     if tag == "header":
@@ -109,7 +112,10 @@ def _zone(tag: str, attributes: str, in_article: bool) -> str | None:
         if in_article or tag in ARTICLE_TAGS:
             marks = [] if tag in HEADINGS else named.get("class", "").split()
         elif tag not in ("html", "body"):
-            marks = WORDS.findall(named.get("class", "")) + ([] if tag in HEADINGS else WORDS.findall(named.get("id", "")))
+            names = named.get("class", "") + ("" if tag in HEADINGS else " " + named.get("id", ""))
+            marks = names.split()
+            if DROPPED_WORDS.isdisjoint(marks) and not DROPPED_WORDS.isdisjoint(WORDS.findall(names)):
+                return "hint"
         if not DROPPED_WORDS.isdisjoint(marks):
             return "drop"
     return ARTICLE if tag in ARTICLE_TAGS else None
@@ -136,18 +142,33 @@ def _tags(html: str) -> Iterator[tuple[int, int, re.Match]]:
             at = resume
 
 
+def _closes_itself(html: str, at: int, tag: str, attributes: str, ends: dict[str, int]) -> bool:
+    """Whether a tag that ends in / before place `at` opens nothing. A / that may belong to a bare value counts where no end tag
+    follows; `ends` keeps the last one's place by tag."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.split()[-1]
+    if "=" not in last or last[-2] in "\"'":
+        return True
+    if tag not in ends:
+        ends[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", html, re.IGNORECASE)), default=-1)
+    return ends[tag] < at
+
+
 def lines_of(html: str) -> tuple[list[str], str]:
     """The page's text lines in order, and for each its zone."""
     lines: list[str] = []
     zones: list[str] = []
     held: list[str] = []
+    hinted: list[str] = []
     marked: list[str] = []
+    ends: dict[str, int] = {}
     stack: list[tuple[str, str | None]] = []
     open_tags: Counter = Counter()
-    drop = article = title = heading = 0
+    drop = hint = article = title = heading = 0
 
     def flush() -> None:
-        for parts, zone in ((held, ARTICLE if article else OPEN), (marked, MARKED)):
+        for parts, zone in ((held, ARTICLE if article else OPEN), (hinted, UNDER if article else HINTED), (marked, MARKED)):
             if parts:
                 line = " ".join(html_lib.unescape("".join(parts)).split())
                 parts.clear()
@@ -156,17 +177,21 @@ def lines_of(html: str) -> tuple[list[str], str]:
                     zones.append(zone)
 
     def leave() -> str:
-        nonlocal drop, article, title
+        nonlocal drop, hint, article, title
         tag, zone = stack.pop()
         open_tags[tag] -= 1
         drop -= zone == "drop"
+        hint -= zone == "hint"
         article -= zone == ARTICLE
         title -= zone == "title"
         return tag
 
+    def place() -> list[str]:
+        return marked if drop or (title and not heading) else hinted if hint else held
+
     def text(start: int, end: int) -> None:
         if end > start:
-            (marked if drop or (title and not heading) else held).append(html[start:end])
+            place().append(html[start:end])
 
     at = 0
     tags = _tags(html)
@@ -180,7 +205,7 @@ def lines_of(html: str) -> tuple[list[str], str]:
             tag, closes = m[2].lower(), bool(m[1])
             block = tag in BLOCK_TAGS
             if tag == "br":
-                (marked if drop or (title and not heading) else held).append(" ")
+                place().append(" ")
             elif block:
                 flush()
             if tag in HEADINGS:
@@ -193,14 +218,17 @@ def lines_of(html: str) -> tuple[list[str], str]:
                 if block and stack and stack[-1][0] == "p":
                     leave()
                 zone = _zone(tag, m[3], article > 0)
-                if tag in RAW_TAGS and not m[3].endswith("/"):
-                    ends = re.compile(rf"</{tag}\b", re.IGNORECASE).search(html, at)
-                    at = resume = (html.find(">", ends.end()) if ends else -1) + 1 or len(html)
+                if tag in DROPPED_TAGS and _closes_itself(html, at, tag, m[3], ends):
+                    pass
+                elif tag in RAW_TAGS:
+                    end_tag = re.compile(rf"</{tag}\b", re.IGNORECASE).search(html, at)
+                    at = resume = (html.find(">", end_tag.end()) if end_tag else -1) + 1 or len(html)
                 # paragraphs and inline elements only count when they are furniture
                 elif tag not in VOID_TAGS and (zone is not None or (block and tag not in ("p", "li", "td", "th", "tr", "dt", "dd"))):
                     stack.append((tag, zone))
                     open_tags[tag] += 1
                     drop += zone == "drop"
+                    hint += zone == "hint"
                     article += zone == ARTICLE
                     title += zone == "title"
         try:
@@ -277,13 +305,15 @@ def judge(lines: list[str], zones: str, neighbours: list[list[str]]) -> tuple[st
     and go by their markup. neighbours: the lines of the nearest pages, the nearest first."""
     partner = next((n for n in neighbours if n != lines), None)
     shared = common_lines(lines, partner) if partner is not None else set()
+    zones = zones.replace(UNDER, MARKED if ARTICLE in zones else ARTICLE)
+    follow_hints = partner is None and OPEN in zones
     kept, back, gone = [], 0, 0
     for i, (line, zone) in enumerate(zip(lines, zones, strict=True)):
         if i in shared:
             if zone == ARTICLE:
                 back += 1
                 kept.append(line)
-        elif zone == MARKED or (zone == OPEN and ARTICLE in zones):
+        elif zone == MARKED or (zone in (OPEN, HINTED) and ARTICLE in zones) or (zone == HINTED and follow_hints):
             gone += 1
         else:
             kept.append(line)

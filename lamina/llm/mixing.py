@@ -90,8 +90,9 @@ def digits_for(n_rows: int) -> int:
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size (words) and key (16 random hexadecimal digits that depend on doc_id and seed alone)."""
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """docs with size (words) and key (16 random hexadecimal digits that depend on doc_id and seed alone; without an id on the
+    text, so that such rows spread over the ranges)."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty()))))
     return docs.withColumns({"size": word_count(text_or_empty()), "key": F.substring(F.md5(named), 1, 16)})
 
 
@@ -132,7 +133,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
 ORACLE_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
-    substr(md5('20240101:' || coalesce(cast(doc_id as varchar), 'null')), 1, 16) as key
+    substr(md5('20240101:' || coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, '')))), 1, 16) as key
   from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size from d group by source

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamina.llm import html_extraction, url_filters
+from lamina.llm import chat_rotation, html_extraction, mixing, url_filters
 from lamina.llm.common import cut
 
 PAGES = "page_id long, url string, html string"
@@ -143,3 +143,51 @@ def test_stages_on_odd_clashing_and_empty_rows(spark, clashing, empty, tmp_path)
         assert docs.filter("taken <= 0").count() == 0 and (docs.count() > 0) == (n > 0)
         if n:
             assert docs.filter("_score = 'mine' and may = 'mine' and key = 'mine'").count() == docs.count()
+
+
+@pytest.mark.parametrize("closed", ["<svg/>", "<SVG />", "<iframe src='/a' />", "<iframe src=/a/>", "<button/>", '<object data="x"/>', "<nav/>", "<textarea/>", "<form action=/s/>"])
+def test_what_closes_itself_holds_nothing(closed):
+    assert kept(f"<article><p>one</p>{closed}<p>two</p></article>")[0] == "one\n\ntwo"
+
+
+def test_a_slash_of_a_bare_value_closes_nothing():
+    assert kept("<article><p>one</p><form action=/search/><p>ask</p></form><p>two</p></article>")[0] == "one\n\ntwo"
+    assert kept("<article><p>one</p><iframe src=/a/>no</iframe><p>two</p></article>")[0] == "one\n\ntwo"
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "social-science", "no-comments"])
+def test_differencing_overrules_a_word_of_a_class(name):
+    page = '<div>Site</div><div class="{0}"><p>{1}</p><p>Follow us</p></div>'
+    assert kept(page.format(name, "own words"), page.format(name, "other words"))[0] == "own words"
+    assert kept(page.format(name, "own words"), page.format(name, "own words").replace("Site", "x"))[0] == "Site"  # a shared text goes
+    assert kept(page.format(name, "own words"))[0] == "Site"  # without a neighbour hints are followed
+    assert kept(f'<div class="{name}">all there is</div>')[0] == "all there is"  # unless nothing would be left
+    assert kept(f'<div class="{name}"><article>text</article><p>beside</p></div>')[0] == "text"
+    assert kept(f'<div class="{name}"><article>teaser</article></div><article>text</article>')[0] == "text"
+    assert kept('<div class="sidebar"><article>teaser</article></div><p>text</p>')[0] == "text"
+
+
+def test_a_text_changes_with_its_neighbour(spark):
+    page = "<div>Site</div><div class='page-content with-sidebar'><p>{0}</p><p>{1}</p></div>"
+    rows = [(1, "http://a.b/1", page.format("first", "both")), (2, "http://a.b/2", page.format("second", "both")), (3, "http://c.d/1", page.format("first", "both"))]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "first", 2: "second", 3: "Site"}
+
+
+# --- ids ------------------------------------------------------------------------------------------------------------------
+
+
+def test_a_conversation_called_null_is_not_the_one_without_an_id(spark):
+    rows = [("null", 0, "ann", "a"), (None, 0, "bob", "b")]
+    got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert sorted((str(r["conv_id"]), r["speaker"], r["n_turns"]) for r in got) == [("None", "bob", 1), ("null", "ann", 1)]
+
+
+def test_rows_without_an_id_spread_over_the_ranges(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.concat_ws(" ", F.lit("a b"), "id").alias("text"))
+    ranges = mixing.sized(docs, 1).groupBy(F.substring("key", 1, 2)).count()
+    assert ranges.count() == 256 and ranges.agg(F.max("count")).first()[0] < 200
+    few = docs.filter(F.md5("text") < "05").cache()
+    n = few.count()
+    one, two = (sorted(r["taken"] for r in mixing.mix(few, digits=d).collect()) for d in (1, 4))
+    assert one == two == [3] * n and n > 200
