@@ -107,5 +107,6 @@ def stream_accumulate_volume(spark, sf_dir):
     sink = VolumeSink(f"{folder}/volume", lambda batch: J.rasterize_central_slices_3d(batch, poses, SHAPE, VOLUME, 0.45))
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
+    sink.compact(spark)
     out = sink.read(spark)
     return out.select("volume_id", "kz", "ky", "kx", r6("re").alias("re"), r6("im").alias("im"), r6("weight").alias("weight"))

@@ -48,5 +48,31 @@ def test_volumes_take_each_batch_once(spark, tmp_path):
     sink(second, 1)  # as after a failure
     keys = ["volume_id", "kz", "ky", "kx"]
     close(sink.read(spark), rasterize(whole), keys)
-    sink.compact(spark, f"file://{tmp_path}/folded")
-    close(spark.read.parquet(f"{tmp_path}/folded"), rasterize(whole), keys)
+
+
+def test_compaction_may_stop_anywhere(spark, tmp_path):
+    values = lambda k: spark.createDataFrame([(0, 0, 0, k, 1.0 + k, 2.0, 1.0), (0, 0, 0, 9, float(k), 0.0, 1.0)], "volume_id int, kz long, ky long, kx long, re double, im double, weight double")
+    sink = VolumeSink(str(tmp_path / "v"), lambda batch: batch)
+    total = lambda: {r["kx"]: (r["re"], r["weight"]) for r in sink.read(spark).collect()}
+    parts = lambda: sorted(p.name for p in (tmp_path / "v").iterdir())
+    want = lambda n: {**{k: (1.0 + k, 1.0) for k in range(n)}, 9: (float(sum(range(n))), float(n))}
+    for k in range(3):
+        sink(values(k), k)
+    sink.compact(spark)
+    assert total() == want(3) and [p for p in parts() if p.startswith("sum")] == ["sum=000000000002"]
+    assert len(parts()) == 4  # readers may still hold what was summed
+    sink(values(2), 2)  # a batch below the sum runs again
+    assert total() == want(3)
+    sink(values(3), 3)
+    whole = tmp_path / "v" / "sum=000000000003"
+    whole.mkdir()
+    (whole / "part-0.parquet").write_bytes(b"half")  # stopped within the next sum
+    (tmp_path / "v" / "batch=000000000009").mkdir()  # and within a batch
+    assert total() == want(4)
+    sink.compact(spark)
+    assert total() == want(4)
+    assert parts() == ["batch=000000000003", "batch=000000000009", "sum=000000000002", "sum=000000000003"]
+    sink.compact(spark)  # nothing is new
+    sink(values(4), 4)
+    sink.compact(spark)
+    assert total() == want(5) and "sum=000000000002" not in parts() and "sum=000000000004" in parts()
