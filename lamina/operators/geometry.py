@@ -309,22 +309,29 @@ def symmetrize(pixels: DataFrame, images: DataFrame, shape: Shape, code: str, ce
 # --- spectra -----------------------------------------------------------------------------------------------------
 
 
-def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], shape: Shape, weight: str | None = None, weighted: bool = False) -> DataFrame:
-    """keys, re, im: half spectra interpolated linearly at frequencies (fz, fy, fx, in samples), summed per keys and
+def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], shape: Shape, weight: str | None = None, weighted: bool = False, kernel: str = "linear") -> DataFrame:
+    """keys, re, im: half spectra interpolated at frequencies (fz, fy, fx, in samples), summed per keys and
     weighted by a column. A frequency with fx < 0 is read at its mirror and conjugated; fx closer to 0 than LEAST_SHARE is 0, so
-    rounding doesn't choose the side (the two differ at the edge of even sizes, whose last frequency is kept once). weighted
-    reads the spectrum's own column `weight` likewise."""
+    rounding doesn't choose the side (the two differ at the edge of even sizes, whose last frequency is kept once). Kernels of
+    more than two taps reach over kx = 0, so each of their taps is mirrored by itself; taps outside the spectrum
+    read 0. weighted reads the spectrum's own column `weight` likewise."""
     targets = once(targets, {"_fx": F.when(F.abs("fx") < LEAST_SHARE, 0.0).otherwise(F.col("fx"))}).withColumn("fx", F.col("_fx")).drop("_fx")
-    sign = F.when(F.col("fx") < 0, -1.0).otherwise(1.0)
+    wide = SIZES[kernel] > 2
+    sign = F.lit(1.0) if wide else F.when(F.col("fx") < 0, -1.0).otherwise(1.0)
     each = targets.withColumns({"_s": sign, **{f: F.col(f) * sign for f in ("fz", "fy", "fx")}, "_w": F.col(weight) if weight else F.lit(1.0)})
+    inside = {k: (0, n // 2) if k == "kx" else (-(n // 2), (n - 1) // 2) for k, n in zip(FREQUENCIES, shape, strict=True)}
     for f, k, n in zip(("fz", "fy", "fx"), FREQUENCIES, shape, strict=True):
         if n == 1:
             each = each.withColumn(f"_{k}", F.lit(0).cast("long"))
             continue
-        each = each.withColumn("_t", F.explode(taps(F.col(f), "linear")))
+        each = each.withColumn("_t", F.explode(taps(F.col(f), kernel)))
         each = each.withColumns({f"_{k}": F.col("_t.i"), "_w": F.col("_w") * F.col("_t.w")})
-        low, top = (0, n // 2) if k == "kx" else (-(n // 2), (n - 1) // 2)
-        each = each.filter(F.col(f"_{k}").between(low, top))
+        each = each.filter(F.col(f"_{k}").between(-(n // 2), n // 2) if wide else F.col(f"_{k}").between(*inside[k]))
+    if wide:
+        side = F.when(F.col("_kx") < 0, -1).otherwise(1)
+        each = each.withColumns({"_s": side.cast("double"), **{f"_{k}": F.col(f"_{k}") * side for k in FREQUENCIES}})
+        for k in FREQUENCIES:
+            each = each.filter(F.col(f"_{k}").between(*inside[k]))
     source = spectrum.select(
         F.col("image_id").alias("_image"), *[F.col(k).alias(f"_q{k}") for k in FREQUENCIES], F.col("re").alias("_re"), F.col("im").alias("_im"), *([F.col("weight").alias("_own")] if weighted else [])
     ).hint("shuffle_hash")
@@ -336,7 +343,7 @@ def spectrum_gather(spectrum: DataFrame, targets: DataFrame, keys: list[str], sh
     )
 
 
-def transform_spectrum_2d(spectrum: DataFrame, poses: DataFrame, shape: Shape, cutoff: float = 0.5) -> DataFrame:
+def transform_spectrum_2d(spectrum: DataFrame, poses: DataFrame, shape: Shape, cutoff: float = 0.5, kernel: str = "linear") -> DataFrame:
     """out(k) = in(M k) times the phase of a shift afterwards; 0 (no row) above the cutoff. poses: out_id, image_id,
     matrix (2 x 2, inverse), sy, sx."""
     n = {k: float(v) for k, v in zip(FREQUENCIES, shape, strict=True)}
@@ -345,13 +352,13 @@ def transform_spectrum_2d(spectrum: DataFrame, poses: DataFrame, shape: Shape, c
     ty, tx = apply("matrix", 2, [fy, fx])
     kept = points.filter(F.sqrt(fy * fy + fx * fx) <= cutoff)
     targets = kept.select("out_id", "image_id", "ky", "kx", "sy", "sx", F.lit(0.0).alias("fz"), (ty * n["ky"]).alias("fy"), (tx * n["kx"]).alias("fx"))
-    found = spectrum_gather(spectrum, targets, ["out_id", "ky", "kx", "sy", "sx"], shape)
+    found = spectrum_gather(spectrum, targets, ["out_id", "ky", "kx", "sy", "sx"], shape, kernel=kernel)
     angle = -2 * math.pi * (F.col("sy") * F.col("ky") / n["ky"] + F.col("sx") * F.col("kx") / n["kx"])
     re, im = times((F.col("re"), F.col("im")), (F.cos(angle), F.sin(angle)))
     return found.select("out_id", "ky", "kx", re.alias("re"), im.alias("im"))
 
 
-def transform_spectrum_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, cutoff: float = 0.5) -> DataFrame:
+def transform_spectrum_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, cutoff: float = 0.5, kernel: str = "linear") -> DataFrame:
     """The same for volumes: matrix is 3 x 3, the shift sz, sy, sx."""
     f = [F.col(k) / float(n) for k, n in zip(FREQUENCIES, shape, strict=True)]
     points = spectrum.select("image_id", *FREQUENCIES).join(poses, "image_id")
@@ -359,20 +366,20 @@ def transform_spectrum_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, c
     moved = apply("matrix", 3, f)
     shift = ["sz", "sy", "sx"]
     targets = kept.select("out_id", "image_id", *FREQUENCIES, *shift, *[(c * float(n)).alias(f"f{a}") for a, c, n in zip(AXES, moved, shape, strict=True)])
-    found = spectrum_gather(spectrum, targets, ["out_id", *FREQUENCIES, *shift], shape)
+    found = spectrum_gather(spectrum, targets, ["out_id", *FREQUENCIES, *shift], shape, kernel=kernel)
     angle = -2 * math.pi * sum((F.col(s) * c for s, c in zip(shift[1:], f[1:], strict=True)), F.col("sz") * f[0])
     re, im = times((F.col("re"), F.col("im")), (F.cos(angle), F.sin(angle)))
     return found.select("out_id", *FREQUENCIES, re.alias("re"), im.alias("im"))
 
 
-def spectrum2polar(spectrum: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], rho: tuple[float, float] = (0.0, 0.5), phi: tuple[float, float] = (0.0, math.pi), phi_endpoint: bool = False, rho_endpoint: bool = True) -> DataFrame:
+def spectrum2polar(spectrum: DataFrame, images: DataFrame, shape: Shape, polar: tuple[int, int], rho: tuple[float, float] = (0.0, 0.5), phi: tuple[float, float] = (0.0, math.pi), phi_endpoint: bool = False, rho_endpoint: bool = True, kernel: str = "linear") -> DataFrame:
     """Half spectra on a grid of angles (rows) and frequencies (columns, rho in cycles a pixel), each from the first to the
     second of its ends."""
     n_phi, n_rho = polar
     targets = grid(images.select("image_id"), (1, n_phi, n_rho))
     angle, r = _along(F.col("y"), n_phi, phi, phi_endpoint), _along(F.col("x"), n_rho, rho, rho_endpoint)
     there = targets.select("image_id", F.col("image_id").alias("out_id"), "y", "x", F.lit(0.0).alias("fz"), (r * F.sin(angle) * float(shape[1])).alias("fy"), (r * F.cos(angle) * float(shape[2])).alias("fx"))
-    return spectrum_gather(spectrum, there, ["out_id", "y", "x"], shape)
+    return spectrum_gather(spectrum, there, ["out_id", "y", "x"], shape, kernel=kernel)
 
 
 def prefilter_line(lines: np.ndarray) -> np.ndarray:

@@ -226,6 +226,46 @@ def spectrum2polar_all(spark, sf_dir):
     return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("re").alias("re"), r6("im").alias("im"))
 
 
+def spectral_cubic(target: str, source: str, keys: str) -> str:
+    """The same with the cubic kernel, whose taps are mirrored one by one."""
+    return f"""select {keys}, sum(p.re * g.w) as re, sum(p.im * g.w * g.side) as im
+from (select *, case when jx < 0 then -1 else 1 end as side from (
+  select t.*, floor(fy) + dy as jy, floor(fx) + dx as jx, {_cubic('(fy - floor(fy))', 'dy')} * {_cubic('(fx - floor(fx))', 'dx')} as w
+  from {target} t cross join range(-1, 3) as r(dy) cross join range(-1, 3) as u(dx)
+)) g join {source} p on p.image_id = g.image_id and p.ky = g.jy * g.side and p.kx = g.jx * g.side group by {keys}"""
+
+
+@query(
+    SP
+    + """, g as (
+  select image_id, ky, kx, (c * ky / 8 + s * kx / 8) * 8 as fy, (-s * ky / 8 + c * kx / 8) * 8 as fx
+  from (select fq.*, cos(image_id % 7 * 0.3 + 0.2) as c, sin(image_id % 7 * 0.3 + 0.2) as s from fq where f <= 0.4)
+), r as ("""
+    + spectral_cubic("g", "sp", "g.image_id, g.ky, g.kx")
+    + f"""), q as (select *, -2 * pi() * ((image_id % 3 - 1) * ky / 8 + 0.5 * kx / 8) as a from r)
+select image_id, ky, kx, {s6('re * cos(a) - im * sin(a)')} as re, {s6('re * sin(a) + im * cos(a)')} as im from q"""
+)
+def transform_spectrum_2d_cubic(spark, sf_dir):
+    i = F.col("image_id")
+    poses = stack(spark, sf_dir).select("image_id", i.alias("out_id"), G.flattened(G.rotation_2d(i % 7 * 0.3 + 0.2)).alias("matrix"), (i % 3 - 1.0).alias("sy"), F.lit(0.5).alias("sx"))
+    out = G.transform_spectrum_2d(spectrum(spark, sf_dir), poses, SHAPE, 0.4, "cubic")
+    return out.select(F.col("out_id").alias("image_id"), "ky", "kx", r6("re").alias("re"), r6("im").alias("im"))
+
+
+@query(
+    SP
+    + """, g as (
+  select image_id, y, x, (0.01 + x * 0.0975) * sin(0.1 + y * (pi() / 6)) * 8 as fy, (0.01 + x * 0.0975) * cos(0.1 + y * (pi() / 6)) * 8 as fx
+  from (select distinct image_id from sp) cross join range(6) as r(y) cross join range(5) as t(x)
+), r as ("""
+    + spectral_cubic("g", "sp", "g.image_id, g.y, g.x")
+    + f") select image_id, y, x, {s6('re')} as re, {s6('im')} as im from r"
+)
+def spectrum2polar_cubic(spark, sf_dir):
+    out = G.spectrum2polar(spectrum(spark, sf_dir), stack(spark, sf_dir), SHAPE, (6, 5), (0.01, 0.4), (0.1, 0.1 + math.pi), kernel="cubic")
+    return out.select(F.col("out_id").alias("image_id"), "y", "x", r6("re").alias("re"), r6("im").alias("im"))
+
+
 def _line_filter(source: str, into: str, line: str, i: str) -> str:
     p = "(sqrt(3.0::double) - 2)"
     return f"""{into}_f as (select *, min_by(v, {i}) over (partition by image_id, {line}) as v0 from {source}),

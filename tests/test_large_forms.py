@@ -219,3 +219,35 @@ def test_complex_files(dtype, mode):
     assert shape == (3, 1, 4, 5) and np.array_equal(data, want)
     with pytest.raises(ValueError):
         mrc.encode(images, (1, 4, 10), (1.0, 1.0, 1.0), dtype)
+
+
+@pytest.mark.parametrize("kernel", list(M.SIZES))
+@pytest.mark.parametrize("shape", [(1, 6, 7), (4, 5, 6)])
+def test_kernels_over_half_spectra(spark, kernel, shape):
+    """Against loops over the whole window, each tap mirrored by itself (two taps: the frequency)."""
+    image = RNG.normal(size=shape)
+    full = np.fft.fftn(image)
+    half = {k: full[tuple(i % n for i, n in zip(k, shape, strict=True))] for k in np.ndindex(shape[0], shape[1], shape[2] // 2 + 1)}
+    half = {tuple(i - n if last < 2 and i > (n - 1) // 2 else i for last, (i, n) in enumerate(zip(k, shape, strict=True))): v for k, v in half.items()}
+    spectrum = spark.createDataFrame([(0, *map(int, k), float(v.real), float(v.imag)) for k, v in half.items()], "image_id long, kz long, ky long, kx long, re double, im double")
+    points = [tuple(0.0 if n == 1 else RNG.uniform(-n / 2, n / 2) for n in shape) for _ in range(60)] + [(0.0, 1.0, 0.25), (0.0, -2.0, -0.25), (0.0, 0.0, 0.0)]
+    targets = spark.createDataFrame([(0, i, *p) for i, p in enumerate(points)], "image_id long, out_id long, fz double, fy double, fx double")
+    got = {r["out_id"]: complex(r["re"], r["im"]) for r in M.spectrum_gather(spectrum, targets, ["out_id"], shape, kernel=kernel).collect()}
+    size = M.SIZES[kernel]
+    for i, p in enumerate(points):
+        early = -1 if size <= 2 and p[2] < 0 else 1
+        axes = []
+        for f, n in zip(p, shape, strict=True):
+            f, low = f * early, math.floor(f * early)
+            if n == 1:
+                axes.append([(0, 1.0)])
+            elif kernel == "nearest":
+                axes.append([(int(math.copysign(math.floor(abs(f) + 0.5), f)), 1.0)])
+            else:
+                axes.append([(low + 1 - size // 2 + k, float(w)) for k, w in enumerate(M.weights(np.array(f - low), kernel, np))])
+        want = 0j
+        for (z, wz), (y, wy), (x, wx) in ((a, b, c) for a in axes[0] for b in axes[1] for c in axes[2]):
+            side = -1 if x < 0 else 1
+            v = half.get((z * side, y * side, x * side), 0j)
+            want += wz * wy * wx * (v.conjugate() if side * early < 0 else v)
+        assert abs(got.get(i, 0j) - want) < 1e-9, (i, p)
