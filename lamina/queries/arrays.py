@@ -11,7 +11,7 @@ from ..operators import neighbourhoods as N
 from ..operators import reductions as R
 from ..operators import reshape as S
 from ..operators import subregions as B
-from ..sources import mrc, stacks
+from ..sources import mrc, mrc_source, stacks
 from ..sources.shared import shared_folder
 from .base import PX, SHAPE, pixels, query, r6, s6, stack
 
@@ -116,6 +116,34 @@ def write_mrc_complex(spark, sf_dir):
     return out.select(F.regexp_extract("file", r"([^/]+)\.mrc$", 1).alias("file"), "image_id", "y", "x", r6("v").alias("v"))
 
 
+def _parts_of(spark, files, dtype):
+    """Files written by many tasks each into a fresh shared folder, read through the data source."""
+    folder = shared_folder(spark)
+    mrc_source.write_mrc(files.withColumn("file", F.concat("file", F.lit(".mrc"))), folder, "file", dtype)
+    mrc_source.register(spark)
+    return spark.read.format("mrc"), folder
+
+
+def _named(read):
+    return S.stack_to_pixels(read.drop("spacing")).withColumn("file", F.regexp_extract("file", r"([^/]+)\.mrc$", 1))
+
+
+@query(MRC_SQL.format(value="trunc(greatest(-32768, least(32767, v * 20000.0))) + 0.0"))
+def write_mrc_parts(spark, sf_dir):
+    scaled = _files(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v * 20000.0))
+    source, folder = _parts_of(spark, scaled, "int16")
+    return _named(source.load(folder)).select("file", "image_id", "y", "x", (F.col("v") + 0.0).alias("v"))
+
+
+@query(MRC_SQL.format(value=s6("v")).replace("y, x,", "y - 2 as y, x,") + " where k >= 1 and y between 2 and 4")
+def read_mrc_slices(spark, sf_dir):
+    """Images of 8 x 8 as volumes of 8 planes of one row: three planes of each image of a file but its first."""
+    volumes = _files(spark, sf_dir).withColumns({"d": F.lit(8), "h": F.lit(1)})
+    source, folder = _parts_of(spark, volumes, "float32")
+    read = source.option("first_plane", 2).option("n_planes", 3).load(folder).filter("image_id >= 1")
+    return _named(read).select("file", "image_id", F.col("z").alias("y"), "x", r6("v").alias("v"))
+
+
 @query(PX + f" select image_id, z, y, x, {s6('v')} as v from px")
 def stack_to_pixels(spark, sf_dir):
     return pixels(spark, sf_dir).select("image_id", "z", "y", "x", r6("v").alias("v"))

@@ -1,7 +1,7 @@
 """MRC files: a header of 1024 bytes, then the images one after another.
 
 Reading takes Spark's binaryFile rows; writing makes one row (file, content) per file, which `save` stores
-through any file system that Arrow knows.
+through any file system that Arrow knows. For files that fit no task: `mrc_source`.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _values(data: np.ndarray, n: int, width: int, packed: bool) -> np.ndarray:
     if packed:
         row = (width + 1) // 2
         data = np.stack([data & 15, data >> 4], axis=-1).reshape(-1, 2 * row)[:, :width]
-    return data.astype(np.float64).reshape(n, -1)
+    return data.astype(np.float64).reshape(n, data.size // max(1, n))
 
 
 def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.ndarray]:
@@ -71,18 +71,45 @@ def decode(content: bytes) -> tuple[tuple[int, int, int, int], list[float], np.n
     return shape, spacing, _values(data, shape[0], shape[3], packed)
 
 
-def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float, float, float], dtype: str) -> bytes:
-    """images (n, d * h * w, twice as many for complex types: real and imaginary parts in turn) as one file. Values are
-    clamped to the type's range and truncated; NaN becomes 0. Complex files store no statistics."""
-    n, (d, h, w) = len(images), shape
+def stored(images: np.ndarray, shape: tuple[int, int, int], dtype: str) -> tuple[np.ndarray, tuple[float, ...] | None]:
+    """images (n, d * h * w, twice as many for complex types: real and imaginary parts in turn) as the numbers that a file
+    holds, and their count, least, greatest, mean and sum of squared differences from it (None for complex types and
+    no numbers). Values are clamped to the type's range and truncated; NaN becomes 0."""
     part = {"complex_int16": "int16", "complex64": "float32"}.get(dtype, dtype)
-    if images.shape[1] != d * h * w * (1 + (part != dtype)):
+    if images.shape[1] != shape[0] * shape[1] * shape[2] * (1 + (part != dtype)):
         raise ValueError(f"an image of {images.shape[1]} values does not fit {shape} of {dtype}")
     if part in RANGE:
         lo, hi = RANGE[part]
         data = np.trunc(np.clip(np.nan_to_num(images, nan=0.0), lo, hi)).astype("uint8" if part == "uint4" else part)
     else:
         data = images.astype(part)
+    known = None
+    if data.size and part == dtype:
+        wide = data.astype(np.float64)
+        known = (data.size, float(data.min()), float(data.max()), float(wide.mean()), float(wide.var() * data.size))
+    if dtype == "uint4":
+        w = shape[2]
+        pairs = np.pad(data.reshape(-1, w), ((0, 0), (0, w % 2))).reshape(-1, 2)
+        data = pairs[:, 0] | pairs[:, 1] << 4
+    return np.ascontiguousarray(data), known
+
+
+def pooled(known: list[tuple[float, ...] | None]) -> tuple[float, ...] | None:
+    """The statistics of several pieces as those of all; None if a piece has none."""
+    if not known or None in known:
+        return None
+    n, mean, m2 = 0, 0.0, 0.0
+    for count, _, _, own, squares in known:
+        step = own - mean
+        n += count
+        mean += step * count / n
+        m2 += squares + step * step * count * (n - count) / n
+    return n, min(k[1] for k in known), max(k[2] for k in known), mean, m2
+
+
+def header(n: int, shape: tuple[int, int, int], spacing: tuple[float, float, float], dtype: str, known: tuple[float, ...] | None) -> bytes:
+    """The first 1024 bytes of a file of n images."""
+    d, h, w = shape
     ints = np.zeros(HEADER // 4, "<i4")
     floats = ints.view("<f4")
     ints[0:4] = w, h, n * d, MODE_OF[dtype]
@@ -90,18 +117,20 @@ def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float
     floats[10:13] = [spacing[2] * w, spacing[1] * h, spacing[0] * (d if d > 1 else n)]
     floats[13:16] = 90
     ints[16:19] = 1, 2, 3
-    known = data.size > 0 and part == dtype
-    floats[19:22] = [data.min(), data.max(), data.mean()] if known else [0, -1, -2]
+    floats[19:22] = [known[1], known[2], known[3]] if known else [0, -1, -2]
     ints[22] = 0 if d == 1 else (1 if n == 1 else 401)
     if dtype in ("int8", "uint8"):
         ints[38], ints[39] = IMOD_STAMP, int(dtype == "int8")
     ints[52] = int.from_bytes(b"MAP ", "little")
     ints[53] = int.from_bytes(b"\x44\x44\x00\x00", "little")
-    floats[54] = data.std() if known else -1
-    if dtype == "uint4":
-        pairs = np.pad(data.reshape(-1, w), ((0, 0), (0, w % 2))).reshape(-1, 2)
-        data = pairs[:, 0] | pairs[:, 1] << 4
-    return ints.tobytes() + np.ascontiguousarray(data).tobytes()
+    floats[54] = (known[4] / known[0]) ** 0.5 if known else -1
+    return ints.tobytes()
+
+
+def encode(images: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float, float, float], dtype: str) -> bytes:
+    """images as `stored` takes them as one file. Complex files store no statistics."""
+    data, known = stored(images, shape, dtype)
+    return header(len(images), shape, spacing, dtype, known) + data.tobytes()
 
 
 def _stack_rows(path: str, first: int, shape: tuple[int, int, int, int], spacing: list[float], data: np.ndarray) -> pa.RecordBatch:
