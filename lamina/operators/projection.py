@@ -6,6 +6,7 @@ combined before the shuffle. Every function groups by `volume_id`, so many recon
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ from .tiles import TILE_PIXELS, in_batches, tile_entries, tile_shape
 BRICK = 32
 PART_IMAGES = 1 << 12
 
+#: Poses that meet an image or a brick at once, about, and points that a task works out at once.
+BLOCK = 64
+POINTS = 1 << 17
+
 #: Bytes of volumes that are sent to every task at most.
 MOST_SENT = 64 << 20
 
@@ -277,10 +282,268 @@ def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volum
     return out.withColumnRenamed("out_id", "image_id")
 
 
-def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, outputs: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
+def _ray_points(poses: np.ndarray, y: np.ndarray, x: np.ndarray, volume: Shape, window: int, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The points of the volume that each pixel of each pose (3 x 4) sums over, as in _along_axis: the pose's number times the
+    number of pixels plus the pixel's, and the coordinates. Steps that surely lie outside low .. high are left out."""
+    sizes, center, half = np.array(volume, float)[:, None], np.array([n // 2 for n in volume], float), window // 2
+    many = max(1, POINTS // len(y))
+    for begin in range(0, len(poses), many):
+        m = poses[begin : begin + many]
+        v, o = m[:, :, 0], m[:, :, 1, None] * y + m[:, :, 2, None] * x + m[:, :, 3, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            nearest = np.where(v != 0, np.abs(center / v), np.inf).argmin(1)[:, None]
+            start = (center[nearest] - np.take_along_axis(o, nearest[:, :, None], 1)[:, 0]) / np.take_along_axis(v, nearest, 1)
+            ends = np.stack([(e[:, None] - o) / v[:, :, None] for e in (low, high)]) - start[:, None]
+            along = (v == 0)[:, :, None]
+            first = np.maximum(np.floor(np.where(along, -np.inf, ends.min(0))).max(1), -half)
+            last = np.minimum(np.ceil(np.where(along, np.inf, ends.max(0))).min(1), half)
+            count = np.where(last >= first, last - first + 1, 0)  # none where the axis has no direction
+        each = max(1, POINTS // count.size)
+        for k in range(0, int(count.max(initial=0)), each):
+            steps, of, pixel = np.nonzero(np.arange(k, k + each)[:, None, None] < count)
+            here = start[of, pixel] + (first[of, pixel] + (steps + k))
+            c = o[of, :, pixel].T + v[of].T * here
+            inside = ((c > -1) & (c < sizes)).all(0)
+            yield ((begin + of) * len(y) + pixel)[inside], c[:, inside]
+
+
+def _interpolated(held: np.ndarray, there: np.ndarray, starts: list[int], shape: tuple[int, ...], at: list[np.ndarray], low: list[np.ndarray], kernel: str, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values at coordinates (an array an axis) times scale, from the part of an array of `shape` that begins at `starts`, and
+    which of them read an element. low is the index that each coordinate's taps are counted from."""
+    axes = []
+    for c, base, n, start in zip(at, low, shape, starts, strict=True):
+        if n == 1:
+            axes.append([(np.full(c.shape, -start), np.ones(c.shape, bool), 1.0)])
+            continue
+        shares, first = ([np.ones_like(c)], 0) if kernel == "nearest" else (weights(c - base, kernel, np), 1 - SIZES[kernel] // 2)
+        index = [base + (first + k) for k in range(len(shares))]
+        axes.append([(i - start, (i >= 0) & (i < n), s) for i, s in zip(index, shares, strict=True)])
+    got, read = np.zeros(len(scale)), np.zeros(len(scale), bool)
+    for taps in itertools.product(*axes):
+        share, ok, place = scale, True, 0
+        for (i, inside, s), size in zip(taps, held.shape, strict=True):
+            share, ok, place = share * s, ok & inside, place * size + i
+        ok = ok & (np.abs(share) >= LEAST_SHARE)
+        place = np.where(ok, place, 0)
+        ok &= there.ravel()[place]
+        got += np.where(ok, share * held.ravel()[place], 0.0)
+        read |= ok
+    return got, read
+
+
+def _region(batch: pa.RecordBatch, k: int, region: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A tile's values, those of equal places added up, and which places it has."""
+    size = math.prod(region)
+    place, v = (batch.column(c)[k].values for c in ("places", "parts"))
+    place = place.to_numpy()
+    held = np.bincount(place, v.fill_null(0.0).to_numpy(zero_copy_only=False), size)
+    there = np.zeros(size, bool)
+    there[place] = True
+    return held.reshape(region), there.reshape(region)
+
+
+def _flat_tiles(pixels: DataFrame, shape: Shape, halo: Shape, tile: Shape) -> DataFrame:
+    """tile_entries with places and values as arrays of their own, which are half as long."""
+    held = tile_entries(pixels, shape, halo, "zero", tile)
+    return held.select("image_id", *[F.col(f"t{a}").cast("long").alias(f"t{a}") for a in AXES], F.col("entries.place").cast("array<int>").alias("places"), F.col("entries.v").alias("parts"))
+
+
+def _dealt(poses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The number of blocks that each volume's poses are dealt to, volume_id and blocks, and volume_id, block, outs (image_id, matrix)."""
+    own = poses.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix")).filter(F.col("volume_id").isNotNull())
+    counts = own.groupBy("volume_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    each = own.join(counts.hint("shuffle_hash"), "volume_id")
+    dealt = each.groupBy("volume_id", F.pmod(F.xxhash64("image_id", "matrix"), F.col("blocks")).alias("block"))
+    return counts, dealt.agg(F.collect_list(F.struct("image_id", "matrix")).alias("outs"))
+
+
+def _outs(batch: pa.RecordBatch, k: int, size: int) -> tuple[list, np.ndarray]:
+    """The ids and matrices of a row's block of poses."""
+    outs = batch.column("outs")[k].values
+    matrices = np.array([m.values.to_numpy(zero_copy_only=False) for m in outs.field("matrix")], float)
+    return outs.field("image_id").to_pylist(), matrices.reshape(len(outs), 3, size)
+
+
+def _forward_bricks(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int, kernel: str, brick: int) -> DataFrame:
+    """The volumes cut into bricks of `brick` voxels an edge, each of which moves once for each block of poses. A task sums the
+    stretches of the rays that cross a brick, so a pixel moves once for each brick that its ray crosses."""
+    d, h, w = volume
+    reach = tuple((SIZES[kernel] // 2 + (kernel == "nearest")) * (n > 1) for n in volume)
+    edges = tuple(max(min(n, brick), r) for n, r in zip(volume, reach, strict=True))
+    region = tuple(e + 2 * r for e, r in zip(edges, reach, strict=True))
+    last = [(n - 1) // e for n, e in zip(volume, edges, strict=True)]
+    bricks = [f"t{a}" for a in AXES]
+
+    def reached(m: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pixels whose axis may cross low .. high, one more on each side."""
+        ends = [(0, n - 1) for n in shape[1:]]
+        if abs(np.linalg.det(m[:, :3])) > 1e-6 * np.prod(np.linalg.norm(m[:, :3], axis=0)):
+            corners = np.array(list(itertools.product(*zip(low, high, strict=True)))).T - m[:, 3:]
+            at = np.linalg.solve(m[:, :3], corners)[1:]
+            ends = [(max(a, math.floor(c.min()) - 1), min(b, math.ceil(c.max()) + 1)) for (a, b), c in zip(ends, at, strict=True)]
+        y, x = (g.ravel() for g in np.mgrid[tuple(slice(a, b + 1) for a, b in ends)])
+        return y, x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def images() -> Iterator[tuple[list, list[np.ndarray]]]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    at = [batch.column(c)[k].as_py() for c in bricks]
+                    held, there = _region(batch, k, region)
+                    starts = [b * e - r for b, e, r in zip(at, edges, reach, strict=True)]
+                    # the taps of a brick's points are counted from its own voxels, of the outer ones also from beyond
+                    low = np.array([-1.0 if b == 0 else b * e - 1.0 for b, e in zip(at, edges, strict=True)])
+                    high = np.array([float(n) if b == z else (b + 1) * e + 1.0 for b, e, z, n in zip(at, edges, last, volume, strict=True)])
+                    for image, m in zip(*_outs(batch, k, 4), strict=True):
+                        y, x = reached(m, low, high)
+                        for s in range(0, len(y), POINTS):
+                            part = slice(s, s + POINTS)
+                            sums, seen = np.zeros(len(y[part])), np.zeros(len(y[part]), bool)
+                            for slot, c in _ray_points(m[None], y[part], x[part], volume, window, low, high):
+                                base = [_low(a, kernel) for a in c]
+                                own = np.logical_and.reduce([np.clip(i // e, 0, z) == b for i, e, z, b in zip(base, edges, last, at, strict=True)])
+                                slot, c, base = slot[own], [a[own] for a in c], [i[own] for i in base]
+                                got, read = _interpolated(held, there, starts, volume, c, base, kernel, np.ones(len(slot)))
+                                sums += np.bincount(slot, got, len(sums))
+                                seen[slot[read]] = True
+                            yield [image], [y[part][seen], x[part][seen], sums[seen]]
+
+        yield from in_batches(images(), arrow)
+
+    counts, outs = _dealt(poses)
+    every = lambda df: exploded(grid(df, tuple(z + 1 for z in last)).select(*df.columns, *[F.col(a).alias(f"t{a}") for a in AXES]))
+    blocks = every(counts.select("volume_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+    tiles = _flat_tiles(volumes, volume, reach, edges).withColumnRenamed("image_id", "volume_id")
+    met = blocks.join(tiles, ["volume_id", *bricks])
+    key = ["volume_id", "block", *bricks]
+    rows = exploded(met).join(every(outs), key).select(*bricks, "places", "parts", "outs")
+    made = poses.select("image_id", *[F.lit(0).cast("long").alias(a) for a in AXES[1:]], F.lit(0.0).alias("v")).schema
+    arrow = to_arrow_schema(made)
+    return rows.mapInArrow(run, made).groupBy("image_id", "y", "x").agg(F.sum("v").alias("v"))
+
+
+def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, outputs: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear", tile_pixels: int = TILE_PIXELS) -> DataFrame:
     """image_id, y, x, v: images projected into a volume and out again, without the volume: the points that an output pixel
     sums over are read from every input image of the volume. Beyond the volume's outer voxels a point counts less,
-    linearly to 0 one voxel out. inputs: matrix 2 x 4 (volume to image); outputs: matrix 3 x 4 (image to volume)."""
+    linearly to 0 one voxel out. inputs: matrix 2 x 4 (volume to image); outputs: matrix 3 x 4 (image to volume).
+
+    Images are cut into tiles and a volume's outputs are dealt to blocks of about BLOCK, its inputs to parts of about PART_IMAGES. An
+    input tile moves once for each block and output tile whose points may read it; a task holds the sums of one block and output
+    tile and works out the points from the poses, so nothing is made for a point but in the task."""
+    window = window or projection_window_size(volume)
+    _, h, w = shape
+    reach = (0, *((SIZES[kernel] // 2 + (kernel == "nearest")) * (n > 1) for n in (h, w)))
+    tile = tile_shape(shape, reach, tile_pixels)
+    region = (tile[1] + 2 * reach[1], tile[2] + 2 * reach[2])
+    last = [(n - 1) // t for n, t in zip((h, w), tile[1:], strict=True)]
+    low, high = np.full(3, -1.0), np.array(volume, float)
+    key = ["volume_id", "block", "part", "oy", "ox"]
+
+    def pixels_of(oy: int, ox: int) -> tuple[np.ndarray, np.ndarray]:
+        y, x = (g.ravel() for g in np.mgrid[oy * tile[1] : min(h, (oy + 1) * tile[1]), ox * tile[2] : min(w, (ox + 1) * tile[2])])
+        return y, x
+
+    def points(outs: np.ndarray, y: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for slot, c in _ray_points(outs, y, x, volume, window, low, high):
+            edge = np.ones(len(slot))
+            for a, n in zip(c, volume, strict=True):
+                edge *= np.where(a < 0, 1 + a, np.where(a > n - 1, n - a, 1.0))
+            yield slot, c, edge
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The input tiles that the points of a block and output tile may read: the corners of the stretch of each axis bound them, and
+        so do the volume's."""
+        box = np.array(list(itertools.product(*zip(low, high, strict=True))))
+        for batch in batches:
+            inputs_held = arrays(batch, "matrix")
+            for k in range(batch.num_rows):
+                m = inputs_held[k].reshape(2, 4)
+                y, x = pixels_of(batch.column("oy")[k].as_py(), batch.column("ox")[k].as_py())
+                _, outs = _outs(batch, k, 4)
+                corners = np.array([(a, b) for a in (y[0], y[-1]) for b in (x[0], x[-1])], float).T
+                v, o = outs[:, :, 0], outs[:, :, 1, None] * corners[0] + outs[:, :, 2, None] * corners[1] + outs[:, :, 3, None]
+                middle = np.array([n // 2 for n in volume], float)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    nearest = np.where(v != 0, np.abs(middle / v), np.inf).argmin(1)[:, None]
+                    start = (middle[nearest] - np.take_along_axis(o, nearest[:, :, None], 1)[:, 0]) / np.take_along_axis(v, nearest, 1)
+                    c = np.concatenate([o + v[:, :, None] * (start + s)[:, None] for s in (-(window // 2), window // 2)], 2)
+                c = c[np.isfinite(c).all((1, 2))]
+                if not len(c):
+                    continue
+                reads = np.einsum("ij,kjp->ikp", m[:, :3], c) + m[:, 3, None, None]
+                most = box @ m[:, :3].T + m[:, 3]
+                ends = [(max(r.min(1).min(), b.min()), min(r.max(1).max(), b.max())) for r, b in zip(reads, most.T, strict=True)]
+                if any(not (b > -1 - 1e-6 and a < n + 1e-6) for (a, b), n in zip(ends, (h, w), strict=True)):
+                    continue
+                (ya, yb), (xa, xb) = (tuple(min(max(math.floor(min(max(c, -2.0), n + 2.0)) + s, 0) // t, z) for c, s in zip(e, (-1, 1), strict=True)) for e, n, t, z in zip(ends, (h, w), tile[1:], last, strict=True))
+                found = [(ty, tx) for ty in range(ya, yb + 1) for tx in range(xa, xb + 1)]
+                same = [batch.column(c).take(pa.array([k] * len(found), pa.int64())) for c in ("image_id", "matrix", *key)]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array([t[i] for t in found], pa.int64()) for i in range(2))], ["image_id", "matrix", *key, "ty", "tx"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def images() -> Iterator[tuple[list, list[np.ndarray]]]:
+            now = held_points = None
+            for batch in batches:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+                matrices = arrays(batch, "matrix")
+                for k, this in enumerate(keys):
+                    if this != now:
+                        if now is not None:
+                            yield from done(ids, sums, seen, y, x)
+                        now = this
+                        y, x = pixels_of(*this[3:])
+                        ids, outs = _outs(batch, k, 4)
+                        sums, seen = np.zeros(len(ids) * len(y)), np.zeros(len(ids) * len(y), bool)
+                        held_points = list(points(outs, y, x)) if len(sums) * window <= POINTS else None
+                    m = matrices[k].reshape(2, 4)
+                    ty, tx = batch.column("ty")[k].as_py(), batch.column("tx")[k].as_py()
+                    held, there = _region(batch, k, region)
+                    for slot, c, edge in held_points if held_points is not None else points(outs, y, x):
+                        at = m[:, :3] @ c + m[:, 3, None]
+                        base = [_low(a, kernel) for a in at]
+                        own = (at > -1).all(0) & (at[0] < h) & (at[1] < w)
+                        own &= (np.clip(base[0] // tile[1], 0, last[0]) == ty) & (np.clip(base[1] // tile[2], 0, last[1]) == tx)
+                        where = slot[own]
+                        got, read = _interpolated(held, there, [ty * tile[1] - reach[1], tx * tile[2] - reach[2]], (h, w), [a[own] for a in at], [i[own] for i in base], kernel, edge[own])
+                        sums += np.bincount(where, got, len(sums))
+                        seen[where[read]] = True
+            if now is not None:
+                yield from done(ids, sums, seen, y, x)
+
+        def done(ids: list, sums: np.ndarray, seen: np.ndarray, y: np.ndarray, x: np.ndarray) -> Iterator[tuple[list, list[np.ndarray]]]:
+            for image, v, some in zip(ids, sums.reshape(len(ids), -1), seen.reshape(len(ids), -1), strict=True):
+                yield [image], [y[some], x[some], v[some]]
+
+        yield from in_batches(images(), arrow)
+
+    def every(df: DataFrame) -> DataFrame:
+        return exploded(grid(df, (1, last[0] + 1, last[1] + 1)).drop("z").withColumnsRenamed({"y": "oy", "x": "ox"}))
+
+    zero = F.lit(0).cast("long")
+    counts, outs = _dealt(outputs)
+    sent = inputs.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix")).filter(F.col("image_id").isNotNull())
+    parts = sent.groupBy("volume_id").agg(F.ceil(F.count("*") / PART_IMAGES).alias("parts")).join(counts.hint("shuffle_hash"), "volume_id")
+    dealt = sent.join(parts.hint("shuffle_hash"), "volume_id").withColumn("part", F.pmod(F.xxhash64("image_id", "matrix"), F.col("parts")))
+    pairs = every(dealt.withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).drop("blocks", "parts"))
+    posed = outs.join(parts.hint("shuffle_hash"), "volume_id").withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).drop("blocks", "parts")
+    blocks = every(posed)
+    if any(last):
+        kinds = pairs.schema
+        made = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("image_id", "matrix", *key))
+        pairs = exploded(pairs.join(blocks, key).mapInArrow(crossed, f"{made}, ty long, tx long"))
+    else:
+        pairs = pairs.withColumns({"ty": zero, "tx": zero})
+    tiles = _flat_tiles(pixels, shape, reach, tile).drop("tz")
+    met = exploded(pairs).join(tiles, ["image_id", "ty", "tx"])
+    rows = exploded(met).join(blocks, key).select(*key, "matrix", "ty", "tx", "places", "parts", "outs")
+    schema = outputs.select("image_id", *[F.lit(0).cast("long").alias(a) for a in AXES[1:]], F.lit(0.0).alias("v")).schema
+    arrow = to_arrow_schema(schema)
+    out = rows.sortWithinPartitions(*key).mapInArrow(summed, schema)
+    return out.groupBy("image_id", "y", "x").agg(F.sum("v").alias("v"))
+
+
+def backward_and_forward_project_3d_joined(pixels: DataFrame, inputs: DataFrame, outputs: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
+    """backward_and_forward_project_3d as a join of elements: a row for each point, input image and tap."""
     points = _along_axis(outputs, shape, volume, window)
     weight = F.lit(1.0)
     for a, n in zip(AXES, volume, strict=True):
