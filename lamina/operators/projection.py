@@ -268,15 +268,21 @@ def _forward_sent(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Sh
     return poses.select("image_id", "volume_id", "matrix").mapInArrow(run, "image_id long, y long, x long, v double")
 
 
-def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear", most_sent: int = MOST_SENT) -> DataFrame:
+def forward_project_3d(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear", most_sent: int = MOST_SENT, brick: int = BRICK) -> DataFrame:
     """image_id, y, x, v: each image pixel sums its volume along the projection axis; pixels that read no voxel have no row.
     volumes: pixels whose image_id is the volume's; poses: image_id, volume_id, matrix (3 x 4, image to volume).
 
-    Volumes whose arrays take at most `most_sent` bytes together are sent to all tasks; more than that meet the points
-    in a join. Both give the same."""
-    n = volumes.select("image_id").distinct().count()
-    if n * math.prod(volume) * 8 <= most_sent:
-        return _forward_sent(volumes, poses, shape, volume, window or projection_window_size(volume), kernel)
+    Volumes whose arrays take at most `most_sent` bytes together are sent to all tasks; more than that are cut into bricks,
+    which meet the poses. Both give the same, and so does forward_project_3d_joined."""
+    window = window or projection_window_size(volume)
+    # no more ids are looked for than may be sent
+    if most_sent and volumes.select("image_id").distinct().limit(most_sent // (math.prod(volume) * 8) + 1).count() * math.prod(volume) * 8 <= most_sent:
+        return _forward_sent(volumes, poses, shape, volume, window, kernel)
+    return _forward_bricks(volumes, poses, shape, volume, window, kernel, brick)
+
+
+def forward_project_3d_joined(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int | None = None, kernel: str = "linear") -> DataFrame:
+    """forward_project_3d as a join of elements: a row for each pixel, step and tap."""
     points = _along_axis(poses, shape, volume, window).withColumnRenamed("volume_id", "image_id")
     out = gather(volumes, points, ["out_id", "y", "x"], volume, kernel, sparse=True)
     return out.withColumnRenamed("out_id", "image_id")

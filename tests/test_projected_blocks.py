@@ -48,3 +48,17 @@ def test_no_row_is_made_for_a_point(spark):
     assert J.backward_and_forward_project_3d(pixels, inputs.filter("false"), outputs, SHAPE, VOLUME).count() == 0
     plan = J.backward_and_forward_project_3d(pixels, inputs, outputs, SHAPE, VOLUME)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "explode(array(struct(" not in plan
+
+
+@pytest.mark.parametrize("kernel,brick,block", [("linear", 32, 64), ("linear", 3, 2), ("nearest", 3, 64), ("cubic", 4, 64)])
+def test_rays_through_bricks(spark, monkeypatch, kernel, brick, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    voxels = values(spark, VOLUME, 2, 5).filter("not (image_id = 1 and z = 2)")
+    voxels = voxels.unionByName(voxels.filter("image_id = 0 and z = 1 and y = 3"))
+    _, poses = posed(spark, 7, 2, 6)
+    poses = poses.unionByName(spark.createDataFrame([(20, 0, [0.0] * 12), (21, 1, [0.0, 1.0, 0.0, 0.0] + [1.0, 0.0, 0.0, 2.5] + [0.0, 0.0, 1.0, -0.5])], poses.schema))
+    for window in (7, None):
+        want = held(J.forward_project_3d_joined(voxels, poses, SHAPE, VOLUME, window, kernel))
+        got = held(J.forward_project_3d(voxels, poses, SHAPE, VOLUME, window, kernel, 0, brick))
+        assert want and got.keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    assert J.forward_project_3d(voxels, poses.filter("false"), SHAPE, VOLUME, most_sent=0).count() == 0
