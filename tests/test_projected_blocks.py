@@ -62,3 +62,10 @@ def test_rays_through_bricks(spark, monkeypatch, kernel, brick, block):
         got = held(J.forward_project_3d(voxels, poses, SHAPE, VOLUME, window, kernel, 0, brick))
         assert want and got.keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
     assert J.forward_project_3d(voxels, poses.filter("false"), SHAPE, VOLUME, most_sent=0).count() == 0
+
+
+def test_more_than_a_little_is_not_sent(spark):
+    _, poses = posed(spark, 4, 1, 7)
+    many = values(spark, (2, 2, 2), 1, 8).crossJoin(spark.range(20_000).select(F.col("id").alias("_k"))).withColumn("image_id", F.col("_k")).drop("_k")
+    plan = J.forward_project_3d(many, poses, (1, 2, 2), (2, 2, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "explode(array(struct(" not in plan
