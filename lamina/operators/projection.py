@@ -313,8 +313,8 @@ def _ray_points(poses: np.ndarray, y: np.ndarray, x: np.ndarray, volume: Shape,
             yield ((begin + of) * len(y) + pixel)[inside], c[:, inside]
 
 
-def _interpolated(held: np.ndarray, there: np.ndarray, starts: list[int], shape: tuple[int, ...], at: list[np.ndarray], low: list[np.ndarray], kernel: str, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values at coordinates (an array an axis) times scale, from the part of an array of `shape` that begins at `starts`, and
+def _interpolated(held: list[np.ndarray], there: np.ndarray, starts: list[int], shape: tuple[int, ...], at: list[np.ndarray], low: list[np.ndarray], kernel: str, scale: np.ndarray, least: float = LEAST_SHARE) -> tuple[list[np.ndarray], np.ndarray]:
+    """Values at coordinates (an array an axis) times scale, from the parts of arrays of `shape` that begin at `starts`, and
     which of them read an element. low is the index that each coordinate's taps are counted from."""
     axes = []
     for c, base, n, start in zip(at, low, shape, starts, strict=True):
@@ -324,50 +324,63 @@ def _interpolated(held: np.ndarray, there: np.ndarray, starts: list[int], shape:
         shares, first = ([np.ones_like(c)], 0) if kernel == "nearest" else (weights(c - base, kernel, np), 1 - SIZES[kernel] // 2)
         index = [base + (first + k) for k in range(len(shares))]
         axes.append([(i - start, (i >= 0) & (i < n), s) for i, s in zip(index, shares, strict=True)])
-    got, read = np.zeros(len(scale)), np.zeros(len(scale), bool)
+    got, read = [np.zeros(len(scale)) for _ in held], np.zeros(len(scale), bool)
     for taps in itertools.product(*axes):
         share, ok, place = scale, True, 0
-        for (i, inside, s), size in zip(taps, held.shape, strict=True):
+        for (i, inside, s), size in zip(taps, there.shape, strict=True):
             share, ok, place = share * s, ok & inside, place * size + i
-        ok = ok & (np.abs(share) >= LEAST_SHARE)
+        ok = ok & (np.abs(share) >= least)
         place = np.where(ok, place, 0)
         ok &= there.ravel()[place]
-        got += np.where(ok, share * held.ravel()[place], 0.0)
+        for sums, values in zip(got, held, strict=True):
+            sums += np.where(ok, share * values.ravel()[place], 0.0)
         read |= ok
     return got, read
 
 
-def _region(batch: pa.RecordBatch, k: int, region: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """A tile's values, those of equal places added up, and which places it has."""
+def _region(batch: pa.RecordBatch, k: int, region: tuple[int, ...], values: tuple[str, ...] = ("v",)) -> tuple[list[np.ndarray], np.ndarray]:
+    """A tile's values, those of equal places added up, and which places it has; a row without a tile has none."""
     size = math.prod(region)
-    place, v = (batch.column(c)[k].values for c in ("places", "parts"))
-    place = place.to_numpy()
-    held = np.bincount(place, v.fill_null(0.0).to_numpy(zero_copy_only=False), size)
     there = np.zeros(size, bool)
+    if not batch.column("places")[k].is_valid:
+        return [np.zeros(region) for _ in values], there.reshape(region)
+    place = batch.column("places")[k].values.to_numpy()
+    held = [np.bincount(place, batch.column(c)[k].values.fill_null(0.0).to_numpy(zero_copy_only=False), size) for c in values]
     there[place] = True
-    return held.reshape(region), there.reshape(region)
+    return [v.reshape(region) for v in held], there.reshape(region)
 
 
-def _flat_tiles(pixels: DataFrame, shape: Shape, halo: Shape, tile: Shape) -> DataFrame:
+def _flat_tiles(pixels: DataFrame, shape: Shape, halo: Shape, tile: Shape, values: tuple[str, ...] = ("v",)) -> DataFrame:
     """tile_entries with places and values as arrays of their own, which are half as long."""
-    held = tile_entries(pixels, shape, halo, "zero", tile)
-    return held.select("image_id", *[F.col(f"t{a}").cast("long").alias(f"t{a}") for a in AXES], F.col("entries.place").cast("array<int>").alias("places"), F.col("entries.v").alias("parts"))
+    held = tile_entries(pixels, shape, halo, "zero", tile, values)
+    return held.select("image_id", *[F.col(f"t{a}").cast("long").alias(f"t{a}") for a in AXES], F.col("entries.place").cast("array<int>").alias("places"), *[F.col(f"entries.{c}").alias(c) for c in values])
 
 
-def _dealt(poses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The number of blocks that each volume's poses are dealt to, volume_id and blocks, and volume_id, block, outs (image_id, matrix)."""
-    own = poses.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix")).filter(F.col("volume_id").isNotNull())
+def _doubles(poses: DataFrame, *more: str) -> DataFrame:
+    """image_id, volume_id and the matrices, those of poses that have them."""
+    held = ["matrix", *more]
+    own = poses.select("image_id", "volume_id", *[F.col(c).cast("array<double>").alias(c) for c in held])
+    return own.dropna(subset=["volume_id", *held])
+
+
+def _dealt(poses: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The number of blocks that each volume's poses are dealt to, volume_id and blocks, and volume_id, block, outs (image_id, matrix
+    and more)."""
+    own = _doubles(poses, *more)
     counts = own.groupBy("volume_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     each = own.join(counts.hint("shuffle_hash"), "volume_id")
     dealt = each.groupBy("volume_id", F.pmod(F.xxhash64("image_id", "matrix"), F.col("blocks")).alias("block"))
-    return counts, dealt.agg(F.collect_list(F.struct("image_id", "matrix")).alias("outs"))
+    return counts, dealt.agg(F.collect_list(F.struct("image_id", "matrix", *more)).alias("outs"))
 
 
 def _outs(batch: pa.RecordBatch, k: int, size: int) -> tuple[list, np.ndarray]:
     """The ids and matrices of a row's block of poses."""
     outs = batch.column("outs")[k].values
-    matrices = np.array([m.values.to_numpy(zero_copy_only=False) for m in outs.field("matrix")], float)
-    return outs.field("image_id").to_pylist(), matrices.reshape(len(outs), 3, size)
+    return outs.field("image_id").to_pylist(), _stacked(outs.field("matrix"), (3, size))
+
+
+def _stacked(matrices: pa.Array, form: tuple[int, int]) -> np.ndarray:
+    return np.array([m.values.to_numpy(zero_copy_only=False) for m in matrices], float).reshape(len(matrices), *form)
 
 
 def _forward_bricks(volumes: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, window: int, kernel: str, brick: int) -> DataFrame:
@@ -409,7 +422,7 @@ def _forward_bricks(volumes: DataFrame, poses: DataFrame, shape: Shape, volume:
                                 base = [_low(a, kernel) for a in c]
                                 own = np.logical_and.reduce([np.clip(i // e, 0, z) == b for i, e, z, b in zip(base, edges, last, at, strict=True)])
                                 slot, c, base = slot[own], [a[own] for a in c], [i[own] for i in base]
-                                got, read = _interpolated(held, there, starts, volume, c, base, kernel, np.ones(len(slot)))
+                                (got,), read = _interpolated(held, there, starts, volume, c, base, kernel, np.ones(len(slot)))
                                 sums += np.bincount(slot, got, len(sums))
                                 seen[slot[read]] = True
                             yield [image], [y[part][seen], x[part][seen], sums[seen]]
@@ -422,7 +435,7 @@ def _forward_bricks(volumes: DataFrame, poses: DataFrame, shape: Shape, volume:
     tiles = _flat_tiles(volumes, volume, reach, edges).withColumnRenamed("image_id", "volume_id")
     met = blocks.join(tiles, ["volume_id", *bricks])
     key = ["volume_id", "block", *bricks]
-    rows = exploded(met).join(every(outs), key).select(*bricks, "places", "parts", "outs")
+    rows = exploded(met).join(every(outs), key).select(*bricks, "places", "v", "outs")
     made = poses.select("image_id", *[F.lit(0).cast("long").alias(a) for a in AXES[1:]], F.lit(0.0).alias("v")).schema
     arrow = to_arrow_schema(made)
     return rows.mapInArrow(run, made).groupBy("image_id", "y", "x").agg(F.sum("v").alias("v"))
@@ -510,7 +523,7 @@ def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, output
                         own = (at > -1).all(0) & (at[0] < h) & (at[1] < w)
                         own &= (np.clip(base[0] // tile[1], 0, last[0]) == ty) & (np.clip(base[1] // tile[2], 0, last[1]) == tx)
                         where = slot[own]
-                        got, read = _interpolated(held, there, [ty * tile[1] - reach[1], tx * tile[2] - reach[2]], (h, w), [a[own] for a in at], [i[own] for i in base], kernel, edge[own])
+                        (got,), read = _interpolated(held, there, [ty * tile[1] - reach[1], tx * tile[2] - reach[2]], (h, w), [a[own] for a in at], [i[own] for i in base], kernel, edge[own])
                         sums += np.bincount(where, got, len(sums))
                         seen[where[read]] = True
             if now is not None:
@@ -527,7 +540,7 @@ def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, output
 
     zero = F.lit(0).cast("long")
     counts, outs = _dealt(outputs)
-    sent = inputs.select("image_id", "volume_id", F.col("matrix").cast("array<double>").alias("matrix")).filter(F.col("image_id").isNotNull())
+    sent = _doubles(inputs)
     parts = sent.groupBy("volume_id").agg(F.ceil(F.count("*") / PART_IMAGES).alias("parts")).join(counts.hint("shuffle_hash"), "volume_id")
     dealt = sent.join(parts.hint("shuffle_hash"), "volume_id").withColumn("part", F.pmod(F.xxhash64("image_id", "matrix"), F.col("parts")))
     pairs = every(dealt.withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).drop("blocks", "parts"))
@@ -541,7 +554,7 @@ def backward_and_forward_project_3d(pixels: DataFrame, inputs: DataFrame, output
         pairs = pairs.withColumns({"ty": zero, "tx": zero})
     tiles = _flat_tiles(pixels, shape, reach, tile).drop("tz")
     met = exploded(pairs).join(tiles, ["image_id", "ty", "tx"])
-    rows = exploded(met).join(blocks, key).select(*key, "matrix", "ty", "tx", "places", "parts", "outs")
+    rows = exploded(met).join(blocks, key).select(*key, "matrix", "ty", "tx", "places", "v", "outs")
     schema = outputs.select("image_id", *[F.lit(0).cast("long").alias(a) for a in AXES[1:]], F.lit(0.0).alias("v")).schema
     arrow = to_arrow_schema(schema)
     out = rows.sortWithinPartitions(*key).mapInArrow(summed, schema)
@@ -683,6 +696,133 @@ def slices_at(points: DataFrame, spectrum: DataFrame, poses: DataFrame, keys: li
     return _summed(spectrum_gather(spectrum, targets, keys, shape, "window", weighted), targets, keys, weighted)
 
 
+def _slice_sums(spectrum: DataFrame, inserted: DataFrame, blocks: DataFrame | None, units: tuple[int, ...], points, named, keys: DataFrame, shape: Shape, sinc: float, blackman: float, ews_radius: Radius, tile_pixels: int) -> DataFrame:
+    """What slices_at gives at points that tasks work out: of each volume (blocks: for each block of poses, `outs`) in `units` parts
+    along three axes. points(outs, unit) yields the points' numbers, frequencies and windows, a piece at a time; named(volume, outs,
+    unit, seen, sums) the rows of those seen.
+
+    Half spectra are cut into tiles, and a volume's slices are dealt to parts of about PART_IMAGES. A tile moves once for each
+    unit whose points may read it; a task holds one unit's sums."""
+    weighted = "weight" in spectrum.columns
+    values = ("re", "im", "weight") if weighted else ("re", "im")
+    scaled = ("scaling",) if "scaling" in inserted.columns else ()
+    form = (1, shape[1], shape[2] // 2 + 1)
+    halo = tuple(int(n > 1) for n in form)
+    tile = tile_shape(form, halo, tile_pixels)
+    region = tuple(t + 2 * h for t, h in zip(tile, halo, strict=True))
+    last = [(n - 1) // t for n, t in zip(form, tile, strict=True)][1:]
+    key = ["volume_id", "block", "part", "bz", "by", "bx"]
+    in_blocks = blocks is not None
+    radii = ews_radius if isinstance(ews_radius, tuple) else (ews_radius, ews_radius)
+
+    def close(m: np.ndarray, scaling: np.ndarray | None, slot: np.ndarray, g: np.ndarray, window: np.ndarray):
+        """The points that a slice passes: number, window, side of kx = 0, place in the spectrum, base of the taps, tile."""
+        m = m.reshape(3, 3)
+        hz, hy, hx = (m[i, 0] * g[0] + m[i, 1] * g[1] + m[i, 2] * g[2] for i in range(3))
+        off = hz - sum(h * h / (2 * r) if r else 0.0 for h, r in zip((hy, hx), radii, strict=True))
+        near = np.abs(off) <= blackman
+        hy, hx = hy[near], hx[near]
+        if scaling is not None:
+            hy, hx = (scaling[2 * i] * hy + scaling[2 * i + 1] * hx for i in range(2))
+        fy, fx = hy * shape[1], hx * shape[2]
+        fx = np.where(np.abs(fx) < LEAST_SHARE, 0.0, fx)
+        side = np.where(fx < 0, -1.0, 1.0)
+        at = [fy * side + shape[1] // 2, fx * side]
+        base = [np.floor(c).astype(np.int64) for c in at]
+        of = [np.clip(b // t, 0, z) for b, t, z in zip(base, tile[1:], last, strict=True)]
+        return slot[near], _sinc_windows(off[near], sinc, blackman) * window[near], side, at, base, of[0] * (last[1] + 1) + of[1]
+
+    def posed(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray | None]]:
+        matrices = arrays(batch, "matrix")
+        scalings = arrays(batch, "scaling") if scaled else [None] * batch.num_rows
+        yield from zip(range(batch.num_rows), zip(*(batch.column(c).to_pylist() for c in key), strict=True), matrices, scalings, strict=True)
+
+    def unit_of(batch: pa.RecordBatch, k: int, this: tuple):
+        """The unit's poses, number of points and points: held where they are few, else worked out each time."""
+        outs = batch.column("outs")[k].values if in_blocks else None
+        first = points(outs, this[3:])
+        size = next(first)
+        held = list(itertools.islice(first, 2))
+        again = (lambda: iter(held)) if len(held) < 2 else lambda: itertools.islice(points(outs, this[3:]), 1, None)
+        return outs, size, again
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = again = None
+        for batch in batches:
+            for k, this, m, scaling in posed(batch):
+                if this != now:
+                    now, (_, _, again) = this, unit_of(batch, k, this)
+                found = np.unique(np.concatenate([np.zeros(0, np.int64), *(close(m, scaling, *piece)[-1] for piece in again())]))
+                same = [batch.column(c).take(pa.array([k] * len(found), pa.int64())) for c in ("image_id", "matrix", *scaled, *key)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found // (last[1] + 1)), pa.array(found % (last[1] + 1))], ["image_id", "matrix", *scaled, *key, "ty", "tx"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[list, list[np.ndarray]]]:
+            now = outs = again = sums = seen = None
+            for batch in batches:
+                for k, this, m, scaling in posed(batch):
+                    if this != now:
+                        if now is not None:
+                            yield from named(now[0], outs, now[3:], seen, sums)
+                        now, (outs, size, again) = this, unit_of(batch, k, this)
+                        sums, seen = [np.zeros(size) for _ in range(3)], np.zeros(size, bool)
+                    ty, tx = batch.column("ty")[k].as_py(), batch.column("tx")[k].as_py()
+                    held, there = _region(batch, k, region, values)
+                    held, there = [v[0] for v in held], there[0]
+                    starts = [t * e - h for t, e, h in zip((ty, tx), tile[1:], halo[1:], strict=True)]
+                    for piece in again():
+                        slot, share, side, at, base, of = close(m, scaling, *piece)
+                        own = of == ty * (last[1] + 1) + tx
+                        slot, share = slot[own], share[own]
+                        got, _ = _interpolated(held, there, starts, form[1:], [c[own] for c in at], [b[own] for b in base], "linear", share, 0.0)
+                        got[1] *= side[own]
+                        for total, part in zip(sums, got if weighted else [*got, share], strict=True):
+                            total += np.bincount(slot, part, len(total))
+                        seen[slot] = True
+            if now is not None:
+                yield from named(now[0], outs, now[3:], seen, sums)
+
+        yield from in_batches(rows(), arrow)
+
+    def every(df: DataFrame) -> DataFrame:
+        return exploded(grid(df, units).withColumnsRenamed({a: f"b{a}" for a in AXES}))
+
+    zero = F.lit(0).cast("long")
+    sent = _doubles(inserted, *scaled)
+    parts = sent.groupBy("volume_id").agg(F.ceil(F.count("*") / PART_IMAGES).alias("parts"))
+    if blocks is None:
+        parts = parts.withColumn("blocks", F.lit(1).cast("long"))
+    else:
+        parts = parts.join(blocks.groupBy("volume_id").agg((F.max("block") + 1).alias("blocks")).hint("shuffle_hash"), "volume_id")
+    dealt = sent.join(parts.hint("shuffle_hash"), "volume_id").withColumn("part", F.pmod(F.xxhash64("image_id", "matrix"), F.col("parts")))
+    pairs = every(dealt.withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).drop("blocks", "parts"))
+    if blocks is not None:
+        spread = blocks.join(parts.drop("blocks").hint("shuffle_hash"), "volume_id")
+        outs = every(spread.withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).drop("parts"))
+    if any(last):
+        kinds = pairs.schema
+        made = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("image_id", "matrix", *scaled, *key))
+        from_ = pairs.repartition(*key).sortWithinPartitions(*key) if blocks is None else pairs.join(outs, key)
+        pairs = exploded(from_.mapInArrow(crossed, f"{made}, ty long, tx long"))
+    else:
+        pairs = pairs.withColumns({"ty": zero, "tx": zero})
+    placed = spectrum.select("image_id", zero.alias("z"), (F.col("ky") + shape[1] // 2).alias("y"), F.col("kx").alias("x"), *values)
+    inside = placed.filter(F.col("y").between(0, form[1] - 1) & F.col("x").between(0, form[2] - 1))
+    met = exploded(pairs).join(_flat_tiles(inside, form, halo, tile, values).drop("tz"), ["image_id", "ty", "tx"], "left")
+    ready = met.repartition(*key) if blocks is None else exploded(met).join(outs, key)
+    schema = keys.select("*", *[F.lit(0.0).alias(c) for c in ("re", "im", "weight")]).schema
+    arrow = to_arrow_schema(schema)
+    out = ready.sortWithinPartitions(*key).mapInArrow(summed, schema)
+    return out.groupBy(*keys.columns).agg(*[F.sum(c).alias(c) for c in ("re", "im", "weight")])
+
+
+def _sinc_windows(f: np.ndarray, sinc: float, blackman: float) -> np.ndarray:
+    """windowed_sinc of arrays."""
+    x = math.pi * f
+    s, b = x / sinc, x / blackman
+    return np.where(s == 0, 1.0, np.sin(s) / np.where(s != 0, s, 1.0)) * (0.42 + 0.5 * np.cos(b) + 0.08 * np.cos(2 * b))
+
+
 def _volume_points(poses: DataFrame, volume: Shape, cutoff: float, target: Shape) -> DataFrame:
     d, h, w = volume
     points = poses.select("volume_id").distinct().withColumn("window", F.lit(1.0))
@@ -692,11 +832,38 @@ def _volume_points(poses: DataFrame, volume: Shape, cutoff: float, target: Shape
     return _within(points.withColumns(g), cutoff)
 
 
-def insert_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, sinc: float, blackman: float, cutoff: float = 0.5, ews_radius: Radius = 0.0, target: Shape | None = None) -> DataFrame:
+def insert_central_slices_3d(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, sinc: float, blackman: float, cutoff: float = 0.5, ews_radius: Radius = 0.0, target: Shape | None = None, brick: int = BRICK, tile_pixels: int = TILE_PIXELS) -> DataFrame:
     """volume_id, kz, ky, kx, re, im, weight: every voxel gathers the slices near it (see slices_at). The window is at least one
     sample of the target's shortest side wide; target is the shape that the grid's frequencies refer to."""
     target = target or volume
     window = _least((sinc, blackman), min(target))
+    form = (volume[0], volume[1], volume[2] // 2 + 1)
+    edges = tuple(min(n, brick) for n in form)
+
+    def frequencies(at: tuple[int, ...]) -> list[np.ndarray]:
+        index = np.mgrid[tuple(slice(b * e, min(n, (b + 1) * e)) for b, e, n in zip(at, edges, form, strict=True))]
+        return [i.ravel() - shift for i, shift in zip(index, (volume[0] // 2, volume[1] // 2, 0), strict=True)]
+
+    def points(_, at: tuple[int, ...]):
+        k = frequencies(at)
+        yield len(k[0])
+        for begin in range(0, len(k[0]), POINTS):
+            g = [i[begin : begin + POINTS] / float(n) for i, n in zip(k, target, strict=True)]
+            kept = np.flatnonzero(g[0] * g[0] + g[1] * g[1] + g[2] * g[2] <= cutoff * cutoff)
+            yield begin + kept, np.stack(g)[:, kept], np.ones(len(kept))
+
+    def named(volume_id, _, at: tuple[int, ...], seen: np.ndarray, sums: list[np.ndarray]):
+        yield [volume_id], [*(k[seen] for k in frequencies(at)), *(v[seen] for v in sums)]
+
+    keys = poses.select("volume_id", *[F.lit(0).cast("long").alias(k) for k in FREQUENCIES])
+    units = tuple(-(-n // e) for n, e in zip(form, edges, strict=True))
+    return _slice_sums(spectrum, poses, None, units, points, named, keys, shape, *window, ews_radius, tile_pixels)
+
+
+def insert_central_slices_3d_joined(spectrum: DataFrame, poses: DataFrame, shape: Shape, volume: Shape, sinc: float, blackman: float, cutoff: float = 0.5, ews_radius: Radius = 0.0, target: Shape | None = None) -> DataFrame:
+    """insert_central_slices_3d as a join of elements: a row for each voxel, slice near it and tap."""
+    target = target or volume
+    window = _least((sinc, blackman), min(target))
     return slices_at(_volume_points(poses, volume, cutoff, target), spectrum, poses, ["volume_id", *FREQUENCIES], shape, *window, ews_radius)
 
 

@@ -27,9 +27,9 @@ def tile_shape(shape: Shape, halo: Shape, tile_pixels: int = TILE_PIXELS) -> Sha
     return tuple(min(n, max(edge, h)) for n, h in zip(shape, halo, strict=True))
 
 
-def tile_entries(pixels: DataFrame, shape: Shape, halo: Shape, border: str, tile: Shape) -> DataFrame:
+def tile_entries(pixels: DataFrame, shape: Shape, halo: Shape, border: str, tile: Shape, values: tuple[str, ...] = ("v",)) -> DataFrame:
     """image_id, tz, ty, tx, entries: the pixels of each tile and its halo, by their place in it."""
-    placed = pixels.select("image_id", *[F.col(a).cast("long").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
+    placed = pixels.select("image_id", *[F.col(a).cast("long").alias(a) for a in AXES], *[F.col(c).cast("double").alias(c) for c in values])
     place = F.lit(0).cast("long")
     for a, n, t, h in zip(AXES, shape, tile, halo, strict=True):
         if border == "periodic" and h:  # what a halo beyond the edge holds comes from the other side
@@ -43,7 +43,7 @@ def tile_entries(pixels: DataFrame, shape: Shape, halo: Shape, border: str, tile
         else:
             placed = placed.withColumn(f"t{a}", F.greatest(F.lit(0), F.least(F.lit(last), F.floor(at / t))).cast("long"))
         place = place * (t + 2 * h) + (F.col(a) - F.col(f"t{a}") * t + h)
-    return placed.groupBy("image_id", *[f"t{a}" for a in AXES]).agg(F.collect_list(F.struct(place.alias("place"), "v")).alias("entries"))
+    return placed.groupBy("image_id", *[f"t{a}" for a in AXES]).agg(F.collect_list(F.struct(place.alias("place"), *values)).alias("entries"))
 
 
 def tiled(pixels: DataFrame, shape: Shape, halo: Shape, border: str, function: Callable[[np.ndarray], np.ndarray], reached: Callable[[np.ndarray], np.ndarray] | None = None, tile_pixels: int = TILE_PIXELS, tile: Shape | None = None) -> DataFrame:

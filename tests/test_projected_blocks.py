@@ -69,3 +69,44 @@ def test_more_than_a_little_is_not_sent(spark):
     many = values(spark, (2, 2, 2), 1, 8).crossJoin(spark.range(20_000).select(F.col("id").alias("_k"))).withColumn("image_id", F.col("_k")).drop("_k")
     plan = J.forward_project_3d(many, poses, (1, 2, 2), (2, 2, 2))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "explode(array(struct(" not in plan
+
+
+def test_poses_without_a_matrix_project_nothing(spark):
+    inputs, outputs = posed(spark, 4, 1, 9)
+    pixels = values(spark, SHAPE, 4, 10)
+    want = held(J.backward_and_forward_project_3d(pixels, inputs, outputs, SHAPE, VOLUME))
+    more = lambda df: df.unionByName(df.limit(1).withColumns({"image_id": F.lit(3).cast("long"), "matrix": F.lit(None).cast("array<double>")}))
+    got = held(J.backward_and_forward_project_3d(pixels, more(inputs), more(outputs), SHAPE, VOLUME))
+    assert want and got.keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
+SLICE, GRID, TARGET, RADIUS = (1, 9, 10), (7, 6, 8), (9, 8, 10), (1.3, 0.9)
+
+
+def slices(spark, weighted):
+    """Half spectra without the third image and a part of the second, poses of four images in two volumes and one by itself."""
+    rng = np.random.default_rng(11)
+    rows = [(i, 0, ky, kx, *map(float, rng.normal(size=2)), float(rng.uniform(0.5, 2))) for i in (0, 1, 3) for ky in range(-4, 5) for kx in range(6) if i != 1 or ky < 2]
+    spectrum = spark.createDataFrame(rows, "image_id long, kz long, ky long, kx long, re double, im double, weight double")
+    turns = [(k, k % 2, *a) for k, a in enumerate(rng.uniform(-2, 2, size=(4, 2)).tolist())] + [(0, 1, 0.4, 0.2), (1, 5, 0.0, 0.0), (2, None, 0.0, 0.0)]
+    i = spark.createDataFrame(turns, "image_id long, volume_id long, a double, b double")
+    turn = M.euler_matrix((F.col("a"), F.col("b"), F.lit(0.3)))
+    ways = [turn, [[turn[c][r] for c in range(3)] for r in range(3)]]
+    forward, inverse = (i.select("image_id", "volume_id", M.flattened(m).alias("matrix"), F.array(F.lit(1.04), F.lit(0.03), F.lit(-0.02), F.lit(0.95)).alias("scaling")) for m in ways)
+    return spectrum if weighted else spectrum.drop("weight"), inverse, forward
+
+
+def same(got, want, keys):
+    got, want = ({tuple(r[k] for k in keys): (r["re"], r["im"], r["weight"]) for r in df.collect()} for df in (got, want))
+    assert want and got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+@pytest.mark.parametrize("weighted,brick,tile_pixels", [(True, 32, 1 << 14), (False, 3, 9), (True, 3, 9)])
+def test_slices_near_voxels_by_tiles(spark, monkeypatch, weighted, brick, tile_pixels):
+    monkeypatch.setattr(J, "PART_IMAGES", 2 if brick == 3 else 1 << 12)
+    spectrum, inverse, _ = slices(spark, weighted)
+    for poses in (inverse, inverse.drop("scaling")):
+        given = spectrum, poses, SLICE, GRID, 0.12, 0.2, 0.43, RADIUS, TARGET
+        same(J.insert_central_slices_3d(*given, brick, tile_pixels), J.insert_central_slices_3d_joined(*given), ("volume_id", "kz", "ky", "kx"))
+    plan = J.insert_central_slices_3d(*given)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "explode(array(struct(" not in plan
