@@ -897,7 +897,54 @@ def extract_central_slices_3d(volumes: DataFrame, poses: DataFrame, shape: Shape
     return _summed(spectrum_gather(volumes, targets, keys, volume, "window", weighted), targets, keys, weighted)
 
 
-def insert_and_extract_central_slices_3d(spectrum: DataFrame, inserted: DataFrame, extracted: DataFrame, shape: Shape, sinc: float, blackman: float, cutoff: float = 0.5, correct_weights: bool = False, ews_radius: Radius = 0.0, depth_window: tuple[float, float] = (0.0, 0.0), add_to: DataFrame | None = None) -> DataFrame:
+def _slices_at_slices(spectrum: DataFrame, inserted: DataFrame, extracted: DataFrame, shape: Shape, window: tuple[float, float], ews_radius: Radius, depth_window: tuple[float, float], depth: int, cutoff: float, tile_pixels: int) -> DataFrame:
+    """slices_at of _slice_points, which tasks work out from blocks of poses: out_id, ky, kx, re, im, weight."""
+    form = (1, shape[1], shape[2] // 2 + 1)
+    tile = tile_shape(form, (0, 0, 0), tile_pixels)
+    scaled = ("scaling",) if "scaling" in extracted.columns else ()
+    along = _least(depth_window, depth)
+    n = max(1, math.ceil(along[1] * depth - 1e-6)) - 1
+    steps = np.arange(-n, n + 1) / float(depth)
+    windows = _sinc_windows(steps, *along) if n else np.ones(1)
+    radii = ews_radius if isinstance(ews_radius, tuple) else (ews_radius, ews_radius)
+
+    def frequencies(at: tuple[int, ...]) -> list[np.ndarray]:
+        y, x = (i.ravel() for i in np.mgrid[tuple(slice(b * t, min(m, (b + 1) * t)) for b, t, m in zip(at[1:], tile[1:], form[1:], strict=True))])
+        return [y - shape[1] // 2, x]
+
+    def points(outs: pa.Array, at: tuple[int, ...]):
+        ky, kx = frequencies(at)
+        yield len(outs) * len(ky)
+        matrices = _stacked(outs.field("matrix"), (3, 3))[:, :, :, None]
+        scalings = _stacked(outs.field("scaling"), (2, 2))[:, :, :, None] if scaled else None
+        many = max(1, POINTS // (len(ky) * len(steps)))
+        each = max(1, POINTS // (len(ky) * many))
+        for begin in range(0, len(outs), many):
+            m = matrices[begin : begin + many]
+            sy, sx = (np.broadcast_to(f, (len(m), len(f))) for f in (ky / float(shape[1]), kx / float(shape[2])))
+            if scaled:
+                s = scalings[begin : begin + many]
+                sy, sx = (s[:, i, 0] * sy + s[:, i, 1] * sx for i in range(2))
+            high = sum(f * f / (2 * r) if r else np.zeros_like(f) for f, r in zip((sy, sx), radii, strict=True))
+            gz, gy, gx = (m[:, i, 0] * high + m[:, i, 1] * sy + m[:, i, 2] * sx for i in range(3))
+            number = begin * len(ky) + np.arange(gz.size).reshape(gz.shape)
+            for k in range(0, len(steps), each):
+                z = gz + steps[k : k + each, None, None]
+                held = [np.broadcast_to(a, z.shape) for a in (gy, gx, number, windows[k : k + each, None, None])]
+                kept = z * z + held[0] * held[0] + held[1] * held[1] <= cutoff * cutoff
+                yield held[2][kept], np.stack([z[kept], held[0][kept], held[1][kept]]), held[3][kept]
+
+    def named(_, outs: pa.Array, at: tuple[int, ...], seen: np.ndarray, sums: list[np.ndarray]):
+        ky, kx = frequencies(at)
+        for image, there, *own in zip(outs.field("image_id").to_pylist(), *(v.reshape(len(outs), len(ky)) for v in (seen, *sums)), strict=True):
+            yield [image], [ky[there], kx[there], *(v[there] for v in own)]
+
+    keys = extracted.select(F.col("image_id").alias("out_id"), *[F.lit(0).cast("long").alias(k) for k in FREQUENCIES[1:]])
+    units = tuple(-(-m // t) for m, t in zip(form, tile, strict=True))
+    return _slice_sums(spectrum, inserted, _dealt(extracted, *scaled)[1], units, points, named, keys, shape, *window, ews_radius, tile_pixels)
+
+
+def insert_and_extract_central_slices_3d(spectrum: DataFrame, inserted: DataFrame, extracted: DataFrame, shape: Shape, sinc: float, blackman: float, cutoff: float = 0.5, correct_weights: bool = False, ews_radius: Radius = 0.0, depth_window: tuple[float, float] = (0.0, 0.0), add_to: DataFrame | None = None, tile_pixels: int = TILE_PIXELS) -> DataFrame:
     """out_id, ky, kx, re, im, weight: output slices (extracted: forward matrices) gathered straight from the input slices
     (inserted: inverse matrices), without a volume between. depth_window (sinc, blackman) sums along the depth of that volume, as
     deep as a slice's shorter side. correct_weights divides by max(1, abs(weight)), which needs all slices in one call; add_to
@@ -906,8 +953,7 @@ def insert_and_extract_central_slices_3d(spectrum: DataFrame, inserted: DataFram
         raise ValueError("weights are corrected once all slices are in, not while adding")
     depth = min(shape[1:])
     keys = ["out_id", "ky", "kx"]
-    points = _slice_points(extracted, shape, ews_radius, depth_window, depth, cutoff)
-    found = slices_at(points, spectrum, inserted, keys, shape, *_least((sinc, blackman), depth), ews_radius)
+    found = _slices_at_slices(spectrum, inserted, extracted, shape, _least((sinc, blackman), depth), ews_radius, depth_window, depth, cutoff, tile_pixels)
     if add_to is not None:
         both = found.unionByName(add_to.select(*keys, "re", "im", "weight"))
         return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("re", "im", "weight")])

@@ -110,3 +110,15 @@ def test_slices_near_voxels_by_tiles(spark, monkeypatch, weighted, brick, tile_p
         same(J.insert_central_slices_3d(*given, brick, tile_pixels), J.insert_central_slices_3d_joined(*given), ("volume_id", "kz", "ky", "kx"))
     plan = J.insert_central_slices_3d(*given)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "explode(array(struct(" not in plan
+
+
+@pytest.mark.parametrize("weighted,block,tile_pixels,depth", [(True, 64, 1 << 14, (0.15, 0.3)), (False, 2, 9, (0.15, 0.3)), (False, 64, 9, (0.0, 0.0))])
+def test_slices_near_slices_by_tiles(spark, monkeypatch, weighted, block, tile_pixels, depth):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "PART_IMAGES", 2 if block == 2 else 1 << 12)
+    monkeypatch.setattr(J, "POINTS", 100 if block == 2 else 1 << 17)
+    spectrum, inverse, forward = slices(spark, weighted)
+    points = J._slice_points(forward, SLICE, RADIUS, depth, 9, 0.43)
+    want = J.slices_at(points, spectrum, inverse, ["out_id", "ky", "kx"], SLICE, *J._least((0.12, 0.2), 9), RADIUS)
+    got = J.insert_and_extract_central_slices_3d(spectrum, inverse, forward, SLICE, 0.12, 0.2, 0.43, ews_radius=RADIUS, depth_window=depth, tile_pixels=tile_pixels)
+    same(got, want, ("out_id", "ky", "kx"))
