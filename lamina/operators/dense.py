@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values that a task holds as arrays of its own at once, one image at least.
-PIECE = 1 << 20
+#: Values that a task holds as arrays of its own at once, one image at least: less than a full batch of small images has, so
+#: that a worker's memory doesn't follow the rows of a task.
+PIECE = 1 << 16
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "values", limit: int = PIECE) -> Iterator[pa.RecordBatch]:

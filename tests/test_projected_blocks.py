@@ -122,3 +122,13 @@ def test_slices_near_slices_by_tiles(spark, monkeypatch, weighted, block, tile_p
     want = J.slices_at(points, spectrum, inverse, ["out_id", "ky", "kx"], SLICE, *J._least((0.12, 0.2), 9), RADIUS)
     got = J.insert_and_extract_central_slices_3d(spectrum, inverse, forward, SLICE, 0.12, 0.2, 0.43, ews_radius=RADIUS, depth_window=depth, tile_pixels=tile_pixels)
     same(got, want, ("out_id", "ky", "kx"))
+
+
+def test_a_full_batch_of_small_images_is_taken_in_pieces():
+    import pyarrow as pa
+
+    from lamina.operators.dense import pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros((10_000, 64)).tolist(), pa.list_(pa.float64()))], ["values"])
+    sizes = [len(p) for p in pieces(iter([batch]))]
+    assert sum(sizes) == 10_000 and max(sizes) <= 1024
